@@ -2,10 +2,16 @@
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .mixing import op2_mixing
+from .pii import op3_pii
+from .secrets import op10_secrets
+from .token_counts import op9_token_counts
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op9_token_counts": op9_token_counts,
+    "op10_secrets": op10_secrets,
 }
 SQL = {
     "op1_chat_format": OP1_SQL,
