@@ -1,15 +1,19 @@
 """Queries of this subpackage by name, and the SQL for those that SQL can express."""
 
 from .chat_format import OP1_SQL, op1_chat_format
+from .language_id import op7_language_id
 from .mixing import op2_mixing
 from .pii import op3_pii
 from .secrets import op10_secrets
 from .token_counts import op9_token_counts
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
