@@ -1,6 +1,7 @@
 """Queries of this subpackage by name, and the SQL for those that SQL can express."""
 
 from .chat_format import OP1_SQL, op1_chat_format
+from .decontaminate import op8_decontaminate
 from .language_id import op7_language_id
 from .mixing import op2_mixing
 from .pii import op3_pii
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_decontaminate": op8_decontaminate,
     "op9_token_counts": op9_token_counts,
     "op10_secrets": op10_secrets,
 }
