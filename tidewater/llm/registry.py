@@ -2,6 +2,7 @@
 
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op8_decontaminate
+from .embedding_dedup import op4_embedding_dedup
 from .jaccard_join import op5_jaccard_join
 from .language_id import op7_language_id
 from .mixing import op2_mixing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_mixing": op2_mixing,
     "op3_pii": op3_pii,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
