@@ -5,13 +5,15 @@ put into groups of bounded size; each group stores the union of its members' shi
 compared with a group only if the shingles it shares with the union could be enough for the similarity wanted; only then
 the group is opened and the query is verified against every member. All of this is exact.
 
-Which groups can qualify at all is found without comparing all with all. A set is cut by hash into m parts, where m is
-the largest possible difference of two linked sets of that size plus 2, so two linked sets agree in at least two parts.
-Equal parts meet by the hash of their content. Where both are empty a part proves nothing, so empty parts count in pairs.
-A part holds about eight shingles, so a passage that many documents share, or a frequent word, makes no part equal; only
-documents that are largely alike meet. The part a class shares with most others is the key of its group; a group beyond
-``group_tokens`` is dealt into several, so thousands of near copies become blocks that are compared block by block, and
-a block with many queries is worked on in slices. Tasks return only nodes, their local root and numbers of links.
+Which groups can qualify at all is found without comparing all with all. All shingles have one order, and linked sets
+share at least one of their first n - ceil(threshold * n) + 1. The order puts frequent shingles last: a count-min sketch
+of one row, counted over all documents, gives each shingle a level, and any level gives right results. So a passage that
+many documents share is met only by sets that hold little else. The leading shingle that a class shares with most others
+is the key of its group; a group beyond ``group_tokens`` is dealt into several, so thousands of near copies become blocks
+that are compared block by block, and a block with many queries is worked on in slices. Tasks return only nodes, their
+local root and numbers of links.
+
+The sketch has at most 2**22 counters and its levels, a byte each, are broadcast: 4 MB at most, whatever the corpus.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; fewer than ``k`` words make one
 shingle; repeated rows are documents of their own; rows with a null doc_id take part and get the smallest doc_id of
@@ -21,6 +23,7 @@ A very long text is one row in one task.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,52 +65,55 @@ def shingles(text: str | None, k: int, known: _Words) -> np.ndarray:
     return np.unique(h)
 
 
-class Scheme:
-    """Size classes whose bounds grow by 1/threshold; linked sets are in the same or in neighbouring classes."""
-
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.bounds = num, den, [1]
-
-    def grow(self, n: int) -> None:
-        while self.bounds[-3:][0] <= n or len(self.bounds) < 3:
-            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
-
-    def parts(self, scheme: int) -> int:
-        """Parts of a scheme, which serves classes ``scheme`` and the next; 0 where linked sets are equal."""
-        largest = self.bounds[scheme + 2] - 1
-        difference = (self.den - self.num) * 2 * largest // (self.den + self.num)
-        return difference + 2 if difference else 0
-
-    def signatures(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
-        if not n:
-            return np.zeros(0, np.int64)
-        self.grow(n)
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens), dtype=np.uint64)])
-        out = []
-        for s in (own, own - 1):
-            m = self.parts(s) if s >= 0 else 0
-            if not m:
-                continue
-            cuts = np.searchsorted(tokens, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
-            cuts = np.concatenate([[0], cuts, [n]])
-            content = sums[cuts[1:]] - sums[cuts[:-1]]
-            empty = np.flatnonzero(cuts[1:] == cuts[:-1])
-            named = _mix(content + _mix(np.arange(m, dtype=np.uint64) + np.uint64(s + 1 << 32)))
-            out.append(np.delete(named, empty))
-            if len(empty) > 1:
-                a, b = np.triu_indices(len(empty), 1)
-                pair = empty[a].astype(np.uint64) * np.uint64(m) + empty[b].astype(np.uint64)
-                out.append(_mix(pair + _mix(np.full(1, (s + 1 << 32) + (1 << 31), np.uint64))))
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+def bits_for(n_docs: int) -> int:
+    return min(22, max(12, n_docs.bit_length() + 3))
+
+
+def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
+    """Level of each counter of the sketch: 0 up to what chance explains, then by powers of two."""
+    block = min(bits, 16)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, total = _Words(), np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                sets = [shingles(t, k, known) for t in batch["text"][at : at + 1000]]
+                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+        parts = total.reshape(-1, 1 << block)
+        yield pd.DataFrame({"block": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << block, np.uint64)
+        for batch in batches:
+            for c in batch["counts"]:
+                total += np.frombuffer(zlib.decompress(c), np.uint32)
+        yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
+
+    partial = docs.select("text").mapInPandas(count, "block int, counts binary")
+    rows = partial.groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # 2**bits counters
+    total = np.zeros(1 << bits)
+    for r in rows:
+        total[r["block"] << block : r["block"] + 1 << block] = np.frombuffer(r["counts"], np.uint64)
+    usual = np.median(total)
+    above = total - usual - 4 * np.sqrt(usual) - 4
+    return np.where(above > 0, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
+
+
+def leading(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first n - ceil(num/den * n) + 1 shingles of a set in the order of level, then hash."""
+    n = len(tokens)
+    if not n:
+        return tokens.view(np.int64)
+    own = level[(tokens >> np.uint64(64 - (len(level).bit_length() - 1))).astype(np.int64)]
+    return tokens[own.argsort(kind="stable")[: n - -(-num * n // den) + 1]].view(np.int64)
 
 
 def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """row, doc_id, n (size of the set), d1, d2 (digest of the set), signatures, h (hash that finds the text again)."""
+    """row, doc_id, n (size of the set), d1, d2 (digest of the set), lead (leading shingles), h (finds the text again)."""
+    level = docs.sparkSession.sparkContext.broadcast(levels(docs, k, bits_for(docs.count())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, scheme = _Words(), Scheme(num, den)
+        known = _Words()
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch[at : at + 1000]
@@ -117,11 +123,11 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                     "row": part["row"], "doc_id": part["doc_id"], "n": [len(s) for s in sets],
                     "d1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
                     "d2": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
-                    "signatures": [scheme.signatures(s) for s in sets], "h": part["h"],
+                    "lead": [leading(s, level.value, num, den) for s in sets], "h": part["h"],
                 })
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(_HASH).alias("h"))
-    return rows.mapInPandas(run, "row long, doc_id long, n long, d1 long, d2 long, signatures array<long>, h long")
+    return rows.mapInPandas(run, "row long, doc_id long, n long, d1 long, d2 long, lead array<long>, h long")
 
 
 def _opened(num: int, den: int):
@@ -185,12 +191,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     )
     n_classes = classes.count()
 
-    # Signatures that at least two classes share.
-    heads = rows.select(F.col("row").alias("node"), "n", "signatures").join(small(classes.select("node", "w"), n_classes), "node")
-    sigs = heads.select("node", F.explode("signatures").alias("sig"))
-    shared = written(sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = written(sigs.join(small(shared, shared.count(), 500_000), "sig"))
-    keys = met.groupBy("node").agg(F.max(F.struct("times", "sig")).alias("best")).select("node", F.col("best.sig").alias("key"))
+    # Leading shingles that at least two classes share.
+    heads = rows.select(F.col("row").alias("node"), "n", "lead").join(small(classes.select("node", "w"), n_classes), "node")
+    firsts = heads.select("node", F.explode("lead").alias("token"))
+    shared = written(firsts.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    met = written(firsts.join(small(shared, shared.count(), 500_000), "token"))
+    keys = met.groupBy("node").agg(F.max(F.struct("times", "token")).alias("best")).select("node", F.col("best.token").alias("key"))
     keyed = written(heads.select("node", "n", "w").join(keys, "node"))
     n_keyed = keyed.count()
     load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"))
@@ -202,9 +208,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         )
     )
 
-    # The matrix of signatures and groups, and the pairs of groups that meet in it.
-    matrix = written(met.select("sig", "node").join(small(grouped.select("node", "group"), n_keyed), "node").select("sig", "group").distinct())
-    pairs = matrix.alias("a").join(matrix.alias("b"), "sig").filter(F.col("a.group") < F.col("b.group")).select(
+    # The matrix of tokens and groups, and the pairs of groups that meet in it.
+    matrix = written(met.select("token", "node").join(small(grouped.select("node", "group"), n_keyed), "node").select("token", "group").distinct())
+    pairs = matrix.alias("a").join(matrix.alias("b"), "token").filter(F.col("a.group") < F.col("b.group")).select(
         F.col("a.group").alias("g1"), F.col("b.group").alias("g2")
     ).distinct()
     sums = written(grouped.groupBy("group").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members")))
