@@ -145,5 +145,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, w
     )
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """``docs`` without the documents that hold an item."""
+    found = written(contamination(docs, benchmark, least, window).select(F.col("doc_id").alias("__doc")).distinct())
+    return docs.join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -179,7 +179,9 @@ def _opened(num: int, den: int):
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144) -> DataFrame:
-    """row, doc_id, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``.
+    """row, doc_id, h, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``.
+
+    ``h`` is a hash of doc_id and text that finds a row's text again.
 
     Two documents link when den * shared >= num * union of their distinct ``k``-word shingles. ``group_tokens`` and
     ``slice_tokens`` bound a block's members and queries.
@@ -260,11 +262,17 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         .select("d1", "d2", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     )
     return rows.join(small(named, named.count()), ["d1", "d2", "n"], "left").select(
-        "row", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "row", "doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; a document is its doc_id."""
+    gone = written(jaccard_components(docs, k, num, den).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h").alias("__h")))
+    return docs.withColumn("__h", F.expr(_HASH)).join(small(gone, gone.count()), "__h", "left_anti").select(docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-gram sets at a Jaccard similarity of 0.9."""
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")

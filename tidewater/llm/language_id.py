@@ -273,6 +273,18 @@ def learned(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int
     return (*fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), vocabulary, train_docs), vocabulary)
 
 
+def of_stated_language(docs: DataFrame, sure: float = 0.99) -> DataFrame:
+    """``docs`` without those that have no letter or whose text is surely (a score of at least ``sure``) of another language
+    than their ``lang`` says; null ``lang`` says nothing. The model is fitted on all labelled ``docs``."""
+    vocabulary = pieces_of(VOCABULARY)
+    languages, probs = fit(docs.select("doc_id", "text", "lang"), vocabulary)
+    found = identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), languages, probs, vocabulary)
+    # A language that was never learned can't be contradicted.
+    other = F.col("lang").isin(languages) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= sure)
+    kept = found.filter((F.col("lang_pred") != "und") & ~F.coalesce(other, F.lit(False)))
+    return kept.select(*(F.col(f"__{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")

@@ -141,5 +141,16 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of which the mix takes any word, with ``taken`` (words, repeats counted) and their source's ``target``.
+
+    A document is its doc_id: rows that share one get the sum.
+    """
+    took = taken_words(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__doc"))
+    took = written(took.agg(F.sum("taken").alias("taken"), F.max("target").alias("target")))
+    plain = docs.drop("taken", "target")
+    return plain.join(small(took, took.count()), F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
