@@ -39,7 +39,8 @@ def within_between(long: DataFrame, subject: str, feature: str, x: str, y: str,
     """
     both = long.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     means = both.groupBy(subject, feature).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"))
-    inner = both.join(means, [subject, feature]).select(feature, (F.col(x) - F.col("__x")).alias(x), (F.col(y) - F.col("__y")).alias(y))
+    # Rounded, so that values that differ by arithmetic noise only tie.
+    inner = both.join(means, [subject, feature]).select(feature, F.round(F.col(x) - F.col("__x"), 9).alias(x), F.round(F.col(y) - F.col("__y"), 9).alias(y))
     raw = spearman(both, [feature], x, y).select(feature, F.col("r").alias("raw"), "n")
     own = spearman(inner, [feature], x, y).select(feature, F.col("r").alias("within"))
     r, w = F.abs(F.col("raw")), F.abs(F.coalesce("within", F.lit(0.0)))

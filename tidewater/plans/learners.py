@@ -1,0 +1,86 @@
+"""Signal kernels and learners; SQL can't express them, so tests compare them with plain NumPy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import learners as L, signal as S
+from tidewater.operators.windows import hashed_folds
+from tidewater.sources.scratch import written
+from tidewater.sources.tables import read
+
+from .common import shown
+from .registry import query
+
+_BANDS = {"lf": (0.04, 0.15), "hf": (0.15, 0.4)}
+
+
+def _series(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+
+@query("q_M1_band_powers")
+def band_powers(spark, sf_dir):
+    found = _series(spark, sf_dir).select("vec_id", S.bands_of(F.col("x"), _BANDS).alias("b"))
+    return shown(found.select("vec_id", F.log1p("b.lf").alias("lf"), F.log1p("b.hf").alias("hf"), (F.col("b.lf") / (F.col("b.hf") + 1e-9)).alias("ratio")))
+
+
+@query("q_M6_sample_entropy")
+def sample_entropy(spark, sf_dir):
+    return shown(_series(spark, sf_dir).select("vec_id", S.on_series(S.sample_entropy, F.col("x")).alias("entropy")))
+
+
+@query("q_M7_fluctuation_exponent")
+def fluctuation_exponent(spark, sf_dir):
+    return shown(_series(spark, sf_dir).select("vec_id", S.on_series(S.fluctuation_exponent, F.col("x")).alias("alpha")))
+
+
+def _table(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", F.length("text").cast("double").alias("chars"), F.size(F.split("text", r"\s+")).cast("double").alias("words"),
+        F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("digits"), F.length(F.regexp_replace("text", r"[\p{L}\p{N}\s]", "")).cast("double").alias("marks"),
+    )
+    return written(docs.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").withColumn("fold", hashed_folds("doc_id", 3)))
+
+
+_COLUMNS = ["chars", "words", "digits", "marks"]
+
+
+@query("q_M13_boosted_out_of_fold")
+def boosted(spark, sf_dir):
+    found = L.out_of_fold("boosted", _table(spark, sf_dir), "fold", 3, _COLUMNS, "quality", L.Settings(trees=8, depth=3, top_features=3))
+    return shown(found.select("doc_id", "fold", "p"))
+
+
+@query("q_M14_M17_linear_out_of_fold")
+def linear(spark, sf_dir):
+    return shown(L.out_of_fold("linear", _table(spark, sf_dir), "fold", 3, _COLUMNS, "quality").select("doc_id", "fold", "p"))
+
+
+@query("q_M15_M16_forest_out_of_fold")
+def forest(spark, sf_dir):
+    return shown(L.out_of_fold("forest", _table(spark, sf_dir), "fold", 3, _COLUMNS, "quality", L.Settings(trees=10, depth=3)).select("doc_id", "fold", "p"))
+
+
+@query("q_M21_platt")
+def platt(spark, sf_dir):
+    table = _table(spark, sf_dir).withColumn("raw", F.least(F.col("marks") / F.greatest("chars", F.lit(1.0)), F.lit(1.0)))
+    return shown(L.calibrated(table.filter("fold > 0"), table.filter("fold = 0"), "raw", "quality").select("doc_id", "raw", "p"))
+
+
+@query("q_M22_convolutions_ridge_platt")
+def convolutions(spark, sf_dir):
+    """Random convolution features of each series, ridge scores, and their calibration, for label 0 against the rest."""
+    rows = _series(spark, sf_dir).withColumn("y", (F.col("label") == 0).cast("int")).withColumn("fold", hashed_folds("vec_id", 5))
+    # The biases are drawn from at most 200 training series.
+    sample = [r["x"] for r in rows.filter("fold > 0").orderBy(F.xxhash64("vec_id")).limit(200).select("x").collect()]
+    if not sample:
+        return spark.createDataFrame([], "vec_id long, fold long, p double")
+    import numpy as np
+
+    model = S.RandomConvolutions([np.asarray(x, float) for x in sample], features=168)
+    features = written(rows.select("vec_id", "y", "fold", S.convolved(F.col("x"), model).alias("features")))
+    train = features.filter("fold > 0")
+    scored = written(L.ridge_scores(train, features, "features", "y").select("vec_id", "y", "fold", "score"))
+    found = L.fit_predict("platt", scored.filter("fold > 0"), scored, ["score"], "y")
+    return shown(found.select("vec_id", "fold", "p"))

@@ -1,0 +1,158 @@
+"""Within and between subjects, blends of predictions, neighbours."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import functions as F
+
+from tidewater.operators import joins as J, stats as Q, windows as V
+from tidewater.sources.tables import read, sensor
+
+from .common import DAY, KEYS, SENSOR, shown
+from .registry import query
+
+_FEATURES = ("n", "k_mean", "h_mean")
+_LONG_SQL = """d AS (SELECT user_id, day, (avg(value) > 12)::INT AS y, count(*)::DOUBLE AS n, avg(k)::DOUBLE AS k_mean, avg(h)::DOUBLE AS h_mean FROM s GROUP BY ALL),
+l AS (""" + " UNION ALL ".join(f"SELECT user_id, day, y, '{f}' AS feature, {f} AS x FROM d" for f in _FEATURES) + ")"
+
+
+def _wide(spark, sf_dir):
+    return sensor(spark, sf_dir).groupBy(*KEYS).agg(
+        (F.avg("value") > 12).cast("int").alias("y"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("k").alias("k_mean"), F.avg("h").alias("h_mean")
+    )
+
+
+def _long(spark, sf_dir):
+    return _wide(spark, sf_dir).unpivot([*KEYS, "y"], list(_FEATURES), "feature", "x")
+
+
+def _ranked(table: str, by: str) -> str:
+    return f"""SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2.0::DOUBLE AS rx,
+      rank() OVER (PARTITION BY {by} ORDER BY y) + (count(*) OVER (PARTITION BY {by}, y) - 1) / 2.0::DOUBLE AS ry FROM {table}"""
+
+
+@query("q_W10_W11_spearman", f"""
+WITH x AS (SELECT lang, n_chars AS x, quality AS y FROM documents JOIN labels USING (doc_id)), r AS ({_ranked('x', 'lang')})
+SELECT lang, round(corr(rx, ry), 6) AS r, count(*) AS n FROM r GROUP BY lang""")
+def spearman(spark, sf_dir):
+    both = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
+    return shown(V.spearman(both, ["lang"], "n_chars", "quality"))
+
+
+@query("q_M8_within_between", f"""
+WITH {SENSOR}, {_LONG_SQL}, w0 AS (SELECT feature, round(x - avg(x) OVER (PARTITION BY user_id, feature), 9) AS x, round(y - avg(y) OVER (PARTITION BY user_id, feature), 9) AS y FROM l),
+r AS ({_ranked('l', 'feature')}), w AS ({_ranked('w0', 'feature')}), a AS (SELECT feature, corr(rx, ry) AS raw, count(*) AS n FROM r GROUP BY feature), b AS (SELECT feature, corr(rx, ry) AS within FROM w GROUP BY feature)
+SELECT feature, round(raw, 6) AS raw, n, round(within, 6) AS within, CASE WHEN raw IS NULL OR abs(raw) < 0.02 THEN 'weak' WHEN abs(coalesce(within, 0)) >= 0.7 * abs(raw) THEN 'day_rich' WHEN abs(coalesce(within, 0)) <= 0.3 * abs(raw) THEN 'between_only' ELSE 'mixed' END AS kind
+FROM a LEFT JOIN b USING (feature)""")
+def within_between(spark, sf_dir):
+    return shown(Q.within_between(_long(spark, sf_dir), "user_id", "feature", "x", "y", least=0.02))
+
+
+@query("q_M9_mundlak", f"""
+WITH {SENSOR}, {_LONG_SQL}, t AS (SELECT user_id, avg(n) AS nb, avg(k_mean) AS kb FROM d WHERE day <= DATE '2024-01-20' AND user_id % 5 > 0 GROUP BY user_id), g AS (SELECT quantile_cont(n, 0.5) AS n, quantile_cont(k_mean, 0.5) AS k FROM d WHERE day <= DATE '2024-01-20' AND user_id % 5 > 0)
+SELECT user_id, {DAY}, round(coalesce(nb, g.n), 8) AS n_b, round(coalesce(kb, g.k), 8) AS k_mean_b, round(d.n - coalesce(nb, g.n), 8) + 0.0 AS n_w, round(d.k_mean - coalesce(kb, g.k), 8) + 0.0 AS k_mean_w FROM d LEFT JOIN t USING (user_id) CROSS JOIN g""")
+def mundlak(spark, sf_dir):
+    wide = _wide(spark, sf_dir)
+    out = Q.mundlak(wide.filter("day <= date'2024-01-20' and user_id % 5 > 0"), wide, "user_id", ["n", "k_mean"])
+    return shown(out.select(*KEYS, "n_b", "k_mean_b", "n_w", "k_mean_w"), 8)
+
+
+@query("q_M10_cross_bucket", f"""
+WITH {SENSOR}, b AS (SELECT user_id, day, avg(value) FILTER (bucket = 'morning') AS vm, avg(value) FILTER (bucket = 'evening') AS ve, avg(k) FILTER (bucket = 'morning') AS km, avg(k) FILTER (bucket = 'evening') AS ke FROM s GROUP BY ALL)
+SELECT user_id, {DAY}, round(vm * ke, 5) AS v_morning_x_k_evening, round(ve * km, 5) AS v_evening_x_k_morning, round(vm - ve, 6) AS v_morning_d_evening, round(km - ke, 6) AS k_morning_d_evening FROM b""")
+def cross_bucket(spark, sf_dir):
+    of = lambda c, b: F.avg(F.when(F.col("bucket") == b, F.col(c)))
+    daily = sensor(spark, sf_dir).groupBy(*KEYS).agg(of("value", "morning").alias("vm"), of("value", "evening").alias("ve"), of("k", "morning").alias("km"), of("k", "evening").alias("ke"))
+    out = Q.cross_bucket(daily, {"v": {"morning": "vm", "evening": "ve"}, "k": {"morning": "km", "evening": "ke"}})
+    products = ["v_morning_x_k_evening", "v_evening_x_k_morning"]
+    return shown(out.select(*KEYS, *(F.round(c, 5).alias(c) for c in products), "v_morning_d_evening", "k_morning_d_evening"))
+
+
+@query("q_M26_sign_stability", f"""
+WITH {SENSOR}, {_LONG_SQL}, f AS (SELECT *, user_id % 5 AS fold FROM l), r AS ({_ranked('f', 'feature, fold')}), c AS (SELECT feature, fold, corr(rx, ry) AS r FROM r GROUP BY ALL), m AS (SELECT feature, quantile_cont(r, 0.5) AS median_r FROM c GROUP BY feature)
+SELECT feature, round(any_value(median_r), 6) AS median_r, round(avg(coalesce(sign(r) = sign(median_r), false)::INT), 6) AS agree FROM c JOIN m USING (feature) GROUP BY feature""")
+def sign_stability(spark, sf_dir):
+    return shown(Q.sign_stability(_long(spark, sf_dir).withColumn("fold", F.col("user_id") % 5), "fold", "feature", "x", "y"))
+
+
+#: Two made-up predictors of the document labels, and three of the joined rows' labels in long form.
+_PRED_SQL = """p AS (SELECT doc_id, quality AS y, doc_id % 5 AS fold, lang, 0.05 + 0.9 * (1 - least(n_chars, 6000) / 6000.0::DOUBLE) AS m, 0.1 + 0.8 * (doc_id % 97) / 97.0::DOUBLE AS n, 0.2 + 0.6 * quality + 0.1 * ((doc_id % 13) / 13.0::DOUBLE) AS q FROM documents JOIN labels USING (doc_id))"""
+
+
+def _predictions(spark, sf_dir):
+    both = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return both.select(
+        "doc_id", F.col("quality").alias("y"), (F.col("doc_id") % 5).alias("fold"), "lang",
+        (0.05 + 0.9 * (1 - F.least("n_chars", F.lit(6000)) / 6000.0)).alias("m"), (0.1 + 0.8 * (F.col("doc_id") % 97) / 97.0).alias("n"),
+        (0.2 + 0.6 * F.col("quality") + 0.1 * ((F.col("doc_id") % 13) / 13.0)).alias("q"),
+    )
+
+
+@query("q_A34_log_loss", f"""
+WITH {_PRED_SQL} SELECT lang, count(*) AS n, round(-avg(y * ln(m) + (1 - y) * ln(1 - m)), 6) AS loss_m, round(-avg(y * ln(n) + (1 - y) * ln(1 - n)), 6) AS loss_n FROM p GROUP BY lang""")
+def log_loss(spark, sf_dir):
+    y = F.col("y")
+    return shown(_predictions(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), Q.log_loss(y, F.col("m")).alias("loss_m"), Q.log_loss(y, F.col("n")).alias("loss_n")))
+
+
+@query("q_A32_blend_weight", f"""
+WITH {_PRED_SQL}, v AS (SELECT lang, var_pop(m - y) AS vm, var_pop(q - y) AS vq, covar_pop(m - y, q - y) AS c FROM p GROUP BY lang)
+SELECT lang, round(least(greatest((vm - c) / (vm + vq - 2 * c + 1e-12), 0), 1), 6) AS alpha FROM v""")
+def blend_weight(spark, sf_dir):
+    return shown(_predictions(spark, sf_dir).groupBy("lang").agg(Q.blend_weight(F.col("m"), F.col("q"), F.col("y")).alias("alpha")))
+
+
+@query("q_M21_blend_out_of_fold", f"""
+WITH {_PRED_SQL}, f AS (SELECT DISTINCT lang, fold FROM p), v AS (SELECT f.lang, f.fold, var_pop(m - y) AS vm, var_pop(n - y) AS vn, covar_pop(m - y, n - y) AS c FROM f LEFT JOIN p ON p.lang = f.lang AND p.fold <> f.fold GROUP BY ALL),
+a AS (SELECT lang, fold, coalesce(least(greatest((vm - c) / (vm + vn - 2 * c + 1e-12), 0), 1), 0) AS alpha FROM v)
+SELECT doc_id, round(alpha, 6) AS alpha, round((1 - alpha) * m + alpha * n, 6) AS blend FROM p JOIN a USING (lang, fold)""")
+def blend_out_of_fold(spark, sf_dir):
+    return shown(Q.blend_out_of_fold(_predictions(spark, sf_dir), "fold", "lang", "m", "n", "y").select("doc_id", "alpha", "blend"))
+
+
+@query("q_A33_simplex_weights")
+def simplex_weights(spark, sf_dir):
+    weights = Q.simplex_weights(_predictions(spark, sf_dir), ["m", "n", "q"], "y")
+    return spark.createDataFrame([(v, round(float(w), 6)) for v, w in zip("mnq", weights, strict=True)], "view string, weight double")
+
+
+@query("q_M29_compared", f"""
+WITH {_PRED_SQL} SELECT count(*) AS n, round(max(abs(m - n)), 6) AS max_delta, round(avg(abs(m - n) / least(n, 1 - n)), 6) AS loss_bound FROM p""")
+def compared(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    return shown(Q.compared(p.select("doc_id", F.col("m").alias("p")), p.select("doc_id", F.col("n").alias("p")), ["doc_id"], "p"))
+
+
+_NEAR = """q AS (SELECT vec_id AS query, embedding AS qx FROM embeddings WHERE vec_id % 50 = 0),
+d AS (SELECT query, vec_id AS item, list_sum(list_transform(list_zip(qx, embedding), lambda z: abs(z[1] - z[2])::DOUBLE)) AS distance FROM q JOIN embeddings ON vec_id <> query),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, item) AS rank FROM d QUALIFY rank <= 3)"""
+
+
+def _vectors(spark, sf_dir):
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), "label")
+
+
+@query("q_J14_O6_nearest", f"WITH {_NEAR} SELECT query, item, round(distance, 4) AS distance, rank FROM k")
+def nearest(spark, sf_dir):
+    items = _vectors(spark, sf_dir)
+    return shown(J.nearest(items.filter("id % 50 = 0"), items, 3), 4)
+
+
+@query("q_M18_borrow", f"WITH {_NEAR} SELECT query, round(avg(label), 6) AS borrowed FROM k JOIN embeddings ON vec_id = item GROUP BY query")
+def borrow(spark, sf_dir):
+    items = _vectors(spark, sf_dir)
+    return shown(Q.borrow(items.filter("id % 50 = 0"), items, 3, "label"))
+
+
+@query("q_M19_subspace_borrow")
+def subspace_borrow(spark, sf_dir):
+    items = _vectors(spark, sf_dir)
+    return shown(Q.subspace_borrow(items.filter("id % 50 = 0"), items, 64, "label", members=3))
+
+
+@query("q_S10_P15_column_groups", f"WITH {SENSOR}, {_LONG_SQL} SELECT 'mean' AS grp, 'h_mean' AS col UNION ALL SELECT 'mean', 'k_mean' UNION ALL SELECT 'other', 'n'")
+def column_groups(spark, sf_dir):
+    columns = [c for c in _wide(spark, sf_dir).columns if c not in (*KEYS, "y")]
+    groups = json.loads(json.dumps({"mean": sorted(c for c in columns if c.endswith("_mean")), "other": sorted(c for c in columns if not c.endswith("_mean"))}))
+    return spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "grp string, col string")
