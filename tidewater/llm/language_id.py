@@ -163,7 +163,8 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
                 c = Counter()
                 for t in texts:
                     c.update(WORD.findall(t.lower()))
-                yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
+                if c:
+                    yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
     words = written(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     languages: list[str] = []

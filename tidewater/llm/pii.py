@@ -137,16 +137,20 @@ def model(found: DataFrame, precision: float = PRECISION):
     return trees, {k: threshold(trees, [r for r in table if r["kind"] == k], precision) for k in KINDS}
 
 
+def _judged(found: DataFrame, trees, least: dict[str, float]) -> DataFrame:
+    """``found`` with base and added: arrays of (kind, start, end)."""
+    of_kind = F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(float(least[k])))))
+    enough = lambda c: trees.expression(lambda f: c[f]) >= F.element_at(of_kind, c["kind"])
+    df = found.withColumn("base", F.filter("candidates", lambda c: c["base"])).withColumn("more", F.filter("candidates", lambda c: ~c["base"] & enough(c)))
+    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    slim = lambda a: F.transform(a, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+    return df.withColumn("added", slim(apart)).withColumn("base", slim(F.col("base"))).drop("more", "candidates")
+
+
 def find(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     """doc_id, base and added: arrays of (kind, start, end), in order of kind, then start."""
     found = written(candidates(docs.select("doc_id", "text")).select("doc_id", "candidates"))
-    trees, least = model(found, precision)
-    base = F.filter("candidates", lambda c: c["base"])
-    enough = lambda c: trees.expression(lambda f: c[f]) >= F.element_at(F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(float(least[k]))))), c["kind"])
-    df = found.withColumn("base", base).withColumn("more", F.filter("candidates", lambda c: ~c["base"] & enough(c)))
-    apart = F.filter("more", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    slim = lambda a: F.transform(a, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
-    return df.select("doc_id", slim("base").alias("base"), slim(apart).alias("added"))
+    return _judged(found, *model(found, precision)).select("doc_id", "base", "added")
 
 
 def _of_kind(spans: str, kind: str) -> Column:
@@ -164,10 +168,10 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
     The model is fitted on all of ``docs`` first; spans are found again beside the text, so no text is shuffled.
     """
     found = written(candidates(docs.select("text")).select("candidates"))
-    trees, least = model(found, precision)
-    kept = lambda c: c["base"] | (trees.expression(lambda f: c[f]) >= F.element_at(F.create_map(*(x for k in KINDS for x in (F.lit(k), F.lit(float(least[k]))))), c["kind"]))
-    df = candidates(docs).withColumn(
-        "__spans", F.array_sort(F.transform(F.filter("candidates", kept), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    # All columns stand in one struct, so their names can't clash with those used here.
+    rows = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    df = _judged(candidates(rows), *model(found, precision)).withColumn(
+        "__spans", F.array_sort(F.transform(F.concat("base", "added"), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
     )
     merge = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
@@ -187,7 +191,7 @@ def redact(docs: DataFrame, precision: float = PRECISION) -> DataFrame:
         ),
     )
     clean = F.when(F.size("__spans") > 0, F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), last + 1, F.length("text")))).otherwise(F.col("text"))
-    return df.select(*(clean.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return df.select(*(clean.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
