@@ -60,7 +60,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("options", [dict(k=3, num=90, den=100, group_tokens=2000, slice_tokens=5000), dict(), dict(k=2, num=95, den=100, group_tokens=500)])
+@pytest.mark.parametrize("options", [dict(k=3, num=90, den=100, group_tokens=2000, slice_tokens=5000), dict(), dict(k=2, num=95, den=100, group_tokens=500, family=2), dict(k=3, num=70, den=100, family=1, group_tokens=900, slice_tokens=900)])
 def test_equals_brute_force_on_families_of_near_copies(spark, options):
     rows = near_copies(1)
     assert run(spark, rows, **options) == brute(rows, options.get("k", 5), options.get("num", 80), options.get("den", 100))

@@ -5,15 +5,20 @@ put into groups of bounded size; each group stores the union of its members' shi
 compared with a group only if the shingles it shares with the union could be enough for the similarity wanted; only then
 the group is opened and the query is verified against every member. All of this is exact.
 
-Which groups can qualify at all is found without comparing all with all. All shingles have one order, and linked sets
-share at least one of their first n - ceil(threshold * n) + 1. The order puts frequent shingles last: a count-min sketch
-of one row, counted over all documents, gives each shingle a level, and any level gives right results. So a passage that
-many documents share is met only by sets that hold little else. The leading shingle that a class shares with most others
-is the key of its group; a group beyond ``group_tokens`` is dealt into several, so thousands of near copies become blocks
-that are compared block by block, and a block with many queries is worked on in slices. Tasks return only nodes, their
-local root and numbers of links.
+Which groups can qualify at all is found without comparing all with all, by tokens that linked sets must share:
 
-The sketch has at most 2**22 counters and its levels, a byte each, are broadcast: 4 MB at most, whatever the corpus.
+- At high similarities (the usual contract of 0.9) a set is cut by hash into parts, two more than the largest possible
+  difference of linked sets of its size, so linked sets agree in at least two. The hashes of parts are the tokens; empty
+  parts count in pairs. A part holds about eight shingles, so neither passages nor frequent words make parts equal.
+- Below that, linked sets share at least one of their first n - ceil(threshold * n) + 1 shingles in any fixed order. The
+  order puts frequent shingles last, by a count-min sketch of one row over all documents (at most 2**22 counters; their
+  levels, a byte each, are broadcast), so passages that many documents share hardly ever lead.
+
+A class whose most shared token is shared by more than ``family`` classes is grouped by that token; a group beyond
+``group_tokens`` is dealt into several, so thousands of near copies become blocks that are compared block by block. All
+others are groups of one. A pair of groups that share a token meets only if the shingles in common can be enough: they
+are at most the sum, over buckets of shingle hashes, of the smaller of the two groups' largest counts. A block with many
+queries is worked on in slices. Tasks return only nodes, their local root and numbers of links.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; fewer than ``k`` words make one
 shingle; repeated rows are documents of their own; rows with a null doc_id take part and get the smallest doc_id of
@@ -44,25 +49,115 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
+class Shingler:
+    """Sorted distinct hashes of a text's ``k``-word shingles; A-Z are lower-cased, words part at ASCII white space.
+
+    A word's hash is a polynomial of its bytes, a difference of running sums, so a text costs a few array operations.
+    Long texts are worked on in pieces of about ``piece`` bytes, cut at white space.
+    """
+
+    BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _M3)
+    SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
+
+    def __init__(self, k: int, piece: int = 1 << 20) -> None:
+        self.k, self.piece, self.powers = k, piece, np.zeros((2, 0), np.uint64)
+
+    def _words(self, raw: bytes) -> np.ndarray:
+        a = np.frombuffer(raw, np.uint8)
+        if len(a) > self.powers.shape[1]:
+            n = max(len(a), 1 << 17)
+            steps = [np.full(n, x, np.uint64) for x in (int(_M1), pow(int(_M1), -1, 1 << 64))]
+            self.powers = np.stack([np.cumprod(np.concatenate([[np.uint64(1)], x]), dtype=np.uint64) for x in steps])
+        space = np.ones(len(a) + 2, bool)
+        space[1:-1] = self.SPACE[a]
+        turns = np.flatnonzero(space[1:] != space[:-1])
+        start, end = turns[::2], turns[1::2]
+        sums = np.zeros(len(a) + 1, np.uint64)
+        np.cumsum(self.BYTE[a] * self.powers[0, : len(a)], out=sums[1:], dtype=np.uint64)
+        return _mix((sums[end] - sums[start]) * self.powers[1, start])
+
+    def words(self, text: str | None) -> np.ndarray:
+        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        if len(raw) <= self.piece:
+            return self._words(raw)
+        found, at = [], 0
+        while at < len(raw):
+            cut = min(at + self.piece, len(raw))
+            while cut < len(raw) and not self.SPACE[raw[cut]]:
+                cut += 1
+            found.append(self._words(raw[at:cut]))
+            at = cut
+        return np.concatenate(found)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        ids = self.words(text)
+        if not len(ids):
+            return ids
+        width = min(self.k, len(ids))
+        h = np.full(len(ids) - width + 1, width, np.uint64)
+        for i in range(width):
+            h = (h * _M3 + ids[i : len(ids) - width + 1 + i]) * _M1
+            h ^= h >> np.uint64(29)
+        h = np.sort(_mix(h))
+        return h[np.concatenate([[True], h[1:] != h[:-1]])]
+
+
+class Parts:
+    """Hashes of the parts of a set. Size classes grow by 1/threshold; linked sets are in the same class or in neighbours."""
+
+    def __init__(self, num: int, den: int) -> None:
+        self.num, self.den, self.bounds = num, den, [1, den // num + 1]
+
+    def _parts(self, scheme: int) -> int:
+        """Parts of a scheme, which serves classes ``scheme`` and the next; 0 where linked sets are equal."""
+        difference = (self.den - self.num) * 2 * (self.bounds[scheme + 2] - 1) // (self.den + self.num)
+        return difference + 2 if difference else 0
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        if not n:
+            return np.zeros(0, np.int64)
+        while self.bounds[-3:][0] <= n or len(self.bounds) < 3:
+            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
+        own = int(np.searchsorted(self.bounds, n, "right")) - 1
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens), dtype=np.uint64)])
+        out = [np.zeros(0, np.uint64)]
+        for s in (own, own - 1):
+            m = self._parts(s) if s >= 0 else 0
+            if not m:
+                continue
+            cuts = np.searchsorted(tokens, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
+            cuts = np.concatenate([[0], cuts, [n]])
+            empty = np.flatnonzero(cuts[1:] == cuts[:-1])
+            named = _mix(sums[cuts[1:]] - sums[cuts[:-1]] + _mix(np.arange(m, dtype=np.uint64) + np.uint64(s + 1 << 32)))
+            out.append(np.delete(named, empty))
+            if len(empty) > 1:
+                a, b = np.triu_indices(len(empty), 1)
+                pair = empty[a].astype(np.uint64) * np.uint64(m) + empty[b].astype(np.uint64)
+                out.append(_mix(pair + _mix(np.full(1, (s + 1 << 32) + (1 << 31), np.uint64))))
+        return np.concatenate(out).view(np.int64)
+
+
+class Leading:
+    """The first n - ceil(num/den * n) + 1 shingles of a set in the order of level, then hash."""
+
+    def __init__(self, num: int, den: int, level: np.ndarray) -> None:
+        self.num, self.den, self.level = num, den, level
+        self.shift = np.uint64(64 - (len(level).bit_length() - 1))
+
+    def __call__(self, tokens: np.ndarray) -> np.ndarray:
+        n = len(tokens)
+        own = self.level[(tokens >> self.shift).astype(np.int64)]
+        return tokens[own.argsort(kind="stable")[: n - -(-self.num * n // self.den) + 1]].view(np.int64) if n else tokens.view(np.int64)
+
+
+BUCKETS = 128
 
 
-def shingles(text: str | None, k: int, known: _Words) -> np.ndarray:
-    """Sorted distinct hashes of the text's ``k``-word shingles; A-Z are lower-cased, words part at ASCII white space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    width = min(k, len(ids))
-    h = np.full(len(ids) - width + 1, width, np.uint64)
-    for i in range(width):
-        h = _mix(h * _M3 + ids[i : len(ids) - width + 1 + i])
-    return np.unique(h)
+def counts(tokens: np.ndarray) -> bytes | None:
+    """Shingles in each bucket, a byte each; None, which is never refuted, if one holds more than 255."""
+    c = np.bincount((tokens >> np.uint64(5)).astype(np.int64) & BUCKETS - 1, minlength=BUCKETS)
+    return None if c.max() > 255 else c.astype(np.uint8).tobytes()
 
 
 def bits_for(n_docs: int) -> int:
@@ -70,14 +165,14 @@ def bits_for(n_docs: int) -> int:
 
 
 def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
-    """Level of each counter of the sketch: 0 up to what chance explains, then by powers of two."""
+    """Level of each counter of the sketch: in quarters of what chance explains, then by powers of two."""
     block = min(bits, 16)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, total = _Words(), np.zeros(1 << bits, np.uint32)
+        of, total = Shingler(k), np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for at in range(0, len(batch), 1000):
-                sets = [shingles(t, k, known) for t in batch["text"][at : at + 1000]]
+                sets = [of(t) for t in batch["text"][at : at + 1000]]
                 total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
         parts = total.reshape(-1, 1 << block)
         yield pd.DataFrame({"block": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
@@ -95,39 +190,53 @@ def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     for r in rows:
         total[r["block"] << block : r["block"] + 1 << block] = np.frombuffer(r["counts"], np.uint64)
     usual = np.median(total)
-    above = total - usual - 4 * np.sqrt(usual) - 4
-    return np.where(above > 0, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
-
-
-def leading(tokens: np.ndarray, level: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first n - ceil(num/den * n) + 1 shingles of a set in the order of level, then hash."""
-    n = len(tokens)
-    if not n:
-        return tokens.view(np.int64)
-    own = level[(tokens >> np.uint64(64 - (len(level).bit_length() - 1))).astype(np.int64)]
-    return tokens[own.argsort(kind="stable")[: n - -(-num * n // den) + 1]].view(np.int64)
+    z = (total - usual) / np.sqrt(usual + 1)
+    return np.clip(np.where(z < 16, 64 + 4 * z, 128 + 8 * np.log2(np.maximum(z, 16) / 16)), 0, 255).astype(np.uint8)
 
 
 def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """row, doc_id, n (size of the set), d1, d2 (digest of the set), lead (leading shingles), h (finds the text again)."""
-    level = docs.sparkSession.sparkContext.broadcast(levels(docs, k, bits_for(docs.count())))
+    """row, doc_id, n (size of the set), d1, d2 (its digest), tokens that linked sets share, counts, h (finds the text again)."""
+    parts = den + num >= 14 * (den - num)
+    level = docs.sparkSession.sparkContext.broadcast(None if parts else levels(docs, k, bits_for(docs.count())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
+        of, shared = Shingler(k), Parts(num, den) if parts else Leading(num, den, level.value)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch[at : at + 1000]
-                sets = [shingles(t, k, known) for t in part["text"]]
+                sets = [of(t) for t in part["text"]]
                 digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
                 yield pd.DataFrame({
                     "row": part["row"], "doc_id": part["doc_id"], "n": [len(s) for s in sets],
                     "d1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
                     "d2": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
-                    "lead": [leading(s, level.value, num, den) for s in sets], "h": part["h"],
+                    "tokens": [shared(s) for s in sets], "counts": [counts(s) for s in sets], "h": part["h"],
                 })
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(_HASH).alias("h"))
-    return rows.mapInPandas(run, "row long, doc_id long, n long, d1 long, d2 long, lead array<long>, h long")
+    return rows.mapInPandas(run, "row long, doc_id long, n long, d1 long, d2 long, tokens array<long>, counts binary, h long")
+
+
+def _possible(num: int, den: int):
+    """Pairs of groups whose sizes and bucket counts allow a link."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unknown = b"\xff" * BUCKETS
+        for p in batches:
+            a, b = (np.frombuffer(b"".join(c or unknown for c in p[x]), np.uint8).reshape(len(p), BUCKETS) for x in ("c1", "c2"))
+            most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            bounded = np.array([x is not None and y is not None for x, y in zip(p["c1"], p["c2"], strict=True)], bool)
+            ok = (den * p["big1"] >= num * p["small2"]) & (den * p["big2"] >= num * p["small1"])
+            ok &= ~bounded | (den * most >= num * (p["small1"] + p["small2"] - most))
+            yield p.loc[ok, ["g1", "g2", "t1", "t2"]]
+
+    return run
+
+
+def _largest(members: pd.DataFrame) -> pd.DataFrame:
+    some = members["counts"]
+    most = None if some.isna().any() else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
+    return pd.DataFrame({"group": members["group"].iloc[:1], "c": [most]})
 
 
 def _opened(num: int, den: int):
@@ -178,47 +287,51 @@ def _opened(num: int, den: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144) -> DataFrame:
+def jaccard_components(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, family: int = 8
+) -> DataFrame:
     """row, doc_id, h, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``.
 
-    ``h`` is a hash of doc_id and text that finds a row's text again.
-
-    Two documents link when den * shared >= num * union of their distinct ``k``-word shingles. ``group_tokens`` and
-    ``slice_tokens`` bound a block's members and queries.
+    ``h`` is a hash of doc_id and text that finds a row's text again. Two documents link when den * shared >= num * union
+    of their distinct ``k``-word shingles. ``group_tokens`` and ``slice_tokens`` bound a block's members and queries.
     """
-    spark = docs.sparkSession
     rows = written(described(docs, k, num, den))
     classes = written(
         rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("w"))
     )
     n_classes = classes.count()
 
-    # Leading shingles that at least two classes share.
-    heads = rows.select(F.col("row").alias("node"), "n", "lead").join(small(classes.select("node", "w"), n_classes), "node")
-    firsts = heads.select("node", F.explode("lead").alias("token"))
-    shared = written(firsts.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = written(firsts.join(small(shared, shared.count(), 500_000), "token"))
-    keys = met.groupBy("node").agg(F.max(F.struct("times", "token")).alias("best")).select("node", F.col("best.token").alias("key"))
-    keyed = written(heads.select("node", "n", "w").join(keys, "node"))
+    # Tokens that at least two classes share.
+    heads = rows.select(F.col("row").alias("node"), "n", "tokens", "counts", "h").join(small(classes.select("node", "w"), n_classes), "node")
+    every = heads.select("node", F.explode("tokens").alias("token"))
+    shared = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
+    met = written(every.join(small(shared, shared.count(), 500_000), "token"))
+    keys = met.groupBy("node").agg(F.max(F.struct("times", "token")).alias("best")).select(
+        "node", F.when(F.col("best.times") > family, F.col("best.token")).otherwise(F.xxhash64("node", F.lit("alone"))).alias("key")
+    )
+    keyed = written(heads.select("node", "n", "w", "counts", "h").join(keys, "node"))
     n_keyed = keyed.count()
     load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"))
     dealt = load.select("key", F.ceil(F.greatest(F.col("tokens") / group_tokens, F.col("members") / 512)).cast("long").alias("blocks")).filter("blocks > 1")
-    grouped = written(
-        keyed.join(small(dealt, n_keyed), "key", "left").select(
-            "node", "n", "w",
-            F.xxhash64("key", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long"))).alias("group"),
-        )
-    )
+    dealt = written(dealt)
+    block = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")))
+    grouped = written(keyed.join(small(dealt, dealt.count()), "key", "left").select("node", "n", "w", "h", "counts", block.alias("group")))
 
-    # The matrix of tokens and groups, and the pairs of groups that meet in it.
+    # The matrix of tokens and groups, the pairs of groups that meet in it, and those of them that could hold a link.
     matrix = written(met.select("token", "node").join(small(grouped.select("node", "group"), n_keyed), "node").select("token", "group").distinct())
     pairs = matrix.alias("a").join(matrix.alias("b"), "token").filter(F.col("a.group") < F.col("b.group")).select(
         F.col("a.group").alias("g1"), F.col("b.group").alias("g2")
     ).distinct()
-    sums = written(grouped.groupBy("group").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members")))
-    n_groups = sums.count()
-    one, two = (sums.select(F.col("group").alias(g), F.col("tokens").alias(t)) for g, t in (("g1", "t1"), ("g2", "t2")))
-    pairs = pairs.join(small(one, n_groups), "g1").join(small(two, n_groups), "g2")
+    sums = grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big"))
+    sums = written(sums)
+    several = sums.filter("members > 1").select("group")
+    wide = grouped.join(small(several, n_keyed), "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, c binary")
+    alone = grouped.join(small(several, n_keyed), "group", "left_anti").select("group", F.col("counts").alias("c"))
+    stats = written(sums.select("group", "t", "small", "big").join(wide.unionByName(alone), "group"))
+    n_groups = stats.count()
+    one, two = (stats.toDF(f"g{i}", f"t{i}", f"small{i}", f"big{i}", f"c{i}") for i in (1, 2))
+    pairs = pairs.join(small(one, n_groups, 100_000), "g1").join(small(two, n_groups, 100_000), "g2")
+    pairs = pairs.mapInPandas(_possible(num, den), "g1 long, g2 long, t1 long, t2 long")
     # The smaller group is sent to the larger one.
     turned = F.col("t1") < F.col("t2")
     sent = written(pairs.select(
@@ -226,21 +339,23 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         F.least("t1", "t2").alias("tokens"),
     ))
     slices = sent.groupBy("target").agg(F.ceil(F.sum("tokens") / slice_tokens).cast("long").alias("slices"))
-    several = sums.filter("members > 1").select(F.col("group").alias("target"))
-    targets = written(slices.join(several, "target", "full_outer").select("target", F.coalesce("slices", F.lit(1)).cast("long").alias("slices")))
+    targets = slices.join(several.withColumnRenamed("group", "target"), "target", "full_outer")
+    targets = written(targets.select("target", F.coalesce("slices", F.lit(1)).cast("long").alias("slices")))
     n_targets = targets.count()
 
-    # Token sets again, for grouped classes only.
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = _Words()
+    # Sets again, for the classes of those groups only.
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Shingler(k)
         for batch in batches:
             out = batch.drop(columns="text")
-            out["tokens"] = [shingles(t, k, known).tobytes() for t in batch["text"]]
+            out["tokens"] = [of(t).tobytes() for t in batch["text"]]
             yield out
 
-    chosen = rows.select(F.col("row").alias("node"), "h").join(small(grouped, n_keyed), "node")
-    texts = docs.select(F.expr(_HASH).alias("h"), "text").join(small(chosen, n_keyed), "h").drop("h")
-    sets = texts.mapInPandas(tokens, "node long, n long, w long, group long, tokens binary")
+    used = targets.select(F.col("target").alias("group")).union(sent.select("group")).distinct()
+    chosen = written(grouped.join(small(used, n_groups), "group", "left_semi").select("h", "node", "n", "w", "group"))
+    texts = docs.select(F.expr(_HASH).alias("h"), "text").join(small(chosen, chosen.count()), "h").drop("h")
+    sets = texts.mapInPandas(again, "node long, n long, w long, group long, tokens binary")
+    # Rows that repeat in all but their place have one text.
     sets = written(sets.dropDuplicates(["node"]))
     columns = ["target", "slice", "role", "node", "n", "w", "tokens"]
     members = sets.withColumnRenamed("group", "target").join(small(targets, n_targets), "target")
