@@ -267,3 +267,23 @@ def cross_sensor(spark, sf_dir):
     joined = J.as_of(clicks, dark, ["user_id"], "ts", "ts", "dark")
     ratio = F.when(F.count("dark") >= 1, F.avg(F.coalesce(F.col("dark") < 10, F.lit(False)).cast("double")))
     return shown(joined.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), ratio.alias("dark_ratio")))
+
+
+@query("q_A24_streaming_bins", """
+SELECT user_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, round(avg(value), 6) AS x, count(*) AS n FROM events GROUP BY ALL""")
+def streaming_bins(spark, sf_dir):
+    from tidewater.streaming.bins import binned as bins
+
+    out = bins(read(spark, sf_dir, "events"), "user_id", "ts", "value")
+    return shown(out.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss")))
+
+
+@query("q_W7_streaming_sessions", """
+WITH l AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM l)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, session""")
+def streaming_sessions(spark, sf_dir):
+    from tidewater.streaming.bins import sessions
+
+    out = sessions(read(spark, sf_dir, "events"), "user_id", "ts")
+    return shown(out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n"))
