@@ -82,11 +82,29 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
 
 
+def numbered(df: DataFrame, key: str, name: str = "ordinal", cuts: int = 64) -> DataFrame:
+    """Rows of a unique, orderable ``key`` numbered from 1 in its order, without a window over all rows.
+
+    Up to ``cuts`` keys, picked by hash, cut the keys into ranges; numbers run within a range, and one row per range gives
+    what lies ahead of it.
+    """
+    bounds = sorted(r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(cuts).collect() if r[0] is not None)
+    part = sum(((F.col(key) >= F.lit(b)).cast("int") for b in bounds), F.lit(0))
+    parted = df.withColumn("__part", F.coalesce(part, F.lit(-1)))
+    sizes = parted.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    within = F.row_number().over(W.partitionBy("__part").orderBy(F.col(key).asc_nulls_first()))
+    return parted.withColumn("__r", within).join(F.broadcast(sizes.select("__part", ahead.alias("__ahead"))), "__part").select(
+        *df.columns, (F.col("__r") + F.col("__ahead")).alias(name)
+    )
+
+
 def blocked_folds(df: DataFrame, subject: str, order: list[str], k: int) -> DataFrame:
     """``k`` contiguous blocks of each subject's rows, dealt to folds that rotate from subject to subject."""
     block = F.ntile(k).over(W.partitionBy(subject).orderBy(*order)) - 1
-    turn = df.select(subject).distinct().withColumn("__turn", F.row_number().over(W.orderBy(subject)) - 1)
-    return df.withColumn("block", block).join(turn, subject).withColumn("fold", F.pmod(F.col("block") + F.col("__turn"), F.lit(k))).drop("__turn")
+    turn = numbered(df.select(subject).distinct(), subject, "__turn")
+    turned = df.withColumn("block", block).join(turn, subject)
+    return turned.withColumn("fold", F.pmod(F.col("block") + F.col("__turn") - 1, F.lit(k))).drop("__turn")
 
 
 def hashed_folds(key: str, k: int) -> Column:

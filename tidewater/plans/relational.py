@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
 from tidewater.operators import day as D
 from tidewater.operators.joins import restrict
+from tidewater.operators.windows import numbered
 from tidewater.sources import tables as T
 from tidewater.sources.scratch import shared_folder
 from tidewater.sources.tables import read, sensor
@@ -154,11 +155,8 @@ SELECT row_number() OVER (ORDER BY user_id, day) AS ordinal, user_id, {DAY}, rou
 def aligned_output(spark, sf_dir):
     wanted = spine(spark, sf_dir).filter("split = 'sub' and user_id < 40")
     daily = sensor(spark, sf_dir).groupBy(*KEYS).agg(F.avg("value").alias("v"))
-    # Rows up to each subject come from one count per subject, so no global sort is needed.
-    per = wanted.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    ahead = per.select("user_id", F.coalesce(F.sum("n").over(W.orderBy("user_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    placed = wanted.withColumn("r", F.row_number().over(W.partitionBy("user_id").orderBy("day"))).join(ahead, "user_id")
-    return shown(placed.join(daily, KEYS, "left").select((F.col("r") + F.col("ahead")).alias("ordinal"), *KEYS, "v"))
+    wanted = wanted.withColumn("key", F.col("user_id") * 1_000_000 + F.datediff("day", F.lit("1970-01-01").cast("date")))
+    return shown(numbered(wanted, "key").join(daily, KEYS, "left").select("ordinal", *KEYS, "v"))
 
 
 @query("q_J16_anchor_audit", f"""

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import floor_minute, minute_of_night, night
 from tidewater.operators import episodes as E, joins as J, tensors as X, windows as V
-from tidewater.sources.scratch import written
-from tidewater.sources.tables import read, sensor
+from tidewater.sources.scratch import shared_folder, written
+from tidewater.sources.tables import read, sensor, write_checked
 
 from .common import DAY, KEYS, SENSOR, SPINE, shown, spine
 from .registry import query
@@ -269,6 +269,18 @@ def cross_sensor(spark, sf_dir):
     return shown(joined.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), ratio.alias("dark_ratio")))
 
 
+@query("q_S6_S8_tensor_sink", f"""
+WITH {SENSOR}, {SPINE}, {_BIN}, t AS (SELECT user_id, day, sum(x::FLOAT::DOUBLE) AS hr FROM b GROUP BY ALL)
+SELECT split, count(*) AS n, round(sum(coalesce(hr, 0)), 2) AS total FROM spine LEFT JOIN t USING (user_id, day) GROUP BY split""")
+def tensor_sink(spark, sf_dir):
+    """Tensors written by split, then read again."""
+    keys = spine(spark, sf_dir)
+    made = X.tensor(keys, KEYS, {"level": X.binned(read(spark, sf_dir, "events"), "user_id", "ts", "value")}).join(keys, KEYS)
+    again = write_checked(made, f"{shared_folder(spark)}/tensor", partition_by=["split"])
+    total = F.aggregate(F.transform("level", lambda v: v.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return shown(again.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("total")), 2)
+
+
 @query("q_A24_streaming_bins", """
 SELECT user_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS start, round(avg(value), 6) AS x, count(*) AS n FROM events GROUP BY ALL""")
 def streaming_bins(spark, sf_dir):

@@ -156,3 +156,31 @@ def column_groups(spark, sf_dir):
     columns = [c for c in _wide(spark, sf_dir).columns if c not in (*KEYS, "y")]
     groups = json.loads(json.dumps({"mean": sorted(c for c in columns if c.endswith("_mean")), "other": sorted(c for c in columns if not c.endswith("_mean"))}))
     return spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "grp string, col string")
+
+
+@query("q_M11_interaction_ranking", f"""
+WITH {SENSOR}, d AS (SELECT user_id, day, (avg(value) > 12)::INT AS y, count(*)::DOUBLE AS n, avg(k)::DOUBLE AS k_mean, avg(h)::DOUBLE AS h_mean FROM s GROUP BY ALL),
+l AS (SELECT y, 'n_x_k_mean' AS feature, round(n * k_mean, 9) AS x FROM d UNION ALL SELECT y, 'n_x_h_mean', round(n * h_mean, 9) FROM d UNION ALL SELECT y, 'k_mean_x_h_mean', round(k_mean * h_mean, 9) FROM d),
+r AS ({_ranked('l', 'feature')}), c AS (SELECT feature, corr(rx, ry) AS r FROM r GROUP BY feature)
+SELECT feature, round(r, 6) AS r, row_number() OVER (ORDER BY abs(r) DESC, feature) AS rank FROM c QUALIFY rank <= 2""")
+def interaction_ranking(spark, sf_dir):
+    """The two products of features that rank the label best."""
+    from tidewater.operators.day import top_per_group
+
+    products = Q.pairwise(_wide(spark, sf_dir), list(_FEATURES))
+    names = [c for c in products.columns if "_x_" in c]
+    long = products.select("y", *(F.round(c, 9).alias(c) for c in names)).unpivot("y", names, "feature", "x")
+    found = V.spearman(long, ["feature"], "x", "y").withColumn("label", F.lit("y"))
+    return shown(top_per_group(found, ["label"], [F.desc(F.abs("r")), F.col("feature")], 2).select("feature", "r", "rank"))
+
+
+@query("q_S13_M30_contract", f"WITH {_PRED_SQL} SELECT count(*) AS n, count(DISTINCT doc_id) AS n_keys FROM p")
+def contract(spark, sf_dir):
+    """Inputs are there, keys are unique, probabilities are within (0, 1); then the counts."""
+    from tidewater.sources import tables as T
+
+    T.preflight(spark, sf_dir, {"documents": ["doc_id", "n_chars"], "labels": ["doc_id", "quality"]})
+    p = _predictions(spark, sf_dir)
+    T.require_unique(p, ["doc_id"])
+    T.require_probabilities(p, ["m", "n", "q"])
+    return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_keys"))
