@@ -36,7 +36,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import partitions, read, small, written
+from .common import read, written
 from .components import components
 
 _HASH = "xxhash64(cast(doc_id as long), text)"
@@ -299,38 +299,39 @@ def jaccard_components(
     classes = written(
         rows.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("row").alias("node"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("w"))
     )
-    n_classes = classes.count()
+    # All rows but the copies. Spark broadcasts a side that it knows to be small; nothing here turns on a count.
+    copies = written(
+        rows.filter("n > 0").select("d1", "d2", "n", "row").join(classes.filter("w > 1").select("d1", "d2", "n", "node"), ["d1", "d2", "n"]).filter("row <> node").select("row")
+    )
+    heads = rows.filter("n > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
 
     # Tokens that at least two classes share.
-    heads = rows.select(F.col("row").alias("node"), "n", "tokens", "counts", "h").join(small(classes.select("node", "w"), n_classes), "node")
     every = heads.select("node", F.explode("tokens").alias("token"))
     shared = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
-    met = written(every.join(small(shared, shared.count(), 500_000), "token"))
+    met = written(every.join(shared, "token"))
     keys = met.groupBy("node").agg(F.max(F.struct("times", "token")).alias("best")).select(
         "node", F.when(F.col("best.times") > family, F.col("best.token")).otherwise(F.xxhash64("node", F.lit("alone"))).alias("key")
     )
-    keyed = written(heads.select("node", "n", "w", "counts", "h").join(keys, "node"))
-    n_keyed = keyed.count()
+    keyed = heads.select("node", "n", "counts", "h").join(written(keys), "node").join(classes.select("node", "w"), "node")
+    keyed = written(keyed)
     load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"))
     dealt = load.select("key", F.ceil(F.greatest(F.col("tokens") / group_tokens, F.col("members") / 512)).cast("long").alias("blocks")).filter("blocks > 1")
-    dealt = written(dealt)
     block = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")))
-    grouped = written(keyed.join(small(dealt, dealt.count()), "key", "left").select("node", "n", "w", "h", "counts", block.alias("group")))
+    grouped = written(keyed.join(written(dealt), "key", "left").select("node", "n", "w", "h", "counts", block.alias("group")))
 
     # The matrix of tokens and groups, the pairs of groups that meet in it, and those of them that could hold a link.
-    matrix = written(met.select("token", "node").join(small(grouped.select("node", "group"), n_keyed), "node").select("token", "group").distinct())
+    matrix = written(met.select("token", "node").join(grouped.select("node", "group"), "node").select("token", "group").distinct())
     pairs = matrix.alias("a").join(matrix.alias("b"), "token").filter(F.col("a.group") < F.col("b.group")).select(
         F.col("a.group").alias("g1"), F.col("b.group").alias("g2")
     ).distinct()
     sums = grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big"))
     sums = written(sums)
     several = sums.filter("members > 1").select("group")
-    wide = grouped.join(small(several, n_keyed), "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, c binary")
-    alone = grouped.join(small(several, n_keyed), "group", "left_anti").select("group", F.col("counts").alias("c"))
+    wide = grouped.join(several, "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, c binary")
+    alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("c"))
     stats = written(sums.select("group", "t", "small", "big").join(wide.unionByName(alone), "group"))
-    n_groups = stats.count()
     one, two = (stats.toDF(f"g{i}", f"t{i}", f"small{i}", f"big{i}", f"c{i}") for i in (1, 2))
-    pairs = pairs.join(small(one, n_groups, 100_000), "g1").join(small(two, n_groups, 100_000), "g2")
+    pairs = pairs.join(one, "g1").join(two, "g2")
     pairs = pairs.mapInPandas(_possible(num, den), "g1 long, g2 long, t1 long, t2 long")
     # The smaller group is sent to the larger one.
     turned = F.col("t1") < F.col("t2")
@@ -341,7 +342,6 @@ def jaccard_components(
     slices = sent.groupBy("target").agg(F.ceil(F.sum("tokens") / slice_tokens).cast("long").alias("slices"))
     targets = slices.join(several.withColumnRenamed("group", "target"), "target", "full_outer")
     targets = written(targets.select("target", F.coalesce("slices", F.lit(1)).cast("long").alias("slices")))
-    n_targets = targets.count()
 
     # Sets again, for the classes of those groups only.
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -352,15 +352,16 @@ def jaccard_components(
             yield out
 
     used = targets.select(F.col("target").alias("group")).union(sent.select("group")).distinct()
-    chosen = written(grouped.join(small(used, n_groups), "group", "left_semi").select("h", "node", "n", "w", "group"))
-    texts = docs.select(F.expr(_HASH).alias("h"), "text").join(small(chosen, chosen.count()), "h").drop("h")
+    chosen = written(grouped.join(written(used), "group", "left_semi").select("h", "node", "n", "w", "group"))
+    texts = docs.select(F.expr(_HASH).alias("h"), "text").join(chosen, "h").drop("h")
     sets = texts.mapInPandas(again, "node long, n long, w long, group long, tokens binary")
-    # Rows that repeat in all but their place have one text.
-    sets = written(sets.dropDuplicates(["node"]))
+    # Rows that repeat in doc_id and text would bring their class again.
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
+    sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
     columns = ["target", "slice", "role", "node", "n", "w", "tokens"]
-    members = sets.withColumnRenamed("group", "target").join(small(targets, n_targets), "target")
+    members = sets.withColumnRenamed("group", "target").join(targets, "target")
     members = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("role", F.lit(0))
-    asked = sets.join(sent.select("group", "target"), "group").join(small(targets, n_targets), "target")
+    asked = sets.join(sent.select("group", "target"), "group").join(targets, "target")
     asked = asked.withColumn("slice", F.pmod(F.xxhash64("group"), F.col("slices"))).withColumn("role", F.lit(1))
     blocks = members.select(columns).unionByName(asked.select(columns))
     found = written(blocks.groupBy("target", "slice").applyInPandas(_opened(num, den), "node long, root long, links long"))
@@ -376,7 +377,7 @@ def jaccard_components(
         ).join(least, "component").join(degree, "node", "left")
         .select("d1", "d2", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     )
-    return rows.join(small(named, named.count()), ["d1", "d2", "n"], "left").select(
+    return rows.join(named, ["d1", "d2", "n"], "left").select(
         "row", "doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
@@ -385,7 +386,7 @@ def jaccard_components(
 def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document of each component, the one with the smallest doc_id; a document is its doc_id."""
     gone = written(jaccard_components(docs, k, num, den).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h").alias("__h")))
-    return docs.withColumn("__h", F.expr(_HASH)).join(small(gone, gone.count()), "__h", "left_anti").select(docs.columns)
+    return docs.withColumn("__h", F.expr(_HASH)).join(gone, "__h", "left_anti").select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
