@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from tidewater.llm.jaccard_join import jaccard_components
+from tidewater.llm.jaccard_join import OP5_SQL, jaccard_components, op5_jaccard_join
 
 SCHEMA = "doc_id long, text string, h string, row long"
 
@@ -70,3 +71,12 @@ def test_edges(spark):
     rows = [(None, "a b c d"), (3, "A B c d"), (1, None), (2, ""), (4, " \t\n"), (5, "x"), (6, "X"), (7, "x y"), (8, "y x"), (9, "a b c d"), (9, "a b c d"), (9, "q"), (None, "zz")]
     assert run(spark, rows, k=3, num=90, den=100) == brute(rows, 3, 90, 100)
     assert run(spark, [], k=3) == []
+
+
+def test_query_equals_sql(spark):
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM read_parquet('/root/testdata/sf0.01/documents.parquet')")
+    result = con.execute(OP5_SQL)
+    columns = [d[0] for d in result.description]
+    got = sorted(tuple(r[c] for c in columns) for r in op5_jaccard_join(spark, "/root/testdata/sf0.01").collect())
+    assert got == sorted(result.fetchall())

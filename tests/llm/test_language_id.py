@@ -55,3 +55,12 @@ def test_edges(spark):
     assert identify(df.limit(0), *model).count() == 0
     kept = of_stated_language(df)
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6}
+
+
+def test_stage_rejects_other_languages_but_not_quotations(spark):
+    docs = read(spark, SF, "documents").limit(400)
+    en, fr = (docs.filter(f"lang = '{x}' and n_chars > 500").first()["text"][:500] for x in ("en", "fr"))
+    rows = [(-1, fr, "en", "s", 500), (-2, en + " " + fr + " " + fr, "en", "s", 1500), (-3, fr, None, "s", 500), (-5, "$$ 12", "en", "s", 5)]
+    gone = {r["doc_id"] for r in docs.unionByName(spark.createDataFrame(rows, docs.schema)).select("doc_id").subtract(
+        of_stated_language(docs.unionByName(spark.createDataFrame(rows, docs.schema))).select("doc_id")).collect()}
+    assert gone == {-1, -5}

@@ -25,6 +25,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import read, written
 
@@ -198,8 +199,9 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
     return languages, probs
 
 
-def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 2_000_000) -> DataFrame:
-    """``docs`` with lang_pred and score (the posterior under equal priors)."""
+def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 2_000_000, votes: bool = False) -> DataFrame:
+    """``docs`` with lang_pred and score (the posterior under equal priors); with ``votes`` also the number of words that
+    are likeliest in each language, in the order of ``languages``."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, probs, vocabulary))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,7 +209,7 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
         pieces, cache = Pieces(vocab), {}
         table = np.zeros((0, len(known)))
 
-        def totals(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        def totals(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             nonlocal table
             lists = [[w for w in WORD.findall(t.lower())] for t in texts]
             new = set(chain.from_iterable(lists))
@@ -220,17 +222,21 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                 cache.update(zip(fresh, range(len(table), len(table) + len(fresh)), strict=True))
                 table = np.concatenate([table, word_scores(fresh, pieces, p)])
             sizes = np.array([len(x) for x in lists])
-            sums = np.zeros((len(texts), len(known)))
+            sums, cast = np.zeros((len(texts), len(known))), np.zeros((len(texts), len(known)), np.int64)
             if sizes.sum():
                 at = np.fromiter(map(cache.__getitem__, chain.from_iterable(lists)), np.int64, sizes.sum())
                 full = np.flatnonzero(sizes)
                 starts = (np.cumsum(sizes) - sizes)[full]
-                sums[full] = np.add.reduceat(table[at], starts, axis=0)
-            return sums, sizes
+                found = table[at]
+                sums[full] = np.add.reduceat(found, starts, axis=0)
+                if votes:
+                    cells = np.repeat(np.arange(len(texts)), sizes) * len(known) + found.argmax(axis=1)
+                    cast = np.bincount(cells, minlength=cast.size).reshape(cast.shape)
+            return sums, sizes, cast
 
         for batch in batches:
             texts = [t or "" for t in batch["text"]]
-            sums, sizes = np.zeros((len(texts), len(known))), np.zeros(len(texts), int)
+            sums, sizes, cast = np.zeros((len(texts), len(known))), np.zeros(len(texts), int), np.zeros((len(texts), len(known)), np.int64)
             start = 0
             while known and start < len(texts):
                 end, chars = start, 0
@@ -242,12 +248,13 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                     while at < len(text):
                         cut = text.rfind(" ", at + 1, at + chunk) if at + chunk < len(text) else len(text)
                         cut = at + chunk if cut <= at else cut
-                        s, n = totals([text[at:cut]])
+                        s, n, c = totals([text[at:cut]])
                         sums[start] += s[0]
                         sizes[start] += n[0]
+                        cast[start] += c[0]
                         at = cut
                 else:
-                    sums[start:end], sizes[start:end] = totals(texts[start:end])
+                    sums[start:end], sizes[start:end], cast[start:end] = totals(texts[start:end])
                 start = end
             out = batch.copy()
             if known:
@@ -258,10 +265,14 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                 out["score"] = np.where(letters, posterior, 0.0)
             else:
                 out["lang_pred"], out["score"] = "und", 0.0
+            if votes:
+                out["votes"] = list(cast)
             yield out[keep]
 
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] + ["lang_pred", "score"]
-    schema = docs.drop("lang_pred", "score").schema.add("lang_pred", "string").add("score", "double")
+    new = ["lang_pred", "score"] + ["votes"] * votes
+    keep = [c for c in docs.columns if c not in new] + new
+    schema = docs.drop(*new).schema.add("lang_pred", "string").add("score", "double")
+    schema = schema.add("votes", ArrayType(LongType())) if votes else schema
     return docs.mapInPandas(run, schema)
 
 
@@ -274,16 +285,24 @@ def learned(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int
     return (*fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), vocabulary, train_docs), vocabulary)
 
 
-def of_stated_language(docs: DataFrame, sure: float = 0.99) -> DataFrame:
-    """``docs`` without those that have no letter or whose text is surely (a score of at least ``sure``) of another language
-    than their ``lang`` says; null ``lang`` says nothing. The model is fitted on all labelled ``docs``."""
+def of_stated_language(docs: DataFrame, sure: float = 0.99, least: float = 0.1) -> DataFrame:
+    """``docs`` without those that have no letter or are surely of another language than their ``lang`` says.
+
+    Sure is a score of at least ``sure`` with less than a share of ``least`` of the words likeliest in the stated language,
+    so a document that quotes a long passage of another language stays. Null ``lang``, and one that was never learned, say
+    nothing. The model is fitted on all labelled ``docs``.
+    """
     vocabulary = pieces_of(VOCABULARY)
     languages, probs = fit(docs.select("doc_id", "text", "lang"), vocabulary)
-    found = identify(docs.withColumnsRenamed({c: f"__{c}" for c in ("lang_pred", "score") if c in docs.columns}), languages, probs, vocabulary)
-    # A language that was never learned can't be contradicted.
-    other = F.col("lang").isin(languages) & (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= sure)
+    taken = [c for c in ("lang_pred", "score", "votes") if c in docs.columns]
+    found = identify(docs.withColumnsRenamed({c: f"__{c}" for c in taken}), languages, probs, vocabulary, votes=True)
+    words = F.aggregate("votes", F.lit(0).cast("long"), lambda a, v: a + v)
+    stated = F.lit(None).cast("long")
+    for i, name in enumerate(languages):
+        stated = F.when(F.col("lang") == name, F.get("votes", F.lit(i))).otherwise(stated)
+    other = (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= sure) & (stated < least * words)
     kept = found.filter((F.col("lang_pred") != "und") & ~F.coalesce(other, F.lit(False)))
-    return kept.select(*(F.col(f"__{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns))
+    return kept.select(*(F.col(f"__{c}").alias(c) if c in taken else F.col(c) for c in docs.columns))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 from .chat_format import OP1_SQL, op1_chat_format
 from .decontaminate import op8_decontaminate
 from .embedding_dedup import op4_embedding_dedup
-from .jaccard_join import op5_jaccard_join
+from .jaccard_join import OP5_SQL, op5_jaccard_join
 from .language_id import op7_language_id
 from .mixing import op2_mixing
 from .pii import op3_pii
@@ -25,4 +25,5 @@ QUERIES = {
 }
 SQL = {
     "op1_chat_format": OP1_SQL,
+    "op5_jaccard_join": OP5_SQL,
 }
