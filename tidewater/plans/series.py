@@ -109,9 +109,9 @@ def lag(spark, sf_dir):
 
 @query("q_W2_expanding_z", f"""
 WITH {SENSOR}, {_DAILY}, w AS (SELECT *, avg(v) {_PART} UNBOUNDED PRECEDING AND 1 PRECEDING) AS m, stddev_samp(v) {_PART} UNBOUNDED PRECEDING AND 1 PRECEDING) AS sd FROM a)
-SELECT user_id, {DAY}, round(m, 6) AS prior_mean, round(sd, 6) AS prior_std, round((v - m) / (sd + 0.000001), 4) AS z FROM w WHERE user_id < 200""")
+SELECT user_id, {DAY}, round(m, 6) AS prior_mean, round(sd, 6) AS prior_std, round((v - m) / (sd + 0.000001), 4) AS z FROM w""")
 def expanding_z(spark, sf_dir):
-    out = V.expanding_z(_daily(spark, sf_dir).filter("user_id < 200"), ["user_id"], ["day"], "v")
+    out = V.expanding_z(_daily(spark, sf_dir), ["user_id"], ["day"], "v")
     return shown(out.select(*KEYS, "prior_mean", "prior_std", F.round("z", 4).alias("z")))
 
 
