@@ -287,6 +287,20 @@ def _opened(num: int, den: int):
     return run
 
 
+#: Bits of the bitmap that finds documents again: 4 MB, whatever the corpus; with more documents it lets more pass.
+BITMAP = 25
+
+
+def _bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Bytes in which the bit of each value's lowest ``BITMAP`` bits is set. 1024 rows of 4 kB reach the driver at most."""
+    at = F.col(column).bitwiseAND(F.lit((1 << BITMAP) - 1))
+    rows = df.groupBy(F.shiftright(at, 15).alias("block")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(32767))).alias("bits")).collect()
+    out = np.zeros(1 << BITMAP - 3, np.uint8)
+    for r in rows:
+        out[r["block"] * 4096 : r["block"] * 4096 + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, family: int = 8
 ) -> DataFrame:
@@ -343,18 +357,19 @@ def jaccard_components(
     targets = slices.join(several.withColumnRenamed("group", "target"), "target", "full_outer")
     targets = written(targets.select("target", F.coalesce("slices", F.lit(1)).cast("long").alias("slices")))
 
-    # Sets again, for the classes of those groups only.
+    # Sets again, for the classes of those groups only; no text is shuffled.
+    used = targets.select(F.col("target").alias("group")).union(sent.select("group")).distinct()
+    chosen = written(grouped.join(written(used), "group", "left_semi").select("h", "node", "n", "w", "group"))
+    known = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen, "h"))
+
     def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Shingler(k)
         for batch in batches:
-            out = batch.drop(columns="text")
-            out["tokens"] = [of(t).tobytes() for t in batch["text"]]
-            yield out
+            at = batch["h"].to_numpy() & (1 << BITMAP) - 1
+            some = batch[(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            yield pd.DataFrame({"h": some["h"], "tokens": [of(t).tobytes() for t in some["text"]]}).astype({"h": "int64"})
 
-    used = targets.select(F.col("target").alias("group")).union(sent.select("group")).distinct()
-    chosen = written(grouped.join(written(used), "group", "left_semi").select("h", "node", "n", "w", "group"))
-    texts = docs.select(F.expr(_HASH).alias("h"), "text").join(chosen, "h").drop("h")
-    sets = texts.mapInPandas(again, "node long, n long, w long, group long, tokens binary")
+    sets = docs.select(F.expr(_HASH).alias("h"), "text").mapInPandas(again, "h long, tokens binary").join(chosen, "h").drop("h")
     # Rows that repeat in doc_id and text would bring their class again.
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
     sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
@@ -392,3 +407,19 @@ def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-gram sets at a Jaccard similarity of 0.9."""
     return jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(ws) < 3 THEN ws ELSE ws[i:i + 2] END, ' ') AS g
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.doc_id),
+m AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id), l AS (SELECT a AS doc_id, count(*) AS n_links FROM u GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
