@@ -45,3 +45,19 @@ def test_edges(spark):
     assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [2]
     long = "filler words " * 50_000 + QUESTION
     assert run(spark, [(1, long)], [(1, QUESTION)]) == {(1, 1)}
+
+
+ITEM = "a baker fills twelve trays with bread and sells most of them before noon so how many loaves are still left in the shop this evening"
+
+
+def test_edited_words_and_long_parts_are_found(spark):
+    words = ITEM.split()
+    noise = "nothing of this kind is asked here "
+    docs = [(1, noise + ITEM.replace("sells", "gives") + " " + noise), (2, noise + " ".join(words[:15]) + " " + noise), (3, noise + " ".join(words[:8]) + " " + noise), (4, ITEM.replace("bread", "cake").replace("still", "then"))]
+    assert run(spark, docs, [(1, ITEM)]) == {(1, 1), (2, 1), (4, 1)}
+
+
+def test_items_without_usable_windows_are_found_as_they_stand(spark):
+    items = [(1, "12 + 7 - 3 = 16"), (2, "42"), (3, "+ - =")]
+    docs = [(1, "so 12 + 7\n- 3 = 16 holds"), (2, "12, 7, 3, 16"), (3, "112 + 7 - 3 = 165"), (4, "42"), (5, "it is 42"), (None, "12 + 7 - 3 = 16"), (6, "+ - =")]
+    assert run(spark, docs, items) == {(1, 1), (None, 1), (4, 2)}

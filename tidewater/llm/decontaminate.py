@@ -2,18 +2,21 @@
 
 Numbers, names and units become typed placeholders, punctuation and case go, and texts become sequences of template
 words. Windows of five template words of the benchmark are hash-joined with those of the documents. A document holds an
-item if it has at least ``least`` (0.8) of the item's distinct windows and the slots agree: along each alignment of the
+item if it has at least ``least`` (0.8) of the item's distinct windows, or covers as large a share of the item's words (8 or
+more) with them, or holds ``RUN`` (13) template words of it in a row; and the slots agree: along each alignment of the
 two sequences, an item's value of a type always meets one and the same value of the document.
-So a question with other numbers is found, and a mere likeness in form is not.
+So a question with other numbers, one with an edited word and a long part of one are found, and a mere likeness in form is
+not.
 
 Windows without two literal words carry no evidence and are not built. An item with fewer than five template words is one
-window of its own length.
+window of its own length. An item without any usable window is looked for word by word and then, without white space and
+case, as it stands; one of fewer than three words must be the whole document.
 
 Values are looked up again only in documents that hold enough windows. The benchmark's windows are broadcast when their
 counted number is within the bound, else Spark shuffles both sides by hash; documents emit one row per matching window.
 
-Defined results: null and empty texts match nothing; rows with one doc_id count as one document, and a null doc_id is
-one; repeated items match alike; empty tables give no rows; other columns are ignored.
+Defined results: null and empty texts match nothing, nor do items without letter and digit; rows with one doc_id count as
+one document, and a null doc_id is one; repeated items match alike; empty tables give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from .common import read, small, written
 
 WINDOW = 5
 LEAST = 0.8
+#: Words of an item that must be covered at least for a share of words to count, and template words in a row that suffice.
+COVERED = 8
+RUN = 13
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 #: A capitalised word after a word or comma on the same line, so not the first of a sentence.
 NAME = r"(?<=[\p{L}\p{N},;][ ])\p{Lu}\p{Ll}+"
@@ -41,11 +47,11 @@ def _without_names(text: Column) -> Column:
     return F.regexp_replace(_without_numbers(text), NAME, " qnameq ")
 
 
-def template_words(text: Column) -> Column:
-    """Array of template words; placeholders are ``qnumq``, ``qnameq`` and ``qunitq``."""
+def template_words(text: Column, plain: bool = False) -> Column:
+    """Array of template words; placeholders are ``qnumq``, ``qnameq`` and ``qunitq``. ``plain``: the words themselves."""
     named = _without_names(text)
     canonical = F.when(F.instr(named, "qnumq") > 0, F.regexp_replace(named, UNIT, " qunitq ")).otherwise(named)
-    words = F.split(F.lower(canonical), r"[^\p{L}\p{N}]+")
+    words = F.split(F.lower(text if plain else canonical), r"[^\p{L}\p{N}]+")
     return F.filter(words, lambda w: w != "")
 
 
@@ -70,9 +76,9 @@ def _hashes(words: str, size: int) -> Column:
     return F.when(F.size(words) < size, F.array().cast("array<long>")).when(slotted, checked).otherwise(plain)
 
 
-def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+def windows(df: DataFrame, key: str, sizes: list[int], plain: bool = False) -> DataFrame:
     """key, size, pos, hash for every window of the texts."""
-    words = df.select(key, template_words(F.coalesce("text", F.lit(""))).alias("words"))
+    words = df.select(key, template_words(F.coalesce("text", F.lit("")), plain).alias("words"))
     parts = [words.select(key, F.lit(n).alias("size"), F.posexplode(_hashes("words", n)).alias("pos", "hash")) for n in sizes]
     out = parts[0]
     for p in parts[1:]:
@@ -80,6 +86,24 @@ def windows(df: DataFrame, key: str, sizes: list[int]) -> DataFrame:
     return out.filter(F.col("hash").isNotNull())
 
 
+def wanted_windows(items: DataFrame, window: int, plain: bool = False) -> tuple[DataFrame, list[int]]:
+    """item_id, size, words (their number in the item), hash, item_pos (places) of the items' windows, and the sizes."""
+    n = F.size(template_words(F.coalesce("text", F.lit("")), plain))
+    own = items.select("item_id", n.alias("words"), F.least(n, F.lit(window)).alias("size")).filter("words > 0")
+    sizes = sorted(own.agg(F.collect_set("size").alias("sizes")).first()["sizes"])  # at most ``window`` values
+    if not sizes:
+        return items.sparkSession.createDataFrame([], "item_id long, size int, words int, hash long, item_pos array<int>"), sizes
+    found = windows(items, "item_id", sizes, plain).join(own, ["item_id", "size"])
+    return written(found.groupBy("item_id", "size", "hash").agg(F.max("words").alias("words"), F.sort_array(F.collect_set("pos")).alias("item_pos"))), sizes
+
+
+def _longest(places: str) -> Column:
+    """Largest number of consecutive numbers in a sorted array."""
+    now = "IF(p = a.last + 1, a.now + 1, 1)"
+    start = "named_struct('last', -2, 'now', 0, 'best', 0)"
+    return F.expr(f"aggregate({places}, {start}, (a, p) -> named_struct('last', p, 'now', {now}, 'best', greatest(a.best, {now})), a -> a.best)")
+
+
 def _slots(df: DataFrame, key: str) -> DataFrame:
     """key, at (place in the template), type, value: a row per placeholder."""
     text = F.coalesce("text", F.lit(""))
@@ -97,40 +121,40 @@ def _places(words: str, kind: str) -> Column:
     return F.filter(every, lambda i: i.isNotNull())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
-    """doc_id, item_id, matched (distinct item windows in the document), n_windows, slots (agreeing bindings)."""
-    items = benchmark.select("item_id", "text")
-    lengths = items.select(F.size(template_words(F.coalesce("text", F.lit("")))).alias("n")).filter("n > 0").agg(
-        F.collect_set(F.least("n", F.lit(window))).alias("sizes")
-    )  # at most ``window`` values
-    sizes = sorted(lengths.first()["sizes"])
-    schema = "doc_id long, item_id long, matched long, n_windows long, slots long"
-    if not sizes:
-        return docs.sparkSession.createDataFrame([], schema)
-    own = items.withColumn("len", F.least(F.size(template_words(F.coalesce("text", F.lit("")))), F.lit(window)))
-    wanted = windows(items, "item_id", sizes).join(own.select("item_id", F.col("len").alias("size")), ["item_id", "size"])
-    wanted = written(wanted.groupBy("item_id", "size", "hash").agg(F.collect_list("pos").alias("item_pos")))
-    totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
+def _matches(docs: DataFrame, wanted: DataFrame, sizes: list[int], plain: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A row per window of a document that an item has; and per pair its matched windows and their places in the item."""
     n = wanted.count()
-    # Distinct (doc, item, window, alignment) rows; every row is a match.
-    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes).join(small(wanted, n), ["size", "hash"])
-    hits = written(hits.select("doc_id", "item_id", "hash", "pos", "item_pos"))
-    per = hits.groupBy("doc_id", "item_id", "hash").agg(F.count(F.lit(1)).alias("times")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("matched"))
-    held = written(per.join(small(totals, n), "item_id").filter(F.col("matched") >= least * F.col("n_windows")))
-
-    # Slots: only for the pairs that hold enough, along their alignments.
+    totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("words").alias("words"))
+    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes, plain).join(small(wanted.drop("words"), n), ["size", "hash"])
+    hits = written(hits.select("doc_id", "item_id", "size", "hash", "pos", "item_pos"))
+    per = hits.groupBy("doc_id", "item_id", "size", "hash").agg(F.first("item_pos").alias("item_pos")).groupBy("doc_id", "item_id").agg(
+        F.count(F.lit(1)).alias("matched"), F.max("size").alias("size"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_pos")))).alias("places")
+    )  # no more places than the item has words
+    return hits, per.join(small(totals, n), "item_id")
+
+
+def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list[int], least: float, window: int) -> DataFrame:
+    """Documents and the items of which they hold enough windows, with agreeing slots."""
+    hits, per = _matches(docs, wanted, sizes)
+    covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
+    whole = (F.col("matched") >= least * F.col("n_windows")) | ((covered >= least * F.col("words")) & (covered >= COVERED))
+    in_a_row = RUN - window + 1
+    held = written(per.withColumn("whole", whole).filter(F.col("whole") | (_longest("places") >= in_a_row)).select("doc_id", "item_id", "matched", "n_windows", "whole"))
+
+    # Alignments, only of the pairs that may hold enough.
     n_held = held.count()
-    pairs = held.select("doc_id", "item_id")
-    lines = hits.join(small(pairs, n_held), (hits.doc_id.eqNullSafe(pairs.doc_id)) & (hits.item_id == pairs.item_id)).select(
-        hits.doc_id, hits.item_id, "pos", F.explode("item_pos").alias("ipos")
-    )
-    lines = lines.withColumn("shift", F.col("pos") - F.col("ipos")).groupBy("doc_id", "item_id", "shift").agg(
-        F.min("ipos").alias("first"), (F.max("ipos") + window).alias("last")
+    pairs = small(held.withColumnsRenamed({"doc_id": "d", "item_id": "i"}), n_held)
+    keys = ["doc_id", "item_id", "matched", "n_windows", "whole"]
+    lines = hits.join(pairs, hits.doc_id.eqNullSafe(F.col("d")) & (hits.item_id == F.col("i"))).select(*keys, "pos", F.explode("item_pos").alias("ipos"))
+    lines = lines.withColumn("shift", F.col("pos") - F.col("ipos")).groupBy(*keys, "shift").agg(
+        F.min("ipos").alias("first"), (F.max("ipos") + window).alias("last"), F.sort_array(F.collect_set("ipos")).alias("places")
     )
+    lines = written(lines.filter(F.col("whole") | (_longest("places") >= in_a_row)).drop("places"))
+    held = lines.select(*keys).distinct()
     item_slots = _slots(items, "item_id").withColumnsRenamed({"value": "item_value"})
     aligned = lines.join(item_slots, "item_id").filter((F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
     aligned = aligned.withColumn("at", F.col("at") + F.col("shift"))
-    ids = held.select("doc_id").distinct()
+    ids = lines.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(small(ids, n_held), "doc_id", "left_semi")
     bound = aligned.join(_slots(texts, "doc_id"), ["doc_id", "at", "type"])
     by = ["doc_id", "item_id", "shift", "type"]
@@ -145,6 +169,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, w
     )
 
 
+def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """Documents and the items that they hold as they stand, white space and case aside."""
+    wanted, sizes = wanted_windows(items, window, plain=True)
+    _, per = _matches(docs, wanted, sizes, plain=True)
+    pairs = written(per.filter("matched = n_windows").select("doc_id", "item_id", "matched", "n_windows", "words"))
+    bare = lambda text: F.lower(F.regexp_replace(text, r"\s+", ""))
+    own = pairs.join(items.select("item_id", bare(F.col("text")).alias("item")), "item_id").withColumnsRenamed({"doc_id": "d"})
+    both = docs.select("doc_id", "text").join(small(own, pairs.count()), F.col("doc_id").eqNullSafe(F.col("d")))
+    text = bare(F.col("text"))
+    held = both.filter(F.when(F.col("words") < 3, text == F.col("item")).otherwise(F.contains(text, F.col("item"))))
+    return held.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("n_windows").cast("long"), F.lit(0).cast("long").alias("slots")).distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
+    """doc_id, item_id, matched (distinct item windows in the document), n_windows, slots (agreeing bindings)."""
+    items = benchmark.select("item_id", "text").distinct()
+    wanted, sizes = wanted_windows(items, window)
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, slots long")
+    found = _templates(docs, items, wanted, sizes, least, window)
+    bare = written(items.join(wanted.select("item_id"), "item_id", "left_anti").filter(F.size(template_words(F.coalesce("text", F.lit("")), True)) > 0))
+    return found.unionByName(_exact(docs, bare, window)) if bare.limit(1).count() else found
+
+
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold an item."""
     found = written(contamination(docs, benchmark, least, window).select(F.col("doc_id").alias("__doc")).distinct())
