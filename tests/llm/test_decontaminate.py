@@ -61,3 +61,15 @@ def test_items_without_usable_windows_are_found_as_they_stand(spark):
     items = [(1, "12 + 7 - 3 = 16"), (2, "42"), (3, "+ - =")]
     docs = [(1, "so 12 + 7\n- 3 = 16 holds"), (2, "12, 7, 3, 16"), (3, "112 + 7 - 3 = 165"), (4, "42"), (5, "it is 42"), (None, "12 + 7 - 3 = 16"), (6, "+ - =")]
     assert run(spark, docs, items) == {(1, 1), (None, 1), (4, 2)}
+
+
+def test_names_that_begin_sentences_or_have_two_words_are_exchanged(spark):
+    item = "Weng has 12 apples in a basket. Weng gives 3 apples to a friend. Weng then buys 5 more apples at the market in Oslo. How many are there now?"
+    other = item.replace("Weng", "Anna").replace("Oslo", "New York").replace("12", "15")
+    assert run(spark, [(1, "some words before it. " + other), (3, item)], [(1, item)]) == {(1, 1), (3, 1)}
+
+
+def test_copies_in_another_case_or_context_are_found(spark):
+    items = [(1, "Peter and Anna met Paul and Maria near the Tower of London after Carl left Berlin for Rome."), (2, "What is photosynthesis?")]
+    docs = [(1, items[0][1].lower()), (2, "The teacher asked us: what is photosynthesis? Nobody knew"), (3, "It is asked, What is photosynthesis?"), (4, "what is it")]
+    assert run(spark, docs, items) == {(1, 1), (2, 2), (3, 2)}

@@ -8,6 +8,11 @@ two sequences, an item's value of a type always meets one and the same value of
 So a question with other numbers, one with an edited word and a long part of one are found, and a mere likeness in form is
 not.
 
+All that is done twice, and a pair of either is found: with names as placeholders, and with names as words like others,
+in lower case. Names are capitalised words wherever they stand, the first of a sentence too; several in a row are one
+placeholder. So exchanged names are found, and copies in another case or context don't depend on what is a name. Names
+that are exchanged in a text without capitals are not seen: they count as edited words.
+
 Windows without two literal words carry no evidence and are not built. An item with fewer than five template words is one
 window of its own length. An item without any usable window is looked for word by word and then, without white space and
 case, as it stands; one of fewer than three words must be the whole document.
@@ -31,38 +36,40 @@ LEAST = 0.8
 COVERED = 8
 RUN = 13
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-#: A capitalised word after a word or comma on the same line, so not the first of a sentence.
-NAME = r"(?<=[\p{L}\p{N},;][ ])\p{Lu}\p{Ll}+"
+#: Capitalised words, also the first of a sentence, with single spaces between them.
+NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?:[ ]\p{Lu}\p{Ll}\p{L}*)*"
 #: Units that follow a number.
 UNITS = "km kg mg cm mm m g l ml s ms h min hours hour minutes minute seconds days day weeks week months month years year miles mile feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees litres liters meters metres grams usd eur"
 UNIT = rf"(?i)(?<=qnumq )\s*(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])|(?<=qnumq )\s*[%$€£°]"
 SLOTS = ("qnumq", "qnameq", "qunitq")
+#: What becomes a placeholder: numbers, units and names; numbers and units; nothing.
+NAMES, CASELESS, PLAIN = "names", "caseless", "plain"
 
 
 def _without_numbers(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.regexp_replace(text, NUMBER, " qnumq ")).otherwise(text)
 
 
-def _without_names(text: Column) -> Column:
-    return F.regexp_replace(_without_numbers(text), NAME, " qnameq ")
+def _without_units(text: Column) -> Column:
+    numbered = _without_numbers(text)
+    return F.when(F.instr(numbered, "qnumq") > 0, F.regexp_replace(numbered, UNIT, " qunitq ")).otherwise(numbered)
 
 
-def template_words(text: Column, plain: bool = False) -> Column:
-    """Array of template words; placeholders are ``qnumq``, ``qnameq`` and ``qunitq``. ``plain``: the words themselves."""
-    named = _without_names(text)
-    canonical = F.when(F.instr(named, "qnumq") > 0, F.regexp_replace(named, UNIT, " qunitq ")).otherwise(named)
-    words = F.split(F.lower(text if plain else canonical), r"[^\p{L}\p{N}]+")
+def template_words(text: Column, kind: str = NAMES) -> Column:
+    """Array of template words; placeholders are ``qnumq``, ``qnameq`` and ``qunitq``."""
+    canonical = text if kind == PLAIN else _without_units(text)
+    canonical = F.regexp_replace(canonical, NAME, " qnameq ") if kind == NAMES else canonical
+    words = F.split(F.lower(canonical), r"[^\p{L}\p{N}]+")
     return F.filter(words, lambda w: w != "")
 
 
-def slot_values(text: Column) -> dict[str, Column]:
+def slot_values(text: Column, kind: str = NAMES) -> dict[str, Column]:
     """Values of each placeholder, in order of the text."""
-    named = _without_names(text)
-    return {
+    found = {
         "qnumq": F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)),
-        "qnameq": F.regexp_extract_all(_without_numbers(text), F.lit(NAME), F.lit(0)),
-        "qunitq": F.transform(F.regexp_extract_all(named, F.lit(UNIT), F.lit(0)), lambda u: F.lower(F.btrim(u))),
+        "qunitq": F.transform(F.regexp_extract_all(_without_numbers(text), F.lit(UNIT), F.lit(0)), lambda u: F.lower(F.btrim(u))),
     }
+    return found | ({"qnameq": F.regexp_extract_all(_without_units(text), F.lit(NAME), F.lit(0))} if kind == NAMES else {})
 
 
 def _hashes(words: str, size: int) -> Column:
@@ -76,9 +83,9 @@ def _hashes(words: str, size: int) -> Column:
     return F.when(F.size(words) < size, F.array().cast("array<long>")).when(slotted, checked).otherwise(plain)
 
 
-def windows(df: DataFrame, key: str, sizes: list[int], plain: bool = False) -> DataFrame:
+def windows(df: DataFrame, key: str, sizes: list[int], kind: str = NAMES) -> DataFrame:
     """key, size, pos, hash for every window of the texts."""
-    words = df.select(key, template_words(F.coalesce("text", F.lit("")), plain).alias("words"))
+    words = df.select(key, template_words(F.coalesce("text", F.lit("")), kind).alias("words"))
     parts = [words.select(key, F.lit(n).alias("size"), F.posexplode(_hashes("words", n)).alias("pos", "hash")) for n in sizes]
     out = parts[0]
     for p in parts[1:]:
@@ -86,14 +93,14 @@ def windows(df: DataFrame, key: str, sizes: list[int], plain: bool = False) -> D
     return out.filter(F.col("hash").isNotNull())
 
 
-def wanted_windows(items: DataFrame, window: int, plain: bool = False) -> tuple[DataFrame, list[int]]:
+def wanted_windows(items: DataFrame, window: int, kind: str = NAMES) -> tuple[DataFrame, list[int]]:
     """item_id, size, words (their number in the item), hash, item_pos (places) of the items' windows, and the sizes."""
-    n = F.size(template_words(F.coalesce("text", F.lit("")), plain))
+    n = F.size(template_words(F.coalesce("text", F.lit("")), kind))
     own = items.select("item_id", n.alias("words"), F.least(n, F.lit(window)).alias("size")).filter("words > 0")
     sizes = sorted(own.agg(F.collect_set("size").alias("sizes")).first()["sizes"])  # at most ``window`` values
     if not sizes:
         return items.sparkSession.createDataFrame([], "item_id long, size int, words int, hash long, item_pos array<int>"), sizes
-    found = windows(items, "item_id", sizes, plain).join(own, ["item_id", "size"])
+    found = windows(items, "item_id", sizes, kind).join(own, ["item_id", "size"])
     return written(found.groupBy("item_id", "size", "hash").agg(F.max("words").alias("words"), F.sort_array(F.collect_set("pos")).alias("item_pos"))), sizes
 
 
@@ -104,15 +111,18 @@ def _longest(places: str) -> Column:
     return F.expr(f"aggregate({places}, {start}, (a, p) -> named_struct('last', p, 'now', {now}, 'best', greatest(a.best, {now})), a -> a.best)")
 
 
-def _slots(df: DataFrame, key: str) -> DataFrame:
+def _slots(df: DataFrame, key: str, kind: str) -> DataFrame:
     """key, at (place in the template), type, value: a row per placeholder."""
     text = F.coalesce("text", F.lit(""))
-    rows = df.select(key, template_words(text).alias("words"), *(v.alias(f"v_{k}") for k, v in slot_values(text).items()))
+    values = slot_values(text, kind)
+    rows = df.select(key, template_words(text, kind).alias("words"), *(v.alias(f"v_{k}") for k, v in values.items()))
     placed = []
-    for kind in SLOTS:
-        both = rows.select(key, _places("words", kind).alias("at"), F.col(f"v_{kind}").alias("value"))
-        placed.append(both.select(key, F.lit(kind).alias("type"), F.explode(F.arrays_zip("at", "value")).alias("s")))
-    out = placed[0].unionByName(placed[1]).unionByName(placed[2])
+    for slot in values:
+        both = rows.select(key, _places("words", slot).alias("at"), F.col(f"v_{slot}").alias("value"))
+        placed.append(both.select(key, F.lit(slot).alias("type"), F.explode(F.arrays_zip("at", "value")).alias("s")))
+    out = placed[0]
+    for p in placed[1:]:
+        out = out.unionByName(p)
     return out.select(key, F.col("s.at").alias("at"), "type", F.col("s.value").alias("value")).filter(F.col("at").isNotNull())
 
 
@@ -121,11 +131,11 @@ def _places(words: str, kind: str) -> Column:
     return F.filter(every, lambda i: i.isNotNull())
 
 
-def _matches(docs: DataFrame, wanted: DataFrame, sizes: list[int], plain: bool = False) -> tuple[DataFrame, DataFrame]:
+def _matches(docs: DataFrame, wanted: DataFrame, sizes: list[int], kind: str = NAMES) -> tuple[DataFrame, DataFrame]:
     """A row per window of a document that an item has; and per pair its matched windows and their places in the item."""
     n = wanted.count()
     totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("words").alias("words"))
-    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes, plain).join(small(wanted.drop("words"), n), ["size", "hash"])
+    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes, kind).join(small(wanted.drop("words"), n), ["size", "hash"])
     hits = written(hits.select("doc_id", "item_id", "size", "hash", "pos", "item_pos"))
     per = hits.groupBy("doc_id", "item_id", "size", "hash").agg(F.first("item_pos").alias("item_pos")).groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("matched"), F.max("size").alias("size"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_pos")))).alias("places")
@@ -133,9 +143,9 @@ def _matches(docs: DataFrame, wanted: DataFrame, sizes: list[int], plain: bool =
     return hits, per.join(small(totals, n), "item_id")
 
 
-def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list[int], least: float, window: int) -> DataFrame:
+def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list[int], least: float, window: int, kind: str) -> DataFrame:
     """Documents and the items of which they hold enough windows, with agreeing slots."""
-    hits, per = _matches(docs, wanted, sizes)
+    hits, per = _matches(docs, wanted, sizes, kind)
     covered = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.col("size") - 1)))))
     whole = (F.col("matched") >= least * F.col("n_windows")) | ((covered >= least * F.col("words")) & (covered >= COVERED))
     in_a_row = RUN - window + 1
@@ -151,12 +161,12 @@ def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list
     )
     lines = written(lines.filter(F.col("whole") | (_longest("places") >= in_a_row)).drop("places"))
     held = lines.select(*keys).distinct()
-    item_slots = _slots(items, "item_id").withColumnsRenamed({"value": "item_value"})
+    item_slots = _slots(items, "item_id", kind).withColumnsRenamed({"value": "item_value"})
     aligned = lines.join(item_slots, "item_id").filter((F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
     aligned = aligned.withColumn("at", F.col("at") + F.col("shift"))
     ids = lines.select("doc_id").distinct()
     texts = docs.select("doc_id", "text").join(small(ids, n_held), "doc_id", "left_semi")
-    bound = aligned.join(_slots(texts, "doc_id"), ["doc_id", "at", "type"])
+    bound = aligned.join(_slots(texts, "doc_id", kind), ["doc_id", "at", "type"])
     by = ["doc_id", "item_id", "shift", "type"]
     forth = bound.groupBy(*by, "item_value").agg(F.count_distinct("value").alias("n"))
     agree = forth.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("slots"))
@@ -171,8 +181,8 @@ def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list
 
 def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     """Documents and the items that they hold as they stand, white space and case aside."""
-    wanted, sizes = wanted_windows(items, window, plain=True)
-    _, per = _matches(docs, wanted, sizes, plain=True)
+    wanted, sizes = wanted_windows(items, window, PLAIN)
+    _, per = _matches(docs, wanted, sizes, PLAIN)
     pairs = written(per.filter("matched = n_windows").select("doc_id", "item_id", "matched", "n_windows", "words"))
     bare = lambda text: F.lower(F.regexp_replace(text, r"\s+", ""))
     own = pairs.join(items.select("item_id", bare(F.col("text")).alias("item")), "item_id").withColumnsRenamed({"doc_id": "d"})
@@ -185,12 +195,17 @@ def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, matched (distinct item windows in the document), n_windows, slots (agreeing bindings)."""
     items = benchmark.select("item_id", "text").distinct()
-    wanted, sizes = wanted_windows(items, window)
-    if not sizes:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, slots long")
-    found = _templates(docs, items, wanted, sizes, least, window)
-    bare = written(items.join(wanted.select("item_id"), "item_id", "left_anti").filter(F.size(template_words(F.coalesce("text", F.lit("")), True)) > 0))
-    return found.unionByName(_exact(docs, bare, window)) if bare.limit(1).count() else found
+    found = docs.sparkSession.createDataFrame([], "doc_id long, item_id long, matched long, n_windows long, slots long")
+    for kind in (NAMES, CASELESS):
+        wanted, sizes = wanted_windows(items, window, kind)
+        if sizes:
+            found = found.unionByName(_templates(docs, items, wanted, sizes, least, window, kind))
+    # ``wanted`` is the caseless one.
+    words = F.size(template_words(F.coalesce("text", F.lit("")), PLAIN))
+    bare = written(items.join(wanted.select("item_id"), "item_id", "left_anti").filter(words > 0))
+    found = found.unionByName(_exact(docs, bare, window)) if bare.limit(1).count() else found
+    best = F.max(F.struct("matched", "n_windows", "slots")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
