@@ -74,3 +74,17 @@ def test_edges(spark):
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
+
+
+def test_recall_where_the_first_rows_are_tight_topics(spark):
+    rng = np.random.default_rng(6)
+    topics = rng.normal(size=(15, 64))
+    tight = topics[np.arange(1500) // 100] + 0.02 * rng.normal(size=(1500, 64))
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    y = 0.905 * x + (1 - 0.905**2) ** 0.5 * away / np.linalg.norm(away, axis=1, keepdims=True)
+    table = [(i, v.tolist(), 0, "x") for i, v in enumerate(np.concatenate([tight, x, y]))]
+    out = near_components(spark.createDataFrame(table, SCHEMA).coalesce(1)).filter("vec_id >= 1500").collect()
+    assert sum(r["n_links"] for r in out) / 3000 >= 0.95

@@ -3,7 +3,7 @@
 Vectors with the same components form a class; one row of each is indexed. The two halves of the vectors have codebooks
 of their own, fitted on a sample of at most about ``sample_rows`` classes, and the product of the codebooks is a grid of
 cells. Every class is in the cell of its nearest centroids. As a query it traverses the cells in order of the sum of its
-squared distances to the cells' two centroids (the multi-sequence order) and visits the first T; T is calibrated so that
+squared distances to the cells' two centroids (the multi-sequence order) and visits the first T; T is calibrated on the whole sample so that
 for partners made up at exactly the wanted cosine the target recall is reached. All members of the visited cells are
 verified by cosine in double precision, so no link below the threshold is reported; links are missed only where neither
 of the two visits the other's cell.
@@ -70,7 +70,7 @@ class MultiIndex:
         rng = np.random.default_rng(seed)
         self.half = (sample.shape[1] + 1) // 2
         self.books = [self._book(h, codes, rng) for h in self._halves(sample)]
-        self.visits = self._calibrate(sample[:1500], threshold, recall, rng)
+        self.visits = self._calibrate(sample, threshold, recall, rng)
 
     def _halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, : self.half], x[:, self.half :]
@@ -86,7 +86,13 @@ class MultiIndex:
             book[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
         return book
 
-    def _calibrate(self, x: np.ndarray, threshold: float, recall: float, rng: np.random.Generator) -> int:
+    def _calibrate(self, sample: np.ndarray, threshold: float, recall: float, rng: np.random.Generator) -> int:
+        """Number of cells, from all rows of the sample."""
+        ranks = [self._ranks(sample[at : at + 1024], threshold, rng) for at in range(0, len(sample), 1024)]
+        return max(1, int(np.quantile(np.concatenate(ranks), recall, method="higher")))
+
+    def _ranks(self, x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+        """For each row and a partner made up at ``threshold``: cells that the one of the two that is nearer has to visit."""
         away = rng.normal(size=x.shape)
         away -= (away * x).sum(axis=1, keepdims=True) * x
         y = threshold * x + (1 - threshold**2) ** 0.5 * away / np.maximum(np.linalg.norm(away, axis=1, keepdims=True), 1e-12)
@@ -96,9 +102,11 @@ class MultiIndex:
             i, j = (_distances(h, c).argmin(axis=1) for h, c in zip(self._halves(partner), self.books, strict=True))
             at = np.arange(len(query))
             last = a[at, i] + b[at, j]
-            return np.array([(a[k][:, None] + b[k] <= last[k]).sum() for k in at])
+            # Sorted, so that a row costs the logarithm of the codes, not their square.
+            b.sort(axis=1)
+            return np.array([np.searchsorted(b[k], last[k] - a[k] + 1e-12, side="right").sum() for k in at])
 
-        return max(1, int(np.quantile(np.minimum(rank(x, y), rank(y, x)), recall, method="higher")))
+        return np.minimum(rank(x, y), rank(y, x))
 
     def traverse(self, x: np.ndarray) -> np.ndarray:
         """(rows, visits): cells in multi-sequence order, the own cell first."""
