@@ -48,3 +48,10 @@ def test_counts_of_edge_texts(spark):
     assert out[1] == out[2] == 0 and out[3] == len(encoding().encode_ordinary("<|endoftext|>")) > 1
     assert out[4] == len(encoding().encode_ordinary(long))
     assert counted(spark.createDataFrame([], SCHEMA).drop("tokens"), bpe_counter(spark)).count() == 0
+
+
+def test_repeated_null_texts_count_once(spark, tmp_path):
+    rows = [(1, None, "s", "en"), (2, None, "s", "en"), (3, None, "t", "en"), (4, "a b", "s", "en"), (5, "a b", "s", "en"), (6, "", "s", "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = op9_token_counts(spark, str(tmp_path)).filter("tokenizer = 'byte_bpe_50k'").collect()
+    assert {(r["source"], r["docs"]) for r in out} == {("s", 3), ("t", 0)}

@@ -119,7 +119,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents are inserted with word counts, recounted by byte-level BPE in a batch that arrives twice, and their
     exact repetitions are deleted in a third. The totals are those of the distinct documents under BPE."""
     docs = read(spark, sf_dir, "documents").select(
-        "doc_id", "text", "source", "lang", F.xxhash64("text").alias("hash"), F.length("text").alias("chars"), word_count(F.col("text")).alias("words")
+        "doc_id", "text", "source", "lang", F.xxhash64("text").alias("hash"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), word_count(F.col("text")).alias("words")
     )
     rows = written(counted(docs, bpe_counter(spark)))
     rollup = Rollup(spark, shared_dir(spark))
