@@ -57,3 +57,12 @@ def test_edges(spark):
     out = {r["doc_id"]: r["score"] for r in score(texts, trie, w).collect()}
     assert all((s > 0.5) == bool(i % 2) for i, s in out.items())
     assert score(docs, trie, w).count() == 5
+
+
+def test_disguised_words_are_found():
+    trie = Trie({"idiot": 3.0, "stupid": 3.0, "loser": 3.0, "scum": 3.0, "ass": 3.0}, swaps=True)
+    for text in ("an id1ot here", "so st*pid!", "a l0ser.", "such scvm", "you idoit", "a socum-less scmu", "$tupid one"):
+        assert features(text, trie, {})[2] > 0, text
+    assert features("idiot-like", trie, {})[0] > 0 and features("idiot!", trie, {})[0] > 0
+    for text in ("a lesser man", "an as", "the sum of 12.5", "scu"):
+        assert features(text, trie, {}) == (0.0,) * 8, text

@@ -3,6 +3,9 @@
 The lexicon is learned: words whose share among toxic training documents is far above their share among clean ones. All
 its words stand in one trie; the automaton of a word within ``edits`` of some entry is the trie walked with rows of edit
 distances, and a branch ends when its row exceeds the bound. Each distinct word of a chunk is walked once and kept.
+Words are runs of letters, digits and in-word signs, so 'id1ot' and 'st*pid' meet the automaton whole; where a letter run
+of such a word is an entry, or the whole is near none, its letter runs count. A swap of neighbouring letters is one edit.
+Entries of four letters take one substitution or swap, shorter ones none.
 
 A hit is quoted if a quotation mark or a word of mention stands within ``window`` characters; quoted and plain hits, exact
 and misspelled ones, weigh apart in a logistic regression over eight features. It is fitted on at most about
@@ -27,14 +30,20 @@ from .language_id import WORD, in_sample
 
 QUOTES = "\"'«»“”„‘’`"
 MENTION = re.compile(r"\b(?:word|words|term|terms|said|says|called|quote|quoted|mot|palabra|wort)\b", re.I)
+#: Letters and digits with signs among them; one that stands for a letter may also come first.
+TOKEN = re.compile(r"[@$]?[^\W_]+(?:[@$*!#+|_.'’-]+[^\W_]+)*")
 FEATURES = ("exact", "exact_max", "fuzzy", "fuzzy_max", "quoted", "distinct", "density", "any")
 
 
 class Trie:
-    """Lexicon entries with weights; ``near`` finds the best entry within the edit bound of a word."""
+    """Lexicon entries with weights; ``near`` finds the best entry within the edit bound of a word.
 
-    def __init__(self, lexicon: dict[str, float], edits: int = 1, least: int = 5) -> None:
-        self.exact, self.edits, self.least = lexicon, edits, least
+    With ``swaps`` a swap of neighbouring letters is one edit, and entries of four letters are within one substitution or swap.
+    """
+
+    def __init__(self, lexicon: dict[str, float], edits: int = 1, least: int = 5, swaps: bool = False) -> None:
+        self.exact, self.edits, self.least, self.swaps = lexicon, edits, least, swaps
+        self.short: dict[str, str] = {}
         self.root: dict = {}
         self.longest = max(map(len, lexicon), default=0)
         self.shortest = min(map(len, lexicon), default=0)
@@ -44,11 +53,24 @@ class Trie:
                 for c in word:
                     node = node.setdefault(c, {})
                 node[""] = word
+            elif swaps and edits and len(word) == 4:
+                for form in self._forms(word):
+                    self.short.setdefault(form, word)
+
+    @staticmethod
+    def _forms(word: str) -> list[str]:
+        """Forms that a word shares with those that differ from it in one letter, and its swaps."""
+        swapped = [word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)]
+        return [word[:i] + "\0" + word[i + 1 :] for i in range(len(word))] + swapped
 
     def near(self, word: str) -> tuple[float, bool] | None:
         """(weight, whether exact), or None."""
         if word in self.exact:
             return self.exact[word], True
+        if self.short and len(word) == 4:
+            found = next((self.short[f] for f in (word, *self._forms(word)[:4]) if f in self.short), None)
+            if found:
+                return self.exact[found], False
         if not self.least <= len(word) <= self.longest + self.edits:
             return None
         found = self._walk(word, 0, self.root, self.edits)
@@ -66,6 +88,10 @@ class Trie:
         if at < len(word) and word[at] in node and (found := self._walk(word, at + 1, node[word[at]], left)):
             return found
         if left:
+            if self.swaps and at + 1 < len(word) and word[at + 1] in node and word[at] in node[word[at + 1]] and (
+                found := self._walk(word, at + 2, node[word[at + 1]][word[at]], left - 1)
+            ):
+                return found
             if at < len(word) and (found := self._walk(word, at + 1, node, left - 1)):
                 return found
             for c, child in node.items():
@@ -74,29 +100,44 @@ class Trie:
         return None
 
 
+def _found(token: str, trie: Trie) -> list[tuple[int, int, str, tuple[float, bool]]]:
+    """(start, end, word, (weight, whether exact)) of the hits in a token."""
+    if token.isalpha():
+        hit = trie.near(token)
+        return [(0, len(token), token, hit)] if hit else []
+    runs = [(m.start(), m.end(), m[0], trie.near(m[0])) for m in WORD.finditer(token)]
+    runs = [r for r in runs if r[3]]
+    if runs and any(r[3][1] for r in runs) or not any(map(str.isalpha, token)):
+        return runs
+    hit = trie.near(token)
+    return [(0, len(token), token, hit)] if hit else runs
+
+
 def features(text: str, trie: Trie, cache: dict, window: int = 30) -> tuple[float, ...]:
     low = text.lower()
-    words = WORD.findall(low)
-    known = set(words)
+    known = set(TOKEN.findall(low))
     for w in known.difference(cache):
-        cache[w] = trie.near(w)
+        cache[w] = _found(w, trie)
     hits = {w: cache[w] for w in known if cache[w]}
     if not hits:
         return (0.0,) * len(FEATURES)
     exact, fuzzy, quoted, e_max, f_max, n = 0.0, 0.0, 0.0, 0.0, 0.0, 0
-    for m in WORD.finditer(low):
-        hit = hits.get(m[0])
-        if hit:
+    for m in TOKEN.finditer(low):
+        for start, end, _, hit in hits.get(m[0], ()):
+            start, end = m.start() + start, m.start() + end
             n += 1
-            around = low[max(0, m.start() - window) : m.end() + window]
-            tight = low[max(0, m.start() - 2) : m.start()] + low[m.end() : m.end() + 2]
+            around = low[max(0, start - window) : end + window]
+            tight = low[max(0, start - 2) : start] + low[end : end + 2]
             if any(c in QUOTES for c in tight) or MENTION.search(around):
                 quoted += hit[0]
             elif hit[1]:
                 exact, e_max = exact + hit[0], max(e_max, hit[0])
             else:
                 fuzzy, f_max = fuzzy + hit[0], max(f_max, hit[0])
-    return (math.log1p(exact), e_max, math.log1p(fuzzy), f_max, math.log1p(quoted), math.log1p(len(hits)), 100 * n / len(words), 1.0)
+    distinct = {w for found in hits.values() for _, _, w, _ in found}
+    # At least one, also where a hit has no letter run of its own.
+    words = max(1, len(WORD.findall(low)))
+    return (math.log1p(exact), e_max, math.log1p(fuzzy), f_max, math.log1p(quoted), math.log1p(len(distinct)), 100 * n / words, 1.0)
 
 
 def lexicon(sample: DataFrame, size: int = 400, least_docs: int = 4, least_odds: float = 2.0) -> dict[str, float]:
@@ -142,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, edits: int
     ids = known.filter(in_sample("doc_id", n, train_docs))
     sample = written(docs.select("doc_id", "text").join(small(ids, min(n, 2 * train_docs)), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic"))
     terms = lexicon(sample)
-    trie = Trie(terms, edits)
+    trie = Trie(terms, edits, swaps=True)
     shared = docs.sparkSession.sparkContext.broadcast(trie)
 
     def described(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
