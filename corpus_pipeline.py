@@ -23,8 +23,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return without_near_copies(docs, k=5, num=80, den=100)
+    """One row of each group of near copies stays: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return without_near_copies(docs, k=5, num=80, den=100, rows=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def test_near_copies_of_odd_rows(spark):
     out = without_near_copies(df)
     assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 5, 5]
     assert without_near_copies(df.limit(0)).count() == 0
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids_are(spark):
+    schema = "doc_id long, text string, h long, __x int"
+    near = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, "c", 1, 1), (5, "c", 1, 2), (None, "d e", 1, 1), (None, "D e", 1, 1), (None, "d e", 1, 1), (7, near, 1, 1), (7, near + " more", 1, 1), (8, "f", 1, 1), (None, "f", 1, 1), (9, "", 1, 1)]
+    stage = dict(corpus_pipeline.STAGES)["jaccard_join"]
+    out = stage(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r["doc_id"] or 0) for r in out) == [0, 5, 7, 8, 9]

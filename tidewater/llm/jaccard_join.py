@@ -304,7 +304,8 @@ def _bitmap(df: DataFrame, column: str) -> np.ndarray:
 def jaccard_components(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, family: int = 8
 ) -> DataFrame:
-    """row, doc_id, h, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``.
+    """row, doc_id, h, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``, and
+    component, a number of its component (null without links).
 
     ``h`` is a hash of doc_id and text that finds a row's text again. Two documents link when den * shared >= num * union
     of their distinct ``k``-word shingles. ``group_tokens`` and ``slice_tokens`` bound a block's members and queries.
@@ -390,18 +391,35 @@ def jaccard_components(
         labels.filter((F.col("w") > 1) | (F.col("component") != F.col("node"))).unionByName(
             labels.filter("w = 1 and component = node").join(linked.select("node"), "node", "left_semi").select(labels.columns)
         ).join(least, "component").join(degree, "node", "left")
-        .select("d1", "d2", "n", "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+        .select("d1", "d2", "n", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     )
     return rows.join(named, ["d1", "d2", "n"], "left").select(
         "row", "doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "component",
     )
 
 
-def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; a document is its doc_id."""
-    gone = written(jaccard_components(docs, k, num, den).filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h").alias("__h")))
-    return docs.withColumn("__h", F.expr(_HASH)).join(gone, "__h", "left_anti").select(docs.columns)
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: bool = False) -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest doc_id; a document is its doc_id.
+
+    With ``rows`` a document is a row: one row of each component stays, whatever the doc_ids are, one with the smallest
+    doc_id (null only if all are); of rows that agree in doc_id and text any one.
+    """
+    marked = docs.withColumn("__h", F.expr(_HASH))
+    found = jaccard_components(docs, k, num, den)
+    if not rows:
+        gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h").alias("__h")))
+        return marked.join(gone, "__h", "left_anti").select(docs.columns)
+    linked = written(found.filter("n_links > 0").groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row")))
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h")).alias("first"))
+    kept = written(first.select(F.col("first.h").alias("h")))
+    gone = written(linked.join(kept, "h", "left_anti").select(F.col("h").alias("__h")))
+    again = written(linked.filter("times > 1").join(kept, "h", "left_semi").select(F.col("h").alias("__h")))
+    left = marked.join(gone, "__h", "left_anti")
+    if again.limit(1).count():
+        left = left.join(again, "__h", "left_anti").unionByName(left.join(again, "__h", "left_semi").dropDuplicates(["__h"]))
+    return left.select(docs.columns)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
