@@ -183,3 +183,20 @@ def test_sources(spark):
         tables.require_columns(df, ["x"])
     with pytest.raises(ValueError, match="probability"):
         tables.require_probabilities(df, ["id"])
+
+
+def test_convolutions_predict_rows_out_of_fold(spark, monkeypatch):
+    from tidewater.plans import learners
+
+    folds = []
+    plain = learners.L.fit_predict
+
+    def watched(kind, train, rows, *args, **options):
+        folds.append(({r["fold"] for r in train.select("fold").distinct().collect()}, {r["fold"] for r in rows.select("fold").distinct().collect()}))
+        return plain(kind, train, rows, *args, **options)
+
+    monkeypatch.setattr(learners.L, "fit_predict", watched)
+    sf = "/root/testdata/sf0.001"
+    out = learners.convolutions(spark, sf, seeds=(42,)).collect()
+    assert all(not a & b for a, b in folds) and set().union(*(b for _, b in folds)) == set(range(6)) == {r["fold"] for r in out}
+    assert len(out) == spark.read.parquet(f"{sf}/embeddings.parquet").count()

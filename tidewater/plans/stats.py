@@ -148,7 +148,7 @@ def borrow(spark, sf_dir):
 @query("q_M19_subspace_borrow")
 def subspace_borrow(spark, sf_dir):
     items = _vectors(spark, sf_dir)
-    return shown(Q.subspace_borrow(items.filter("id % 50 = 0"), items, 64, "label", members=3))
+    return shown(Q.subspace_borrow(items.filter("id % 50 = 0"), items, 64, "label"))
 
 
 @query("q_S10_P15_column_groups", f"WITH {SENSOR}, {_LONG_SQL} SELECT 'mean' AS grp, 'h_mean' AS col UNION ALL SELECT 'mean', 'k_mean' UNION ALL SELECT 'other', 'n'")
