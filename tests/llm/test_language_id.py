@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 
 from tidewater.llm.common import read
-from tidewater.llm.language_id import Pieces, identify, learned, of_stated_language, op7_language_id, word_scores
+from tidewater.llm.language_id import Pieces, fit, identify, learned, of_stated_language, op7_language_id, word_scores
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, lang_pred int, score string"
@@ -64,3 +64,10 @@ def test_stage_rejects_other_languages_but_not_quotations(spark):
     gone = {r["doc_id"] for r in docs.unionByName(spark.createDataFrame(rows, docs.schema)).select("doc_id").subtract(
         of_stated_language(docs.unionByName(spark.createDataFrame(rows, docs.schema))).select("doc_id")).collect()}
     assert gone == {-1, -5}
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the cat and the dog", "en") for i in range(3000)] + [(5000 + i, "kissa ja koira", "fi") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    languages, _ = fit(df, sorted(bytes([b]) for b in range(256)), train_docs=60)
+    assert languages == ["en", "fi"]

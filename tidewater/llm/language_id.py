@@ -6,7 +6,8 @@ forward algorithm computes in one pass over the word. Words are runs of letters,
 from expectation-maximisation over word counts: a Spark job per round returns expected counts by (language, piece), at
 most languages times vocabulary rows.
 
-The model is fitted on at most about ``train_docs`` labelled documents, chosen by hash; everything is scored.
+The model is fitted on at most about ``train_docs`` labelled documents, chosen by hash within each language, of
+which rare ones keep all of theirs; everything is scored.
 Forward and backward run on arrays of equally long words, and a worker keeps the scores of up to ``CACHE`` words.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; null lang is never learned; with nothing
@@ -153,10 +154,24 @@ def in_sample(doc_id: str, rows: int, wanted: int) -> Column:
     return F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 20)) < least
 
 
+def _quota(counts: list[int], wanted: int) -> float:
+    """Documents of each language at most, so that ``wanted`` are drawn in all: rare languages keep all of theirs."""
+    left = wanted
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) >= left:
+            return left / (len(counts) - i)
+        left -= n
+    return float(max(counts, default=0))
+
+
 def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000, rounds: int = 2) -> tuple[list[str], np.ndarray]:
     """(languages in order, probabilities (pieces + 1, languages)) from columns doc_id, text, lang."""
-    known = labelled.filter(F.col("lang").isNotNull())
-    sample = known.filter(in_sample("doc_id", known.select("doc_id").count(), train_docs) & F.col("text").isNotNull()).select("lang", "text")
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row per language
+    shares = [(lang, 1 << 20 if n <= quota else int(quota / n * (1 << 20))) for quota in [_quota(list(counts.values()), train_docs)] for lang, n in counts.items()]
+    least = labelled.sparkSession.createDataFrame(shares, "lang string, least long")
+    drawn = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(1 << 20)) < F.col("least")
+    sample = known.join(F.broadcast(least), "lang").filter(drawn).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
