@@ -40,8 +40,10 @@ def brute(rows, k, num, den):
 
 def run(spark, rows, **options):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA).repartition(3)
-    out = jaccard_components(df, **options).select("doc_id", "n_shingles", "n_links", "component_id").collect()
-    return sorted(map(tuple, out), key=str)
+    out = sorted(map(tuple, jaccard_components(df, links=True, **options).select("doc_id", "n_shingles", "n_links", "component_id").collect()), key=str)
+    short = jaccard_components(df, **options).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, short), key=str) == sorted(((d, n, c) for d, n, _, c in out), key=str)
+    return out
 
 
 def near_copies(seed):
@@ -61,7 +63,7 @@ def near_copies(seed):
     return rows
 
 
-@pytest.mark.parametrize("options", [dict(k=3, num=90, den=100, group_tokens=2000, slice_tokens=5000), dict(), dict(k=2, num=95, den=100, group_tokens=500, family=2), dict(k=3, num=70, den=100, family=1, group_tokens=900, slice_tokens=900)])
+@pytest.mark.parametrize("options", [dict(k=3, num=90, den=100, group_tokens=2000, slice_tokens=5000), dict(), dict(k=2, num=95, den=100, group_tokens=500), dict(k=3, num=70, den=100, group_tokens=900, slice_tokens=900), dict(k=1, num=60, den=100, group_tokens=300, slice_tokens=300)])
 def test_equals_brute_force_on_families_of_near_copies(spark, options):
     rows = near_copies(1)
     assert run(spark, rows, **options) == brute(rows, options.get("k", 5), options.get("num", 80), options.get("den", 100))

@@ -2,53 +2,47 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
+
+from tidewater.sources.scratch import owned, scratch, shared_folder, written
+
+__all__ = ["appended", "owned", "read", "scratch", "shared_folder", "small", "word_count", "written"]
 
 WHITESPACE = " \t\n\x0b\x0c\r"
-#: Rows up to which a side that was counted beforehand is broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side whose rows were counted beforehand is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder of the session; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/stage-{uuid.uuid4().hex}"
-
+def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
+    """Mark ``df`` for broadcast when its counted ``rows`` of ``row_bytes`` at most are within the bound; else the join is Spark's."""
+    return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
-def _forget(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
+def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns ``drop``, and with those of ``schema`` after them.
 
-def written(df: DataFrame) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here and survives lost executors.
-
-    The folder is removed when the driver's Python ends.
+    ``make`` is called once in a task; what it returns takes a batch of all columns of ``df`` and gives an array for each new
+    column. The other columns pass as they are, so integers keep their type beside nulls, whatever their size.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    keep = [i for i, c in enumerate(df.columns) if c not in drop]
+    out = StructType([df.schema[i] for i in keep] + StructType.fromDDL(schema).fields)
+    names = out.names
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        added = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *added(batch)], names=names)
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when its counted ``rows`` are within ``limit``; otherwise leave the join to Spark."""
-    return F.broadcast(df) if rows <= limit else df
+    return df.mapInArrow(run, out)
 
 
 def word_count(text: Column) -> Column:
@@ -57,6 +51,3 @@ def word_count(text: Column) -> Column:
     n = F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))
     return F.when(text.isNull() | (trimmed == ""), F.lit(0)).otherwise(n).cast("long")
 
-
-def partitions(spark: SparkSession, least: int = 8) -> int:
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

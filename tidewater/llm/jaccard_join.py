@@ -1,29 +1,29 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents with the same set of shingles form a class; only one row of each class is compared. Classes that are alike are
-put into groups of bounded size; each group stores the union of its members' shingles. A query, which is every class, is
-compared with a group only if the shingles it shares with the union could be enough for the similarity wanted; only then
-the group is opened and the query is verified against every member. All of this is exact.
-
-Which groups can qualify at all is found without comparing all with all, by tokens that linked sets must share:
-
-- At high similarities (the usual contract of 0.9) a set is cut by hash into parts, two more than the largest possible
-  difference of linked sets of its size, so linked sets agree in at least two. The hashes of parts are the tokens; empty
-  parts count in pairs. A part holds about eight shingles, so neither passages nor frequent words make parts equal.
-- Below that, linked sets share at least one of their first n - ceil(threshold * n) + 1 shingles in any fixed order. The
-  order puts frequent shingles last, by a count-min sketch of one row over all documents (at most 2**22 counters; their
-  levels, a byte each, are broadcast), so passages that many documents share hardly ever lead.
-
-A class whose most shared token is shared by more than ``family`` classes is grouped by that token; a group beyond
-``group_tokens`` is dealt into several, so thousands of near copies become blocks that are compared block by block. All
-others are groups of one. A pair of groups that share a token meets only if the shingles in common can be enough: they
-are at most the sum, over buckets of shingle hashes, of the smaller of the two groups' largest counts. A block with many
-queries is worked on in slices. Tasks return only nodes, their local root and numbers of links.
+Documents with the same set of shingles form a class; only one row of each class is compared. The matrix says which of the
+shingles that lead a set stand in which group of classes:
+
+- Linked sets share at least ``SHARED`` of their first n - ceil(threshold * n) + ``SHARED`` shingles in any fixed order. The
+  order puts frequent shingles last, by a count-min sketch of one row over all documents (2**22 counters at most; their
+  levels, a byte each, are broadcast). With T shingles in all, those in more than about 4 * sqrt(T / 2**22) documents more
+  than chance explains stand last, so passages that very many documents share hardly ever lead, at any size.
+- Classes that share leading shingles are put into groups, by the one that most classes share; a group beyond
+  ``group_tokens`` is dealt into blocks, each of which also meets a few anchors of the whole. Each group stores the union
+  of its members' shingles, and which of these each member has; its members are compared as it is built.
+- The links found so far give first components. A query, which is a class, asks a group only if the leading shingles that it
+  shares with the group's are enough, if it is not in one component with those members that have them, and if sizes and
+  counts of shingles in 128 buckets allow a link. It is compared with the group's union; only if it shares enough of that,
+  the group is opened and the query is verified against every member.
+
+All this is exact. A family of near copies is one component after the first step, so its blocks never meet each other: work
+is linear in it. With ``links`` every pair of linked classes is counted instead, whatever their components.
+
+Tasks return only nodes and their local roots. Of a block, queries are worked on in slices.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; fewer than ``k`` words make one
 shingle; repeated rows are documents of their own; rows with a null doc_id take part and get the smallest doc_id of
-their component (null if all are null); an empty table gives no rows; other columns are ignored. Shingles are 64-bit hashes.
-A very long text is one row in one task.
+their component (null if all are null); an empty table gives no rows; other columns, whatever their names, are ignored
+here and kept by ``without_near_copies``. Shingles are 64-bit hashes. A very long text is one row in one task.
 """
 
 from __future__ import annotations
@@ -33,10 +33,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, written
+from .common import appended, read, scratch, written
 from .components import components
 
 _HASH = "xxhash64(cast(doc_id as long), text)"
@@ -102,53 +103,25 @@ class Shingler:
         return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
-class Parts:
-    """Hashes of the parts of a set. Size classes grow by 1/threshold; linked sets are in the same class or in neighbours."""
-
-    def __init__(self, num: int, den: int) -> None:
-        self.num, self.den, self.bounds = num, den, [1, den // num + 1]
-
-    def _parts(self, scheme: int) -> int:
-        """Parts of a scheme, which serves classes ``scheme`` and the next; 0 where linked sets are equal."""
-        difference = (self.den - self.num) * 2 * (self.bounds[scheme + 2] - 1) // (self.den + self.num)
-        return difference + 2 if difference else 0
-
-    def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
-        if not n:
-            return np.zeros(0, np.int64)
-        while self.bounds[-3:][0] <= n or len(self.bounds) < 3:
-            self.bounds.append(self.bounds[-1] * self.den // self.num + 1)
-        own = int(np.searchsorted(self.bounds, n, "right")) - 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens), dtype=np.uint64)])
-        out = [np.zeros(0, np.uint64)]
-        for s in (own, own - 1):
-            m = self._parts(s) if s >= 0 else 0
-            if not m:
-                continue
-            cuts = np.searchsorted(tokens, np.arange(1, m, dtype=np.uint64) * np.uint64((1 << 64) // m))
-            cuts = np.concatenate([[0], cuts, [n]])
-            empty = np.flatnonzero(cuts[1:] == cuts[:-1])
-            named = _mix(sums[cuts[1:]] - sums[cuts[:-1]] + _mix(np.arange(m, dtype=np.uint64) + np.uint64(s + 1 << 32)))
-            out.append(np.delete(named, empty))
-            if len(empty) > 1:
-                a, b = np.triu_indices(len(empty), 1)
-                pair = empty[a].astype(np.uint64) * np.uint64(m) + empty[b].astype(np.uint64)
-                out.append(_mix(pair + _mix(np.full(1, (s + 1 << 32) + (1 << 31), np.uint64))))
-        return np.concatenate(out).view(np.int64)
+#: Leading shingles that linked sets share.
+SHARED = 6
 
 
 class Leading:
-    """The first n - ceil(num/den * n) + 1 shingles of a set in the order of level, then hash."""
+    """The first n - ceil(num/den * n) + ``SHARED`` shingles of a set in the order of level, then hash."""
 
     def __init__(self, num: int, den: int, level: np.ndarray) -> None:
         self.num, self.den, self.level = num, den, level
         self.shift = np.uint64(64 - (len(level).bit_length() - 1))
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
+        n, least = len(tokens), -(-self.num * len(tokens) // self.den)
         own = self.level[(tokens >> self.shift).astype(np.int64)]
-        return tokens[own.argsort(kind="stable")[: n - -(-self.num * n // self.den) + 1]].view(np.int64) if n else tokens.view(np.int64)
+        return tokens[own.argsort(kind="stable")[: n - least + min(SHARED, least)]].view(np.int64)
+
+    def need(self, n: int) -> int:
+        """Leading shingles that a set of ``n`` shares with every set it links with; those may be smaller."""
+        return SHARED if n * self.num**2 >= SHARED * self.den**2 else 1
 
 
 BUCKETS = 128
@@ -195,40 +168,43 @@ def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
 
 
 def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """row, doc_id, n (size of the set), d1, d2 (its digest), tokens that linked sets share, counts, h (finds the text again)."""
-    parts = den + num >= 14 * (den - num)
-    level = docs.sparkSession.sparkContext.broadcast(None if parts else levels(docs, k, bits_for(docs.count())))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, shared = Shingler(k), Parts(num, den) if parts else Leading(num, den, level.value)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch[at : at + 1000]
-                sets = [of(t) for t in part["text"]]
-                digests = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
-                yield pd.DataFrame({
-                    "row": part["row"], "doc_id": part["doc_id"], "n": [len(s) for s in sets],
-                    "d1": np.array([d >> 64 for d in digests], np.uint64).view(np.int64),
-                    "d2": np.array([d & (1 << 64) - 1 for d in digests], np.uint64).view(np.int64),
-                    "tokens": [shared(s) for s in sets], "counts": [counts(s) for s in sets], "h": part["h"],
-                })
+    """row, doc_id, h (finds the text again), n (size of the set), d1, d2 (its digest), need, tokens (those that lead), counts."""
+    level = docs.sparkSession.sparkContext.broadcast(levels(docs, k, bits_for(docs.count())))
+
+    def make():
+        of, leading = Shingler(k), Leading(num, den, level.value)
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            n, d1, d2, need, tokens, most = [], [], [], [], [], []
+            for text in batch.column("text"):
+                found = of(text.as_py())
+                digest = xxhash.xxh3_128_intdigest(found.tobytes())
+                n.append(len(found))
+                d1.append((digest >> 64) - (1 << 63))
+                d2.append((digest & (1 << 64) - 1) - (1 << 63))
+                need.append(leading.need(len(found)))
+                tokens.append(leading(found))
+                most.append(counts(found))
+            long = pa.int64()
+            return [pa.array(n, long), pa.array(d1, long), pa.array(d2, long), pa.array(need, pa.int32()), pa.array(tokens, pa.list_(long)), pa.array(most, pa.binary())]
+
+        return run
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(_HASH).alias("h"))
-    return rows.mapInPandas(run, "row long, doc_id long, n long, d1 long, d2 long, tokens array<long>, counts binary, h long")
+    return appended(rows, make, "n long, d1 long, d2 long, need int, tokens array<long>, counts binary", drop=("text",))
 
 
 def _possible(num: int, den: int):
-    """Pairs of groups whose sizes and bucket counts allow a link."""
+    """Queries and groups whose sizes and bucket counts allow a link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unknown = b"\xff" * BUCKETS
         for p in batches:
-            a, b = (np.frombuffer(b"".join(c or unknown for c in p[x]), np.uint8).reshape(len(p), BUCKETS) for x in ("c1", "c2"))
-            most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            bounded = np.array([x is not None and y is not None for x, y in zip(p["c1"], p["c2"], strict=True)], bool)
-            ok = (den * p["big1"] >= num * p["small2"]) & (den * p["big2"] >= num * p["small1"])
-            ok &= ~bounded | (den * most >= num * (p["small1"] + p["small2"] - most))
-            yield p.loc[ok, ["g1", "g2", "t1", "t2"]]
+            a, b = (np.frombuffer(b"".join(c or unknown for c in p[x]), np.uint8).reshape(len(p), BUCKETS) for x in ("counts", "most"))
+            shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
+            unbounded = np.array([x is None or y is None for x, y in zip(p["counts"], p["most"], strict=True)], bool)
+            ok = unbounded | (den * shared >= num * (p["n"].to_numpy() + p["small"].to_numpy() - shared))
+            yield p.loc[ok, ["node", "target", "n"]]
 
     return run
 
@@ -236,53 +212,90 @@ def _possible(num: int, den: int):
 def _largest(members: pd.DataFrame) -> pd.DataFrame:
     some = members["counts"]
     most = None if some.isna().any() else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
-    return pd.DataFrame({"group": members["group"].iloc[:1], "c": [most]})
+    return pd.DataFrame({"group": members["group"].iloc[:1], "most": [most]})
 
 
-def _opened(num: int, den: int):
-    """Compare the queries (role 1) of one block with its members (role 0): first with their union, then one by one."""
+class _Links:
+    """Roots of nodes, and, if wanted, numbers of links."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+        self.links: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while self.parent.setdefault(x, x) != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def join(self, a: int, wa: int, b: int, wb: int) -> None:
+        self.links[a] = self.links.get(a, 0) + wb
+        self.links[b] = self.links.get(b, 0) + wa
+        p, q = self.root(a), self.root(b)
+        self.parent[max(p, q)] = min(p, q)
+
+    def edges(self) -> list[tuple[int, int, int]]:
+        return [(x, self.root(x), n) for x, n in self.links.items()]
+
 
-    def enough(shared, a, b):
-        return den * shared >= num * (a + b - shared)
+class _Group:
+    """A group's union and a matrix that says which of it each member has."""
+
+    def __init__(self, num: int, den: int, union: np.ndarray, sizes: np.ndarray, places: np.ndarray, nodes: np.ndarray, weights: np.ndarray) -> None:
+        self.num, self.den, self.union, self.sizes, self.nodes, self.weights = num, den, union, sizes, nodes, weights
+        self.matrix = np.zeros((len(union), len(sizes)), np.uint8)
+        self.matrix[places, np.repeat(np.arange(len(sizes)), sizes)] = 1
+
+    def ask(self, node: int, weight: int, tokens: np.ndarray, links: _Links, first: int = 0) -> None:
+        """Join ``node`` with the members from ``first`` on that it links with."""
+        at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
+        at = at[self.union[at] == tokens]
+        # At most len(at) shingles are shared with any member, and a link needs num/den of the query's.
+        if not len(at) or self.den * len(at) < self.num * len(tokens):
+            return
+        shared = self.matrix[at, first:].sum(axis=0, dtype=np.int64)
+        enough = self.den * shared >= self.num * (len(tokens) + self.sizes[first:] - shared)
+        for j in np.flatnonzero(enough) + first:
+            links.join(node, weight, int(self.nodes[j]), int(self.weights[j]))
+
+
+STORED = "group long, union binary, nodes array<long>, weights array<long>, sizes array<long>, places binary, edges array<struct<u:long,v:long,links:long>>"
+
+
+def _stored(num: int, den: int):
+    """A group as it is stored, and the links among its members and of these with its guests."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        members = block[block["role"] == 0]
-        sets = [np.frombuffer(t, np.uint64) for t in members["tokens"]]
-        sizes, nodes, weights = members["n"].to_numpy(), members["node"].to_numpy(), members["w"].to_numpy()
-        union = np.unique(np.concatenate(sets))
-        matrix = np.zeros((len(union), len(sets)), np.uint8)
-        for i, s in enumerate(sets):
-            matrix[np.searchsorted(union, s), i] = 1
-        parent: dict[int, int] = {}
-        links: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def compare(node: int, w: int, tokens: np.ndarray, allowed: np.ndarray) -> None:
-            at = np.minimum(np.searchsorted(union, tokens), len(union) - 1)
-            at = at[union[at] == tokens]
-            # At most len(at) shingles are shared with any member, and a link needs num/den of the query's.
-            if den * len(at) < num * len(tokens) or not len(at):
-                return
-            shared = matrix[at].sum(axis=0, dtype=np.int64)
-            for j in np.flatnonzero(enough(shared, len(tokens), sizes) & allowed):
-                other = int(nodes[j])
-                links[node] = links.get(node, 0) + int(weights[j])
-                links[other] = links.get(other, 0) + w
-                a, b = root(node), root(other)
-                parent[max(a, b)] = min(a, b)
-
-        everyone = np.ones(len(sets), bool)
+        own = block[~block["guest"]]
+        sets = [np.frombuffer(t, np.uint64) for t in own["tokens"]]
+        sizes, nodes, weights = np.array([len(x) for x in sets]), own["node"].to_numpy(), own["w"].to_numpy()
+        union, places = np.unique(np.concatenate(sets), return_inverse=True)
+        group, links = _Group(num, den, union, sizes, places.ravel(), nodes, weights), _Links()
+        for i in range(len(sets)):
+            group.ask(int(nodes[i]), int(weights[i]), sets[i], links, i + 1)
+        for node, w, t in block.loc[block["guest"], ["node", "w", "tokens"]].itertuples(index=False):
+            group.ask(int(node), int(w), np.frombuffer(t, np.uint64), links)
+        edges = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()]
+        return pd.DataFrame({
+            "group": own["group"].iloc[:1], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
+            "places": [places.astype(np.int32).tobytes()], "edges": [edges],
+        })
+
+    return run
+
+
+def _opened(num: int, den: int):
+    """Links of the queries of a slice with the members of the group stored in its one row of role 0."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        kept, links = block[block["role"] == 0].iloc[0], _Links()
+        union, sizes, nodes, weights = np.frombuffer(kept["tokens"], np.uint64), *(np.asarray(kept[c]) for c in ("sizes", "nodes", "weights"))
+        # A group of one is not stored: its union is its only member.
+        places = np.arange(len(union)) if kept["places"] is None else np.frombuffer(kept["places"], np.int32)
+        group = _Group(num, den, union, sizes, places, nodes, weights)
         for node, w, t in block.loc[block["role"] == 1, ["node", "w", "tokens"]].itertuples(index=False):
-            compare(int(node), int(w), np.frombuffer(t, np.uint64), everyone)
-        if block["slice"].iloc[0] == 0:
-            for i, s in enumerate(sets):
-                compare(int(nodes[i]), int(weights[i]), s, np.arange(len(sets)) > i)
-        return pd.DataFrame({"node": list(links), "root": [root(x) for x in links], "links": list(links.values())}).astype("int64")
+            group.ask(int(node), int(w), np.frombuffer(t, np.uint64), links)
+        return pd.DataFrame(links.edges(), columns=["u", "v", "links"]).astype("int64")
 
     return run
 
@@ -301,11 +314,69 @@ def _bitmap(df: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def _sets(docs: DataFrame, chosen: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """``chosen`` (h and other columns) with ``tokens``, all shingles of its text again; no text is shuffled."""
+    chosen = written(chosen)
+    known = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen, "h"))
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Shingler(k)
+        for batch in batches:
+            at = batch["h"].to_numpy() & (1 << BITMAP) - 1
+            some = batch[(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+            yield pd.DataFrame({"h": some["h"], "tokens": [of(t).tobytes() for t in some["text"]]}).astype({"h": "int64"})
+
+    found = docs.select(F.expr(_HASH).alias("h"), "text").mapInPandas(again, "h long, tokens binary").join(chosen, "h").drop("h")
+    # Rows that repeat in doc_id and text would bring their class again.
+    return written(found.dropDuplicates(["node"]) if repeated else found)
+
+
+def _groups(heads: DataFrame, met: DataFrame, group_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """(node, n, w, need, h, counts, group of every class in ``met``; node, group of the anchors that visit other blocks)."""
+    keys = met.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("key"))
+    keyed = written(heads.select("node", "n", "w", "need", "h", "counts").join(keys, "node"))
+    tries = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("x"), "node"))["node"] for i in range(8)]
+    load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*tries)).alias("anchors"))
+    blocks = F.ceil(F.greatest(F.col("tokens") / group_tokens, F.col("members") / 512)).cast("long")
+    dealt = written(load.select("key", blocks.alias("blocks"), "anchors").filter("blocks > 1"))
+    home = lambda node: F.pmod(F.xxhash64(node), F.coalesce("blocks", F.lit(1)).cast("long"))
+    grouped = keyed.join(dealt.drop("anchors"), "key", "left").withColumn("group", F.xxhash64("key", home("node"))).drop("key", "blocks")
+    sent = dealt.select("key", "blocks", F.explode("anchors").alias("node")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    return written(grouped), sent.filter(F.col("block") != home("node")).select("node", F.xxhash64("key", "block").alias("group"))
+
+
+def _asked(met: DataFrame, grouped: DataFrame, sums: DataFrame, comp: DataFrame | None, num: int, den: int) -> DataFrame:
+    """node, target, n: queries and the groups that they ask.
+
+    Of two groups the one with fewer shingles asks. With components, only classes of different ones meet, and the smaller
+    component asks: the largest of a leading shingle is only asked, and one whose classes are all in one is done with.
+    """
+    every = met.select("token", "node").join(grouped.select("node", "n", "need", "group"), "node").join(sums.select("group", "t", "small", "big"), "group")
+    if comp is None:
+        every, queries = every.withColumn("c", F.struct("t", "group")), None
+    else:
+        sized = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp")
+        own = F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), F.coalesce("comp", "node").alias("comp"))
+        every = written(every.join(sized, "node", "left").withColumn("c", own).drop("comp", "nodes"))
+        mixed = every.groupBy("token").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low < top").select("token", "top")
+        every = written(every.join(mixed, "token"))
+        queries = every.filter("c < top").drop("top")
+    groups = every.select("token", "group", "c", "small", "big").distinct()
+    wanted = (F.col("q.group") != F.col("g.group")) & (F.col("q.c") < F.col("g.c"))
+    fits = (den * F.col("g.big") >= num * F.col("q.n")) & (den * F.col("q.n") >= num * F.col("g.small"))
+    pairs = (queries or every).alias("q").join(groups.alias("g"), "token").filter(wanted & fits).groupBy("q.node", "q.n", "q.need", F.col("g.group").alias("target")).agg(
+        F.count_distinct("token").alias("shared")
+    )
+    pairs = written(pairs.filter("shared >= need").select("node", "n", "target"))
+    bounded = pairs.join(grouped.select("node", "counts"), "node").join(sums.select(F.col("group").alias("target"), "small", "most"), "target")
+    return written(bounded.select("node", "target", "n", "small", "counts", "most").mapInPandas(_possible(num, den), "node long, target long, n long"))
+
+
 def jaccard_components(
-    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, family: int = 8
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, links: bool = False
 ) -> DataFrame:
-    """row, doc_id, h, n_shingles, n_links (other documents linked directly), component_id for each row of ``docs``, and
-    component, a number of its component (null without links).
+    """row, doc_id, h, n_shingles, component_id for each row of ``docs``, and component, a number of its component (null
+    without links); with ``links`` also n_links (other documents linked directly).
 
     ``h`` is a hash of doc_id and text that finds a row's text again. Two documents link when den * shared >= num * union
     of their distinct ``k``-word shingles. ``group_tokens`` and ``slice_tokens`` bound a block's members and queries.
@@ -320,111 +391,87 @@ def jaccard_components(
     )
     heads = rows.filter("n > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
 
-    # Tokens that at least two classes share.
-    every = heads.select("node", F.explode("tokens").alias("token"))
+    # Leading shingles that at least two classes share, of the classes that share as many as a link needs.
+    every = heads.select("node", "need", F.explode("tokens").alias("token"))
     shared = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = written(every.join(shared, "token"))
-    keys = met.groupBy("node").agg(F.max(F.struct("times", "token")).alias("best")).select(
-        "node", F.when(F.col("best.times") > family, F.col("best.token")).otherwise(F.xxhash64("node", F.lit("alone"))).alias("key")
+    enough = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node")
+    met = written(met.drop("need").join(enough, "node", "left_semi"))
+    grouped, guests = _groups(heads.join(classes.select("node", "w"), "node"), met, group_tokens)
+    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0
+
+    # Groups of several: stored and compared within.
+    sums = written(grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big")))
+    several = written(sums.filter("members > 1").select("group"))
+    among = grouped.select("h", "node", "w", "group").join(several, "group", "left_semi")
+    sets = _sets(docs, among, k, repeated)
+    blocks = sets.withColumn("guest", F.lit(False))
+    if not links:
+        visits = sets.drop("group").join(guests, "node").join(several, "group", "left_semi")
+        blocks = blocks.unionByName(visits.withColumn("guest", F.lit(True)))
+    stored = written(blocks.groupBy("group").applyInPandas(_stored(num, den), STORED))
+    edges = stored.select(F.explode("edges").alias("e")).select("e.*")
+
+    # Queries of other groups.
+    wide = grouped.join(several, "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, most binary")
+    alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("most"))
+    comp = None if links else written(components(edges.select("u", "v"))).withColumnRenamed("component", "comp")
+    asked = _asked(met, grouped, written(sums.join(wide.unionByName(alone), "group")), comp, num, den)
+    slices = asked.groupBy("target").agg(F.ceil(F.sum("n") / slice_tokens).cast("long").alias("slices"))
+    chosen = asked.select("node").union(slices.join(several.withColumnRenamed("group", "target"), "target", "left_anti").join(
+        grouped.select(F.col("group").alias("target"), "node"), "target").select("node")).distinct()
+    sets = _sets(docs, grouped.join(chosen, "node", "left_semi").select("h", "node", "w", "group"), k, repeated)
+    single = sets.withColumnRenamed("group", "target").join(several.withColumnRenamed("group", "target"), "target", "left_anti").select(
+        "target", "tokens", F.array("node").alias("nodes"), F.array("w").alias("weights"), F.array((F.length("tokens") / 8).cast("long")).alias("sizes"), F.lit(None).cast("binary").alias("places"),
     )
-    keyed = heads.select("node", "n", "counts", "h").join(written(keys), "node").join(classes.select("node", "w"), "node")
-    keyed = written(keyed)
-    load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"))
-    dealt = load.select("key", F.ceil(F.greatest(F.col("tokens") / group_tokens, F.col("members") / 512)).cast("long").alias("blocks")).filter("blocks > 1")
-    block = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)).cast("long")))
-    grouped = written(keyed.join(written(dealt), "key", "left").select("node", "n", "w", "h", "counts", block.alias("group")))
-
-    # The matrix of tokens and groups, the pairs of groups that meet in it, and those of them that could hold a link.
-    matrix = written(met.select("token", "node").join(grouped.select("node", "group"), "node").select("token", "group").distinct())
-    pairs = matrix.alias("a").join(matrix.alias("b"), "token").filter(F.col("a.group") < F.col("b.group")).select(
-        F.col("a.group").alias("g1"), F.col("b.group").alias("g2")
-    ).distinct()
-    sums = grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big"))
-    sums = written(sums)
-    several = sums.filter("members > 1").select("group")
-    wide = grouped.join(several, "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, c binary")
-    alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("c"))
-    stats = written(sums.select("group", "t", "small", "big").join(wide.unionByName(alone), "group"))
-    one, two = (stats.toDF(f"g{i}", f"t{i}", f"small{i}", f"big{i}", f"c{i}") for i in (1, 2))
-    pairs = pairs.join(one, "g1").join(two, "g2")
-    pairs = pairs.mapInPandas(_possible(num, den), "g1 long, g2 long, t1 long, t2 long")
-    # The smaller group is sent to the larger one.
-    turned = F.col("t1") < F.col("t2")
-    sent = written(pairs.select(
-        F.when(turned, F.col("g2")).otherwise(F.col("g1")).alias("target"), F.when(turned, F.col("g1")).otherwise(F.col("g2")).alias("group"),
-        F.least("t1", "t2").alias("tokens"),
-    ))
-    slices = sent.groupBy("target").agg(F.ceil(F.sum("tokens") / slice_tokens).cast("long").alias("slices"))
-    targets = slices.join(several.withColumnRenamed("group", "target"), "target", "full_outer")
-    targets = written(targets.select("target", F.coalesce("slices", F.lit(1)).cast("long").alias("slices")))
-
-    # Sets again, for the classes of those groups only; no text is shuffled.
-    used = targets.select(F.col("target").alias("group")).union(sent.select("group")).distinct()
-    chosen = written(grouped.join(written(used), "group", "left_semi").select("h", "node", "n", "w", "group"))
-    known = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen, "h"))
-
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Shingler(k)
-        for batch in batches:
-            at = batch["h"].to_numpy() & (1 << BITMAP) - 1
-            some = batch[(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-            yield pd.DataFrame({"h": some["h"], "tokens": [of(t).tobytes() for t in some["text"]]}).astype({"h": "int64"})
-
-    sets = docs.select(F.expr(_HASH).alias("h"), "text").mapInPandas(again, "h long, tokens binary").join(chosen, "h").drop("h")
-    # Rows that repeat in doc_id and text would bring their class again.
-    repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count()
-    sets = written(sets.dropDuplicates(["node"]) if repeated else sets)
-    columns = ["target", "slice", "role", "node", "n", "w", "tokens"]
-    members = sets.withColumnRenamed("group", "target").join(targets, "target")
-    members = members.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1))).withColumn("role", F.lit(0))
-    asked = sets.join(sent.select("group", "target"), "group").join(targets, "target")
-    asked = asked.withColumn("slice", F.pmod(F.xxhash64("group"), F.col("slices"))).withColumn("role", F.lit(1))
-    blocks = members.select(columns).unionByName(asked.select(columns))
-    found = written(blocks.groupBy("target", "slice").applyInPandas(_opened(num, den), "node long, root long, links long"))
-
-    linked = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    kept = stored.select(F.col("group").alias("target"), F.col("union").alias("tokens"), "nodes", "weights", "sizes", "places").unionByName(single)
+    kept = kept.join(slices, "target").withColumn("slice", F.explode(F.expr("sequence(0L, slices - 1)"))).withColumns({"role": F.lit(0), "node": F.lit(0).cast("long"), "w": F.lit(0).cast("long")})
+    queries = asked.select("node", "target").join(sets.drop("group"), "node").join(slices, "target").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
+    nothing = {"nodes": F.lit(None).cast("array<long>"), "weights": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<long>"), "places": F.lit(None).cast("binary"), "role": F.lit(1)}
+    columns = ["target", "slice", "role", "node", "w", "tokens", "nodes", "weights", "sizes", "places"]
+    blocks = kept.select(columns).unionByName(queries.withColumns(nothing).select(columns))
+    found = written(blocks.groupBy("target", "slice").applyInPandas(_opened(num, den), "u long, v long, links long").unionByName(edges))
+
+    linked = written(components(found.select("u", "v")))
     of = classes.select("d1", "d2", "n", "node", "first", "w")
-    labels = written(of.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    labels = written(of.join(linked, "node", "left").filter("w > 1 or component is not null").withColumn("component", F.coalesce("component", "node")))
     least = labels.groupBy("component").agg(F.min("first").alias("component_id"))
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    named = written(
-        labels.filter((F.col("w") > 1) | (F.col("component") != F.col("node"))).unionByName(
-            labels.filter("w = 1 and component = node").join(linked.select("node"), "node", "left_semi").select(labels.columns)
-        ).join(least, "component").join(degree, "node", "left")
-        .select("d1", "d2", "n", "component", "component_id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"))
+    named = labels.join(least, "component").withColumn("n_links", F.col("w") - 1)
+    if links:
+        named = named.join(found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links")), "node", "left").withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("w") - 1)
+    named = written(named.select("d1", "d2", "n", "component", "component_id", "n_links"))
+    out = rows.join(named, ["d1", "d2", "n"], "left")
+    degree = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if links else []
+    return out.select(
+        "row", "doc_id", "h", F.col("n").alias("n_shingles"), *degree,
+        F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "component",
     )
-    return rows.join(named, ["d1", "d2", "n"], "left").select(
-        "row", "doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "component",
-    )
-
 
-def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, rows: bool = False) -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; a document is its doc_id.
 
-    With ``rows`` a document is a row: one row of each component stays, whatever the doc_ids are, one with the smallest
-    doc_id (null only if all are); of rows that agree in doc_id and text any one.
-    """
-    marked = docs.withColumn("__h", F.expr(_HASH))
-    found = jaccard_components(docs, k, num, den)
-    if not rows:
-        gone = written(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("h").alias("__h")))
-        return marked.join(gone, "__h", "left_anti").select(docs.columns)
-    linked = written(found.filter("n_links > 0").groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row")))
-    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h")).alias("first"))
-    kept = written(first.select(F.col("first.h").alias("h")))
-    gone = written(linked.join(kept, "h", "left_anti").select(F.col("h").alias("__h")))
-    again = written(linked.filter("times > 1").join(kept, "h", "left_semi").select(F.col("h").alias("__h")))
-    left = marked.join(gone, "__h", "left_anti")
-    if again.limit(1).count():
-        left = left.join(again, "__h", "left_anti").unionByName(left.join(again, "__h", "left_semi").dropDuplicates(["__h"]))
-    return left.select(docs.columns)
+def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with one row of each component, whatever the doc_ids are: one with the smallest doc_id (null only if all
+    are); of rows that agree in doc_id and text any one."""
+    with scratch():
+        linked = jaccard_components(docs, k, num, den).filter("component is not null")
+        linked = written(linked.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row")))
+        first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h")).alias("first"))
+        kept = written(first.select(F.col("first.h").alias("h")))
+        gone = written(linked.join(kept, "h", "left_anti").select("h"), keep=True)
+        again = written(linked.filter("times > 1").join(kept, "h", "left_semi").select("h"), keep=True)
+        repeats = again.limit(1).count() > 0
+    # All columns under other names, so that theirs can't clash with the hash.
+    plain = docs.select(F.expr(_HASH).alias("h"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    left = plain.join(gone, "h", "left_anti")
+    if repeats:
+        left = left.join(again, "h", "left_anti").unionByName(left.join(again, "h", "left_semi").dropDuplicates(["h"]))
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-gram sets at a Jaccard similarity of 0.9."""
-    return jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+    with scratch():
+        found = jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
+        return written(found.select("doc_id", "n_shingles", "component_id"), keep=True)
 
 
 OP5_SQL = r"""
@@ -437,7 +484,7 @@ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.
 e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 90 * (na.n + nb.n - c)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id, doc_id AS m FROM documents UNION SELECT u.b, r.m FROM r JOIN u ON u.a = r.doc_id),
-m AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id), l AS (SELECT a AS doc_id, count(*) AS n_links FROM u GROUP BY a)
-SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(n_links, 0)::BIGINT AS n_links
-FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN l USING (doc_id)
+m AS (SELECT doc_id, min(m) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """

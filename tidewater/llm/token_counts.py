@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read, shared_dir, word_count, written
+from .common import owned, read, shared_folder, word_count, written
 
 KEYS = ("source", "lang", "tokenizer")
 FACTS = "source string, lang string, tokenizer string, docs long, tokens long"
