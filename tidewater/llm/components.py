@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small, written
+from .common import written
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -23,11 +23,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _mark(e)
     while before[0]:
         both = e.union(e.select("v", "u")).toDF("a", "b")
-        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        star = both.join(small(least, before[0]), "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
-        star = written(star)
-        low = written(star.groupBy("u").agg(F.min("v").alias("m")))
-        rest = star.join(small(low, before[0]), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        star = written(both.join(least, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct())
+        low = star.groupBy("u").agg(F.min("v").alias("m"))
+        rest = star.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(rest.union(low).distinct())
         after = _mark(e)
         if after == before:

@@ -209,12 +209,6 @@ def _possible(num: int, den: int):
     return run
 
 
-def _largest(members: pd.DataFrame) -> pd.DataFrame:
-    some = members["counts"]
-    most = None if some.isna().any() else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
-    return pd.DataFrame({"group": members["group"].iloc[:1], "most": [most]})
-
-
 class _Links:
     """Roots of nodes, and, if wanted, numbers of links."""
 
@@ -259,7 +253,7 @@ class _Group:
             links.join(node, weight, int(self.nodes[j]), int(self.weights[j]))
 
 
-STORED = "group long, union binary, nodes array<long>, weights array<long>, sizes array<long>, places binary, edges array<struct<u:long,v:long,links:long>>"
+STORED = "group long, most binary, union binary, nodes array<long>, weights array<long>, sizes array<long>, places binary, edges array<struct<u:long,v:long,links:long>>"
 
 
 def _stored(num: int, den: int):
@@ -275,9 +269,10 @@ def _stored(num: int, den: int):
             group.ask(int(nodes[i]), int(weights[i]), sets[i], links, i + 1)
         for node, w, t in block.loc[block["guest"], ["node", "w", "tokens"]].itertuples(index=False):
             group.ask(int(node), int(w), np.frombuffer(t, np.uint64), links)
-        edges = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()]
+        edges, some = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()], [counts(x) for x in sets]
+        most = None if None in some else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
         return pd.DataFrame({
-            "group": own["group"].iloc[:1], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
+            "group": own["group"].iloc[:1], "most": [most], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
             "places": [places.astype(np.int32).tobytes()], "edges": [edges],
         })
 
@@ -413,10 +408,9 @@ def jaccard_components(
     edges = stored.select(F.explode("edges").alias("e")).select("e.*")
 
     # Queries of other groups.
-    wide = grouped.join(several, "group", "left_semi").select("group", "counts").groupBy("group").applyInPandas(_largest, "group long, most binary")
     alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("most"))
     comp = None if links else written(components(edges.select("u", "v"))).withColumnRenamed("component", "comp")
-    asked = _asked(met, grouped, written(sums.join(wide.unionByName(alone), "group")), comp, num, den)
+    asked = _asked(met, grouped, written(sums.join(stored.select("group", "most").unionByName(alone), "group")), comp, num, den)
     slices = asked.groupBy("target").agg(F.ceil(F.sum("n") / slice_tokens).cast("long").alias("slices"))
     chosen = asked.select("node").union(slices.join(several.withColumnRenamed("group", "target"), "target", "left_anti").join(
         grouped.select(F.col("group").alias("target"), "node"), "target").select("node")).distinct()
