@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read
+from .common import appended, read
 
 Template = Callable[[list[tuple[str, str]]], str]
 
@@ -32,10 +32,8 @@ _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 PROBE = "\ue000\ue001\ue000"
 
-SCHEMA = (
-    "conv_id long, n_turns long, formatted string, turn_spans array<struct<start:long,end:long>>, "
-    "loss_spans array<struct<start:long,end:long>>, rewrites boolean"
-)
+SPANS = "array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def escape(text: str) -> str:
@@ -84,41 +82,42 @@ def format_chats(turns: DataFrame, template: Template = inst_template, learn_fro
         ).alias("turns")
     )
 
-    def render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def make():
+        def render(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = []
-            for conv_id, listed in zip(batch["conv_id"], batch["turns"], strict=True):
+            for listed in batch.column("turns").to_pylist():
                 pairs = [(t["role"], t["text"]) for t in listed]
                 text, spans, texts, rewrites = locate(pairs, template)
                 loss = [] if rewrites else [s for s, (role, _) in zip(texts, pairs, strict=True) if role in learn_from]
-                rows.append((
-                    None if pd.isna(conv_id) else int(conv_id), len(pairs), text,
-                    [{"start": a, "end": b} for a, b in spans], [{"start": a, "end": b} for a, b in loss], rewrites,
-                ))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "formatted", "turn_spans", "loss_spans", "rewrites"]).astype({"conv_id": "Int64"})
+                rows.append((len(pairs), text, *([{"start": a, "end": b} for a, b in x] for x in (spans, loss)), rewrites))
+            return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), _SPANS, _SPANS, pa.bool_()), strict=True)]
+
+        return render
 
-    return chats.mapInPandas(render, SCHEMA)
+    return appended(chats, make, f"n_turns long, formatted string, turn_spans {SPANS}, loss_spans {SPANS}, rewrites boolean", drop=("turns",))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
     """Digest columns, read back from the formatted text and the loss mask alone."""
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def make():
+        def sums(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = []
-            for conv_id, text, loss, rewrites in zip(batch["conv_id"], batch["formatted"], batch["loss_spans"], batch["rewrites"], strict=True):
+            for text, loss in zip(batch.column("formatted").to_pylist(), batch.column("loss_spans").to_pylist(), strict=True):
                 turns = read_back(text)
                 learnt = "".join(unescape(text[s["start"] : s["end"]]) for s in loss)
                 rows.append((
-                    None if pd.isna(conv_id) else int(conv_id), len(turns),
-                    hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
-                    len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text), rewrites,
+                    len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest(),
+                    len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text),
                 ))
-            yield pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]).astype({"conv_id": "Int64"})
+            long, string = pa.int64(), pa.string()
+            return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (long, string, long, string, long), strict=True)]
 
-    return formatted.mapInPandas(
-        sums, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean"
-    )
+        return sums
+
+    schema = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    found = appended(formatted.select("conv_id", "rewrites", "formatted", "loss_spans"), make, schema, drop=("formatted", "loss_spans"))
+    return found.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
