@@ -1,78 +1,94 @@
 """Language identification by segmentation-marginalised unigrams.
 
-The pieces are the letter-only entries of a fixed public vocabulary, as bytes, and all single bytes. A language gives each
+The pieces are all letter-only entries of a fixed public vocabulary, as bytes, and all single bytes. A language gives each
 piece a probability; a word's probability is the sum over all its segmentations of the product of its pieces', which the
 forward algorithm computes in one pass over the word. Words are runs of letters, lower-cased. Piece probabilities come
 from expectation-maximisation over word counts: a Spark job per round returns expected counts by (language, piece), at
 most languages times vocabulary rows.
 
 The model is fitted on at most about ``train_docs`` labelled documents, chosen by hash within each language, of
-which rare ones keep all of theirs; everything is scored.
-Forward and backward run on arrays of equally long words, and a worker keeps the scores of up to ``CACHE`` words.
+which rare ones keep all of theirs, and on words of at most ``TRAIN_BYTES`` bytes; everything is scored.
+Forward and backward run on arrays of equally long words, in logarithms where words are long, and a worker keeps the scores
+of up to ``CACHE`` words.
 
 Defined results: null text, and text without a letter, is ``und`` with score 0; null lang is never learned; with nothing
 to learn from everything is ``und``; ties go to the first language in code-point order; repeated rows give repeated
-results; words above 48 bytes are scored in parts of 48; a very long text is one row, scored in chunks.
+results; ``held_out`` is false for a null doc_id; other columns, whatever their names, are kept by ``of_stated_language``.
+A very long text is one row, scored in chunks; a word of any length is scored whole.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, LongType
 
-from .common import read, written
+from .common import appended, read, scratch, written
 
+#: Where the vocabulary lies, unless the session's ``spark.tidewater.language.vocabulary`` says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-LONGEST = 8
-PART = 48
+#: Bytes up to which a word's probability needs no logarithms, and above which a word is worked on in chunks of as many.
+SHORT, LONG = 32, 1024
+TRAIN_BYTES = LONG
 CACHE = 300_000
 WORD = re.compile(r"[^\W\d_]+")
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pieces_of(path: str = VOCABULARY) -> list[bytes]:
-    """Letter-only pieces of at most 8 bytes of a rank file, lower-cased, without leading space, and all single bytes."""
+    """Letter-only pieces of a rank file, lower-cased, without leading space, and all single bytes."""
     found = {bytes([b]) for b in range(256)}
     with open(path, "rb") as f:
         for line in f:
             piece = base64.b64decode(line.split()[0]).decode("utf-8", "ignore").strip().lower()
-            raw = piece.encode()
-            if piece.isalpha() and len(raw) <= LONGEST:
-                found.add(raw)
+            if piece.isalpha():
+                found.add(piece.encode())
     return sorted(found)
 
 
-def _code(piece: bytes) -> int:
-    return int.from_bytes(piece, "big")
+def vocabulary_of(spark: SparkSession) -> list[bytes]:
+    return pieces_of(spark.conf.get("spark.tidewater.language.vocabulary", VOCABULARY))
 
 
 class Pieces:
-    """Piece numbers of all substrings of equally long words."""
+    """Piece numbers of all substrings of equally long words, by hashes that run along the words; hits are verified."""
 
     def __init__(self, pieces: list[bytes]) -> None:
         self.n = len(pieces)
         self.tables = {}
-        for length in range(1, LONGEST + 1):
-            own = sorted((_code(p), i) for i, p in enumerate(pieces) if len(p) == length)
-            self.tables[length] = (np.array([c for c, _ in own], np.uint64), np.array([i for _, i in own], np.int64))
+        for length in sorted({len(p) for p in pieces}):
+            numbers = np.array([i for i, p in enumerate(pieces) if len(p) == length])
+            data = np.frombuffer(b"".join(pieces[i] for i in numbers), np.uint8).reshape(len(numbers), length)
+            codes = np.zeros(len(numbers), np.uint64)
+            for i in range(length):
+                codes = codes * _STEP + data[:, i] + np.uint64(1)
+            order = codes.argsort()
+            self.tables[length] = codes[order], numbers[order], data[order]
+        self.longest = max(self.tables)
 
     def substrings(self, words: np.ndarray) -> dict[int, np.ndarray]:
-        """Length -> array (words, starts) of piece numbers; ``self.n`` where a substring is no piece."""
+        """Length -> array (words, starts) of piece numbers, ``self.n`` where a substring is no piece; lengths without any are left out."""
         size = words.shape[1]
         codes, found = np.zeros(words.shape, np.uint64), {}
-        for length in range(1, min(LONGEST, size) + 1):
-            codes = codes[:, : size - length + 1] * np.uint64(256) + words[:, length - 1 :]
-            table, numbers = self.tables[length]
-            if len(table):
-                at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
-                found[length] = np.where(table[at] == codes, numbers[at], self.n)
+        for length in range(1, min(self.longest, size) + 1):
+            codes = codes[:, : size - length + 1] * _STEP + words[:, length - 1 :] + np.uint64(1)
+            if length not in self.tables:
+                continue
+            table, numbers, data = self.tables[length]
+            at = np.minimum(np.searchsorted(table, codes), len(table) - 1)
+            row, start = np.nonzero(table[at] == codes)
+            hit = at[row, start]
+            same = (words[row[:, None], start[:, None] + np.arange(length)] == data[hit]).all(axis=1)
+            if same.any():
+                found[length] = np.full(codes.shape, self.n)
+                found[length][row[same], start[same]] = numbers[hit[same]]
         return found
 
 
@@ -81,16 +97,12 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        for part in range(0, len(at), 20_000):
-            some = at[part : part + 20_000]
+        step = max(1, 320_000 // max(int(size), 16))
+        for part in range(0, len(at), step):
+            some = at[part : part + step]
             yield some, np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), size).astype(np.uint64)
 
 
-def parts(word: str) -> list[bytes]:
-    raw = word.encode("utf-8", "surrogatepass")
-    return [raw[i : i + PART] for i in range(0, len(raw), PART)]
-
-
 def forward(found: dict[int, np.ndarray], probs: np.ndarray, size: int) -> np.ndarray:
     """alpha (words, size + 1, languages). ``probs`` (pieces + 1, languages), last row zero."""
     n = next(iter(found.values())).shape[0]
@@ -104,39 +116,70 @@ def forward(found: dict[int, np.ndarray], probs: np.ndarray, size: int) -> np.nd
     return alpha
 
 
+def log_forward(found: dict[int, np.ndarray], logs: np.ndarray, size: int) -> np.ndarray:
+    """Logarithms of alpha, for words of any length."""
+    n = next(iter(found.values())).shape[0]
+    alpha = np.full((n, size + 1, logs.shape[1]), -np.inf)
+    alpha[:, 0] = 0.0
+    for end in range(1, size + 1):
+        terms = [alpha[:, end - length] + logs[ids[:, end - length]] for length, ids in found.items() if length <= end]
+        alpha[:, end] = np.logaddexp.reduce(terms)
+    return alpha
+
+
+def log_long(word: bytes, pieces: Pieces, logs: np.ndarray, chunk: int = LONG) -> np.ndarray:
+    """Log-probability of one word, whose bytes are worked on in chunks; only the last positions are kept."""
+    last = deque([np.zeros(logs.shape[1])], maxlen=pieces.longest)
+    for at in range(0, len(word), chunk):
+        low = max(0, at - pieces.longest + 1)
+        found = pieces.substrings(np.frombuffer(word[low : at + chunk], np.uint8).astype(np.uint64)[None])
+        for end in range(at + 1, min(at + chunk, len(word)) + 1):
+            terms = [last[-length] + logs[ids[0, end - length - low]] for length, ids in found.items() if length <= end - low]
+            last.append(np.logaddexp.reduce(terms))
+    return last[-1]
+
+
 def word_scores(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language."""
-    cut = [parts(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(c) for c in cut])
-    flat = list(chain.from_iterable(cut))
-    logs = np.zeros((len(flat), probs.shape[1]))
-    for at, chars in by_length(flat):
-        alpha = forward(pieces.substrings(chars), probs, chars.shape[1])
-        logs[at] = np.log(np.maximum(alpha[:, -1], 1e-300))
+    raw = [w.encode("utf-8", "surrogatepass") for w in words]
+    with np.errstate(divide="ignore"):
+        logs = np.log(probs)
     out = np.zeros((len(words), probs.shape[1]))
-    np.add.at(out, owner, logs)
+    short = [i for i, w in enumerate(raw) if len(w) <= LONG]
+    for at, chars in by_length([raw[i] for i in short]):
+        found, size = pieces.substrings(chars), chars.shape[1]
+        rows = np.array(short)[at]
+        if size <= SHORT:
+            out[rows] = np.log(np.maximum(forward(found, probs, size)[:, -1], 1e-300))
+        else:
+            out[rows] = log_forward(found, logs, size)[:, -1]
+    for i, w in enumerate(raw):
+        if len(w) > LONG:
+            out[i] = log_long(w, pieces, logs)
     return out
 
 
 def _expected(words: list[bytes], counts: np.ndarray, pieces: Pieces, probs: np.ndarray | None) -> np.ndarray:
     """Expected piece counts of one language; without probabilities every occurrence of a piece counts."""
     total = np.zeros(pieces.n + 1)
+    logs = None
+    if probs is not None:
+        with np.errstate(divide="ignore"):
+            logs = np.log(probs)
     for at, chars in by_length(words):
         found, weight, size = pieces.substrings(chars), counts[at], chars.shape[1]
-        if probs is None:
+        if logs is None:
             for length, ids in found.items():
                 total += np.bincount(ids.ravel(), np.repeat(weight * length / size, ids.shape[1]), pieces.n + 1)
             continue
-        alpha = forward(found, probs[:, None], size)[:, :, 0]
-        beta = np.zeros_like(alpha)
-        beta[:, size] = 1.0
+        alpha = log_forward(found, logs[:, None], size)[:, :, 0]
+        beta = np.full_like(alpha, -np.inf)
+        beta[:, size] = 0.0
         for start in range(size - 1, -1, -1):
-            for length, ids in found.items():
-                if start + length <= size:
-                    beta[:, start] += probs[ids[:, start]] * beta[:, start + length]
-        scale = weight / np.maximum(alpha[:, size], 1e-300)
+            terms = [logs[ids[:, start]] + beta[:, start + length] for length, ids in found.items() if start + length <= size]
+            beta[:, start] = np.logaddexp.reduce(terms)
         for length, ids in found.items():
-            flow = alpha[:, : size - length + 1] * probs[ids] * beta[:, length:] * scale[:, None]
+            flow = np.exp(alpha[:, : size - length + 1] + logs[ids] + beta[:, length:] - alpha[:, -1:]) * weight[:, None]
             total += np.bincount(ids.ravel(), flow.ravel(), pieces.n + 1)
     total[pieces.n] = 0
     return total
@@ -178,7 +221,7 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
             for lang, texts in batch.groupby("lang")["text"]:
                 c = Counter()
                 for t in texts:
-                    c.update(WORD.findall(t.lower()))
+                    c.update(w for w in WORD.findall(t.lower()) if 4 * len(w) <= TRAIN_BYTES)
                 if c:
                     yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
@@ -195,9 +238,8 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
             known, p = model.value
             for batch in batches:
                 for lang, own in batch.groupby("lang"):
-                    cut = [parts(w) for w in own["word"]]
-                    counts = np.repeat(own["n"].to_numpy(float), [len(c) for c in cut])
-                    total = _expected(list(chain.from_iterable(cut)), counts, pieces, None if p is None else p[:, known.index(lang)])
+                    raw = [w.encode("utf-8", "surrogatepass") for w in own["word"]]
+                    total = _expected(raw, own["n"].to_numpy(float), pieces, None if p is None else p[:, known.index(lang)])
                     at = np.flatnonzero(total > 1e-6)
                     yield pd.DataFrame({"lang": lang, "piece": at, "n": total[at]})
 
@@ -214,12 +256,15 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
     return languages, probs
 
 
-def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 2_000_000, votes: bool = False) -> DataFrame:
-    """``docs`` with lang_pred and score (the posterior under equal priors); with ``votes`` also the number of words that
-    are likeliest in each language, in the order of ``languages``."""
+def identify(
+    docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 2_000_000, votes: bool = False, text: str = "text"
+) -> DataFrame:
+    """``docs`` without the column ``text``, unless there are ``votes``, with lang_pred and score (the posterior under equal
+    priors); with ``votes`` also the number of words that are likeliest in each language, in the order of ``languages``."""
     shared = docs.sparkSession.sparkContext.broadcast((languages, probs, vocabulary))
+    where = docs.columns.index(text)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         known, p, vocab = shared.value
         pieces, cache = Pieces(vocab), {}
         table = np.zeros((0, len(known)))
@@ -249,8 +294,8 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                     cast = np.bincount(cells, minlength=cast.size).reshape(cast.shape)
             return sums, sizes, cast
 
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = [t or "" for t in batch.column(where).to_pylist()]
             sums, sizes, cast = np.zeros((len(texts), len(known))), np.zeros(len(texts), int), np.zeros((len(texts), len(known)), np.int64)
             start = 0
             while known and start < len(texts):
@@ -258,12 +303,13 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                 while end < len(texts) and (end == start or chars < chunk):
                     chars += len(texts[end])
                     end += 1
-                if end == start + 1 and chars > chunk:  # one very long text, cut after spaces
-                    text, at = texts[start], 0
-                    while at < len(text):
-                        cut = text.rfind(" ", at + 1, at + chunk) if at + chunk < len(text) else len(text)
-                        cut = at + chunk if cut <= at else cut
-                        s, n, c = totals([text[at:cut]])
+                if end == start + 1 and chars > chunk:  # one very long text, cut where no word goes on
+                    body, at = texts[start], 0
+                    while at < len(body):
+                        cut = min(at + chunk, len(body))
+                        while cut < len(body) and WORD.match(body[cut]):
+                            cut += 1
+                        s, n, c = totals([body[at:cut]])
                         sums[start] += s[0]
                         sizes[start] += n[0]
                         cast[start] += c[0]
@@ -271,32 +317,27 @@ def identify(docs: DataFrame, languages: list[str], probs: np.ndarray, vocabular
                 else:
                     sums[start:end], sizes[start:end], cast[start:end] = totals(texts[start:end])
                 start = end
-            out = batch.copy()
             if known:
                 best = sums.argmax(axis=1)
                 posterior = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 letters = np.array([n > 0 and any(map(str.isalpha, t)) for n, t in zip(sizes, texts, strict=True)], bool)
-                out["lang_pred"] = np.where(letters, np.array(known, object)[best], "und")
-                out["score"] = np.where(letters, posterior, 0.0)
+                lang = [known[b] if some else "und" for b, some in zip(best, letters, strict=True)]
+                score = np.where(letters, posterior, 0.0)
             else:
-                out["lang_pred"], out["score"] = "und", 0.0
-            if votes:
-                out["votes"] = list(cast)
-            yield out[keep]
+                lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            return [pa.array(lang, pa.string()), pa.array(score, pa.float64())] + [pa.array(list(cast), pa.list_(pa.int64()))] * votes
+
+        return run
 
-    new = ["lang_pred", "score"] + ["votes"] * votes
-    keep = [c for c in docs.columns if c not in new] + new
-    schema = docs.drop(*new).schema.add("lang_pred", "string").add("score", "double")
-    schema = schema.add("votes", ArrayType(LongType())) if votes else schema
-    return docs.mapInPandas(run, schema)
+    return appended(docs, make, "lang_pred string, score double" + ", votes array<long>" * votes, drop=() if votes else (text,))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def learned(docs: DataFrame, vocabulary_path: str = VOCABULARY, train_docs: int = 12_000):
-    vocabulary = pieces_of(vocabulary_path)
+def learned(docs: DataFrame, train_docs: int = 12_000):
+    vocabulary = vocabulary_of(docs.sparkSession)
     return (*fit(docs.filter(~held_out()).select("doc_id", "text", "lang"), vocabulary, train_docs), vocabulary)
 
 
@@ -307,22 +348,24 @@ def of_stated_language(docs: DataFrame, sure: float = 0.99, least: float = 0.1)
     so a document that quotes a long passage of another language stays. Null ``lang``, and one that was never learned, say
     nothing. The model is fitted on all labelled ``docs``.
     """
-    vocabulary = pieces_of(VOCABULARY)
-    languages, probs = fit(docs.select("doc_id", "text", "lang"), vocabulary)
-    taken = [c for c in ("lang_pred", "score", "votes") if c in docs.columns]
-    found = identify(docs.withColumnsRenamed({c: f"__{c}" for c in taken}), languages, probs, vocabulary, votes=True)
+    vocabulary = vocabulary_of(docs.sparkSession)
+    with scratch():
+        languages, probs = fit(docs.select("doc_id", "text", "lang"), vocabulary)
+    # Columns go by number, so that their names can't clash with those added.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    lang = F.col(f"c{docs.columns.index('lang')}")
+    found = identify(plain, languages, probs, vocabulary, votes=True, text=f"c{docs.columns.index('text')}")
     words = F.aggregate("votes", F.lit(0).cast("long"), lambda a, v: a + v)
     stated = F.lit(None).cast("long")
     for i, name in enumerate(languages):
-        stated = F.when(F.col("lang") == name, F.get("votes", F.lit(i))).otherwise(stated)
-    other = (F.col("lang") != F.col("lang_pred")) & (F.col("score") >= sure) & (stated < least * words)
+        stated = F.when(lang == name, F.get("votes", F.lit(i))).otherwise(stated)
+    other = (lang != F.col("lang_pred")) & (F.col("score") >= sure) & (stated < least * words)
     kept = found.filter((F.col("lang_pred") != "und") & ~F.coalesce(other, F.lit(False)))
-    return kept.select(*(F.col(f"__{c}").alias(c) if c in taken else F.col(c) for c in docs.columns))
+    return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", held_out().alias("held_out"), "text")
-    # The text goes in and stays in the worker.
-    found = identify(rows, *learned(docs))
-    return found.select("doc_id", "held_out", "lang_pred", "score")
+    with scratch():
+        model = learned(docs)
+    return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), *model)
