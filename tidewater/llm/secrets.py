@@ -16,13 +16,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, written
+from .common import appended, read, scratch, written
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -31,10 +30,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 
-SCHEMA = (
-    "row long, doc_id long, owner string, base array<struct<kind:string,start:int,end:int>>, "
-    "found array<struct<hash:long,kind:string,start:int,end:int>>"
-)
+SCHEMA = "base array<struct<kind:string,start:int,end:int>>, found array<struct<hash:long,kind:string,start:int,end:int>>"
+_TYPES = {"hash": pa.int64(), "kind": pa.string(), "start": pa.int32(), "end": pa.int32()}
 
 
 def entropy(value: str) -> float:
@@ -72,20 +69,21 @@ def scan(text: str, bits: float = 3.5) -> tuple[list, list]:
 def scanned(docs: DataFrame, owner: str = "source", bits: float = 3.5) -> DataFrame:
     """row, doc_id, owner, base spans and candidates of every document; ``row`` tells repeated rows apart."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [scan(t, bits) for t in batch["text"]]
-            yield pd.DataFrame({
-                "row": batch["row"], "doc_id": batch["doc_id"], "owner": batch["owner"],
-                "base": [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in b] for b, _ in out],
-                "found": [[dict(zip(("hash", "kind", "start", "end"), s, strict=True)) for s in f] for _, f in out],
-            })
+    def make():
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            out = [scan(t, bits) for t in batch.column("text").to_pylist()]
+            return [
+                pa.array([[dict(zip(names, s, strict=True)) for s in x[i]] for x in out], pa.list_(pa.struct([(n, _TYPES[n]) for n in names])))
+                for i, names in enumerate((("kind", "start", "end"), ("hash", "kind", "start", "end")))
+            ]
+
+        return run
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
         F.col(owner).cast("string").alias("owner"), F.coalesce("text", F.lit("")).alias("text"),
     )
-    return rows.mapInPandas(run, SCHEMA)
+    return appended(rows, make, SCHEMA, drop=("text",))
 
 
 def ownership(found: DataFrame, copied_owners: int = 3) -> DataFrame:

@@ -1,8 +1,8 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context-window scores.
 
 The lexicon is learned: words whose share among toxic training documents is far above their share among clean ones. All
-its words stand in one trie; the automaton of a word within ``edits`` of some entry is the trie walked with rows of edit
-distances, and a branch ends when its row exceeds the bound. Each distinct word of a chunk is walked once and kept.
+its words stand in one trie; a word's automaton is walked along the trie, a state being the place in the word and the edits
+left, and a branch ends where none are left. Each distinct word of a chunk is walked once and kept.
 Words are runs of letters, digits and in-word signs, so 'id1ot' and 'st*pid' meet the automaton whole; where a letter run
 of such a word is an entry, or the whole is near none, its letter runs count. A swap of neighbouring letters is one edit.
 Entries of four letters take one substitution or swap, shorter ones none.
@@ -12,7 +12,8 @@ and misspelled ones, weigh apart in a logistic regression over eight features. I
 ``train_docs`` labelled documents, chosen by hash among those that are not held out; every text is scored.
 
 Defined results: null and empty texts score as texts without hits; ties in the lexicon go by code point; repeated rows
-give repeated results; several labels of a document each count; with nothing to learn from every score is 0.
+give repeated results; several labels of a document each count; with nothing to learn from every score is 0;
+``held_out`` is false for a null doc_id; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,9 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, small, written
+from .common import appended, read, scratch, small, written
 from .language_id import WORD, in_sample
 
 QUOTES = "\"'«»“”„‘’`"
@@ -173,7 +175,7 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) ->
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, edits: int = 1):
@@ -202,23 +204,27 @@ def score(docs: DataFrame, trie: Trie, weights: np.ndarray | None, cache_words:
     """doc_id, score."""
     shared = docs.sparkSession.sparkContext.broadcast((trie, weights))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own, w = shared.value
         cache: dict = {}
-        for batch in batches:
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
             rows = []
-            for t in batch["text"]:
+            for t in batch.column("text").to_pylist():
                 if len(cache) > cache_words:
                     cache.clear()
                 rows.append(features(t or "", own, cache))
             x = np.array(rows, float).reshape(len(rows), len(FEATURES))
-            p = np.zeros(len(x)) if w is None else 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": p})
+            return [pa.array(np.zeros(len(x)) if w is None else 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))))]
+
+        return run
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    return appended(docs.select("doc_id", "text"), make, "score double", drop=("text",))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    scored = score(docs, *fit(docs, read(spark, sf_dir, "labels")))
+    with scratch():
+        model = fit(docs, read(spark, sf_dir, "labels"))
+    scored = score(docs, *model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
