@@ -79,6 +79,45 @@ def test_redact_removes_all_base_spans_and_nothing_else(spark):
     assert redact(df).columns == df.columns and redact(df.limit(0)).count() == 0
 
 
+def test_planted_data_that_no_base_pattern_sees_is_added_and_refuted_candidates_are_not(spark):
+    r = random.Random(5)
+    n = lambda k: "".join(r.choice("0123456789") for _ in range(k))
+
+    def card(mark):
+        body = "4" + n(14)
+        last = next(str(d) for d in range(10) if luhn(body + str(d)))
+        whole = body + last
+        return mark.join(whole[i : i + 4] for i in range(0, 16, 4))
+
+    rows, added, refuted = [], {}, {}
+    for i in range(300):
+        planted = [
+            ("email", f"ann{i} [at] mail{i % 9} [dot] org"), ("phone", f"(3{n(2)}) 5{n(2)}-{n(4)}"), ("card", card(".")), ("phone", f"0044 {n(3)} {n(3)} {n(2)}"),
+        ]
+        wrong = ["4111 1111 1111 1112", "300.12.14.9", "+12 34 5"]
+        kind, value = planted[i % 4]
+        bad = wrong[i % 3]
+        head = f"words of text number x write to me {('e-mail', 'tel', 'card', 'phone')[i % 4]}: "
+        middle = f" and then some more of it, {bad} is none; also a.b{i}@c.de "
+        rows.append((i, head + value + middle))
+        added[i] = f"{kind}:{len(head)}:{len(head) + len(value)}"
+        at = len(head + value) + middle.index(bad)
+        refuted[i] = (at, at + len(bad))
+    out = {x["doc_id"]: x["s"].split(",") for x in find(spark.createDataFrame([(d, t, 1, "x") for d, t in rows], SCHEMA)).select("doc_id", _listed("base", "added").alias("s")).collect()}
+    assert {i: (rows[i][1], out[i]) for i in added if added[i] not in out[i]} == {}
+    spans = {i: [tuple(map(int, x.split(":")[1:])) for x in out[i]] for i in out}
+    assert not any(a < refuted[i][1] and refuted[i][0] < b for i in out for a, b in spans[i])
+    assert all(len(set(x)) == len(x) == sum(1 for _ in x) and all(b <= c for (_, b), (c, _) in zip(sorted(x), sorted(x)[1:])) for x in spans.values())
+
+
+def test_many_matches_in_a_long_text(spark):
+    text = "".join(f"x{i}@y.zz, " for i in range(3000)) + "é" * 70_000 + " +1 (555) 010-9999 " + "z" * 70_000
+    out = find(spark.createDataFrame([(2**53 + 1, text, 1, "x"), (None, "a@b.cd", 1, "x")], SCHEMA)).select("doc_id", _listed("base").alias("b")).collect()
+    assert {x["doc_id"]: x["b"] for x in out} == {2**53 + 1: ",".join(brute(text)), None: "email:0:6"}
+    clean = redact(spark.createDataFrame([(1, text, 1, "x")], SCHEMA)).first()["text"]
+    assert clean == "[EMAIL], " * 3000 + "é" * 70_000 + " [PHONE] " + "z" * 70_000
+
+
 def test_only_native_operators(spark):
     plan = find(spark.createDataFrame([(1, "a@b.c", 1, "x")], SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
