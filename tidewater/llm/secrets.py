@@ -2,8 +2,9 @@
 
 Each text is scanned once. Base patterns give the spans that are always reported; a generator of long mixed tokens adds
 candidates. The hash of every candidate's value is counted over the whole corpus by distinct repositories (documents) and
-owners (sources): a value that ``copied_owners`` or more owners share is a widely copied example, one of fewer owners is
-live-looking. Live-looking candidates outside the base spans are added as ``generic`` spans.
+owners (sources): a value that ``copied_owners`` or more owners share, or that stands in ``copied_repositories`` or more
+repositories, is a widely copied example; any other is live-looking. Live-looking candidates outside the base spans are
+added as ``generic`` spans: long mixed tokens, tokens with a known prefix, passwords within addresses, and private keys.
 
 Counting is by (value, owner) first, so that a value found in a third of all rows meets in one row per owner.
 
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -28,7 +31,10 @@ ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+#: Public prefixes of access tokens, passwords in addresses, heads of private keys.
+KNOWN = re.compile(r"\bgh[opsu]_[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?<=://)[^\s:/@]{1,64}:[^\s:/@]{6,}(?=@)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s*[A-Za-z0-9+/=]{40,}(?:\s[A-Za-z0-9+/=]{40,})*")
 _CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
+_SIGN = re.compile(r"gh[opsu]_|xox|eyJ|://|PRIVATE KEY")
 
 SCHEMA = "base array<struct<kind:string,start:int,end:int>>, found array<struct<hash:long,kind:string,start:int,end:int>>"
 _TYPES = {"hash": pa.int64(), "kind": pa.string(), "start": pa.int32(), "end": pa.int32()}
@@ -58,11 +64,20 @@ def scan(text: str, bits: float = 3.5) -> tuple[list, list]:
     for m in HEX.finditer(text):
         take(2, m.start(), m.end(), m[0])
     base.sort()
-    for m in GENERIC.finditer(text):
-        v = m[0]
-        if any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= bits:
-            if not any(s < m.end() and m.start() < e for s, _, e in base):
-                found.append((xxhash.xxh64_intdigest(v.encode()) - (1 << 63), "generic", m.start(), m.end()))
+    # Spans so far by start, and the furthest end up to each, so that a candidate is tested by one search.
+    taken, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+
+    def mixed(v: str) -> bool:
+        return any(c.isdigit() for c in v) and any(c.isalpha() for c in v) and entropy(v) >= bits
+
+    more = [(m.start(), m.end(), m[0]) for m in KNOWN.finditer(text)] if _SIGN.search(text) else []
+    more += [(m.start(), m.end(), m[0]) for m in GENERIC.finditer(text) if mixed(m[0])]
+    last = 0
+    for start, end, v in sorted(more, key=lambda x: (x[0], -x[1])):
+        at = bisect_left(taken, end)
+        if start >= last and not (at and ends[at - 1] > start):
+            found.append((xxhash.xxh64_intdigest(v.encode("utf-8", "surrogatepass")) - (1 << 63), "generic", start, end))
+            last = end
     return [(KINDS[k], s, e) for s, k, e in base], found
 
 
@@ -86,28 +101,30 @@ def scanned(docs: DataFrame, owner: str = "source", bits: float = 3.5) -> DataFr
     return appended(rows, make, SCHEMA, drop=("text",))
 
 
-def ownership(found: DataFrame, copied_owners: int = 3) -> DataFrame:
+def ownership(found: DataFrame, copied_owners: int = 3, copied_repositories: int = 20) -> DataFrame:
     """hash, repositories, owners, live for every candidate value of the corpus."""
     cands = found.select("doc_id", "owner", F.explode("found").alias("c")).select("doc_id", "owner", F.col("c.hash").alias("hash"))
     by_doc = cands.groupBy("hash", "owner", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_doc.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("docs"))
     by_value = by_owner.groupBy("hash").agg(F.sum("docs").alias("repositories"), F.count(F.lit(1)).alias("owners"))
-    return by_value.withColumn("live", F.col("owners") < copied_owners)
+    return by_value.withColumn("live", (F.col("owners") < copied_owners) & (F.col("repositories") < copied_repositories))
 
 
-def secrets(docs: DataFrame, owner: str = "source", bits: float = 3.5, copied_owners: int = 3) -> DataFrame:
-    """doc_id, base, added (arrays of kind, start, end), n_live and n_copied: one row per row of ``docs``."""
+def secrets(docs: DataFrame, owner: str = "source", bits: float = 3.5, copied_owners: int = 3, copied_repositories: int = 20) -> DataFrame:
+    """doc_id, base, added (arrays of kind, start, end), n_live and n_copied: one row per row of ``docs``.
+
+    A live-looking value stands in few repositories, so those alone are joined back to their candidates; the rest are copied.
+    """
     found = written(scanned(docs, owner, bits))
-    counts = ownership(found, copied_owners)
+    live = written(ownership(found, copied_owners, copied_repositories).filter("live").select("hash"))
     cands = found.select("row", F.explode("found").alias("c")).select("row", F.col("c.hash").alias("hash"), "c.kind", "c.start", "c.end")
-    judged = cands.join(counts, "hash").groupBy("row").agg(
-        F.collect_list(F.when(F.col("live") & (F.col("kind") == "generic"), F.struct("kind", "start", "end"))).alias("added"),
-        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
+    judged = cands.join(live, "hash", "left_semi").groupBy("row").agg(
+        F.collect_list(F.when(F.col("kind") == "generic", F.struct("kind", "start", "end"))).alias("added"), F.count(F.lit(1)).alias("n_live")
     )
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    n_live = F.coalesce("n_live", F.lit(0)).cast("long")
     return found.join(judged, "row", "left").select(
-        "doc_id", "base", F.coalesce("added", none).alias("added"),
-        F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        "doc_id", "base", F.coalesce("added", none).alias("added"), n_live.alias("n_live"), (F.size("found") - n_live).alias("n_copied")
     )
 
 
@@ -121,13 +138,11 @@ def _listed(spans: Column) -> Column:
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets(read(spark, sf_dir, "documents"))
-    of = {
-        "assign": F.filter("base", lambda s: s["kind"] == "assign"),
-        "access": F.filter("base", lambda s: s["kind"] == "access"),
-        "hex": F.filter("base", lambda s: s["kind"] == "hex"),
-    }
-    return found.select(
-        "doc_id", *(F.size(x).cast("long").alias(f"n_{k}") for k, x in of.items()),
-        F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied",
-    )
+    with scratch():
+        found = secrets(read(spark, sf_dir, "documents"))
+        of = {k: F.filter("base", lambda s, k=k: s["kind"] == k) for k in KINDS}
+        out = found.select(
+            "doc_id", *(F.size(x).cast("long").alias(f"n_{k}") for k, x in of.items()),
+            F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied",
+        )
+        return written(out, keep=True)
