@@ -2,7 +2,7 @@ import base64
 
 import tiktoken
 
-from tidewater.llm.common import read, shared_dir
+from tidewater.llm.common import read, shared_folder
 from tidewater.llm.token_counts import PATTERN, VOCABULARY, Rollup, bpe_counter, counted, deletes, inserts, op9_token_counts
 
 SF = "/root/testdata/sf0.001"
@@ -30,14 +30,14 @@ def test_query_equals_brute_force(spark):
 
 
 def test_batches_count_once_and_are_undone(spark):
-    rollup = Rollup(spark, shared_dir(spark))
+    rollup = Rollup(spark, shared_folder(spark))
     assert rollup.totals().count() == 0
     rows = spark.createDataFrame([(1, "a b", "s", "en", 2, "x"), (1, "a b", "s", "en", 2, "x"), (2, None, None, None, 0, "x")], SCHEMA)
     assert rollup.commit("a", inserts(rows, "v1")) and not rollup.commit("a", inserts(rows, "v1"))
     rollup.commit("b", deletes(rows.limit(1), "v1"))
     out = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.totals().collect()}
     assert out == {("s", "en"): (1, 2), (None, None): (1, 0)}
-    again = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.compact(shared_dir(spark)).totals().collect()}
+    again = {(r["source"], r["lang"]): (r["docs"], r["tokens"]) for r in rollup.compact(shared_folder(spark)).totals().collect()}
     assert again == out
 
 
@@ -50,6 +50,18 @@ def test_counts_of_edge_texts(spark):
     assert counted(spark.createDataFrame([], SCHEMA).drop("tokens"), bpe_counter(spark)).count() == 0
 
 
+def test_long_texts_count_as_whole(spark):
+    import random
+
+    r = random.Random(3)
+    odd = "".join(r.choice(("  ", "\n\n", " a", "b's", "'re", "12", "½", "漢字", "。", ". ", "Ж", "\x1c", "\u00a0", "-")) for _ in range(3000))
+    texts = [odd, "x" * 300_000, "漢" * 3000 + ",", "  " * 2000 + "a", "ab" * 1500 + " " + "cd" * 1500]
+    df = spark.createDataFrame([(2**53 + 1 + i, t) for i, t in enumerate(texts)] + [(None, "a b")], "doc_id long, text string")
+    for piece in (10, 1000):
+        out = {x["doc_id"]: x["tokens"] for x in counted(df, bpe_counter(spark), piece).collect()}
+        assert out == {2**53 + 1 + i: len(encoding().encode_ordinary(t)) for i, t in enumerate(texts)} | {None: 2}
+
+
 def test_repeated_null_texts_count_once(spark, tmp_path):
     rows = [(1, None, "s", "en"), (2, None, "s", "en"), (3, None, "t", "en"), (4, "a b", "s", "en"), (5, "a b", "s", "en"), (6, "", "s", "en")]
     spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -16,23 +16,27 @@ groups that come to 0 documents and 0 tokens stay in the totals; other columns a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import owned, read, shared_folder, word_count, written
+from .common import appended, owned, read, scratch, shared_folder, word_count, written
 
 KEYS = ("source", "lang", "tokenizer")
 FACTS = "source string, lang string, tokenizer string, docs long, tokens long"
 #: The split pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where the vocabulary lies, unless the session's ``spark.tidewater.tokens.vocabulary`` says otherwise.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Between a letter and an ASCII character that is none, the pattern always ends a match, so counts add up across.
+CUT = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u052f\u3041-\u3096\u4e00-\u9fa5\uac00-\ud7a3])(?=[\x00-@\[-`{-\x7f])")
 
 
-def bpe_counter(spark: SparkSession, path: str = VOCABULARY) -> Callable[[], Callable[[str], int]]:
+def bpe_counter(spark: SparkSession, path: str | None = None) -> Callable[[], Callable[[str], int]]:
     """A factory of counters of byte-level BPE tokens. The vocabulary file is read on the driver, once, and broadcast."""
-    with open(path, "rb") as f:
+    with open(path or spark.conf.get("spark.tidewater.tokens.vocabulary", VOCABULARY), "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
 
     def make() -> Callable[[str], int]:
@@ -46,27 +50,25 @@ def bpe_counter(spark: SparkSession, path: str = VOCABULARY) -> Callable[[], Cal
 
 
 def counted(docs: DataFrame, make: Callable[[], Callable[[str], int]], piece: int = 100_000) -> DataFrame:
-    """``docs`` without its text, with ``tokens``. Texts above ``piece`` characters are cut after white space for bounded memory."""
-    keep = [c for c in docs.columns if c != "text"]
+    """``docs`` without its text, with ``tokens``.
 
-    def pieces(text: str) -> Iterator[str]:
+    Long texts are counted in parts of ``piece`` characters or more, for bounded memory. They are cut only where the split
+    pattern cuts, so counts are those of whole texts; a text without such a place is counted as one.
+    """
+    where = docs.columns.index("text")
+
+    def parts(text: str) -> Iterator[str]:
         start = 0
-        while len(text) - start > piece:
-            cut = max(text.rfind(" ", start, start + piece), text.rfind("\n", start, start + piece))
-            cut = start + piece if cut <= start else cut
-            yield text[start:cut]
-            start = cut
+        while len(text) - start > piece and (at := CUT.search(text, start + piece)):
+            yield text[start : at.start()]
+            start = at.start()
         yield text[start:]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def per_task():
         count = make()
-        for batch in batches:
-            out = batch[keep].copy()
-            out["tokens"] = [0 if t is None else sum(map(count, pieces(t))) for t in batch["text"]]
-            yield out
+        return lambda batch: [pa.array([0 if t is None else sum(map(count, parts(t))) for t in batch.column(where).to_pylist()], pa.int64())]
 
-    schema = docs.select(*keep).schema.add("tokens", "long")
-    return docs.select(*keep, "text").mapInPandas(run, schema)
+    return appended(docs, per_task, "tokens long", drop=("text",))
 
 
 class Rollup:
@@ -121,8 +123,13 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "text", "source", "lang", F.xxhash64("text").alias("hash"), F.coalesce(F.length("text"), F.lit(-1)).alias("chars"), word_count(F.col("text")).alias("words")
     )
-    rows = written(counted(docs, bpe_counter(spark)))
-    rollup = Rollup(spark, shared_dir(spark))
+    path = shared_folder(spark)
+    owned(spark, path)
+    with scratch():
+        return _rollup(Rollup(spark, path), written(counted(docs, bpe_counter(spark)))).totals()
+
+
+def _rollup(rollup: Rollup, rows: DataFrame) -> Rollup:
     rollup.commit("0-insert", inserts(rows, "words", "words"))
     for _ in range(2):
         rollup.commit("1-recount", deletes(rows, "words", "words").unionByName(inserts(rows, "byte_bpe_50k")))
@@ -138,4 +145,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), (-F.col("n")).alias("docs"), (-F.col("n") * F.col("tokens")).alias("tokens")
     )
     rollup.commit("2-repetitions", gone)
-    return rollup.totals()
+    return rollup
