@@ -4,7 +4,7 @@ from tidewater.llm.common import read
 from tidewater.llm.decontaminate import contamination, op8_decontaminate, without_benchmark
 
 SF = "/root/testdata/sf0.01"
-DOCS, ITEMS = "doc_id long, text string, hash string, pos int", "item_id long, text string"
+DOCS, ITEMS = "doc_id long, text string, hash string, __doc int", "item_id long, text string"
 QUESTION = "A train leaves the station at 9 and travels 120 km in 2 hours before the driver Anna stops, how fast did it go on that long way north?"
 
 
@@ -34,6 +34,16 @@ def test_inconsistent_slots_are_not_found(spark):
     same = item.replace("5", "8")
     mixed = item.replace("5", "8", 1).replace("5", "3", 1)
     assert run(spark, [(1, same), (2, mixed)], [(1, item)]) == {(1, 1)}
+    # Two values of the item may not meet one of the document either.
+    two = "Take 4 pears and 9 plums from the shelf and then put 4 pears and 9 plums into the old wooden bowl again"
+    assert run(spark, [(1, two.replace("9", "6")), (2, two.replace("9", "4"))], [(1, two)]) == {(1, 1)}
+
+
+def test_items_are_found_in_any_case(spark):
+    words = "what do the old ships carry across the cold northern sea in the first days of winter".split()
+    items = [(1, " ".join(words)), (2, " ".join(w.title() for w in reversed(words))), (3, QUESTION.upper()), (4, "Who Wrote The Long Book About Rivers In Peru")]
+    docs = [(10 * i + j, f"so it begins. {f(t)} and so it ends.") for i, t in items for j, f in enumerate((str, str.lower, str.upper, str.title))]
+    assert run(spark, docs, items) == {(d, d // 10) for d, _ in docs}
 
 
 def test_edges(spark):

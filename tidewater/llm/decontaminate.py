@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders, punctuation and case go, and
 words. Windows of five template words of the benchmark are hash-joined with those of the documents. A document holds an
 item if it has at least ``least`` (0.8) of the item's distinct windows, or covers as large a share of the item's words (8 or
 more) with them, or holds ``RUN`` (13) template words of it in a row; and the slots agree: along each alignment of the
-two sequences, an item's value of a type always meets one and the same value of the document.
+two sequences, an item's value of a type always meets one and the same value of the document, and no other item's value
+meets that.
 So a question with other numbers, one with an edited word and a long part of one are found, and a mere likeness in form is
 not.
 
@@ -21,14 +22,15 @@ Values are looked up again only in documents that hold enough windows. The bench
 counted number is within the bound, else Spark shuffles both sides by hash; documents emit one row per matching window.
 
 Defined results: null and empty texts match nothing, nor do items without letter and digit; rows with one doc_id count as
-one document, and a null doc_id is one; repeated items match alike; empty tables give no rows; other columns are ignored.
+one document, and a null doc_id is one; repeated items match alike; empty tables give no rows; other columns,
+whatever their names, are ignored here and kept by ``without_benchmark``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import read, small, written
+from .common import read, scratch, small, written
 
 WINDOW = 5
 LEAST = 0.8
@@ -133,9 +135,10 @@ def _places(words: str, kind: str) -> Column:
 
 def _matches(docs: DataFrame, wanted: DataFrame, sizes: list[int], kind: str = NAMES) -> tuple[DataFrame, DataFrame]:
     """A row per window of a document that an item has; and per pair its matched windows and their places in the item."""
-    n = wanted.count()
+    n, places = wanted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("item_pos")), F.lit(0))).first()
+    row_bytes = 64 + 4 * places // max(n, 1)
     totals = wanted.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"), F.max("words").alias("words"))
-    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes, kind).join(small(wanted.drop("words"), n), ["size", "hash"])
+    hits = windows(docs.select("doc_id", "text"), "doc_id", sizes, kind).join(small(wanted.drop("words"), n, row_bytes), ["size", "hash"])
     hits = written(hits.select("doc_id", "item_id", "size", "hash", "pos", "item_pos"))
     per = hits.groupBy("doc_id", "item_id", "size", "hash").agg(F.first("item_pos").alias("item_pos")).groupBy("doc_id", "item_id").agg(
         F.count(F.lit(1)).alias("matched"), F.max("size").alias("size"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_pos")))).alias("places")
@@ -168,8 +171,10 @@ def _templates(docs: DataFrame, items: DataFrame, wanted: DataFrame, sizes: list
     texts = docs.select("doc_id", "text").join(small(ids, n_held), "doc_id", "left_semi")
     bound = aligned.join(_slots(texts, "doc_id", kind), ["doc_id", "at", "type"])
     by = ["doc_id", "item_id", "shift", "type"]
-    forth = bound.groupBy(*by, "item_value").agg(F.count_distinct("value").alias("n"))
-    agree = forth.groupBy("doc_id", "item_id", "shift").agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("slots"))
+    forth = bound.groupBy(*by, "item_value").agg(F.min("value").alias("value"), F.count_distinct("value").alias("n"))
+    # Of values that meet one each, none may be met by two.
+    back = forth.groupBy(*by, "value").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("m"))
+    agree = back.groupBy("doc_id", "item_id", "shift").agg(F.max(F.greatest("n", "m")).alias("most"), F.sum("m").alias("slots"))
     # A pair stands if one alignment with slots agrees, or no alignment has any.
     judged = agree.groupBy("doc_id", "item_id").agg(F.min("most").alias("most"), F.max(F.when(F.col("most") == 1, F.col("slots"))).alias("slots"))
     return (
@@ -186,7 +191,8 @@ def _exact(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     pairs = written(per.filter("matched = n_windows").select("doc_id", "item_id", "matched", "n_windows", "words"))
     bare = lambda text: F.lower(F.regexp_replace(text, r"\s+", ""))
     own = pairs.join(items.select("item_id", bare(F.col("text")).alias("item")), "item_id").withColumnsRenamed({"doc_id": "d"})
-    both = docs.select("doc_id", "text").join(small(own, pairs.count()), F.col("doc_id").eqNullSafe(F.col("d")))
+    longest = items.agg(F.coalesce(F.max(F.length("text")), F.lit(0))).first()[0]
+    both = docs.select("doc_id", "text").join(small(own, pairs.count(), 64 + 4 * longest), F.col("doc_id").eqNullSafe(F.col("d")))
     text = bare(F.col("text"))
     held = both.filter(F.when(F.col("words") < 3, text == F.col("item")).otherwise(F.contains(text, F.col("item"))))
     return held.select("doc_id", "item_id", F.col("matched").cast("long"), F.col("n_windows").cast("long"), F.lit(0).cast("long").alias("slots")).distinct()
@@ -210,9 +216,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, w
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, window: int = WINDOW) -> DataFrame:
     """``docs`` without the documents that hold an item."""
-    found = written(contamination(docs, benchmark, least, window).select(F.col("doc_id").alias("__doc")).distinct())
-    return docs.join(small(found, found.count()), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    with scratch():
+        found = written(contamination(docs, benchmark, least, window).select("doc_id").distinct(), keep=True)
+        n = found.count()
+    # Columns go by number, so that their names can't clash.
+    plain, at = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))), docs.columns.index("doc_id")
+    left = plain.join(small(found, n), F.col(f"c{at}").eqNullSafe(F.col("doc_id")), "left_anti")
+    return left.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    with scratch():
+        return written(contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")), keep=True)
