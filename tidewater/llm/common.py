@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from tidewater.sources.scratch import owned, scratch, shared_folder, written
 
-__all__ = ["appended", "owned", "read", "scratch", "shared_folder", "small", "word_count", "written"]
+__all__ = ["appended", "owned", "read", "scratch", "shared_folder", "sliced", "small", "word_count", "written"]
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Bytes up to which a side whose rows were counted beforehand is broadcast.
@@ -26,6 +26,13 @@ def small(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that a worker holds few texts as Python objects at once; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns ``drop``, and with those of ``schema`` after them.
 
@@ -38,9 +45,8 @@ def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         added = make()
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *added(batch)], names=names)
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *added(batch)], names=names)
 
     return df.mapInArrow(run, out)
 

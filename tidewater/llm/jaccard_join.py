@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import appended, read, scratch, written
+from .common import appended, read, scratch, sliced, written
 from .components import components
 
 _HASH = "xxhash64(cast(doc_id as long), text)"
@@ -141,14 +141,15 @@ def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
     """Level of each counter of the sketch: in quarters of what chance explains, then by powers of two."""
     block = min(bits, 16)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = Shingler(k), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                sets = [of(t) for t in batch["text"][at : at + 1000]]
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+        for batch in sliced(batches):
+            for text in batch.column("text"):
+                at, n = np.unique(of(text.as_py()) >> np.uint64(64 - bits), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
         parts = total.reshape(-1, 1 << block)
-        yield pd.DataFrame({"block": np.arange(len(parts)), "counts": [zlib.compress(p.tobytes(), 1) for p in parts]})
+        packed = [zlib.compress(p.tobytes(), 1) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
 
     def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << block, np.uint64)
@@ -157,7 +158,7 @@ def levels(docs: DataFrame, k: int, bits: int) -> np.ndarray:
                 total += np.frombuffer(zlib.decompress(c), np.uint32)
         yield pd.DataFrame({"block": [key[0]], "counts": [total.tobytes()]})
 
-    partial = docs.select("text").mapInPandas(count, "block int, counts binary")
+    partial = docs.select("text").mapInArrow(count, "block int, counts binary")
     rows = partial.groupBy("block").applyInPandas(add, "block int, counts binary").collect()  # 2**bits counters
     total = np.zeros(1 << bits)
     for r in rows:
@@ -314,14 +315,16 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int, repeated: bool) -> DataFra
     chosen = written(chosen)
     known = docs.sparkSession.sparkContext.broadcast(_bitmap(chosen, "h"))
 
-    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Shingler(k)
-        for batch in batches:
-            at = batch["h"].to_numpy() & (1 << BITMAP) - 1
-            some = batch[(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-            yield pd.DataFrame({"h": some["h"], "tokens": [of(t).tobytes() for t in some["text"]]}).astype({"h": "int64"})
-
-    found = docs.select(F.expr(_HASH).alias("h"), "text").mapInPandas(again, "h long, tokens binary").join(chosen, "h").drop("h")
+        for batch in sliced(batches):
+            at = batch.column("h").to_numpy() & (1 << BITMAP) - 1
+            some = np.flatnonzero(known.value[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+            if len(some):
+                tokens = [of(batch.column("text")[i].as_py()).tobytes() for i in some.tolist()]
+                yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(some)), pa.array(tokens, pa.binary())], names=["h", "tokens"])
+
+    found = docs.select(F.expr(_HASH).alias("h"), "text").mapInArrow(again, "h long, tokens binary").join(chosen, "h").drop("h")
     # Rows that repeat in doc_id and text would bring their class again.
     return written(found.dropDuplicates(["node"]) if repeated else found)
 

@@ -37,7 +37,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a word's probability needs no logarithms, and above which a word is worked on in chunks of as many.
 SHORT, LONG = 32, 1024
 TRAIN_BYTES = LONG
-CACHE = 300_000
+CACHE = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +97,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        step = max(1, 320_000 // max(int(size), 16))
+        step = max(1, 100_000 // max(int(size), 16))
         for part in range(0, len(at), step):
             some = at[part : part + step]
             yield some, np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), size).astype(np.uint64)
@@ -257,7 +257,7 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
 
 
 def identify(
-    docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 2_000_000, votes: bool = False, text: str = "text"
+    docs: DataFrame, languages: list[str], probs: np.ndarray, vocabulary: list[bytes], chunk: int = 1_000_000, votes: bool = False, text: str = "text"
 ) -> DataFrame:
     """``docs`` without the column ``text``, unless there are ``votes``, with lang_pred and score (the posterior under equal
     priors); with ``votes`` also the number of words that are likeliest in each language, in the order of ``languages``."""
