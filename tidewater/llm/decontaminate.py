@@ -74,20 +74,24 @@ def slot_values(text: Column, kind: str = NAMES) -> dict[str, Column]:
     return found | ({"qnameq": F.regexp_extract_all(_without_units(text), F.lit(NAME), F.lit(0))} if kind == NAMES else {})
 
 
-def _hashes(words: str, size: int) -> Column:
+def _coded(text: Column, kind: str) -> Column:
+    """A number for each template word, whose lowest bit says whether the word is literal."""
+    return F.transform(template_words(text, kind), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(w.isin(*SLOTS), F.lit(0)).otherwise(F.lit(1)).cast("long")))
+
+
+def _hashes(coded: str, size: int) -> Column:
     """Hash of every window of ``size`` words; null where it has fewer than two literal words (one if it is that short)."""
-    part = lambda i: [F.get(F.col(words), i + k) for k in range(size)]
-    literal = lambda i: sum((F.when(w.isin(*SLOTS), 0).otherwise(1) for w in part(i)), F.lit(0))
-    need = min(2, size)
-    slotted = F.exists(words, lambda w: w.isin(*SLOTS))
-    plain = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*part(i)))
-    checked = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.when(literal(i) >= need, F.xxhash64(*part(i))))
-    return F.when(F.size(words) < size, F.array().cast("array<long>")).when(slotted, checked).otherwise(plain)
+    n = F.size(coded) - (size - 1)
+    zipped = F.arrays_zip(*(F.slice(coded, F.lit(k + 1), F.greatest(n, F.lit(0))) for k in range(size)))
+    literal = lambda x: sum((x[str(k)].bitwiseAND(F.lit(1)) for k in range(size)), F.lit(0))
+    checked = F.transform(zipped, lambda x: F.when(literal(x) >= min(2, size), F.xxhash64(x)))
+    slotted = F.exists(coded, lambda w: w.bitwiseAND(F.lit(1)) == 0)
+    return F.when(n <= 0, F.array().cast("array<long>")).when(slotted, checked).otherwise(F.transform(zipped, lambda x: F.xxhash64(x)))
 
 
 def windows(df: DataFrame, key: str, sizes: list[int], kind: str = NAMES) -> DataFrame:
     """key, size, pos, hash for every window of the texts."""
-    words = df.select(key, template_words(F.coalesce("text", F.lit("")), kind).alias("words"))
+    words = df.select(key, _coded(F.coalesce("text", F.lit("")), kind).alias("words"))
     parts = [words.select(key, F.lit(n).alias("size"), F.posexplode(_hashes("words", n)).alias("pos", "hash")) for n in sizes]
     out = parts[0]
     for p in parts[1:]:
