@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidewater.llm.embedding_dedup import near_components
+from tidewater.llm.embedding_dedup import near_components, op4_embedding_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, row string"
 
@@ -70,7 +70,7 @@ def test_recall_of_random_partners(spark):
 
 def test_edges(spark):
     nan, one = math.nan, [1.0, 2.0, 3.0]
-    rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 2.0]), (5, [nan, 1.0, 1.0]), (6, [math.inf, 1.0, 1.0]), (7, one), (None, one), (7, one), (9, [2.0, 4.0]), (10, [1.0, 2.0]), (11, [-1.0, -2.0, -3.0])]
+    rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 2.0]), (5, [nan, 1.0, 1.0]), (6, [math.inf, 1.0, 1.0]), (7, one), (None, one), (7, one), (9, [2.0, 4.0]), (10, [1.0, 2.0]), (11, [-1.0, -2.0, -3.0]), (2**53 + 1, [5.0, -1.0, 0.0]), (2**53 + 2, [5.0, -1.0, 0.0])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == []
     assert run(spark, [(1, None)]) == [(1, 0, 1)]
@@ -88,3 +88,22 @@ def test_recall_where_the_first_rows_are_tight_topics(spark):
     table = [(i, v.tolist(), 0, "x") for i, v in enumerate(np.concatenate([tight, x, y]))]
     out = near_components(spark.createDataFrame(table, SCHEMA).coalesce(1)).filter("vec_id >= 1500").collect()
     assert sum(r["n_links"] for r in out) / 3000 >= 0.95
+
+
+def test_query_finds_planted_links(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.normal(size=x.shape)
+    away -= (away * x).sum(axis=1, keepdims=True) * x
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.86, 0.99, size=(900, 1))
+    y = cosine * x + (1 - cosine**2) ** 0.5 * away
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y, x[:30]]))]
+    spark.createDataFrame([(d, v, 0, "x") for d, v in rows], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    out = op4_embedding_dedup(spark, str(tmp_path))
+    assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
+    got, want = {r["vec_id"]: r for r in out.collect()}, {d: (n, c) for d, n, c in brute(rows)}
+    assert all(r["n_links"] <= want[d][0] and r["kept"] == (r["component_id"] == d) for d, r in got.items())
+    assert sum(r["n_links"] for r in got.values()) >= 0.95 * sum(n for n, _ in want.values())
+    assert sum(r["component_id"] == want[d][1] for d, r in got.items()) >= 0.95 * len(want)
