@@ -10,7 +10,7 @@ from tidewater.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"q_W8_A28_rhythm", "q_M13_boosted_out_of_fold"}
+SLOW: set = set()
 
 
 @pytest.fixture(scope="module")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Hours at which the four parts of a day begin, and their names.
 BUCKETS = (("overnight", 0, 6), ("morning", 6, 12), ("afternoon", 12, 18), ("evening", 18, 24))
@@ -84,5 +84,35 @@ def lookup(x: Column, table: dict, other=None) -> Column:
     return F.coalesce(F.element_at(pairs, x), F.lit(other))
 
 
-def round6(x: Column) -> Column:
-    return F.round(x, 6)
+def exact_percentile(df: DataFrame, column: str, share: float, most: int = 100_000) -> float | None:
+    """Interpolated percentile of a whole column; null without values.
+
+    Approximate quantiles narrow the range around the wanted places until at most ``most`` distinct values are left in it;
+    only their counts reach the driver, so no state holds all values.
+    """
+    x = F.col("x")
+    rows = df.select(F.col(column).cast("double").alias("x")).filter(x.isNotNull())
+    n = rows.count()
+    if not n:
+        return None
+    at = share * (n - 1)
+    first, last, below, inside = int(at), min(int(at) + 1, n - 1), 0, n
+    while True:
+        if inside <= most or rows.agg(F.approx_count_distinct("x")).first()[0] <= most // 2:
+            values, seen = {}, below
+            for r in rows.groupBy("x").count().orderBy("x").collect():
+                for place in (first, last):
+                    if seen <= place < seen + r["count"]:
+                        values[place] = r["x"]
+                seen += r["count"]
+            return values[first] + (at - first) * (values[last] - values[first])
+        low, high = ((p - below) / inside for p in (first, last))
+        cut = rows.agg(F.percentile_approx("x", [max(0.0, low - 0.01), min(1.0, high + 0.01)], 10_000).alias("b")).first()["b"]
+        part = rows.filter(x.between(*map(float, cut)))
+        under = rows.filter(x < float(cut[0])).count()
+        kept = part.count()
+        # The quantiles are approximate: where they miss the places, or cut nothing off, all that is left is sorted.
+        if not (below + under <= first and last < below + under + kept) or kept == inside:
+            most = inside
+            continue
+        rows, below, inside = part, below + under, kept

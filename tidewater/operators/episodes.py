@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidewater.functions.scalars import exact_percentile
+
 from .joins import as_of_steps
 from .windows import centred_mean, runs
 
@@ -22,8 +24,8 @@ def evidence(flags: list[Column]) -> Column:
     return F.when(known > 0, agree / known).otherwise(0.0)
 
 
-def episodes(minutes: DataFrame, by: list[str], score: str, threshold: float = 0.75, least: int = 30, gap: int = 30) -> DataFrame:
-    """Main episode of each night: by, bed, wake (minute after the last), runs.
+def episodes(minutes: DataFrame, by: list[str], score: str, threshold: float = 0.75, least: int = 30, gap: int = 30, last: int | None = None) -> DataFrame:
+    """Main episode of each night: by, bed, wake (minute after the last, at most minute ``last`` of the grid), runs.
 
     Scores are smoothed over seven rows; minutes at or above the threshold are asleep. Of the runs of at least ``least``
     minutes the longest (first on ties) is the anchor; later runs are merged one after the other while the gap before the
@@ -31,10 +33,10 @@ def episodes(minutes: DataFrame, by: list[str], score: str, threshold: float = 0
     """
     smooth = minutes.withColumn("__s", centred_mean(score, by, ["minute"]))
     smooth = smooth.withColumn("__asleep", (F.coalesce("__s", F.lit(0.0)) >= threshold).cast("int"))
-    return merged(runs(smooth, by, ["minute"], "__asleep").filter("__asleep = 1"), by, least, gap)
+    return merged(runs(smooth, by, ["minute"], "__asleep").filter("__asleep = 1"), by, least, gap, last)
 
 
-def merged(found: DataFrame, by: list[str], least: int = 30, gap: int = 30) -> DataFrame:
+def merged(found: DataFrame, by: list[str], least: int = 30, gap: int = 30, last: int | None = None) -> DataFrame:
     """Episodes from runs with start, stop and length."""
     long = found.filter(F.col("length") >= least).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("start", "stop", "length"))).alias("r"))
     lengths = F.transform("r", lambda x: x["length"])
@@ -49,7 +51,8 @@ def merged(found: DataFrame, by: list[str], least: int = 30, gap: int = 30) -> D
             (a["done"] | (x["start"] - a["stop"] - 1 >= gap)).alias("done"),
         ),
     )
-    return long.select(*by, main["start"].alias("bed"), (fold["stop"] + 1).alias("wake"), F.size("r").alias("runs"))
+    wake = fold["stop"] + 1 if last is None else F.least(fold["stop"] + 1, F.lit(last))
+    return long.select(*by, main["start"].alias("bed"), wake.alias("wake"), F.size("r").alias("runs"))
 
 
 def onset(minutes: DataFrame, by: list[str], flags: list[Column], least_flags: int = 3, least_run: int = 5) -> DataFrame:
@@ -79,7 +82,7 @@ def with_fallback(spine: DataFrame, found: DataFrame, by: list[str], subject: st
     """Missing episodes take the subject's median, then the median of all; ``fallback`` tells."""
     joined = spine.join(found, by, "left").withColumn("fallback", F.col(columns[0]).isNull().cast("int"))
     own = joined.groupBy(subject).agg(*(F.percentile(c, 0.5).alias(f"__own_{c}") for c in columns))
-    every = joined.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()  # one row
+    every = {c: exact_percentile(joined, c, 0.5) for c in columns}
     filled = joined.join(own, subject, "left")
     return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), f"__own_{c}", F.lit(every[c])) for c in columns}).drop(
         *(f"__own_{c}" for c in columns)

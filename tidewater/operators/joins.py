@@ -67,21 +67,37 @@ def range_rows(keys: DataFrame, facts: DataFrame, by: list[str], day: str, ts: s
     return spans.join(dated, [*by, "__day"]).filter((F.col(ts) >= F.col("__from")) & (F.col(ts) < F.col("__to"))).drop("__from", "__to", "__day")
 
 
-def temporal_prior(targets: DataFrame, known: DataFrame, subject: str, day: str, y: str, window: int = 30, power: float = 2.0) -> DataFrame:
-    """``targets`` with the mean of the same subject's labels within ``window`` days, itself excluded, weighted 1 / (days + 1) ** power.
+def temporal_prior(targets: DataFrame, known: DataFrame, subject: str, day: str, y: str, window: int = 7, power: float = 2.0, rho: float | None = None, fold: str | None = None) -> DataFrame:
+    """``targets`` with the mean of the same subject's labels within ``window`` days, itself excluded, weighted 1 / (days + 1) ** power,
+    or rho ** days where ``rho`` is given. With ``fold``, a column of both, a row takes labels of other folds only.
 
     Joined by (subject, block of ``window`` days), so each side's row meets the rows of three blocks only.
     """
     block = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / window)
-    labels = known.filter(F.col(y).isNotNull()).select(F.col(subject), F.col(day).alias("__day"), F.col(y).alias("__y"), block(day).alias("__block"))
+    labels = known.filter(F.col(y).isNotNull()).select(F.col(subject), F.col(day).alias("__day"), F.col(y).alias("__y"), block(day).alias("__block"), (F.col(fold) if fold else F.lit(-1)).alias("__fold"))
     rows = targets.withColumn("__block", F.explode(F.array(block(day) - 1, block(day), block(day) + 1)))
     apart = F.abs(F.datediff(F.col(day), F.col("__day")))
-    weight = F.pow(apart.cast("double") + 1, F.lit(-power))
+    weight = F.pow(apart.cast("double") + 1, F.lit(-power)) if rho is None else F.pow(F.lit(float(rho)), apart.cast("double"))
     near = rows.join(labels, [subject, "__block"]).filter((apart > 0) & (apart <= window))
+    near = near.filter(F.col("__fold") != F.col(fold)) if fold else near
     sums = near.groupBy(subject, day).agg((F.sum(weight * F.col("__y")) / F.sum(weight)).alias("prior"), F.count(F.lit(1)).alias("n_prior"))
     return targets.join(sums, [subject, day], "left")
 
 
+def while_in_state(values: DataFrame, states: DataFrame, keys: list[str], ts: str, value: str, state: str, wanted, seconds: int = 60, least: int = 5, least_in: int = 3) -> DataFrame:
+    """Mean and deviation by key of the values whose step of ``seconds`` also has the state wanted.
+
+    Null unless there are more than ``least`` values, states and joined rows, and more than ``least_in`` rows in the state.
+    """
+    step = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1_000_000 * seconds)).cast("long").alias("__step")
+    left, right = values.select(*keys, step, value), states.select(*keys, step, state)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values")).join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("__states")), keys, "full_outer")
+    own = F.when(F.col(state) == wanted, F.col(value))
+    joined = left.join(right, [*keys, "__step"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.count(own).alias("__in"), F.avg(own).alias("mean"), F.stddev_samp(own).alias("std"))
+    enough = (F.col("__values") > least) & (F.col("__states") > least) & (F.col("__rows") > least) & (F.col("__in") > least_in)
+    return counts.join(joined, keys, "left").select(*keys, *(F.when(enough, F.col(c)).alias(c) for c in ("mean", "std")))
+
+
 def adjacent_correlation(df: DataFrame, subject: str, day: str, y: str, least: int = 10) -> DataFrame:
     """Correlation of labels on consecutive days, pairs counted over all subjects; 0 if not above ``least`` pairs or negative."""
     later = df.select(subject, F.date_add(F.col(day), 1).alias(day), F.col(y).cast("double").alias("before"))

@@ -15,7 +15,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.functions.scalars import clip, logit
+from tidewater.functions.scalars import clip, exact_percentile, logit
 
 from .stats import standardised
 
@@ -33,11 +33,14 @@ class Settings:
     iterations: int = 50
     seeds: tuple[int, ...] = field(default_factory=lambda: (42,))
     top_features: int = 0
+    #: Share of the training rows, drawn by hash, on which boosting stops early, and the gain that goes on.
+    held_share: float = 0.15
+    least_gain: float = 0.001
 
 
 def _imputed(train: DataFrame, rows: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Missing values become the training median, or 0 without one; columns without variance need no care here."""
-    middle = train.agg(*(F.percentile(c, 0.5).alias(c) for c in features)).first()  # one row
+    middle = {c: exact_percentile(train, c, 0.5) for c in features}
     fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c] or 0.0))) for c in features}
     return train.withColumns(fill), rows.withColumns(fill)
 
@@ -52,7 +55,7 @@ def make(kind: str, s: Settings, n: int, seed: int):
     """A classifier by name: boosted, linear (elastic net), forest or platt (nearly unpenalised logistic)."""
     common = {"featuresCol": "__x", "labelCol": "__y", "probabilityCol": "__p"}
     if kind == "boosted":
-        return GBTClassifier(**{k: v for k, v in common.items() if k != "probabilityCol"}, maxIter=s.trees, maxDepth=s.depth, stepSize=s.rate, subsamplingRate=s.rows_share, seed=seed)
+        return GBTClassifier(**{k: v for k, v in common.items() if k != "probabilityCol"}, maxIter=s.trees, maxDepth=s.depth, stepSize=s.rate, subsamplingRate=s.rows_share, seed=seed, validationIndicatorCol="__held", validationTol=s.least_gain)
     if kind == "forest":
         return RandomForestClassifier(**common, numTrees=s.trees, maxDepth=s.depth, seed=seed)
     if kind == "linear":
@@ -75,6 +78,8 @@ def fit_predict(kind: str, train: DataFrame, rows: DataFrame, features: list[str
     a, b = _imputed(known.withColumns(copy), rows.withColumns(copy), copies)
     if kind in ("linear", "platt"):
         a, b = _scaled(a, b, copies)
+    if kind == "boosted":
+        a = a.withColumn("__held", F.pmod(F.xxhash64(*copies, F.lit(seed)), F.lit(1000)) < int(1000 * s.held_share))
     if s.top_features and s.top_features < len(copies) and kind == "boosted":
         quick = make(kind, Settings(trees=5, depth=s.depth, rate=0.3), base["n"], seed).fit(VectorAssembler(inputCols=copies, outputCol="__x").transform(a))
         order = np.argsort(-quick.featureImportances.toArray(), kind="stable")[: s.top_features]
@@ -109,7 +114,7 @@ def calibrated(train: DataFrame, rows: DataFrame, p: str, label: str, eps: float
 def ridge_scores(train: DataFrame, rows: DataFrame, features: str, label: str, alphas: np.ndarray | None = None) -> DataFrame:
     """``rows`` with ``score``: ridge regression on -1 and 1 over a feature array, the penalty chosen on a hashed tenth.
 
-    The normal equations are summed by Spark, one partial matrix per task; only features squared numbers are collected.
+    The normal equations are summed by Spark, cell by cell; twice as many numbers as features squared are collected.
     """
     alphas = np.logspace(-3, 3, 10) if alphas is None else alphas
 
@@ -120,20 +125,25 @@ def ridge_scores(train: DataFrame, rows: DataFrame, features: str, label: str, a
         for batch in batches:
             if len(batch):
                 x = np.column_stack([np.stack(batch["x"]), np.ones(len(batch)), 2 * batch["y"].to_numpy(float) - 1])
+                width = x.shape[1]
                 for held in (False, True):
                     part = x[batch["held"].to_numpy() == held]
                     total = total or [0.0, 0.0]
                     total[held] = total[held] + part.T @ part
         if total:
-            yield pd.DataFrame({"m": [np.asarray(t, float).tobytes() for t in total], "held": [False, True]})
+            for h in (False, True):
+                cells = np.broadcast_to(total[h], (width, width)).ravel()
+                yield pd.DataFrame({"held": h, "cell": np.arange(width * width), "v": cells.astype(float)})
 
     held = (F.pmod(F.hash(features), F.lit(10)) == 0).alias("held")
-    parts = train.select(F.col(features).alias("x"), F.col(label).alias("y"), held).mapInPandas(moments, "m binary, held boolean").collect()
-    sums = [sum(np.frombuffer(r["m"]) for r in parts if r["held"] is h) for h in (False, True)]
+    cells = train.select(F.col(features).alias("x"), F.col(label).alias("y"), held).mapInPandas(moments, "held boolean, cell int, v double")
+    parts = cells.groupBy("held", "cell").agg(F.sum("v").alias("v")).collect()  # two matrices
     if not parts:
         return rows.withColumn("score", F.lit(0.0))
-    width = int(round(len(sums[0]) ** 0.5))
-    a, b = (s.reshape(width, width) for s in sums)
+    width = int(round((len(parts) // 2) ** 0.5))
+    a, b = np.zeros((width, width)), np.zeros((width, width))
+    for r in parts:
+        (b if r["held"] else a).flat[r["cell"]] = r["v"]
     penalty = np.eye(width - 1)
     penalty[-1, -1] = 0
 

@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.functions.scalars import clip, logit, sigmoid
+from tidewater.functions.scalars import clip, exact_percentile, logit, sigmoid
 
 from .joins import nearest
 from .windows import spearman
@@ -51,7 +51,7 @@ def within_between(long: DataFrame, subject: str, feature: str, x: str, y: str,
 def mundlak(train: DataFrame, df: DataFrame, subject: str, columns: list[str]) -> DataFrame:
     """Each column as its subject's training mean (the training median for new subjects) and the deviation from it."""
     means = train.groupBy(subject).agg(*(F.avg(c).alias(f"{c}_b") for c in columns))
-    middle = train.agg(*(F.percentile(c, 0.5).alias(c) for c in columns)).first()  # one row
+    middle = {c: exact_percentile(train, c, 0.5) for c in columns}
     joined = df.join(means, subject, "left").withColumns({f"{c}_b": F.coalesce(f"{c}_b", F.lit(middle[c])) for c in columns})
     return joined.withColumns({f"{c}_w": F.col(c) - F.col(f"{c}_b") for c in columns})
 
@@ -149,7 +149,7 @@ def standardised(df: DataFrame, columns: list[str], bound: float = 3.0) -> DataF
 def borrow(queries: DataFrame, known: DataFrame, k: int, value: str, weighting: str = "uniform", metric: str = "manhattan") -> DataFrame:
     """Mean of ``value`` over the ``k`` nearest known rows: query, borrowed. Both have id and x (array)."""
     near = nearest(queries, known.select("id", "x"), k, metric).join(known.select(F.col("id").alias("item"), value), "item")
-    w = F.lit(1.0) if weighting == "uniform" else 1 / (F.col("distance") * F.col("distance") + 1e-9)
+    w = F.lit(1.0) if weighting == "uniform" else 1 / F.pow(F.col("distance") + 1e-6, F.lit(2.0))
     return near.groupBy("query").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("borrowed"))
 
 
@@ -166,6 +166,45 @@ def subspace_borrow(queries: DataFrame, known: DataFrame, width: int, value: str
     return found.groupBy("query").agg(F.avg("borrowed").alias("borrowed"))
 
 
+def leak_free_borrow(df: DataFrame, fold: str, folds: int, queries: Column, k: int, value: str, weighting: str = "inverse square", metric: str = "manhattan", bound: float = 3.0) -> DataFrame:
+    """query, fold, borrowed: mean of ``value`` over the ``k`` nearest rows of the other folds, for the rows where ``queries`` holds.
+
+    ``df`` has id, x (array) and fold. Nulls in x are 0; each coordinate is standardised by the other folds' mean and
+    population deviation and kept within ``bound``. Sums of a coordinate are taken once per fold: a fold's own are taken off the total.
+    """
+    filled = df.withColumn("x", F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))))
+    cells = filled.select(fold, F.posexplode("x").alias("i", "v")).groupBy(fold, "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
+    sums: dict[int, dict[int, np.ndarray]] = {}
+    for r in cells.collect():  # folds times coordinates
+        sums.setdefault(r["i"], {})[r[fold]] = np.array([r["n"], r["s"], r["q"]], float)
+    found = None
+    for f in range(folds):
+        rest = np.array([sum((v for g, v in sums[i].items() if g != f), np.zeros(3)) for i in sorted(sums)]).reshape(-1, 3)
+        n = np.maximum(rest[:, 0], 1)
+        mean = rest[:, 1] / n
+        spread = np.sqrt(np.maximum(rest[:, 2] / n - mean**2, 0)) + 1e-6
+        means, spreads = (F.array(*(F.lit(float(v)) for v in a)) for a in (mean, spread))
+        scaled = F.zip_with(F.zip_with("x", means, lambda x, m: x - m), spreads, lambda d, s: F.least(F.greatest(d / s, F.lit(-bound)), F.lit(bound)))
+        rows = filled.withColumn("x", scaled)
+        one = borrow(rows.filter((F.col(fold) == f) & queries), rows.filter(F.col(fold) != f), k, value, weighting, metric).withColumn(fold, F.lit(f))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def fused(df: DataFrame, fold: str, label: str, tree: str | tuple, y: str, name: str = "fused") -> DataFrame:
+    """``df`` with a tree of pairwise out-of-fold blends: a node is a column or a pair of nodes."""
+
+    def node(df: DataFrame, at: str | tuple, to: str) -> tuple[DataFrame, str]:
+        if isinstance(at, str):
+            return df, at
+        (df, m), own = node(df, at[0], f"{to}0"), f"__{to}"
+        df, n = node(df, at[1], f"{to}1")
+        return blend_out_of_fold(df, fold, label, m, n, y).withColumnRenamed("blend", own).drop("alpha"), own
+
+    out, top = node(df, tree, "t")
+    return out.select(*df.columns, F.col(top).alias(name))
+
+
 def compared(a: DataFrame, b: DataFrame, keys: list[str], p: str) -> DataFrame:
     """Largest difference of two tables of probabilities, and the bound it sets on the difference of their log-losses."""
     both = a.select(*keys, F.col(p).alias("__a")).join(b.select(*keys, F.col(p).alias("__b")), keys)

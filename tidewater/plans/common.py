@@ -20,12 +20,16 @@ SPINE = """spine AS (
 DAY = "strftime(day, '%Y-%m-%d') AS day"
 
 
-def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Subject and day of every day with rows; the first 20 days are for training."""
-    days = sensor(spark, sf_dir).select(*KEYS).distinct()
+def with_split(days: DataFrame) -> DataFrame:
+    """The first 20 days are for training."""
     return days.withColumn("split", F.when(F.col("day") <= F.lit("2024-01-20").cast("date"), "train").otherwise("sub"))
 
 
+def spine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subject and day of every day with rows, and its split."""
+    return with_split(sensor(spark, sf_dir).select(*KEYS).distinct())
+
+
 def shown(df: DataFrame, digits: int = 6) -> DataFrame:
     """Dates as text, counts as longs, floating values rounded: what both engines agree on."""
     out = []

@@ -9,7 +9,7 @@ from tidewater.operators import day as D
 from tidewater.operators.joins import restrict
 from tidewater.sources.tables import read, sensor
 
-from .common import DAY, KEYS, SENSOR, SPINE, TYPES, means_by_bucket, shown, spine
+from .common import DAY, KEYS, SENSOR, SPINE, TYPES, means_by_bucket, shown, spine, with_split
 from .registry import query
 
 _BUCKETS = ("overnight", "morning", "afternoon", "evening")
@@ -24,9 +24,8 @@ WITH {SENSOR}, {SPINE}, a AS (
 SELECT user_id, {DAY}, split, v_mean, v_std, v_min, v_max, v_p25, v_p50, v_p75, v_overnight, v_morning, v_afternoon, v_evening
 FROM spine LEFT JOIN a USING (user_id, day)""")
 def day_scalar_stats(spark, sf_dir):
-    keys = spine(spark, sf_dir)
-    rows = restrict(sensor(spark, sf_dir), keys, KEYS)
-    return shown(D.on_spine(keys, KEYS, D.scalar_stats(rows, KEYS, "value", "v")))
+    # The spine is the days with rows, so the groups are its rows already.
+    return shown(with_split(D.scalar_stats(sensor(spark, sf_dir), KEYS, "value", "v")))
 
 
 @query("q_A2_missing_flag", f"""

@@ -18,13 +18,13 @@ from .registry import query
 
 @query("q_S1_pruned_scan", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 45 AND l_discount < 0.02")
 def pruned_scan(spark, sf_dir):
-    return shown(read(spark, sf_dir, "lineitem").filter("l_quantity >= 45 and l_discount < 0.02").select("l_orderkey", "l_linenumber", "l_quantity"))
+    return shown(read(spark, sf_dir, "lineitem", "l_quantity >= 45 and l_discount < 0.02").select("l_orderkey", "l_linenumber", "l_quantity"))
 
 
 @query("q_S2_csv_scan", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT'")
 def csv_scan(spark, sf_dir):
     path = f"{shared_folder(spark)}/csv"
-    rows = read(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
+    rows = read(spark, sf_dir, "orders", "o_orderpriority = '1-URGENT'").select("o_orderkey", F.to_date("o_orderdate").alias("o_orderdate"), "o_totalprice")
     rows.write.option("header", True).csv(path)
     return shown(T.read_csv(spark, path, "o_orderkey LONG, o_orderdate DATE, o_totalprice DOUBLE"))
 

@@ -93,6 +93,41 @@ def temporal_prior(spark, sf_dir):
     return shown(out.withColumn("mixed", blend_with_prior(F.lit(0.4), F.col("prior"), 0.3)))
 
 
+@query("q_M20_prior_out_of_fold", f"""
+WITH {SENSOR}, {_LABEL}, g AS (SELECT *, dayofmonth(day) % 4 AS fold FROM y), p AS (SELECT a.user_id, a.day, sum(b.y * pow(0.6, abs(a.day - b.day))) / sum(pow(0.6, abs(a.day - b.day))) AS prior, count(*) AS n_prior
+  FROM g a JOIN g b ON a.user_id = b.user_id AND a.fold <> b.fold AND abs(a.day - b.day) BETWEEN 1 AND 7 GROUP BY ALL)
+SELECT user_id, {DAY}, fold::BIGINT AS fold, round(prior, 6) AS prior, n_prior::DOUBLE AS n_prior FROM g LEFT JOIN p USING (user_id, day)""")
+def prior_out_of_fold(spark, sf_dir):
+    """Labels of other folds only, weighted by the autocorrelation to the power of their distance."""
+    y = _labels(spark, sf_dir).withColumn("fold", F.dayofmonth("day") % 4)
+    out = J.temporal_prior(y, y, "user_id", "day", "y", rho=0.6, fold="fold")
+    return shown(out.select(*KEYS, "fold", "prior", F.col("n_prior").cast("double").alias("n_prior")))
+
+
+@query("q_M3_value_in_state", f"""
+WITH {SENSOR}, t AS (SELECT *, epoch_us(ts) // 21600000000 AS step FROM s), h AS (SELECT user_id, step, value FROM t WHERE event_type = 'click'), a AS (SELECT user_id, step, k FROM t WHERE event_type = 'view'),
+m AS (SELECT user_id, count(*) AS n, count(*) FILTER (k < 50) AS n_in, avg(value) FILTER (k < 50) AS mean, stddev_samp(value) FILTER (k < 50) AS std FROM h JOIN a USING (user_id, step) GROUP BY user_id),
+c AS (SELECT user_id, count(*) FILTER (event_type = 'click') AS nh, count(*) FILTER (event_type = 'view') AS na FROM s WHERE event_type IN ('click', 'view') GROUP BY user_id)
+SELECT user_id, CASE WHEN nh > 5 AND na > 5 AND n > 5 AND n_in > 3 THEN round(mean, 6) END AS mean, CASE WHEN nh > 5 AND na > 5 AND n > 5 AND n_in > 3 THEN round(std, 6) END AS std FROM c LEFT JOIN m USING (user_id)""")
+def value_in_state(spark, sf_dir):
+    """One sensor's values at times when another says a state, gated by numbers of rows."""
+    rows = sensor(spark, sf_dir)
+    states = rows.filter("event_type = 'view'").withColumn("low", F.col("k") < 50)
+    return shown(J.while_in_state(rows.filter("event_type = 'click'"), states, ["user_id"], "ts", "value", "low", True, seconds=21_600))
+
+
+@query("q_M2_variability_by_part", f"""
+WITH {SENSOR}, d AS (SELECT user_id, bucket, value, value - lag(value) OVER (PARTITION BY user_id, bucket ORDER BY ts, event_id) AS step FROM s)
+SELECT user_id, bucket, round(stddev_samp(value), 6) AS sdnn, round(sqrt(avg(step * step)), 6) AS rmssd,
+  round(CASE WHEN 2 * var_samp(value) - avg(step * step) / 2 > 0 THEN sqrt(2 * var_samp(value) - avg(step * step) / 2) END, 5) AS sd2
+FROM d GROUP BY user_id, bucket HAVING count(*) >= 4""")
+def variability_by_part(spark, sf_dir):
+    rows, by = sensor(spark, sf_dir), ["user_id", "bucket"]
+    out = V.rmssd(rows, by, ["ts", "event_id"], "value").join(rows.groupBy(*by).agg(F.stddev_samp("value").alias("sdnn")), by).filter("n >= 4")
+    radicand = 2 * F.col("sdnn") ** 2 - F.col("rmssd") ** 2 / 2
+    return shown(out.select(*by, "sdnn", "rmssd", F.round(F.when(radicand > 0, F.sqrt(radicand)), 5).alias("sd2")))
+
+
 @query("q_J13_adjacent_correlation", f"""
 WITH {SENSOR}, {_LABEL}, p AS (SELECT b.y AS before, a.y AS now FROM y a JOIN y b ON a.user_id = b.user_id AND a.day = b.day + 1)
 SELECT count(*) AS pairs, round(CASE WHEN count(*) > 10 THEN greatest(corr(before, now), 0) ELSE 0 END, 6) AS weight FROM p""")
@@ -191,18 +226,36 @@ def onset(spark, sf_dir):
     return shown(out.withColumns({c: F.col(c).cast("double") for c in ("onset", "longest")}))
 
 
-@query("q_W7_episodes")
-def episodes(spark, sf_dir):
+_EPISODES = f"""{_NIGHT}, sc AS (SELECT user_id, day, minute, CASE WHEN level IS NULL THEN 0 ELSE ((level < 10)::INT + (level < 30)::INT) / 2.0::DOUBLE END AS score FROM l),
+sm AS (SELECT user_id, day, minute, avg(score) OVER (PARTITION BY user_id, day ORDER BY minute ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) >= 0.75 AS z FROM sc),
+isl AS (SELECT *, minute - row_number() OVER (PARTITION BY user_id, day, z ORDER BY minute) AS island FROM sm),
+rn AS (SELECT user_id, day, min(minute) AS start, max(minute) AS stop, count(*) AS length FROM isl WHERE z GROUP BY user_id, day, island HAVING count(*) >= 30),
+mn AS (SELECT user_id, day, start AS bed, count(*) OVER (PARTITION BY user_id, day) AS runs FROM rn QUALIFY row_number() OVER (PARTITION BY user_id, day ORDER BY length DESC, start) = 1),
+gp AS (SELECT rn.user_id, rn.day, bed, runs, start, stop, coalesce(start - lag(stop) OVER (PARTITION BY rn.user_id, rn.day ORDER BY start) - 1, 0) AS gap FROM rn JOIN mn ON rn.user_id = mn.user_id AND rn.day = mn.day AND start >= bed),
+br AS (SELECT *, sum((gap >= 30)::INT) OVER (PARTITION BY user_id, day ORDER BY start) AS broken FROM gp),
+ep AS (SELECT user_id, day, any_value(bed) AS bed, least(max(stop) + 1, 1079) AS wake, any_value(runs) AS runs FROM br WHERE broken = 0 GROUP BY user_id, day)"""
+
+
+def _episodes(spark, sf_dir):
     level = F.col("level")
     scored = _night_grid(spark, sf_dir).withColumn("score", E.evidence([level < 10, level < 30]))
-    return shown(E.episodes(scored, KEYS, "score"))
+    return E.episodes(scored, KEYS, "score", last=1079)
 
 
-@query("q_W8_A28_rhythm")
+@query("q_W7_episodes", f"WITH {_EPISODES} SELECT user_id, {DAY}, bed, wake, runs FROM ep")
+def episodes(spark, sf_dir):
+    return shown(_episodes(spark, sf_dir))
+
+
+@query("q_W8_A28_rhythm", f"""
+WITH {SENSOR}, {SPINE}, {_EPISODES}, j AS (SELECT spine.user_id, spine.day, split, bed, wake FROM spine LEFT JOIN ep ON ep.user_id = spine.user_id AND ep.day = spine.day),
+ow AS (SELECT user_id, quantile_cont(bed, 0.5) AS b, quantile_cont(wake, 0.5) AS w FROM j GROUP BY user_id), ev AS (SELECT quantile_cont(bed, 0.5) AS eb, quantile_cont(wake, 0.5) AS ew FROM j),
+fl AS (SELECT j.user_id, j.day, split, (bed IS NULL)::BIGINT AS fallback, coalesce(bed, b, eb)::DOUBLE AS bed, coalesce(wake, w, ew)::DOUBLE AS wake FROM j JOIN ow USING (user_id) CROSS JOIN ev),
+x AS (SELECT *, (bed + wake) / 2 AS midsleep, wake - bed AS tib FROM fl),
+st AS (SELECT user_id, {', '.join(f'CASE WHEN count({c}) >= 3 THEN round(stddev_samp({c}), 6) END AS {c}_std, quantile_cont({c}, 0.5) AS m_{c}' for c in ('bed', 'wake', 'midsleep', 'tib'))} FROM x WHERE split = 'train' AND fallback = 0 GROUP BY user_id)
+SELECT user_id, {DAY}, split, fallback, bed, wake, midsleep, tib, {', '.join(f'{c}_std, {c} - m_{c} + 0.0 AS {c}_dev' for c in ('bed', 'wake', 'midsleep', 'tib'))} FROM x LEFT JOIN st USING (user_id)""")
 def rhythm(spark, sf_dir):
-    level = F.col("level")
-    scored = _night_grid(spark, sf_dir).withColumn("score", E.evidence([level < 10, level < 30]))
-    found = written(E.episodes(scored, KEYS, "score").select(*KEYS, "bed", "wake"))
+    found = written(_episodes(spark, sf_dir).select(*KEYS, "bed", "wake"))
     nights = E.with_fallback(spine(spark, sf_dir), found, KEYS, "user_id", ["bed", "wake"])
     return shown(E.rhythm(nights, "user_id", "bed", "wake", (F.col("split") == "train") & (F.col("fallback") == 0)))
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tidewater.operators import joins as J, stats as Q, windows as V
-from tidewater.sources.tables import read, sensor
+from tidewater.sources.scratch import shared_folder
+from tidewater.sources.tables import read, read_groups, sensor, write_groups
 
 from .common import DAY, KEYS, SENSOR, shown
 from .registry import query
@@ -145,6 +144,44 @@ def borrow(spark, sf_dir):
     return shown(Q.borrow(items.filter("id % 50 = 0"), items, 3, "label"))
 
 
+_SCALED = """e AS (SELECT vec_id, vec_id % 3 AS fold, embedding AS x, 0.2 + 0.6 * (label % 2) AS p FROM embeddings),
+u AS (SELECT vec_id, fold, unnest(range(1, len(x) + 1)) AS i, unnest(x)::DOUBLE AS v FROM e),
+st AS (SELECT f.fold AS f, i, avg(v) AS m, stddev_pop(v) + 0.000001 AS s FROM (SELECT unnest(range(3)) AS fold) f JOIN u ON u.fold <> f.fold GROUP BY ALL),
+z AS (SELECT f, vec_id, fold, u.i, least(greatest((v - m) / s, -3), 3) AS z FROM u JOIN st ON st.i = u.i),
+d AS (SELECT q.f AS fold, q.vec_id AS query, k.vec_id AS item, sum(abs(q.z - k.z)) AS distance FROM z q JOIN z k ON q.fold = q.f AND k.f = q.f AND k.fold <> q.f AND k.i = q.i WHERE q.vec_id % 50 = 0 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, item) AS rank FROM d QUALIFY rank <= 3)"""
+
+
+@query("q_M18_leak_free_borrow", f"""
+WITH {_SCALED} SELECT query, k.fold::BIGINT AS fold, round(sum(p / pow(distance + 0.000001, 2)) / sum(1 / pow(distance + 0.000001, 2)), 5) AS borrowed FROM k JOIN e ON e.vec_id = item GROUP BY ALL""")
+def leak_free_borrow(spark, sf_dir):
+    """Standardised and clipped by the other folds, neighbours of the other folds, weighted by the inverse square of distance."""
+    items = _vectors(spark, sf_dir).withColumn("fold", (F.col("id") % 3).cast("int")).withColumn("p", 0.2 + 0.6 * (F.col("label") % 2))
+    return shown(Q.leak_free_borrow(items, "fold", 3, F.col("id") % 50 == 0, 3, "p"), 5)
+
+
+def _blend_sql(out: str, source: str, m: str, n: str) -> str:
+    """Out-of-fold blend of two columns as two tables."""
+    return f"""{out}_v AS (SELECT f.lang, f.fold, var_pop({m} - y) AS vm, var_pop({n} - y) AS vn, covar_pop({m} - y, {n} - y) AS c FROM (SELECT DISTINCT lang, fold FROM {source}) f LEFT JOIN {source} p ON p.lang = f.lang AND p.fold <> f.fold GROUP BY ALL),
+{out} AS (SELECT p.*, (1 - a) * {m} + a * {n} AS {out}_p FROM {source} p JOIN (SELECT lang, fold, coalesce(least(greatest((vm - c) / (vm + vn - 2 * c + 1e-12), 0), 1), 0) AS a FROM {out}_v) USING (lang, fold))"""
+
+
+@query("q_M21_fusion_tree", f"WITH {_PRED_SQL}, {_blend_sql('b', 'p', 'n', 'q')}, {_blend_sql('g', 'b', 'm', 'b_p')} SELECT doc_id, round(g_p, 6) AS fused FROM g")
+def fusion_tree(spark, sf_dir):
+    """A tree of pairwise blends: one predictor with the blend of two others."""
+    return shown(Q.fused(_predictions(spark, sf_dir), "fold", "lang", ("m", ("n", "q")), "y").select("doc_id", "fused"))
+
+
+@query("q_M5_top_class", """
+WITH t AS (SELECT vec_id, list_position(embedding[1:5], list_max(embedding[1:5])) AS place FROM embeddings) SELECT vec_id, CASE place WHEN 1 THEN 'speech' WHEN 2 THEN 'music' WHEN 3 THEN 'vehicle' WHEN 4 THEN 'inside' WHEN 5 THEN 'outside' END AS top FROM t""")
+def top_class(spark, sf_dir):
+    """The class with the largest share in each row; the first on ties, null without shares."""
+    shares = F.slice("embedding", 1, 5)
+    names = F.array(*map(F.lit, ("speech", "music", "vehicle", "inside", "outside")))
+    at = F.array_position(shares, F.array_max(shares)).cast("int")
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.when(at > 0, F.get(names, at - 1)).alias("top"))
+
+
 @query("q_M19_subspace_borrow")
 def subspace_borrow(spark, sf_dir):
     items = _vectors(spark, sf_dir)
@@ -153,9 +190,11 @@ def subspace_borrow(spark, sf_dir):
 
 @query("q_S10_P15_column_groups", f"WITH {SENSOR}, {_LONG_SQL} SELECT 'mean' AS grp, 'h_mean' AS col UNION ALL SELECT 'mean', 'k_mean' UNION ALL SELECT 'other', 'n'")
 def column_groups(spark, sf_dir):
+    """The sidecar of a table's columns, written beside it and read again."""
     columns = [c for c in _wide(spark, sf_dir).columns if c not in (*KEYS, "y")]
-    groups = json.loads(json.dumps({"mean": sorted(c for c in columns if c.endswith("_mean")), "other": sorted(c for c in columns if not c.endswith("_mean"))}))
-    return spark.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "grp string, col string")
+    path = f"{shared_folder(spark)}/groups"
+    write_groups(spark, {"mean": sorted(c for c in columns if c.endswith("_mean")), "other": sorted(c for c in columns if not c.endswith("_mean"))}, path)
+    return spark.createDataFrame([(g, c) for g, cs in read_groups(spark, path).items() for c in cs], "grp string, col string")
 
 
 @query("q_M11_interaction_ranking", f"""

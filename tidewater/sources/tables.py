@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewater.functions.scalars import bucket, no_nan
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A Parquet table with NaN as null in its floating columns."""
+def read(spark: SparkSession, sf_dir: str, table: str, where: str | None = None) -> DataFrame:
+    """A Parquet table with NaN as null in its floating columns.
+
+    ``where`` is applied to the stored columns, so that the scan gets it, and again without NaN, which Spark takes for the
+    largest number.
+    """
     df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
     floats = [c for c, t in df.dtypes if t in ("double", "float")]
-    return df.withColumns({c: no_nan(F.col(c)) for c in floats}) if floats else df
+    df = df.filter(where) if where else df
+    df = df.withColumns({c: no_nan(F.col(c)) for c in floats}) if floats else df
+    return df.filter(where) if where and floats else df
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -81,9 +84,15 @@ def write_csv(df: DataFrame, path: str, order: list[str]) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\n").csv(path)
 
 
-def write_groups(columns: dict[str, list[str]], path: str) -> None:
-    """Sidecar that lists columns by group."""
-    Path(path).write_text(json.dumps(columns, indent=1, sort_keys=True))
+def write_groups(spark: SparkSession, columns: dict[str, list[str]], path: str) -> None:
+    """Sidecar beside a table that lists its columns by group, a JSON line each, written by Spark's file system."""
+    rows = [(group, names) for group, names in sorted(columns.items())]
+    spark.createDataFrame(rows, "grp string, cols array<string>").coalesce(1).write.mode("overwrite").json(path)
+
+
+def read_groups(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The sidecar again: a row per group."""
+    return {r["grp"]: list(r["cols"]) for r in spark.read.schema("grp string, cols array<string>").json(path).collect()}
 
 
 def read_features(df: DataFrame, keys: list[str], labels: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
