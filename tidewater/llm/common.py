@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from tidewater.sources.scratch import owned, scratch, shared_folder, written
 
-__all__ = ["appended", "owned", "read", "scratch", "shared_folder", "sliced", "small", "word_count", "written"]
+__all__ = ["appended", "arrow_rows", "owned", "read", "scratch", "shared_folder", "sliced", "small", "word_count", "written"]
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Bytes up to which a side whose rows were counted beforehand is broadcast.
@@ -33,6 +34,18 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Jobs that run within hand at most ``rows`` rows at once to Python, where rows hold whole texts; the setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]], schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without the columns ``drop``, and with those of ``schema`` after them.
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import appended, read, scratch, sliced, written
+from .common import appended, arrow_rows, read, scratch, sliced, written
 from .components import components
 
 _HASH = "xxhash64(cast(doc_id as long), text)"
@@ -108,7 +108,7 @@ SHARED = 6
 
 
 class Leading:
-    """The first n - ceil(num/den * n) + ``SHARED`` shingles of a set in the order of level, then hash."""
+    """48 bits of the first n - ceil(num/den * n) + ``SHARED`` shingles of a set in the order of level, then hash."""
 
     def __init__(self, num: int, den: int, level: np.ndarray) -> None:
         self.num, self.den, self.level = num, den, level
@@ -117,7 +117,8 @@ class Leading:
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         n, least = len(tokens), -(-self.num * len(tokens) // self.den)
         own = self.level[(tokens >> self.shift).astype(np.int64)]
-        return tokens[own.argsort(kind="stable")[: n - least + min(SHARED, least)]].view(np.int64)
+        # Fewer bits are less to shuffle; shingles that agree in them by chance only make a pair a candidate.
+        return np.unique(tokens[own.argsort(kind="stable")[: n - least + min(SHARED, least)]] >> np.uint64(16)).view(np.int64)
 
     def need(self, n: int) -> int:
         """Leading shingles that a set of ``n`` shares with every set it links with; those may be smaller."""
@@ -210,6 +211,24 @@ def _possible(num: int, den: int):
     return run
 
 
+def _alike(num: int, den: int):
+    """Members of a block that sizes and bucket counts allow a link with another one, or with a guest."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        n = block["n"].to_numpy()
+        c = np.frombuffer(b"".join(x or b"\xff" * BUCKETS for x in block["counts"]), np.uint8).reshape(len(block), BUCKETS)
+        unbounded = block["counts"].isna().to_numpy()
+        found = np.zeros(len(block), bool)
+        for i in range(len(block)):
+            shared = np.minimum(c, c[i]).sum(axis=1, dtype=np.int64)
+            ok = (den * shared >= num * (n + n[i] - shared)) | unbounded | unbounded[i]
+            ok &= (den * n >= num * n[i]) & (den * n[i] >= num * n)
+            found[i] = ok.sum() > 1
+        return block.loc[found & ~block["guest"].to_numpy(), ["node", "group"]]
+
+    return run
+
+
 class _Links:
     """Roots of nodes, and, if wanted, numbers of links."""
 
@@ -330,8 +349,10 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int, repeated: bool) -> DataFra
 
 
 def _groups(heads: DataFrame, met: DataFrame, group_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """(node, n, w, need, h, counts, group of every class in ``met``; node, group of the anchors that visit other blocks)."""
-    keys = met.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("key"))
+    """(node, n, w, need, h, counts, group of every class that shares as many leading shingles as a link needs; node, group
+    of the anchors that visit other blocks)."""
+    keys = met.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("key"), F.count(F.lit(1)).alias("c"), F.max("need").alias("least"))
+    keys = keys.filter("c >= least").select("node", "key")
     keyed = written(heads.select("node", "n", "w", "need", "h", "counts").join(keys, "node"))
     tries = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("x"), "node"))["node"] for i in range(8)]
     load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*tries)).alias("anchors"))
@@ -349,13 +370,16 @@ def _asked(met: DataFrame, grouped: DataFrame, sums: DataFrame, comp: DataFrame
     Of two groups the one with fewer shingles asks. With components, only classes of different ones meet, and the smaller
     component asks: the largest of a leading shingle is only asked, and one whose classes are all in one is done with.
     """
-    every = met.select("token", "node").join(grouped.select("node", "n", "need", "group"), "node").join(sums.select("group", "t", "small", "big"), "group")
+    nodes = grouped.select("node", "n", "need", "group").join(sums.select("group", "t", "small", "big"), "group")
     if comp is None:
-        every, queries = every.withColumn("c", F.struct("t", "group")), None
+        c = F.struct("t", "group")
     else:
-        sized = comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp")
-        own = F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), F.coalesce("comp", "node").alias("comp"))
-        every = written(every.join(sized, "node", "left").withColumn("c", own).drop("comp", "nodes"))
+        nodes = nodes.join(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp"), "node", "left")
+        c = F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), F.coalesce("comp", "node").alias("comp"))
+    nodes = written(nodes.select("node", "n", "need", "group", "small", "big", c.alias("c")))
+    every, queries = met.select("token", "node").join(nodes, "node"), None
+    if comp is not None:
+        every = written(every)
         mixed = every.groupBy("token").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low < top").select("token", "top")
         every = written(every.join(mixed, "token"))
         queries = every.filter("c < top").drop("top")
@@ -389,14 +413,19 @@ def jaccard_components(
     )
     heads = rows.filter("n > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
 
-    # Leading shingles that at least two classes share, of the classes that share as many as a link needs.
+    # Leading shingles that at least two classes share.
     every = heads.select("node", "need", F.explode("tokens").alias("token"))
     shared = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = written(every.join(shared, "token"))
-    enough = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("need").alias("least")).filter("c >= least").select("node")
-    met = written(met.drop("need").join(enough, "node", "left_semi"))
     grouped, guests = _groups(heads.join(classes.select("node", "w"), "node"), met, group_tokens)
     repeated = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").limit(1).count() > 0
+    # Members that no other of their block can link with become groups of one.
+    whole = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group")
+    blocks = grouped.select("node", "n", "counts", "group").join(written(whole), "group", "left_semi").withColumn("guest", F.lit(False))
+    away = guests.join(grouped.select("node", "n", "counts"), "node").select("node", "n", "counts", "group", F.lit(True).alias("guest"))
+    alike = written(blocks.select(away.columns).unionByName(away).groupBy("group").applyInPandas(_alike(num, den), "node long, group long"))
+    grouped = grouped.drop("group").join(alike, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("node", F.lit("alone"))))
+    grouped = written(grouped)
 
     # Groups of several: stored and compared within.
     sums = written(grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big")))
@@ -448,7 +477,7 @@ def jaccard_components(
 def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one row of each component, whatever the doc_ids are: one with the smallest doc_id (null only if all
     are); of rows that agree in doc_id and text any one."""
-    with scratch():
+    with scratch(), arrow_rows(docs.sparkSession):
         linked = jaccard_components(docs, k, num, den).filter("component is not null")
         linked = written(linked.groupBy("component", "doc_id", "h").agg(F.count(F.lit(1)).alias("times"), F.min("row").alias("row")))
         first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "h")).alias("first"))
@@ -466,7 +495,7 @@ def without_near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 1
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word 3-gram sets at a Jaccard similarity of 0.9."""
-    with scratch():
+    with scratch(), arrow_rows(spark):
         found = jaccard_components(read(spark, sf_dir, "documents"), k=3, num=90, den=100)
         return written(found.select("doc_id", "n_shingles", "component_id"), keep=True)
 
