@@ -1,15 +1,21 @@
 """A corpus pipeline of five stages: raw documents in, a deduplicated, decontaminated, redacted and weighted mix out.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. ``run`` writes each stage's result as
-Parquet to the shared folder of the session and reads it back, so that a lost executor costs at most one stage.
-Every stage defines its results for nulls, repeated rows and empty tables in its operator's module.
+Parquet to the shared folder of the session and reads it back, so that a lost executor costs at most one stage; what a
+stage wrote for itself goes with it, and its predecessor's result too.
+
+Results of every stage: all but the last return the columns of ``docs``, whatever their names, with null doc_ids and ids of
+any size as they are. Null and empty texts have no letter, so the first stage drops them; on their own, the other stages
+keep them, but the last, which takes no words of them. Of repeated rows the second stage keeps one. Ties go to the smallest doc_id. An
+empty table gives an empty result, an empty benchmark drops nothing. The last stage replaces columns named ``taken`` and
+``target``. A very long text is one row in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewater.llm.common import read, written
+from tidewater.llm.common import forget, owned, read, scratch, shared_folder
 from tidewater.llm.decontaminate import without_benchmark
 from tidewater.llm.jaccard_join import without_near_copies
 from tidewater.llm.language_id import of_stated_language
@@ -56,7 +62,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        path = shared_folder(spark)
+        owned(spark, path)
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            forget(spark, before)
+        before = path
+    return docs

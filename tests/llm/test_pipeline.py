@@ -47,11 +47,41 @@ def test_run(spark):
             assert r["text"] == docs[r["doc_id"]]["text"]
 
 
+def test_stages_keep_ids_and_columns_of_any_name(spark):
+    near = " ".join(f"the word{i} and the other{i} of it" for i in range(12))
+    rows = [(2**53 + 1, near, "en", "s", 5, 1), (None, near + " end", "en", "s", 5, 2), (2**53 + 2, "the cat and the dog are here", None, None, 5, 3), (2**53 + 4, "", "en", "s", 0, 4), (2**53 + 5, None, "en", "s", None, 5), (3, "the very long text of one word " * 30_000, "en", "t", 9, 6)]
+    names = ["c0", "h", "__h", "__doc", "__text", "__row", "__fold", "candidates", "base", "lang_pred", "__lang_pred", "votes", "score", "size", "sid", "row", "node", "tokens"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, mark int")
+    df = df.selectExpr("*", *(f"mark as `{n}`" for n in names))
+    kept = {"language_id": {1, 2, 3, 6}, "jaccard_join": {1, 3, 4, 5, 6}, "decontaminate": {1, 2, 3, 4, 5, 6}, "pii": {1, 2, 3, 4, 5, 6}, "mixing": {1, 2, 3, 6}}
+    ids = {mark: doc_id for doc_id, *_, mark in rows}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, df, SF)
+        found = out.collect()
+        assert out.columns == df.columns + ["taken", "target"] * (name == "mixing"), name
+        assert {r["mark"] for r in found} <= kept[name] and len(found) >= 2, name
+        assert name == "mixing" or {r["mark"] for r in found} == kept[name], name
+        assert all(r["doc_id"] == ids[r["mark"]] and all(r[n] == r["mark"] for n in names) for r in found), name
+        assert stage(spark, df.limit(0), SF).count() == 0
+
+
+def test_run_with_empty_and_odd_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    near = " ".join(f"the word{i} and the other{i} of it" for i in range(12))
+    odd = [(2**53 + 1, near, "en", "s", 5), (2**53 + 1, near, "en", "s", 5), (None, None, None, None, None), (1, "", "en", "s", 0), (4, "write to a.b@c.de now and then", "en", None, 5)]
+    for name, rows in (("empty", []), ("odd", odd)):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+    out = {(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()}
+    assert out and out <= {(2**53 + 1, near), (4, "write to [EMAIL] now and then")}
+
+
 def test_near_copies_of_odd_rows(spark):
     schema = "doc_id long, text string, h long, __x int"
     df = spark.createDataFrame([(1, None, 1, 1), (2, "", 1, 1), (3, "a b", 1, 1), (4, "A  b", 1, 1), (5, "c", 1, 1), (5, "c", 1, 1)], schema)
     out = without_near_copies(df)
-    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 5, 5]
+    assert out.columns == df.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2, 3, 5]
     assert without_near_copies(df.limit(0)).count() == 0
 
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from tidewater.sources.scratch import owned, scratch, shared_folder, written
+from tidewater.sources.scratch import forget, owned, scratch, shared_folder, written
 
-__all__ = ["appended", "arrow_rows", "owned", "read", "scratch", "shared_folder", "sliced", "small", "word_count", "written"]
+__all__ = ["appended", "arrow_rows", "forget", "owned", "read", "scratch", "shared_folder", "sliced", "small", "word_count", "written"]
 
 WHITESPACE = " \t\n\x0b\x0c\r"
 #: Bytes up to which a side whose rows were counted beforehand is broadcast.

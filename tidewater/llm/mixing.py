@@ -10,6 +10,8 @@
    drawn, as the largest gap between M golden points is below 1.9 / M; what a source no longer needs is passed over.
 4. Slots join blocks on (source, block).
 
+Windows over all sources have a row per source, so a million sources are still one small task.
+
 Defined results: null text counts no words and is never taken; null source is a source, last in order; repeated rows and
 repeated doc_ids are documents of their own; empty tables give empty results; other columns are ignored.
 """
@@ -18,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import read, small, word_count, written
+from .common import read, scratch, small, word_count, written
 
 #: Golden ratio's fraction in units of 2**-42; points are i * GOLDEN mod 2**42.
 BITS = 42
@@ -144,13 +146,20 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents of which the mix takes any word, with ``taken`` (words, repeats counted) and their source's ``target``.
 
-    A document is its doc_id: rows that share one get the sum.
+    A document is its doc_id: rows that share one get the sum. Columns of ``docs`` with these two names are replaced; all
+    others, whatever their names, are kept.
     """
-    took = taken_words(docs, **options).filter("taken > 0").groupBy(F.col("doc_id").alias("__doc"))
-    took = written(took.agg(F.sum("taken").alias("taken"), F.max("target").alias("target")))
-    plain = docs.drop("taken", "target")
-    return plain.join(small(took, took.count()), F.col("doc_id").eqNullSafe(F.col("__doc"))).drop("__doc")
+    with scratch():
+        took = taken_words(docs.select("doc_id", "text", "source"), **options).filter("taken > 0").groupBy("doc_id")
+        took = written(took.agg(F.sum("taken").alias("taken"), F.max("target").alias("target")), keep=True)
+        n = took.count()
+    kept = [c for c in docs.columns if c not in ("taken", "target")]
+    # Columns go by number, so that their names can't clash.
+    plain = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)))
+    joined = plain.join(small(took, n), F.col(f"c{kept.index('doc_id')}").eqNullSafe(F.col("doc_id")))
+    return joined.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), "taken", "target")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taken_words(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    with scratch():
+        return written(taken_words(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken"), keep=True)
