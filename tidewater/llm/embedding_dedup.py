@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import appended, read, scratch, small, written
+from .common import appended, per_group, read, scratch, small, written
 from .components import components
 
 
@@ -292,7 +292,7 @@ def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97,
     there = there.withColumn("qslice", F.pmod(F.shiftright(key, 20), "qslices").cast("int")).withColumn("mslice", each("mslices")).withColumn("role", F.lit(1))
     names = ["line", "mslice", "qslice", "role", "node", "cells", "sketch"]
     blocks = here.select(names).unionByName(there.select(names))
-    near = written(blocks.groupBy("line", "mslice", "qslice").applyInPandas(_plausible(index.bound), "node long, cell long, role int").distinct())
+    near = written(per_group(blocks, ["line", "mslice", "qslice"], _plausible(index.bound), "node long, cell long, role int").distinct())
 
     # Their vectors, in blocks of a cell.
     inside = written(placed.join(near.filter("role = 0").select("node").distinct(), "node", "left_semi").withColumn("cell", F.col("home")))
@@ -306,7 +306,7 @@ def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97,
     queries = across.select(others.columns).unionByName(others).withColumn("qslice", F.pmod(F.shiftright(key, 20), "qslices").cast("int"))
     queries = queries.withColumn("role", F.lit(1)).withColumn("visits", F.lit(None).cast("array<long>"))
     blocks = members.select(columns).unionByName(queries.select(columns))
-    found = written(blocks.groupBy("cell", "mslice", "qslice").applyInPandas(_compared(width, threshold, index.bound), "node long, root long, links long"))
+    found = written(per_group(blocks, ["cell", "mslice", "qslice"], _compared(width, threshold, index.bound), "node long, root long, links long"))
 
     linked = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     labels = written(classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))

@@ -37,7 +37,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import appended, arrow_rows, read, scratch, sliced, written
+from .common import appended, arrow_rows, per_group, read, scratch, sliced, written
 from .components import components
 
 _HASH = "xxhash64(cast(doc_id as long), text)"
@@ -224,7 +224,7 @@ def _alike(num: int, den: int):
             ok = (den * shared >= num * (n + n[i] - shared)) | unbounded | unbounded[i]
             ok &= (den * n >= num * n[i]) & (den * n[i] >= num * n)
             found[i] = ok.sum() > 1
-        return block.loc[found & ~block["guest"].to_numpy(), ["node", "group"]]
+        return block.loc[found & ~block["guest"].to_numpy(bool), ["node", "group"]]
 
     return run
 
@@ -280,19 +280,21 @@ def _stored(num: int, den: int):
     """A group as it is stored, and the links among its members and of these with its guests."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        own = block[~block["guest"]]
+        own = block[~block["guest"].to_numpy(bool)]
+        if own.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in ("group", "most", "union", "nodes", "weights", "sizes", "places", "edges")})
         sets = [np.frombuffer(t, np.uint64) for t in own["tokens"]]
         sizes, nodes, weights = np.array([len(x) for x in sets]), own["node"].to_numpy(), own["w"].to_numpy()
         union, places = np.unique(np.concatenate(sets), return_inverse=True)
         group, links = _Group(num, den, union, sizes, places.ravel(), nodes, weights), _Links()
         for i in range(len(sets)):
             group.ask(int(nodes[i]), int(weights[i]), sets[i], links, i + 1)
-        for node, w, t in block.loc[block["guest"], ["node", "w", "tokens"]].itertuples(index=False):
+        for node, w, t in block.loc[block["guest"].to_numpy(bool), ["node", "w", "tokens"]].itertuples(index=False):
             group.ask(int(node), int(w), np.frombuffer(t, np.uint64), links)
         edges, some = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()], [counts(x) for x in sets]
         most = None if None in some else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
         return pd.DataFrame({
-            "group": own["group"].iloc[:1], "most": [most], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
+            "group": [own["group"].iloc[0]], "most": [most], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
             "places": [places.astype(np.int32).tobytes()], "edges": [edges],
         })
 
@@ -351,9 +353,8 @@ def _sets(docs: DataFrame, chosen: DataFrame, k: int, repeated: bool) -> DataFra
 def _groups(heads: DataFrame, met: DataFrame, group_tokens: int) -> tuple[DataFrame, DataFrame]:
     """(node, n, w, need, h, counts, group of every class that shares as many leading shingles as a link needs; node, group
     of the anchors that visit other blocks)."""
-    keys = met.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("key"), F.count(F.lit(1)).alias("c"), F.max("need").alias("least"))
-    keys = keys.filter("c >= least").select("node", "key")
-    keyed = written(heads.select("node", "n", "w", "need", "h", "counts").join(keys, "node"))
+    keys = met.groupBy("node").agg(F.max(F.struct("times", "token"))["token"].alias("key"), F.count(F.lit(1)).alias("c"))
+    keyed = written(heads.select("node", "n", "w", "need", "h", "counts").join(keys, "node").filter("c >= need").drop("c"))
     tries = [F.min(F.struct(F.xxhash64("node", F.lit(i)).alias("x"), "node"))["node"] for i in range(8)]
     load = keyed.groupBy("key").agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("members"), F.array_distinct(F.array(*tries)).alias("anchors"))
     blocks = F.ceil(F.greatest(F.col("tokens") / group_tokens, F.col("members") / 512)).cast("long")
@@ -370,30 +371,42 @@ def _asked(met: DataFrame, grouped: DataFrame, sums: DataFrame, comp: DataFrame
     Of two groups the one with fewer shingles asks. With components, only classes of different ones meet, and the smaller
     component asks: the largest of a leading shingle is only asked, and one whose classes are all in one is done with.
     """
-    nodes = grouped.select("node", "n", "need", "group").join(sums.select("group", "t", "small", "big"), "group")
+    nodes = grouped.select("node", "group").join(sums.select("group", "t"), "group")
     if comp is None:
         c = F.struct("t", "group")
     else:
         nodes = nodes.join(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp"), "node", "left")
         c = F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), F.coalesce("comp", "node").alias("comp"))
-    nodes = written(nodes.select("node", "n", "need", "group", "small", "big", c.alias("c")))
-    every, queries = met.select("token", "node").join(nodes, "node"), None
+    every, queries = met.select("token", "node").join(written(nodes.select("node", "group", c.alias("c"))), "node"), None
     if comp is not None:
         every = written(every)
         mixed = every.groupBy("token").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low < top").select("token", "top")
         every = written(every.join(mixed, "token"))
         queries = every.filter("c < top").drop("top")
-    groups = every.select("token", "group", "c", "small", "big").distinct()
+    groups = every.select("token", "group", "c").distinct()
     wanted = (F.col("q.group") != F.col("g.group")) & (F.col("q.c") < F.col("g.c"))
-    fits = (den * F.col("g.big") >= num * F.col("q.n")) & (den * F.col("q.n") >= num * F.col("g.small"))
-    pairs = (queries or every).alias("q").join(groups.alias("g"), "token").filter(wanted & fits).groupBy("q.node", "q.n", "q.need", F.col("g.group").alias("target")).agg(
+    pairs = (queries or every).alias("q").join(groups.alias("g"), "token").filter(wanted).groupBy("q.node", F.col("g.group").alias("target")).agg(
         F.count_distinct("token").alias("shared")
     )
-    pairs = written(pairs.filter("shared >= need").select("node", "n", "target"))
-    bounded = pairs.join(grouped.select("node", "counts"), "node").join(sums.select(F.col("group").alias("target"), "small", "most"), "target")
+    pairs = written(pairs).join(grouped.select("node", "n", "need", "counts"), "node").filter("shared >= need")
+    fits = (den * F.col("big") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("small"))
+    bounded = pairs.join(sums.select(F.col("group").alias("target"), "small", "big", "most"), "target").filter(fits)
     return written(bounded.select("node", "target", "n", "small", "counts", "most").mapInPandas(_possible(num, den), "node long, target long, n long"))
 
 
+def _labelled(edges: DataFrame) -> DataFrame:
+    """node, comp: a node that is surely in one component with it, the same one for nodes whose blocks share an anchor.
+
+    Three times each node takes the least label of those it has an edge with; that is no whole component, and need not be.
+    """
+    both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
+    labels = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
+    for _ in range(2):
+        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
+        labels = labels.join(near, F.col("node") == F.col("u")).select("node", F.least("comp", "m").alias("comp"))
+    return labels
+
+
 def jaccard_components(
     docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, group_tokens: int = 32_768, slice_tokens: int = 262_144, links: bool = False
 ) -> DataFrame:
@@ -414,7 +427,7 @@ def jaccard_components(
     heads = rows.filter("n > 0").join(copies, "row", "left_anti").withColumnRenamed("row", "node")
 
     # Leading shingles that at least two classes share.
-    every = heads.select("node", "need", F.explode("tokens").alias("token"))
+    every = heads.select("node", F.explode("tokens").alias("token"))
     shared = written(every.groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1"))
     met = written(every.join(shared, "token"))
     grouped, guests = _groups(heads.join(classes.select("node", "w"), "node"), met, group_tokens)
@@ -423,7 +436,7 @@ def jaccard_components(
     whole = grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group")
     blocks = grouped.select("node", "n", "counts", "group").join(written(whole), "group", "left_semi").withColumn("guest", F.lit(False))
     away = guests.join(grouped.select("node", "n", "counts"), "node").select("node", "n", "counts", "group", F.lit(True).alias("guest"))
-    alike = written(blocks.select(away.columns).unionByName(away).groupBy("group").applyInPandas(_alike(num, den), "node long, group long"))
+    alike = written(per_group(blocks.select(away.columns).unionByName(away), ["group"], _alike(num, den), "node long, group long"))
     grouped = grouped.drop("group").join(alike, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("node", F.lit("alone"))))
     grouped = written(grouped)
 
@@ -436,12 +449,12 @@ def jaccard_components(
     if not links:
         visits = sets.drop("group").join(guests, "node").join(several, "group", "left_semi")
         blocks = blocks.unionByName(visits.withColumn("guest", F.lit(True)))
-    stored = written(blocks.groupBy("group").applyInPandas(_stored(num, den), STORED))
+    stored = written(per_group(blocks, ["group"], _stored(num, den), STORED, rows=50))
     edges = stored.select(F.explode("edges").alias("e")).select("e.*")
 
     # Queries of other groups.
     alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("most"))
-    comp = None if links else written(components(edges.select("u", "v"))).withColumnRenamed("component", "comp")
+    comp = None if links else written(_labelled(edges.select("u", "v")))
     asked = _asked(met, grouped, written(sums.join(stored.select("group", "most").unionByName(alone), "group")), comp, num, den)
     slices = asked.groupBy("target").agg(F.ceil(F.sum("n") / slice_tokens).cast("long").alias("slices"))
     chosen = asked.select("node").union(slices.join(several.withColumnRenamed("group", "target"), "target", "left_anti").join(
@@ -456,7 +469,7 @@ def jaccard_components(
     nothing = {"nodes": F.lit(None).cast("array<long>"), "weights": F.lit(None).cast("array<long>"), "sizes": F.lit(None).cast("array<long>"), "places": F.lit(None).cast("binary"), "role": F.lit(1)}
     columns = ["target", "slice", "role", "node", "w", "tokens", "nodes", "weights", "sizes", "places"]
     blocks = kept.select(columns).unionByName(queries.withColumns(nothing).select(columns))
-    found = written(blocks.groupBy("target", "slice").applyInPandas(_opened(num, den), "u long, v long, links long").unionByName(edges))
+    found = written(per_group(blocks, ["target", "slice"], _opened(num, den), "u long, v long, links long").unionByName(edges))
 
     linked = written(components(found.select("u", "v")))
     of = classes.select("d1", "d2", "n", "node", "first", "w")
