@@ -200,3 +200,27 @@ def test_convolutions_predict_rows_out_of_fold(spark, monkeypatch):
     out = learners.convolutions(spark, sf, seeds=(42,)).collect()
     assert all(not a & b for a, b in folds) and set().union(*(b for _, b in folds)) == set(range(6)) == {r["fold"] for r in out}
     assert len(out) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
+
+
+def test_exact_percentiles_by_narrowing(spark):
+    import numpy as np
+
+    from tidewater.functions.scalars import exact_percentile
+
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=3000), np.repeat(0.25, 1500), rng.integers(0, 5, 500)])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+    for share in (0.0, 0.1, 0.5, 0.6, 0.999, 1.0):
+        assert np.isclose(exact_percentile(df, "v", share, most=100), np.quantile(x, share))
+    assert exact_percentile(df.limit(0), "v", 0.5) is None
+
+
+def test_values_while_in_a_state(spark):
+    from tidewater.operators.joins import while_in_state
+
+    at = "2024-01-01 10:{:02d}:{:02d}"
+    values = spark.createDataFrame([(1, at.format(m, 5), float(m)) for m in range(8)] + [(2, at.format(1, 0), 9.0)], "u long, t string, v double")
+    states = spark.createDataFrame([(1, at.format(m, 40), m % 2) for m in range(8)], "u long, t string, s int")
+    stamp = lambda df: df.selectExpr("*", "to_timestamp_ntz(t) AS ts")
+    out = {r["u"]: (r["mean"], r["std"]) for r in while_in_state(stamp(values), stamp(states), ["u"], "ts", "v", "s", 1).collect()}
+    assert out[1][0] == 4.0 and abs(out[1][1] - 2.581988897) < 1e-6 and out[2] == (None, None)
