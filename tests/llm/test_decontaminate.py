@@ -83,3 +83,12 @@ def test_copies_in_another_case_or_context_are_found(spark):
     items = [(1, "Peter and Anna met Paul and Maria near the Tower of London after Carl left Berlin for Rome."), (2, "What is photosynthesis?")]
     docs = [(1, items[0][1].lower()), (2, "The teacher asked us: what is photosynthesis? Nobody knew"), (3, "It is asked, What is photosynthesis?"), (4, "what is it")]
     assert run(spark, docs, items) == {(1, 1), (2, 2), (3, 2)}
+
+
+def test_only_native_operators(spark):
+    from tidewater.llm.decontaminate import CASELESS, NAMES, windows
+
+    df = spark.createDataFrame([(1, QUESTION, "x", 1)], DOCS)
+    for kind in (NAMES, CASELESS):
+        plan = windows(df.select("doc_id", "text"), "doc_id", [5], kind)._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|ArrowEval", plan)
