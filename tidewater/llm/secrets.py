@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 GENERIC = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 #: Public prefixes of access tokens, passwords in addresses, heads of private keys.
-KNOWN = re.compile(r"\bgh[opsu]_[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?<=://)[^\s:/@]{1,64}:[^\s:/@]{6,}(?=@)|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----\s*[A-Za-z0-9+/=]{40,}(?:\s[A-Za-z0-9+/=]{40,})*")
+KNOWN = re.compile(r"\bgh[opsu]_[A-Za-z0-9]{20,}|\bxox[abprs]-[A-Za-z0-9-]{10,}|\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+|(?<=://)[^\s:/@]+:[^\s:/@]{6,}(?=@)|-----BEGIN [A-Z ]*PRIVATE KEY-----\s*[A-Za-z0-9+/=]{40,}(?:\s[A-Za-z0-9+/=]{40,})*")
 _CUE = re.compile(r"passw|secret|token|api_?key", re.I | re.A)
 _SIGN = re.compile(r"gh[opsu]_|xox|eyJ|://|PRIVATE KEY")
 
@@ -137,10 +137,15 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(spans, order)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def _of_kind(kind: str):
+    # A lambda with a second parameter would get the element's index there.
+    return lambda s: s["kind"] == F.lit(kind)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     with scratch():
         found = secrets(read(spark, sf_dir, "documents"))
-        of = {k: F.filter("base", lambda s, k=k: s["kind"] == k) for k in KINDS}
+        of = {k: F.filter("base", _of_kind(k)) for k in KINDS}
         out = found.select(
             "doc_id", *(F.size(x).cast("long").alias(f"n_{k}") for k, x in of.items()),
             F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", "added")).alias("spans"), "n_live", "n_copied",
