@@ -71,7 +71,7 @@ def test_blocks_of_every_height_give_the_same_proofs(spark):
     for height in (1, 2, 3):
         with scratch():
             got = manifest(leaves, height=height)
-            assert set(got.columns) == {*leaves.columns, "position"} and dict(got.dtypes)["proof"] == PROOF
+            assert set(got.columns) == {*leaves.columns, "position", "subroot"} and dict(got.dtypes)["proof"] == PROOF
             got = got.withColumn("ok", fold(F.col("leaf"), F.col("proof")) == F.col("root"))
             found.append(sorted((repr(r["doc_id"]), r["leaf"], r["source"] or "", r["position"], h(*(s["left"] + s["right"] for s in r["proof"])), r["ok"]) for r in got.collect()))
     assert found[0] == found[1] == found[2] and len(found[0]) == len(rows) and all(r[-1] for r in found[0])
