@@ -54,14 +54,14 @@ class Shingler:
     """Sorted distinct hashes of a text's ``k``-word shingles; A-Z are lower-cased, words part at ASCII white space.
 
     A word's hash is a polynomial of its bytes, a difference of running sums, so a text costs a few array operations.
-    Long texts are worked on in pieces of about ``piece`` bytes, cut at white space.
+    Long texts are worked on in pieces of about ``piece`` bytes, cut at white space. Without ``folded`` words stay as they are.
     """
 
     BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _M3)
     SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 
-    def __init__(self, k: int, piece: int = 1 << 20) -> None:
-        self.k, self.piece, self.powers = k, piece, np.zeros((2, 0), np.uint64)
+    def __init__(self, k: int, piece: int = 1 << 20, folded: bool = True) -> None:
+        self.k, self.piece, self.folded, self.powers = k, piece, folded, np.zeros((2, 0), np.uint64)
 
     def _words(self, raw: bytes) -> np.ndarray:
         a = np.frombuffer(raw, np.uint8)
@@ -78,7 +78,8 @@ class Shingler:
         return _mix((sums[end] - sums[start]) * self.powers[1, start])
 
     def words(self, text: str | None) -> np.ndarray:
-        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = raw.lower() if self.folded else raw
         if len(raw) <= self.piece:
             return self._words(raw)
         found, at = [], 0

@@ -9,6 +9,7 @@ from .merkle_manifest import OP11_SQL, op11_merkle
 from .mixing import op2_mixing
 from .pii import op3_pii
 from .secrets import op10_secrets
+from .substring_dedup import op13_substring_dedup
 from .token_counts import op9_token_counts
 from .toxicity import op6_toxicity
 from .vector_codes import OP12_SQL, op12_vector_codes
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_secrets": op10_secrets,
     "op11_merkle": op11_merkle,
     "op12_vector_codes": op12_vector_codes,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 SQL = {
     "op1_chat_format": OP1_SQL,
