@@ -14,9 +14,9 @@ broadcast. Vectors are never shuffled.
 
 Defined results: vectors that are null, empty or hold null or non-finite components go, and so do those whose length is
 not that of the first vector by id, or no multiple of ``parts``; scaled components beyond +-2**25 count as +-2**25, so
-sums stay exact up to 1024 components; rows that agree in their id are ordered by their vectors; a null id comes last; with
+sums stay exact up to 1024 components; rows that agree in their id are ordered by their vectors' bytes; a null id comes last; with
 fewer vectors than ``entries`` codebooks are smaller, repeated entries stay unused; an empty table gives no rows; other
-columns are ignored.
+columns pass, but those named like the new ones (``ints``, ``code``, ``error``).
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def quantised(df: DataFrame, scale: int = 256) -> DataFrame:
             out.append(np.clip(np.floor(v * float(scale)), -BOUND, BOUND).astype(np.int32).tobytes() if fine else None)
         return [pa.array(out, pa.binary())]
 
-    rows = df.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    rows = df.drop("ints", "code", "error").withColumn("embedding", F.col("embedding").cast("array<double>"))
     return appended(rows, lambda: run, "ints binary", drop=("embedding",)).filter("ints is not null")
 
 
