@@ -198,16 +198,22 @@ def described(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _possible(num: int, den: int):
-    """Queries and groups whose sizes and bucket counts allow a link."""
+    """Queries (role 1) and the groups of those members of a block (role 0) whose sizes and bucket counts allow a link with
+    them, and that are in another component."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unknown = b"\xff" * BUCKETS
-        for p in batches:
-            a, b = (np.frombuffer(b"".join(c or unknown for c in p[x]), np.uint8).reshape(len(p), BUCKETS) for x in ("counts", "most"))
-            shared = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            unbounded = np.array([x is None or y is None for x, y in zip(p["counts"], p["most"], strict=True)], bool)
-            ok = unbounded | (den * shared >= num * (p["n"].to_numpy() + p["small"].to_numpy() - shared))
-            yield p.loc[ok, ["node", "target", "n"]]
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        n = block["n"].to_numpy()
+        c = np.frombuffer(b"".join(x or b"\xff" * BUCKETS for x in block["counts"]), np.uint8).reshape(len(block), BUCKETS)
+        unbounded, comp = block["counts"].isna().to_numpy(), block["comp"].to_numpy()
+        own, asks = (np.flatnonzero(block["role"].to_numpy() == r) for r in (0, 1))
+        node, group = block["node"].to_numpy(), block["group"].to_numpy()
+        found = []
+        for i in asks:
+            shared = np.minimum(c[own], c[i]).sum(axis=1, dtype=np.int64)
+            ok = (den * shared >= num * (n[own] + n[i] - shared)) | unbounded[own] | unbounded[i]
+            ok &= (den * n[own] >= num * n[i]) & (den * n[i] >= num * n[own]) & (comp[own] != comp[i])
+            found += [(node[i], g, n[i]) for g in np.unique(group[own[ok]])]
+        return pd.DataFrame(found, columns=["node", "target", "n"]).astype("int64")
 
     return run
 
@@ -274,7 +280,7 @@ class _Group:
             links.join(node, weight, int(self.nodes[j]), int(self.weights[j]))
 
 
-STORED = "group long, most binary, union binary, nodes array<long>, weights array<long>, sizes array<long>, places binary, edges array<struct<u:long,v:long,links:long>>"
+STORED = "group long, union binary, nodes array<long>, weights array<long>, sizes array<long>, places binary, edges array<struct<u:long,v:long,links:long>>"
 
 
 def _stored(num: int, den: int):
@@ -283,7 +289,7 @@ def _stored(num: int, den: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         own = block[~block["guest"].to_numpy(bool)]
         if own.empty:
-            return pd.DataFrame({c.split()[0]: [] for c in ("group", "most", "union", "nodes", "weights", "sizes", "places", "edges")})
+            return pd.DataFrame({c.split()[0]: [] for c in ("group", "union", "nodes", "weights", "sizes", "places", "edges")})
         sets = [np.frombuffer(t, np.uint64) for t in own["tokens"]]
         sizes, nodes, weights = np.array([len(x) for x in sets]), own["node"].to_numpy(), own["w"].to_numpy()
         union, places = np.unique(np.concatenate(sets), return_inverse=True)
@@ -292,10 +298,9 @@ def _stored(num: int, den: int):
             group.ask(int(nodes[i]), int(weights[i]), sets[i], links, i + 1)
         for node, w, t in block.loc[block["guest"].to_numpy(bool), ["node", "w", "tokens"]].itertuples(index=False):
             group.ask(int(node), int(w), np.frombuffer(t, np.uint64), links)
-        edges, some = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()], [counts(x) for x in sets]
-        most = None if None in some else np.frombuffer(b"".join(some), np.uint8).reshape(len(some), BUCKETS).max(axis=0).tobytes()
+        edges = [{"u": u, "v": v, "links": n} for u, v, n in links.edges()]
         return pd.DataFrame({
-            "group": [own["group"].iloc[0]], "most": [most], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
+            "group": [own["group"].iloc[0]], "union": [union.tobytes()], "nodes": [nodes], "weights": [weights], "sizes": [sizes],
             "places": [places.astype(np.int32).tobytes()], "edges": [edges],
         })
 
@@ -366,33 +371,46 @@ def _groups(heads: DataFrame, met: DataFrame, group_tokens: int) -> tuple[DataFr
     return written(grouped), sent.filter(F.col("block") != home("node")).select("node", F.xxhash64("key", "block").alias("group"))
 
 
-def _asked(met: DataFrame, grouped: DataFrame, sums: DataFrame, comp: DataFrame | None, num: int, den: int) -> DataFrame:
+def _asked(met: DataFrame, grouped: DataFrame, comp: DataFrame | None, num: int, den: int, slice_queries: int = 4096) -> DataFrame:
     """node, target, n: queries and the groups that they ask.
 
-    Of two groups the one with fewer shingles asks. With components, only classes of different ones meet, and the smaller
-    component asks: the largest of a leading shingle is only asked, and one whose classes are all in one is done with.
+    Queries ask blocks first, the ones where enough of their leading shingles stand; which of a block's groups they ask, its
+    members' sizes and bucket counts say. Of two blocks the one with fewer shingles asks. With components, only classes of
+    different ones meet, and the smaller component asks: the largest of a leading shingle is only asked, and one whose classes
+    are all in one is done with.
     """
-    nodes = grouped.select("node", "group").join(sums.select("group", "t"), "group")
+    nodes = grouped.select("node", "block", "group", "n", "need", "counts")
     if comp is None:
-        c = F.struct("t", "group")
+        sums = grouped.groupBy("block").agg(F.sum("n").alias("t"))
+        nodes = nodes.join(sums, "block").withColumns({"comp": F.col("node"), "c": F.struct("t", "block")}).drop("t")
     else:
-        nodes = nodes.join(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp"), "node", "left")
-        c = F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), F.coalesce("comp", "node").alias("comp"))
-    every, queries = met.select("token", "node").join(written(nodes.select("node", "group", c.alias("c"))), "node"), None
+        nodes = nodes.join(comp.join(comp.groupBy("comp").agg(F.count(F.lit(1)).alias("nodes")), "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        nodes = nodes.withColumn("c", F.struct(F.coalesce("nodes", F.lit(1)).cast("long").alias("nodes"), "comp")).drop("nodes")
+    nodes = written(nodes)
+    every, queries = met.select("token", "node").join(nodes.select("node", "block", "c"), "node"), None
     if comp is not None:
         every = written(every)
         mixed = every.groupBy("token").agg(F.max("c").alias("top"), F.min("c").alias("low")).filter("low < top").select("token", "top")
         every = written(every.join(mixed, "token"))
         queries = every.filter("c < top").drop("top")
-    groups = every.select("token", "group", "c").distinct()
-    wanted = (F.col("q.group") != F.col("g.group")) & (F.col("q.c") < F.col("g.c"))
-    pairs = (queries or every).alias("q").join(groups.alias("g"), "token").filter(wanted).groupBy("q.node", F.col("g.group").alias("target")).agg(
-        F.count_distinct("token").alias("shared")
-    )
-    pairs = written(pairs).join(grouped.select("node", "n", "need", "counts"), "node").filter("shared >= need")
-    fits = (den * F.col("big") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("small"))
-    bounded = pairs.join(sums.select(F.col("group").alias("target"), "small", "big", "most"), "target").filter(fits)
-    return written(bounded.select("node", "target", "n", "small", "counts", "most").mapInPandas(_possible(num, den), "node long, target long, n long"))
+    # Shingles that stand in the same blocks are one set of blocks, so a class meets a set once, not once for each of them.
+    blocks = written(every.groupBy("token", "block").agg(F.max("c").alias("c")))
+    marks = [F.bit_xor(F.xxhash64("block", "c", F.lit(i))).alias(f"x{i}") for i in range(2)]
+    alike = written(blocks.groupBy("token").agg(F.count(F.lit(1)).alias("k"), *marks))
+    same = written(alike.groupBy("k", "x0", "x1").agg(F.min("token").alias("set")))
+    of = alike.join(same, ["k", "x0", "x1"]).select("token", "set")
+    members = blocks.join(same.select(F.col("set").alias("token")), "token").withColumnRenamed("token", "set")
+    own = (queries or every).join(of, "token").groupBy("node", "block", "c", "set").agg(F.count(F.lit(1)).alias("times"))
+    wanted = (F.col("q.block") != F.col("g.block")) & (F.col("q.c") < F.col("g.c"))
+    pairs = own.alias("q").join(members.alias("g"), "set").filter(wanted).groupBy("q.node", F.col("g.block").alias("block")).agg(F.sum("times").alias("shared"))
+    pairs = written(pairs).join(nodes.select("node", "n", "need", "counts", "comp"), "node").filter("shared >= need")
+    sizes = grouped.groupBy("block").agg(F.min("n").alias("small"), F.max("n").alias("big"))
+    pairs = written(pairs.join(sizes, "block").filter((den * F.col("big") >= num * F.col("n")) & (den * F.col("n") >= num * F.col("small"))))
+    slices = written(pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / slice_queries).cast("long").alias("slices")))
+    columns = ["block", "slice", "role", "node", "n", "counts", "comp", "group"]
+    asks = pairs.join(slices, "block").withColumns({"slice": F.pmod(F.xxhash64("node"), F.col("slices")), "role": F.lit(1), "group": F.lit(0).cast("long")})
+    kept = nodes.join(slices, "block").withColumns({"slice": F.explode(F.expr("sequence(0L, slices - 1)")), "role": F.lit(0)})
+    return written(per_group(asks.select(columns).unionByName(kept.select(columns)), ["block", "slice"], _possible(num, den), "node long, target long, n long"))
 
 
 def _labelled(edges: DataFrame) -> DataFrame:
@@ -438,12 +456,11 @@ def jaccard_components(
     blocks = grouped.select("node", "n", "counts", "group").join(written(whole), "group", "left_semi").withColumn("guest", F.lit(False))
     away = guests.join(grouped.select("node", "n", "counts"), "node").select("node", "n", "counts", "group", F.lit(True).alias("guest"))
     alike = written(per_group(blocks.select(away.columns).unionByName(away), ["group"], _alike(num, den), "node long, group long"))
-    grouped = grouped.drop("group").join(alike, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("node", F.lit("alone"))))
+    grouped = grouped.withColumnRenamed("group", "block").join(alike, "node", "left").withColumn("group", F.coalesce("group", F.xxhash64("node", F.lit("alone"))))
     grouped = written(grouped)
 
     # Groups of several: stored and compared within.
-    sums = written(grouped.groupBy("group").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("members"), F.min("n").alias("small"), F.max("n").alias("big")))
-    several = written(sums.filter("members > 1").select("group"))
+    several = written(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("group"))
     among = grouped.select("h", "node", "w", "group").join(several, "group", "left_semi")
     sets = _sets(docs, among, k, repeated)
     blocks = sets.withColumn("guest", F.lit(False))
@@ -454,9 +471,8 @@ def jaccard_components(
     edges = stored.select(F.explode("edges").alias("e")).select("e.*")
 
     # Queries of other groups.
-    alone = grouped.join(several, "group", "left_anti").select("group", F.col("counts").alias("most"))
     comp = None if links else written(_labelled(edges.select("u", "v")))
-    asked = _asked(met, grouped, written(sums.join(stored.select("group", "most").unionByName(alone), "group")), comp, num, den)
+    asked = _asked(met, grouped, comp, num, den)
     slices = asked.groupBy("target").agg(F.ceil(F.sum("n") / slice_tokens).cast("long").alias("slices"))
     chosen = asked.select("node").union(slices.join(several.withColumnRenamed("group", "target"), "target", "left_anti").join(
         grouped.select(F.col("group").alias("target"), "node"), "target").select("node")).distinct()
