@@ -202,17 +202,47 @@ def test_convolutions_predict_rows_out_of_fold(spark, monkeypatch):
     assert len(out) == spark.read.parquet(f"{sf}/embeddings.parquet").count()
 
 
-def test_exact_percentiles_by_narrowing(spark):
-    import numpy as np
-
-    from tidewater.functions.scalars import exact_percentile
+def test_exact_percentiles_of_columns_and_groups(spark):
+    from tidewater.operators.ranks import column_percentiles, percentiles
 
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=3000), np.repeat(0.25, 1500), rng.integers(0, 5, 500)])
-    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
-    for share in (0.0, 0.1, 0.5, 0.6, 0.999, 1.0):
-        assert np.isclose(exact_percentile(df, "v", share, most=100), np.quantile(x, share))
-    assert exact_percentile(df.limit(0), "v", 0.5) is None
+    y = np.where(rng.random(5000) < 0.3, np.nan, 1e6 + np.round(x))
+    df = spark.createDataFrame([(float(a), None if np.isnan(b) else float(b), None, i % 3 or None) for i, (a, b) in enumerate(zip(x, y, strict=True))], "v double, w double, none double, g int")
+    for share in (0.0, 0.1, 0.5, 0.999, 1.0):
+        got = column_percentiles(df, ["v", "w", "none"], share)
+        assert np.isclose(got["v"], np.quantile(x, share)) and np.isclose(got["w"], np.nanquantile(y, share)) and got["none"] is None
+    own = {r["g"]: r["p"] for r in percentiles(df, ["g"], "v", 0.4).collect()}
+    assert all(np.isclose(own[g or None], np.quantile(x[np.arange(5000) % 3 == g], 0.4)) for g in range(3))
+    assert column_percentiles(df.limit(0), ["v"], 0.5) == {"v": None}
+
+
+def test_rank_correlation_equals_that_of_average_ranks(spark):
+    from tidewater.operators.ranks import spearman
+
+    rng = np.random.default_rng(3)
+    g, x, y = rng.integers(0, 4, 2000), np.round(rng.normal(size=2000), 1), np.round(rng.normal(size=2000) * 1e9)
+    y = np.where(g == 1, x * 3, y)
+    x = np.where(g == 2, 7.0, x)
+    rows = [(int(k) or None, float(a), float(b)) for k, a, b in zip(g, x, y, strict=True)] + [(1, None, 2.0), (1, 3.0, None)]
+    got = {r["g"]: (r["r"], r["n"]) for r in spearman(spark.createDataFrame(rows, "g int, x double, y double"), ["g"], "x", "y").collect()}
+
+    def ranks(v):
+        return np.array([(v < a).sum() + ((v == a).sum() + 1) / 2 for a in v])
+
+    for k in range(4):
+        r, n = got[k or None]
+        assert n == (g == k).sum()
+        assert r is None if k == 2 else np.isclose(r, np.corrcoef(ranks(x[g == k]), ranks(y[g == k]))[0, 1])
+
+
+def test_a_query_of_rank_correlations_has_few_shuffles(spark):
+    from tidewater.plans.registry import queries
+
+    df = queries()["q_M8_within_between"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    executed = df._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange hashpartitioning") <= 9 and plan.count("Relation ") <= 3
 
 
 def test_values_while_in_a_state(spark):

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.scalars import exact_percentile, BUCKETS
+from tidewater.functions.scalars import BUCKETS
+
+from .ranks import column_percentiles
 
 Keys = list[str]
 
@@ -138,8 +140,8 @@ def missing_rates(df: DataFrame, subject: str, columns: list[str]) -> DataFrame:
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Coverage and distribution of each column, one row each: one pass, and those of the exact medians."""
-    middle = {c: exact_percentile(df, c, 0.5) for c in columns}
+    """Coverage and distribution of each column, one row each: one pass, and that of all exact medians."""
+    middle = column_percentiles(df, columns, 0.5)
     stats = [
         F.struct(
             F.lit(c).alias("column"), F.count(c).alias("n"), F.count_if(F.col(c).isNull()).alias("nulls"), F.avg(c).cast("double").alias("mean"),

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidewater.functions.scalars import exact_percentile
-
 from .joins import as_of_steps
+from .ranks import column_percentiles
 from .windows import centred_mean, runs
 
 
@@ -82,7 +81,7 @@ def with_fallback(spine: DataFrame, found: DataFrame, by: list[str], subject: st
     """Missing episodes take the subject's median, then the median of all; ``fallback`` tells."""
     joined = spine.join(found, by, "left").withColumn("fallback", F.col(columns[0]).isNull().cast("int"))
     own = joined.groupBy(subject).agg(*(F.percentile(c, 0.5).alias(f"__own_{c}") for c in columns))
-    every = {c: exact_percentile(joined, c, 0.5) for c in columns}
+    every = column_percentiles(joined, columns, 0.5)
     filled = joined.join(own, subject, "left")
     return filled.withColumns({c: F.coalesce(F.col(c).cast("double"), f"__own_{c}", F.lit(every[c])) for c in columns}).drop(
         *(f"__own_{c}" for c in columns)

@@ -15,8 +15,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tidewater.functions.scalars import clip, exact_percentile, logit
+from tidewater.functions.scalars import clip, logit
 
+from .ranks import column_percentiles
 from .stats import standardised
 
 
@@ -40,7 +41,7 @@ class Settings:
 
 def _imputed(train: DataFrame, rows: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Missing values become the training median, or 0 without one; columns without variance need no care here."""
-    middle = {c: exact_percentile(train, c, 0.5) for c in features}
+    middle = column_percentiles(train, features, 0.5)
     fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(middle[c] or 0.0))) for c in features}
     return train.withColumns(fill), rows.withColumns(fill)
 

@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewater.functions.scalars import clip, exact_percentile, logit, sigmoid
+from tidewater.functions.scalars import clip, logit, sigmoid
 
 from .joins import nearest
-from .windows import spearman
+from .ranks import column_percentiles, spearman
 
 
 def pairwise(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,17 +41,20 @@ def within_between(long: DataFrame, subject: str, feature: str, x: str, y: str,
     means = both.groupBy(subject, feature).agg(F.avg(x).alias("__x"), F.avg(y).alias("__y"))
     # Rounded, so that values that differ by arithmetic noise only tie.
     inner = both.join(means, [subject, feature]).select(feature, F.round(F.col(x) - F.col("__x"), 9).alias(x), F.round(F.col(y) - F.col("__y"), 9).alias(y))
-    raw = spearman(both, [feature], x, y).select(feature, F.col("r").alias("raw"), "n")
-    own = spearman(inner, [feature], x, y).select(feature, F.col("r").alias("within"))
+    # Both correlations from one table, told apart by a flag.
+    rows = both.select(feature, x, y, F.lit(False).alias("__inner")).unionByName(inner.withColumn("__inner", F.lit(True)))
+    found = spearman(rows, [feature, "__inner"], x, y).groupBy(feature).agg(
+        F.max(F.when(~F.col("__inner"), F.col("r"))).alias("raw"), F.max(F.when(~F.col("__inner"), F.col("n"))).alias("n"), F.max(F.when(F.col("__inner"), F.col("r"))).alias("within")
+    )
     r, w = F.abs(F.col("raw")), F.abs(F.coalesce("within", F.lit(0.0)))
     kind = F.when(F.col("raw").isNull() | (r < least), "weak").when(w >= rich * r, "day_rich").when(w <= between * r, "between_only").otherwise("mixed")
-    return raw.join(own, feature, "left").withColumn("kind", kind)
+    return found.withColumn("kind", kind)
 
 
 def mundlak(train: DataFrame, df: DataFrame, subject: str, columns: list[str]) -> DataFrame:
     """Each column as its subject's training mean (the training median for new subjects) and the deviation from it."""
     means = train.groupBy(subject).agg(*(F.avg(c).alias(f"{c}_b") for c in columns))
-    middle = {c: exact_percentile(train, c, 0.5) for c in columns}
+    middle = column_percentiles(train, columns, 0.5)
     joined = df.join(means, subject, "left").withColumns({f"{c}_b": F.coalesce(f"{c}_b", F.lit(middle[c])) for c in columns})
     return joined.withColumns({f"{c}_w": F.col(c) - F.col(f"{c}_b") for c in columns})
 

@@ -85,37 +85,6 @@ def _cuts(df: DataFrame) -> int:
     return min(1024, max(16, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with each row's rank by ``value`` within its group, ties sharing the mean of their places.
-
-    Rows are counted by value first. Quantiles of the values cut them into ranges; places run within a range, and one row
-    per group and range gives what lies ahead of it, so no task has all of a group.
-    """
-    cuts = _cuts(df)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    shares = [i / cuts for i in range(1, cuts)]
-    found = df.agg(F.percentile_approx(value, shares, 10 * cuts).alias("b")).first()["b"]
-    counts = counts.withColumn("__part", _part(value, sorted(set(found or []))))
-    sums = counts.groupBy(*by, "__part").agg(F.sum("__n").alias("__m"))
-    ahead = F.coalesce(F.sum("__m").over(W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    within = F.coalesce(F.sum("__n").over(W.partitionBy(*by, "__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumn("__within", within)
-    groups = sums.withColumn("__ahead", ahead).select(*(F.col(c).alias(f"__{c}") for c in by), F.col("__part").alias("__p"), "__ahead")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
-    placed = placed.join(groups, [*same, F.col("__part") == F.col("__p")])
-    rank = (F.col("__within") + F.col("__ahead") + (F.col("__n") + 1) / 2.0).alias(name)
-    ranks = placed.select(*(F.col(c).alias(f"__{c}") for c in by), F.col(value).alias("__value"), rank)
-    return df.join(ranks, [*same, F.col(value) == F.col("__value")]).select(*df.columns, name)
-
-
-def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation per group over rows that have both; null without variance."""
-    both = df.select(*by, x, y).filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = average_ranks(average_ranks(both, by, x, "__x"), by, y, "__y")
-    r = F.try_divide(F.covar_pop("__x", "__y"), F.stddev_pop("__x") * F.stddev_pop("__y"))
-    return ranked.groupBy(*by).agg(r.alias("r"), F.count(F.lit(1)).alias("n"))
-
-
 def numbered(df: DataFrame, key: str, name: str = "ordinal") -> DataFrame:
     """Rows of a unique, orderable ``key`` numbered from 1 in its order, without a window over all rows.
 

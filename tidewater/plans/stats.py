@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewater.operators import joins as J, stats as Q, windows as V
-from tidewater.sources.scratch import shared_folder
+from tidewater.operators import joins as J, ranks as R, stats as Q
+from tidewater.sources.scratch import shared_folder, written
 from tidewater.sources.tables import read, read_groups, sensor, write_groups
 
 from .common import DAY, KEYS, SENSOR, shown
@@ -17,9 +17,9 @@ l AS (""" + " UNION ALL ".join(f"SELECT user_id, day, y, '{f}' AS feature, {f} A
 
 
 def _wide(spark, sf_dir):
-    return sensor(spark, sf_dir).groupBy(*KEYS).agg(
+    return written(sensor(spark, sf_dir).groupBy(*KEYS).agg(
         (F.avg("value") > 12).cast("int").alias("y"), F.count(F.lit(1)).cast("double").alias("n"), F.avg("k").alias("k_mean"), F.avg("h").alias("h_mean")
-    )
+    ))
 
 
 def _long(spark, sf_dir):
@@ -36,7 +36,7 @@ WITH x AS (SELECT lang, n_chars AS x, quality AS y FROM documents JOIN labels US
 SELECT lang, round(corr(rx, ry), 6) AS r, count(*) AS n FROM r GROUP BY lang""")
 def spearman(spark, sf_dir):
     both = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id")
-    return shown(V.spearman(both, ["lang"], "n_chars", "quality"))
+    return shown(R.spearman(both, ["lang"], "n_chars", "quality"))
 
 
 @query("q_M8_within_between", f"""
@@ -209,7 +209,7 @@ def interaction_ranking(spark, sf_dir):
     products = Q.pairwise(_wide(spark, sf_dir), list(_FEATURES))
     names = [c for c in products.columns if "_x_" in c]
     long = products.select("y", *(F.round(c, 9).alias(c) for c in names)).unpivot("y", names, "feature", "x")
-    found = V.spearman(long, ["feature"], "x", "y").withColumn("label", F.lit("y"))
+    found = R.spearman(long, ["feature"], "x", "y").withColumn("label", F.lit("y"))
     return shown(top_per_group(found, ["label"], [F.desc(F.abs("r")), F.col("feature")], 2).select("feature", "r", "rank"))
 
 
