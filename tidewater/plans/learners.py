@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from tidewater.operators import learners as L, signal as S
+from tidewater.operators import folds as M, learners as L, signal as S, trees as T
 from tidewater.operators.windows import hashed_folds
 from tidewater.sources.scratch import written
-from tidewater.sources.tables import read
+from tidewater.sources.tables import read, sensor
 
-from .common import shown
+from .common import DAY, KEYS, SENSOR, shown, with_split
 from .registry import query
 
 _BANDS = {"lf": (0.04, 0.15), "hf": (0.15, 0.4)}
@@ -93,3 +95,65 @@ def convolutions(spark, sf_dir, folds=6, seeds=SEEDS):
             one = L.fit_predict("platt", scored.filter(F.col("fold") != fold), scored.filter(F.col("fold") == fold), ["score"], "y")
             found = found.unionByName(one.select("vec_id", "fold", "p"))
     return shown(found.groupBy("vec_id", "fold").agg(F.avg("p").alias("p")))
+
+
+_FOLD_ROWS = """d AS (SELECT user_id, day, (avg(value) > 12)::INT AS y, (count(*) > 2)::INT AS many, count(*)::DOUBLE AS n, CASE WHEN max(h) % 5 > 0 THEN avg(k)::DOUBLE END AS k_mean, day <= DATE '2024-01-20' AS train, (user_id + dayofyear(day))::INT AS turn FROM s GROUP BY ALL),
+m AS (SELECT unnest([42, 43]) AS seed), f AS (SELECT unnest(range(5)) AS model),
+e AS (SELECT d.*, seed, model, CASE WHEN NOT train THEN 'sub' WHEN turn * (seed - 41) % 5 = model THEN 'oof' ELSE 'train' END AS role FROM d, m, f)"""
+
+
+def _fold_rows(spark, sf_dir):
+    days = sensor(spark, sf_dir).groupBy(*KEYS).agg(
+        (F.avg("value") > 12).cast("int").alias("y"), (F.count(F.lit(1)) > 2).cast("int").alias("many"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.when(F.max("h") % 5 > 0, F.avg("k")).alias("k_mean"),
+    )
+    days = written(with_split(days).withColumn("turn", (F.col("user_id") + F.dayofyear("day")).cast("int")))
+    train, sub = (days.filter(F.col("split") == s).drop("split") for s in ("train", "sub"))
+    return M.expanded(train, sub.withColumns({c: F.lit(None).cast("int") for c in ("y", "many")}), 5, (42, 43), lambda s: F.col("turn") * (s - 41) % 5)
+
+
+@query("q_M17_base_rate_out_of_fold", f"""
+WITH {SENSOR}, {_FOLD_ROWS}, l AS (SELECT *, 'y' AS label, y AS v FROM e UNION ALL SELECT *, 'many', many FROM e),
+o AS (SELECT seed, model, label, user_id, avg(v) AS own FROM l WHERE role = 'train' GROUP BY ALL), a AS (SELECT seed, model, label, avg(v) AS every FROM l WHERE role = 'train' GROUP BY ALL)
+SELECT user_id, {DAY}, label, role, round(avg(coalesce(own, every)), 6) AS p FROM l LEFT JOIN o USING (seed, model, label, user_id) JOIN a USING (seed, model, label) WHERE role <> 'train' GROUP BY user_id, day, label, role""")
+def base_rate_out_of_fold(spark, sf_dir):
+    """Two labels, two seeds, five folds: training rows by the models that did not see them, the later days by all."""
+    return shown(M.run(written(_fold_rows(spark, sf_dir)), M.base_rate("user_id"), [], ["y", "many"], KEYS))
+
+
+@query("q_M17_transforms_per_fold", f"""
+WITH {SENSOR}, {_FOLD_ROWS}, q AS (SELECT seed, model, quantile_cont(k_mean, 0.5) AS mid FROM e WHERE role = 'train' GROUP BY ALL),
+b AS (SELECT seed, model, user_id, avg(coalesce(k_mean, mid)) AS own FROM e JOIN q USING (seed, model) WHERE role = 'train' GROUP BY ALL),
+w AS (SELECT e.*, coalesce(own, mid) AS kb, coalesce(k_mean, own, mid) - coalesce(own, mid) AS kw FROM e JOIN q USING (seed, model) LEFT JOIN b USING (seed, model, user_id)),
+z AS (SELECT seed, model, avg(kw) AS m, stddev_pop(kw) AS sd FROM w WHERE role = 'train' GROUP BY ALL),
+x AS (SELECT w.*, (kw - m) / sd AS kz FROM w JOIN z USING (seed, model)),
+g AS (SELECT seed, model, regr_slope(y, kz) AS slope, regr_intercept(y, kz) AS base FROM x WHERE role = 'train' GROUP BY ALL)
+SELECT user_id, {DAY}, 'y' AS label, role, round(avg(least(greatest(base + slope * kz, 0.000001), 0.999999)), 6) AS p FROM x JOIN g USING (seed, model) WHERE role <> 'train' GROUP BY user_id, day, role""")
+def transforms_per_fold(spark, sf_dir):
+    """Means within and between subjects and scaling, each fitted on a model's training rows, then a regression."""
+    rows = M.transformed(_fold_rows(spark, sf_dir), [M.Mundlak(["k_mean"], "user_id"), M.Scaled(["k_mean_w"])])
+    return shown(M.run(written(rows), M.least_squares(), ["k_mean_w"], ["y"], KEYS))
+
+
+def _labelled(spark, sf_dir, folds, seeds):
+    """Labelled documents, those of the last source as the hold-out split."""
+    table = _table(spark, sf_dir).drop("fold").join(read(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    table = written(table.withColumn("digits", F.when(F.col("doc_id") % 7 > 0, F.col("digits"))))
+    apart = F.col("source") == "src9"
+    fold = lambda s: F.pmod(F.xxhash64("doc_id", F.lit(s)), F.lit(folds)).cast("int")
+    return M.expanded(table.filter(~apart), table.filter(apart).withColumn("quality", F.lit(None).cast("int")), folds, seeds, fold)
+
+
+@query("q_M13_leafwise_out_of_fold")
+def leafwise(spark, sf_dir, folds=5, seeds=(42,), trees=3):
+    """Boosting by leaves in two stages: a quick fit selects among the counts, the full one stops by the held rows' loss."""
+    rows = _labelled(spark, sf_dir, folds, seeds)
+    fast, full = (replace(s, trees=trees, leaves=6, rate=0.2) for s in (T.FAST, T.FULL))
+    return shown(M.run(rows, T.boosted_in_two_stages(["chars", "words"], 1, fast, full), _COLUMNS, ["quality"], ["doc_id"]))
+
+
+@query("q_M15_extra_trees_out_of_fold")
+def extra_trees(spark, sf_dir, folds=5, seeds=(42,), trees=20):
+    """Extremely randomised trees on medians filled per fold."""
+    rows = M.transformed(_labelled(spark, sf_dir, folds, seeds), [M.Imputed(_COLUMNS)])
+    return shown(M.run(rows, T.extra_trees(T.Extra(trees=trees, depth=6)), _COLUMNS, ["quality"], ["doc_id"]))
