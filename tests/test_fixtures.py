@@ -254,3 +254,52 @@ def test_values_while_in_a_state(spark):
     stamp = lambda df: df.selectExpr("*", "to_timestamp_ntz(t) AS ts")
     out = {r["u"]: (r["mean"], r["std"]) for r in while_in_state(stamp(values), stamp(states), ["u"], "ts", "v", "s", 1).collect()}
     assert out[1][0] == 4.0 and abs(out[1][1] - 2.581988897) < 1e-6 and out[2] == (None, None)
+
+
+def test_ridge_leave_one_out_errors_equal_refits(spark):
+    from tidewater.operators.ridge import fit
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 5)) * [1, 3, 0.1, 1, 0] + [1e6, 0, 5, 0, 2]
+    x[:, 3] = x[:, 1] * 2
+    y = (x[:, 1] + rng.normal(size=60) > 0).astype(int)
+    df = spark.createDataFrame([(r.tolist(), int(k)) for r, k in zip(x, y, strict=True)], "x array<double>, y int")
+    alphas = (0.01, 1.0, 100.0)
+    model = fit(df, "x", "y", alphas)
+    sd = np.where(x.std(axis=0) > 0, x.std(axis=0), 1)
+    z, t = (x - x.mean(axis=0)) / sd, 2.0 * y - 1
+    for a in alphas:
+        errors = []
+        for i in range(60):
+            rest = np.arange(60) != i
+            zm, tm = z[rest].mean(axis=0), t[rest].mean()
+            w = np.linalg.solve((z[rest] - zm).T @ (z[rest] - zm) + a * np.eye(5), (z[rest] - zm).T @ (t[rest] - tm))
+            errors.append((t[i] - tm - (z[i] - zm) @ w) ** 2)
+        assert np.isclose(model.errors[a], np.mean(errors), rtol=1e-6)
+    assert model.alpha == min(alphas, key=model.errors.get)
+    w = np.linalg.solve(z.T @ z + model.alpha * np.eye(5), z.T @ (t - t.mean()))
+    got = [r["s"] for r in df.select(model.score("x").alias("s")).collect()]
+    assert np.allclose(got, z @ w + t.mean(), atol=1e-6) and fit(df.limit(0), "x", "y") is None
+
+
+def test_convolutions_of_several_channels(spark):
+    rng = np.random.default_rng(6)
+    series = [rng.normal(size=(3, 64)) for _ in range(8)]
+    model = signal.RandomConvolutions(series, features=168, seed=3)
+    sizes = {len(chosen) for _, _, chosen, _, _ in model.plan}
+    assert sizes == {1, 2, 3}
+    df = spark.createDataFrame([(s.tolist(),) for s in series], "x array<array<double>>")
+    got = np.array([r["f"] for r in df.select(signal.convolved(F.col("x"), model).alias("f")).collect()])
+    at = 0
+    for d, k, chosen, biases, padded in model.plan:
+        weights = np.where(np.isin(np.arange(9), signal.KERNELS[k]), 2.0, -1.0)
+        for n, s in enumerate(series):
+            total = np.zeros(64)
+            for c in chosen:
+                for j in range(9):
+                    source = np.arange(64) + (j - 4) * d
+                    total += weights[j] * np.where((source >= 0) & (source < 64), s[c, np.clip(source, 0, 63)], 0)
+            total = total if padded or 64 <= 8 * d else total[4 * d : -4 * d]
+            assert np.allclose(got[n, at : at + len(biases)], [(total > b).mean() for b in biases])
+        at += len(biases)
+    assert at == got.shape[1]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidewater.functions.scalars import clip, logit
 
 from .ranks import column_percentiles
+from .ridge import ALPHAS, fit as fit_ridge
 from .stats import standardised
 
 
@@ -112,53 +113,10 @@ def calibrated(train: DataFrame, rows: DataFrame, p: str, label: str, eps: float
     return fit_predict("platt", score(train), score(rows).drop(*(["p"] if p == "p" else [])), ["__score"], label).drop("__score")
 
 
-def ridge_scores(train: DataFrame, rows: DataFrame, features: str, label: str, alphas: np.ndarray | None = None) -> DataFrame:
-    """``rows`` with ``score``: ridge regression on -1 and 1 over a feature array, the penalty chosen on a hashed tenth.
-
-    The normal equations are summed by Spark, cell by cell; twice as many numbers as features squared are collected.
-    """
-    alphas = np.logspace(-3, 3, 10) if alphas is None else alphas
-
-    def moments(batches):
-        import pandas as pd
-
-        total = None
-        for batch in batches:
-            if len(batch):
-                x = np.column_stack([np.stack(batch["x"]), np.ones(len(batch)), 2 * batch["y"].to_numpy(float) - 1])
-                width = x.shape[1]
-                for held in (False, True):
-                    part = x[batch["held"].to_numpy() == held]
-                    total = total or [0.0, 0.0]
-                    total[held] = total[held] + part.T @ part
-        if total:
-            for h in (False, True):
-                cells = np.broadcast_to(total[h], (width, width)).ravel()
-                yield pd.DataFrame({"held": h, "cell": np.arange(width * width), "v": cells.astype(float)})
-
-    held = (F.pmod(F.hash(features), F.lit(10)) == 0).alias("held")
-    cells = train.select(F.col(features).alias("x"), F.col(label).alias("y"), held).mapInPandas(moments, "held boolean, cell int, v double")
-    parts = cells.groupBy("held", "cell").agg(F.sum("v").alias("v")).collect()  # two matrices
-    if not parts:
-        return rows.withColumn("score", F.lit(0.0))
-    width = int(round((len(parts) // 2) ** 0.5))
-    a, b = np.zeros((width, width)), np.zeros((width, width))
-    for r in parts:
-        (b if r["held"] else a).flat[r["cell"]] = r["v"]
-    penalty = np.eye(width - 1)
-    penalty[-1, -1] = 0
-
-    def solve(m: np.ndarray, alpha: float) -> np.ndarray:
-        return np.linalg.lstsq(m[:-1, :-1] + alpha * penalty, m[:-1, -1], rcond=None)[0]
-
-    def loss(alpha: float) -> float:
-        w = np.append(solve(a, alpha), -1)
-        return float(w @ b @ w)
-
-    w = solve(a + b, min(alphas, key=loss))
-    weights = F.array(*(F.lit(float(v)) for v in w[:-1]))
-    dot = F.aggregate(F.zip_with(features, weights, lambda x, y: x * y), F.lit(float(w[-1])), lambda s, v: s + v)
-    return rows.withColumn("score", dot)
+def ridge_scores(train: DataFrame, rows: DataFrame, features: str, label: str, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """``rows`` with ``score``: ridge regression on a feature array, standardised, the penalty chosen by leave-one-out errors."""
+    model = fit_ridge(train, features, label, alphas)
+    return rows.withColumn("score", model.score(features) if model else F.lit(0.0))
 
 
 __all__ = ["Settings", "calibrated", "fit_predict", "make", "out_of_fold", "ridge_scores", "standardised"]

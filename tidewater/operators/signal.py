@@ -102,12 +102,15 @@ KERNELS = tuple(combinations(range(9), 3))
 class RandomConvolutions:
     """MiniRocket features: share of positive values of dilated convolutions above biases drawn from training data.
 
-    The kernels, exponential dilations, quantile biases and alternating padding follow the published description.
+    The kernels, exponential dilations, quantile biases and alternating padding follow the published description, and so do the
+    channels of series that have several: each kernel and dilation gets a random subset, whose size is drawn on a logarithmic
+    scale, and convolves their sum.
     """
 
     def __init__(self, sample: list[np.ndarray], features: int = 336, seed: int = 0) -> None:
-        rng = np.random.default_rng(seed)
-        length = min(map(len, sample))
+        rng, other = np.random.default_rng(seed), np.random.default_rng([seed, 1])
+        sample = [np.atleast_2d(x) for x in sample]
+        length, channels = min(x.shape[1] for x in sample), len(sample[0])
         per = max(1, features // len(KERNELS))
         most = np.log2(max(1, (length - 1) / 8))
         dilations, counts = np.unique(np.floor(2 ** np.linspace(0, most, min(per, 32))).astype(int), return_counts=True)
@@ -116,9 +119,11 @@ class RandomConvolutions:
         self.plan = []
         for i, (d, n) in enumerate(zip(dilations.tolist(), counts.tolist(), strict=True)):
             for k in range(len(KERNELS)):
-                x = sample[rng.integers(len(sample))][:length]
+                size = int(2 ** other.uniform(0, np.log2(min(channels, 9) + 1)))
+                chosen = np.sort(other.permutation(channels)[: max(1, size)])
+                x = sample[rng.integers(len(sample))][chosen, :length].sum(axis=0)
                 quantiles = (np.arange(1, n + 1) * golden) % 1
-                self.plan.append((d, k, np.quantile(self._convolved(x, d, k), quantiles), (i + k) % 2 == 0))
+                self.plan.append((d, k, chosen, np.quantile(self._convolved(x, d, k), quantiles), (i + k) % 2 == 0))
 
     @staticmethod
     def _convolved(x: np.ndarray, d: int, k: int) -> np.ndarray:
@@ -127,19 +132,19 @@ class RandomConvolutions:
         return 3 * sum(shifted[j] for j in KERNELS[k]) - sum(shifted)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = []
-        for d, k, biases, padded in self.plan:
-            c = self._convolved(x, d, k)
+        out, x = [], np.atleast_2d(x)
+        for d, k, chosen, biases, padded in self.plan:
+            c = self._convolved(x[chosen].sum(axis=0), d, k)
             c = c if padded or len(c) <= 8 * d else c[4 * d : -4 * d]
             out.append((c[:, None] > biases).mean(axis=0))
         return np.concatenate(out)
 
 
 def convolved(x: Column, model: RandomConvolutions) -> Column:
-    """Feature array of each series."""
+    """Feature array of each series, an array or an array of channels."""
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([model(_floats(v)) for v in s])
+        return pd.Series([model(np.stack([_floats(c) for c in v]) if len(v) and isinstance(v[0], (list, np.ndarray)) else _floats(v)) for v in s])
 
     return run(x)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tidewater.operators import folds as M, learners as L, signal as S, trees as T
+from tidewater.operators import folds as M, learners as L, signal as S, tensors as X, trees as T, windows as V
 from tidewater.operators.windows import hashed_folds
 from tidewater.sources.scratch import written
 from tidewater.sources.tables import read, sensor
@@ -73,28 +74,41 @@ def platt(spark, sf_dir):
 SEEDS = (42, 43, 44, 45, 46)
 
 
-@query("q_M22_convolutions_ridge_platt")
-def convolutions(spark, sf_dir, folds=6, seeds=SEEDS):
-    """Random convolution features of each series, ridge scores, and their calibration, for label 0 against the rest: for each
-    row the mean over seeds of models that saw no row of its fold."""
-    import numpy as np
-
-    rows = written(_series(spark, sf_dir).withColumn("y", (F.col("label") == 0).cast("int")).withColumn("fold", hashed_folds("vec_id", folds)))
-    found = spark.createDataFrame([], "vec_id long, fold int, p double")
+def _convolutions(rows, folds: int, seeds: tuple[int, ...], features: int, keys: list[str]):
+    """keys, fold, p: mean over seeds of ridge scores of random convolutions, calibrated, by models that saw no row of the fold."""
+    found = None
     for fold in range(folds):
+        own, rest = rows.filter(F.col("fold") == fold), rows.filter(F.col("fold") != fold)
         # The biases are drawn from at most 200 training series.
-        sample = [r["x"] for r in rows.filter(F.col("fold") != fold).orderBy(F.xxhash64("vec_id")).limit(200).select("x").collect()]
-        if not sample:
-            found = found.unionByName(rows.filter(F.col("fold") == fold).select("vec_id", "fold", F.lit(0.5).alias("p")))
-            continue
-        for seed in seeds:
-            model = S.RandomConvolutions([np.asarray(x, float) for x in sample], features=168, seed=seed)
-            features = written(rows.select("vec_id", "y", "fold", S.convolved(F.col("x"), model).alias("features")))
-            train = features.filter(F.col("fold") != fold)
-            scored = written(L.ridge_scores(train, features, "features", "y").select("vec_id", "y", "fold", "score"))
-            one = L.fit_predict("platt", scored.filter(F.col("fold") != fold), scored.filter(F.col("fold") == fold), ["score"], "y")
-            found = found.unionByName(one.select("vec_id", "fold", "p"))
-    return shown(found.groupBy("vec_id", "fold").agg(F.avg("p").alias("p")))
+        sample = [np.asarray(r["x"], float) for r in rest.orderBy(F.xxhash64(*keys)).limit(200).select("x").collect()]
+        for seed in seeds if sample else (None,):
+            if seed is None:
+                one = own.select(*keys, "fold", F.lit(0.5).alias("p"))
+            else:
+                model = S.RandomConvolutions(sample, features=features, seed=seed)
+                made = written(rows.select(*keys, "y", "fold", S.convolved(F.col("x"), model).alias("features")))
+                scored = written(L.ridge_scores(made.filter(F.col("fold") != fold), made, "features", "y").select(*keys, "y", "fold", "score"))
+                one = L.fit_predict("platt", scored.filter(F.col("fold") != fold), scored.filter(F.col("fold") == fold), ["score"], "y").select(*keys, "fold", "p")
+            found = one if found is None else found.unionByName(one)
+    return found.groupBy(*keys, "fold").agg(F.avg("p").alias("p"))
+
+
+@query("q_M22_convolutions_ridge_platt")
+def convolutions(spark, sf_dir, folds=6, seeds=SEEDS, features=168):
+    """Random convolution features of each series, ridge scores, and their calibration, for label 0 against the rest."""
+    rows = written(_series(spark, sf_dir).withColumn("y", (F.col("label") == 0).cast("int")).withColumn("fold", hashed_folds("vec_id", folds)))
+    return shown(_convolutions(rows, folds, seeds, features, ["vec_id"]))
+
+
+@query("q_M22_channels_leave_one_out")
+def channels(spark, sf_dir, folds=6, seeds=(42,), features=168):
+    """The night's tensor of each day, two channels of 108 bins, predicts the day's label; folds are blocks of time."""
+    events = read(spark, sf_dir, "events")
+    bins = {"level": X.binned(events, "user_id", "ts", "value"), "rows": X.binned(events, "user_id", "ts", "value", "count")}
+    days = sensor(spark, sf_dir).groupBy(*KEYS).agg((F.avg("value") > 12).cast("int").alias("y"))
+    rows = V.blocked_folds(X.tensor(days, KEYS, bins).join(days, KEYS), "user_id", ["day"], folds)
+    rows = rows.select(*KEYS, "y", "fold", F.array(*(F.transform(c, lambda v: v.cast("double")) for c in bins)).alias("x"))
+    return shown(_convolutions(written(rows), folds, seeds, features, KEYS))
 
 
 _FOLD_ROWS = """d AS (SELECT user_id, day, (avg(value) > 12)::INT AS y, (count(*) > 2)::INT AS many, count(*)::DOUBLE AS n, CASE WHEN max(h) % 5 > 0 THEN avg(k)::DOUBLE END AS k_mean, day <= DATE '2024-01-20' AS train, (user_id + dayofyear(day))::INT AS turn FROM s GROUP BY ALL),
