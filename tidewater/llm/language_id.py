@@ -36,8 +36,9 @@ from .common import appended, read, scratch, written
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Bytes up to which a word's probability needs no logarithms, and above which a word is worked on in chunks of as many.
 SHORT, LONG = 32, 1024
-TRAIN_BYTES = LONG
-CACHE = 200_000
+CACHE = 100_000
+#: Bytes of equally long words that are worked on at once.
+STEP = 30_000
 WORD = re.compile(r"[^\W\d_]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,7 +98,7 @@ def by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        step = max(1, 100_000 // max(int(size), 16))
+        step = max(1, STEP // max(int(size), 16))
         for part in range(0, len(at), step):
             some = at[part : part + step]
             yield some, np.frombuffer(b"".join([words[i] for i in some]), np.uint8).reshape(len(some), size).astype(np.uint64)
@@ -221,7 +222,7 @@ def fit(labelled: DataFrame, vocabulary: list[bytes], train_docs: int = 12_000,
             for lang, texts in batch.groupby("lang")["text"]:
                 c = Counter()
                 for t in texts:
-                    c.update(w for w in WORD.findall(t.lower()) if 4 * len(w) <= TRAIN_BYTES)
+                    c.update(WORD.findall(t.lower()))
                 if c:
                     yield pd.DataFrame({"lang": lang, "word": list(c), "n": list(c.values())})
 
