@@ -1,6 +1,8 @@
 import zlib
 
-from tidewater.llm.common import read
+import numpy as np
+
+from tidewater.llm.common import read, scratch
 from tidewater.llm.toxicity import Trie, features, fit, op6_toxicity, score
 
 SF = "/root/testdata/sf0.1"
@@ -29,6 +31,24 @@ def test_automaton_equals_edit_distance():
             assert bool(found) == want and (not found or found[1] == (w in lexicon))
 
 
+def test_the_largest_weight_in_reach_counts():
+    for words in ({"stupad": 1.0, "stupid": 5.0, "scum": 2.0, "scam": 4.0}, {"scam": 4.0, "scum": 2.0, "stupid": 5.0, "stupad": 1.0}):
+        trie = Trie(words, swaps=True)
+        assert trie.near("stupod") == (5.0, False) and trie.near("scim") == (4.0, False) and trie.near("stupad") == (1.0, True)
+
+
+def test_large_and_null_ids_and_no_rows(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "you horrid fool", 1), (None, "fine words", 1), (3, None, 1)], "doc_id long, text string, score int")
+    trie = Trie({"horrid": 3.0})
+    weights = np.array([1.0] * 8 + [-2.0])
+    out = {r["doc_id"]: r["score"] for r in score(docs, trie, weights).collect()}
+    assert set(out) == {2**53 + 1, None, 3} and out[2**53 + 1] > 0.5 > out[None] == out[3]
+    none = docs.limit(0)
+    with scratch():
+        model = fit(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert score(none, *model).collect() == []
+
+
 def test_quotation_is_told_apart():
     trie = Trie({"horrid": 3.0})
     plain, quoted, wrong = (features(t, trie, {}) for t in ("you horrid fool", 'the word "horrid" is old', "you horird horrrid fool"))

@@ -38,7 +38,7 @@ FEATURES = ("exact", "exact_max", "fuzzy", "fuzzy_max", "quoted", "distinct", "d
 
 
 class Trie:
-    """Lexicon entries with weights; ``near`` finds the best entry within the edit bound of a word.
+    """Lexicon entries with weights; ``near`` finds the entry of the largest weight within the edit bound of a word.
 
     With ``swaps`` a swap of neighbouring letters is one edit, and entries of four letters are within one substitution or swap.
     """
@@ -57,7 +57,8 @@ class Trie:
                 node[""] = word
             elif swaps and edits and len(word) == 4:
                 for form in self._forms(word):
-                    self.short.setdefault(form, word)
+                    if form not in self.short or lexicon[word] > lexicon[self.short[form]]:
+                        self.short[form] = word
 
     @staticmethod
     def _forms(word: str) -> list[str]:
@@ -66,40 +67,37 @@ class Trie:
         return [word[:i] + "\0" + word[i + 1 :] for i in range(len(word))] + swapped
 
     def near(self, word: str) -> tuple[float, bool] | None:
-        """(weight, whether exact), or None."""
+        """(weight, whether exact), or None. Of several entries in reach it is the one with the largest weight."""
         if word in self.exact:
             return self.exact[word], True
+        found: set[str] = set()
         if self.short and len(word) == 4:
-            found = next((self.short[f] for f in (word, *self._forms(word)[:4]) if f in self.short), None)
-            if found:
-                return self.exact[found], False
-        if not self.least <= len(word) <= self.longest + self.edits:
-            return None
-        found = self._walk(word, 0, self.root, self.edits)
-        return (self.exact[found], False) if found else None
-
-    def _walk(self, word: str, at: int, node: dict, left: int) -> str | None:
-        """Intersection of the word's automaton with the trie, cheapest moves first."""
+            found.update(self.short[f] for f in (word, *self._forms(word)[:4]) if f in self.short)
+        if self.least <= len(word) <= self.longest + self.edits:
+            self._walk(word, 0, self.root, self.edits, found)
+        return (max(self.exact[w] for w in found), False) if found else None
+
+    def _walk(self, word: str, at: int, node: dict, left: int, found: set[str]) -> None:
+        """Intersection of the word's automaton with the trie: all entries that both accept."""
         while not left and at < len(word):
             node = node.get(word[at])
             if node is None:
-                return None
+                return
             at += 1
         if at == len(word) and "" in node:
-            return node[""]
-        if at < len(word) and word[at] in node and (found := self._walk(word, at + 1, node[word[at]], left)):
-            return found
+            found.add(node[""])
+        if at < len(word) and word[at] in node:
+            self._walk(word, at + 1, node[word[at]], left, found)
         if left:
-            if self.swaps and at + 1 < len(word) and word[at + 1] in node and word[at] in node[word[at + 1]] and (
-                found := self._walk(word, at + 2, node[word[at + 1]][word[at]], left - 1)
-            ):
-                return found
-            if at < len(word) and (found := self._walk(word, at + 1, node, left - 1)):
-                return found
+            if self.swaps and at + 1 < len(word) and word[at + 1] in node and word[at] in node[word[at + 1]]:
+                self._walk(word, at + 2, node[word[at + 1]][word[at]], left - 1, found)
+            if at < len(word):
+                self._walk(word, at + 1, node, left - 1, found)
             for c, child in node.items():
-                if c and ((found := self._walk(word, at, child, left - 1)) or at < len(word) and (found := self._walk(word, at + 1, child, left - 1))):
-                    return found
-        return None
+                if c:
+                    self._walk(word, at, child, left - 1, found)
+                    if at < len(word):
+                        self._walk(word, at + 1, child, left - 1, found)
 
 
 def _found(token: str, trie: Trie) -> list[tuple[int, int, str, tuple[float, bool]]]:
@@ -142,8 +140,8 @@ def features(text: str, trie: Trie, cache: dict, window: int = 30) -> tuple[floa
     return (math.log1p(exact), e_max, math.log1p(fuzzy), f_max, math.log1p(quoted), math.log1p(len(distinct)), 100 * n / words, 1.0)
 
 
-def lexicon(sample: DataFrame, size: int = 400, least_docs: int = 4, least_odds: float = 2.0) -> dict[str, float]:
-    """Word -> log odds for the ``size`` words that mark toxic documents most, from rows of (text, toxic)."""
+def lexicon(sample: DataFrame, least_docs: int = 4, least_odds: float = 2.0) -> dict[str, float]:
+    """Word -> log odds for all words that mark toxic documents, by evidence alone, from rows of (text, toxic)."""
     totals = sample.agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals["t"] or 0, (totals["n"] or 0) - (totals["t"] or 0)
 
@@ -155,10 +153,9 @@ def lexicon(sample: DataFrame, size: int = 400, least_docs: int = 4, least_odds:
 
     counts = sample.mapInPandas(words, "word string, t long, n long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
     odds = F.log((F.col("t") + 0.1) / (toxic + 1)) - F.log((F.col("n") - F.col("t") + 0.1) / (clean + 1))
-    spread = F.sqrt(1 / (F.col("t") + 0.1) + 1 / (F.col("n") - F.col("t") + 0.1))
     marked = counts.filter(F.col("t") >= least_docs).withColumn("odds", odds).filter(F.col("odds") >= least_odds)
-    rows = marked.withColumn("z", F.col("odds") / spread).orderBy((F.col("odds") * F.sqrt("t")).desc(), "word").limit(size).collect()
-    return {r["word"]: r["odds"] for r in rows}
+    # Words of the bounded sample.
+    return {r["word"]: r["odds"] for r in marked.orderBy("word").collect()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
