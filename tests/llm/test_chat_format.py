@@ -36,6 +36,16 @@ def test_edges(spark):
     assert format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_private_characters_in_roles_and_texts_are_no_probe():
+    probes = "".join(map(chr, range(0xE000, 0xE003)))
+    turns = [(probes, "q"), ("assistant", probes * 2), (probes[:2], probes)]
+    formatted, _, texts, rewrites = locate(turns, inst_template)
+    assert not rewrites and [formatted[a:b] for a, b in texts] == [t for _, t in turns]
+    every = "".join(map(chr, range(0xE000, 0xF900)))
+    formatted, _, texts, rewrites = locate([("user", every), (every, "x")], inst_template)
+    assert not rewrites and formatted[slice(*texts[1])] == "x"
+
+
 def test_template_that_rewrites_history(spark):
     def counting(turns):
         return f"{len(turns)} turns:" + "".join(f"[{r}]{t}" for r, t in turns)

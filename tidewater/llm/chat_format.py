@@ -30,7 +30,6 @@ Template = Callable[[list[tuple[str, str]]], str]
 CONTROL = ("<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
 _ESCAPE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _UNESCAPE = re.compile(r"\\(.)", re.S)
-PROBE = "\ue000\ue001\ue000"
 
 SPANS = "array<struct<start:long,end:long>>"
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -57,14 +56,21 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[1]), unescape(m[2] if m[2] is not None else m[3])) for m in _INST_TURN.finditer(formatted)]
 
 
+def probe_for(turns: list[tuple[str, str]]) -> str:
+    """Three times a private character that no role and no text has; where they have all, the last one, more often in a row than there."""
+    used = set("".join(part for turn in turns for part in turn))
+    free = next((c for c in map(chr, range(0xE000, 0xF900)) if c not in used), None)
+    return 3 * free if free else "\uf8ff" * (1 + max(len(part) for turn in turns for part in turn))
+
+
 def locate(turns: list[tuple[str, str]], template: Template) -> tuple[str, list, list, bool]:
     """Formatted text, the span of each turn and of each text, and whether the template rewrites history."""
-    done, shown, spans, texts, rewrites = "", [], [], [], False
+    done, shown, spans, texts, rewrites, probe = "", [], [], [], False, probe_for(turns)
     for role, text in turns:
         clean = escape(text)
         longer = template([*shown, (escape(role), clean)])
-        probed = template([*shown, (escape(role), PROBE)])
-        head, found, tail = probed[len(done) :].partition(PROBE)
+        probed = template([*shown, (escape(role), probe)])
+        head, found, tail = probed[len(done) :].partition(probe)
         start, end = len(done) + len(head), len(longer) - len(tail)
         rewrites |= not longer.startswith(done) or not found or longer[start:end] != clean
         spans.append((len(done), len(longer)))
