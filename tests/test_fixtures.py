@@ -303,3 +303,57 @@ def test_convolutions_of_several_channels(spark):
             assert np.allclose(got[n, at : at + len(biases)], [(total > b).mean() for b in biases])
         at += len(biases)
     assert at == got.shape[1]
+
+
+def test_neighbours_of_all_rows_equal_brute_force(spark):
+    from tidewater.operators.neighbours import compared_pairs, nearest_of_all
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6)) * 20
+    x = np.round(centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)), 1)
+    x[5] = x[6] = x[7]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    queries, items = df.filter("id % 3 = 0"), df
+    got = {}
+    for r in nearest_of_all(queries, items, 4, pivots=16, block=100).collect():
+        got.setdefault(r["query"], {})[r["rank"]] = (r["item"], r["distance"])
+    assert len(got) == 300
+    for q, own in got.items():
+        far = np.abs(x - x[q]).sum(axis=1)
+        far[q] = np.inf
+        want = far.argsort(kind="stable")[:4]
+        assert np.allclose([own[i][1] for i in range(1, 5)], far[want]) and [own[i][0] for i in range(1, 5)] == want.tolist()
+    assert compared_pairs(queries, items, 4, pivots=48, block=100) < 0.3 * 300 * 900
+    assert nearest_of_all(queries, items.limit(0), 4).count() == 0
+
+
+def test_moving_all_coordinates_changes_no_neighbour(spark):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(60, 3)), 2)
+    found = []
+    for shift in (0.0, 1e8):
+        df = spark.createDataFrame([(i, (v + shift).tolist(), i % 3, float(i % 7)) for i, v in enumerate(x)], "id long, x array<double>, fold int, p double")
+        found.append({r["query"]: r["borrowed"] for r in stats.leak_free_borrow(df, "fold", 3, F.lit(True), 2, "p", "uniform", search=stats.all_rows).collect()})
+    assert len(found[0]) == 60 and sum(found[0][q] != found[1][q] for q in found[0]) <= 3
+
+
+def test_platt_of_every_group_equals_newton(spark):
+    rng = np.random.default_rng(10)
+    rows = []
+    for g in ("a", "b", None):
+        p = rng.uniform(0.05, 0.95, 200)
+        y = (rng.random(200) < p**2).astype(int)
+        rows += [(g, float(a), int(b)) for a, b in zip(p, y, strict=True)]
+    rows += [("a", 0.3, None), ("one", 0.4, 1), ("one", 0.6, 1)]
+    df = spark.createDataFrame(rows, "g string, p double, y int")
+    got = {r["g"]: (r["a"], r["b"]) for r in stats.platt_by(df, "g", "p", "y").collect()}
+    for g in ("a", "b", None):
+        z = np.array([np.log(p / (1 - p)) for k, p, y in rows if k == g and y is not None])
+        y = np.array([y for k, _, y in rows if k == g and y is not None], float)
+        w, x = np.zeros(2), np.column_stack([z, np.ones(len(z))])
+        for _ in range(30):
+            q = 1 / (1 + np.exp(-x @ w))
+            w += np.linalg.solve((x.T * (q * (1 - q))) @ x + np.diag([1e-6, 1e-12]), x.T @ (y - q) - [1e-6 * w[0], 0])
+        assert np.allclose(got[g], w, atol=1e-6)
+    out = stats.calibrated_by(df, "g", "p", "y").collect()
+    assert all(0 < r["p"] < 1 for r in out) and sum(r["y"] is None for r in out) == 1

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewater.functions.scalars import clip, logit, sigmoid
+from tidewater.sources.scratch import written
 
 from .joins import nearest
+from .neighbours import nearest_of_all
 from .ranks import column_percentiles, spearman
 
 
@@ -82,20 +85,24 @@ def blend_weight(m: Column, n: Column, y: Column, eps: float = 1e-12) -> Column:
 
 
 def blend_out_of_fold(df: DataFrame, fold: str, label: str, m: str, n: str, y: str) -> DataFrame:
-    """Blend in which each fold's weight comes from the other folds.
+    """Blend in which each fold's weight comes from the other folds, and that of rows without a fold from all.
 
-    Moments are summed once per (label, fold); a fold's own are taken off the total, so data are read once.
+    Moments are summed once per (label, fold), of rows that have a fold; a fold's own are taken off the total, so data are read once.
     """
     a, b = F.col(m) - F.col(y), F.col(n) - F.col(y)
     parts = {"k": F.lit(1.0), "a": a, "b": b, "aa": a * a, "bb": b * b, "ab": a * b}
-    per = df.groupBy(label, fold).agg(*(F.sum(v).alias(f"f_{k}") for k, v in parts.items()))
+    per = df.filter(F.col(fold).isNotNull()).groupBy(label, fold).agg(*(F.sum(v).alias(f"f_{k}") for k, v in parts.items()))
     whole = per.groupBy(label).agg(*(F.sum(f"f_{k}").alias(f"t_{k}") for k in parts))
+    none = whole.select(label, F.lit(None).cast(dict(df.dtypes)[fold]).alias(fold), *(F.lit(0.0).alias(f"f_{k}") for k in parts))
+    per = per.unionByName(none)
     rest = {k: F.col(f"t_{k}") - F.col(f"f_{k}") for k in parts}
     va, vb = rest["aa"] / rest["k"] - (rest["a"] / rest["k"]) ** 2, rest["bb"] / rest["k"] - (rest["b"] / rest["k"]) ** 2
     cov = rest["ab"] / rest["k"] - rest["a"] * rest["b"] / rest["k"] / rest["k"]
     weight = F.when(rest["k"] > 0, clip((va - cov) / (va + vb - 2 * cov + 1e-12), 0.0, 1.0)).otherwise(0.0)
-    weights = per.join(whole, label).select(label, fold, weight.alias("alpha"))
-    return df.join(weights, [label, fold]).withColumn("blend", (1 - F.col("alpha")) * F.col(m) + F.col("alpha") * F.col(n))
+    weights = per.join(whole, label).select(F.col(label).alias("__label"), F.col(fold).alias("__fold"), weight.alias("alpha"))
+    same = F.col(label).eqNullSafe(F.col("__label")) & F.col(fold).eqNullSafe(F.col("__fold"))
+    joined = df.join(weights, same, "left").drop("__label", "__fold").withColumn("alpha", F.coalesce("alpha", F.lit(0.0)))
+    return joined.withColumn("blend", (1 - F.col("alpha")) * F.col(m) + F.col("alpha") * F.col(n))
 
 
 def error_moments(df: DataFrame, views: list[str], y: str) -> tuple[int, np.ndarray, float]:
@@ -149,13 +156,22 @@ def standardised(df: DataFrame, columns: list[str], bound: float = 3.0) -> DataF
     })
 
 
-def borrow(queries: DataFrame, known: DataFrame, k: int, value: str, weighting: str = "uniform", metric: str = "manhattan") -> DataFrame:
-    """Mean of ``value`` over the ``k`` nearest known rows: query, borrowed. Both have id and x (array)."""
-    near = nearest(queries, known.select("id", "x"), k, metric).join(known.select(F.col("id").alias("item"), value), "item")
+def borrow(queries: DataFrame, known: DataFrame, k: int, value: str, weighting: str = "uniform", metric: str = "manhattan", search: Callable[..., DataFrame] = nearest) -> DataFrame:
+    """Mean of ``value`` over the ``k`` nearest known rows: query, borrowed. Both have id and x (array).
+
+    ``search`` is ``nearest`` for a stated set of queries, or ``all_rows`` for any number of them.
+    """
+    near = search(queries, known.select("id", "x"), k, metric).join(known.select(F.col("id").alias("item"), value), "item")
     w = F.lit(1.0) if weighting == "uniform" else 1 / F.pow(F.col("distance") + 1e-6, F.lit(2.0))
     return near.groupBy("query").agg((F.sum(w * F.col(value)) / F.sum(w)).alias("borrowed"))
 
 
+def all_rows(queries: DataFrame, items: DataFrame, k: int, metric: str = "manhattan") -> DataFrame:
+    if metric != "manhattan":
+        raise ValueError("neighbours of all rows are found by Manhattan distance")
+    return nearest_of_all(queries, items, k)
+
+
 def subspace_borrow(queries: DataFrame, known: DataFrame, width: int, value: str, k: int = 2, members: int = 50, share: float = 0.8, seed: int = 0) -> DataFrame:
     """Mean of ``borrow`` over random subsets of the ``width`` features (at least five)."""
     rng = np.random.default_rng(seed)
@@ -169,31 +185,67 @@ def subspace_borrow(queries: DataFrame, known: DataFrame, width: int, value: str
     return found.groupBy("query").agg(F.avg("borrowed").alias("borrowed"))
 
 
-def leak_free_borrow(df: DataFrame, fold: str, folds: int, queries: Column, k: int, value: str, weighting: str = "inverse square", metric: str = "manhattan", bound: float = 3.0) -> DataFrame:
+def _filled(df: DataFrame) -> DataFrame:
+    return df.withColumn("x", F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))))
+
+
+def _coordinate_moments(df: DataFrame, by: str) -> dict[int | None, np.ndarray]:
+    """(rows, mean, population variance) of each coordinate of x for each value of ``by``; folds times coordinates are collected."""
+    cells = df.select(by, F.posexplode("x").alias("i", "v")).groupBy(by, "i").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    found: dict = {}
+    for r in cells.collect():
+        found.setdefault(r[by], {})[r["i"]] = (r["n"], r["m"], r["s"])
+    return {f: np.array([v[i] for i in sorted(v)], float).reshape(-1, 3) for f, v in found.items()}
+
+
+def _merged(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of all parts together, from distances of their means, so nothing large cancels."""
+    if not parts:
+        return np.zeros(0), np.zeros(0)
+    n, m, s = (np.stack([p[:, i] for p in parts]) for i in range(3))
+    mean = (n * m).sum(axis=0) / n.sum(axis=0)
+    return mean, np.sqrt((n * (s + (m - mean) ** 2)).sum(axis=0) / n.sum(axis=0)) + 1e-6
+
+
+def _scaled(df: DataFrame, mean: np.ndarray, spread: np.ndarray, bound: float) -> DataFrame:
+    means, spreads = (F.array(*(F.lit(float(v)) for v in a)) for a in (mean, spread))
+    return df.withColumn("x", F.zip_with(F.zip_with("x", means, lambda x, m: x - m), spreads, lambda d, s: F.least(F.greatest(d / s, F.lit(-bound)), F.lit(bound))))
+
+
+def leak_free_borrow(
+    df: DataFrame, fold: str, folds: int, queries: Column, k: int, value: str, weighting: str = "inverse square", metric: str = "manhattan", bound: float = 3.0, search: Callable[..., DataFrame] = nearest
+) -> DataFrame:
     """query, fold, borrowed: mean of ``value`` over the ``k`` nearest rows of the other folds, for the rows where ``queries`` holds.
 
     ``df`` has id, x (array) and fold. Nulls in x are 0; each coordinate is standardised by the other folds' mean and
-    population deviation and kept within ``bound``. Sums of a coordinate are taken once per fold: a fold's own are taken off the total.
+    population deviation and kept within ``bound``. Moments of a coordinate are taken once per fold and merged.
     """
-    filled = df.withColumn("x", F.transform("x", lambda v: F.coalesce(v.cast("double"), F.lit(0.0))))
-    cells = filled.select(fold, F.posexplode("x").alias("i", "v")).groupBy(fold, "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"))
-    sums: dict[int, dict[int, np.ndarray]] = {}
-    for r in cells.collect():  # folds times coordinates
-        sums.setdefault(r["i"], {})[r[fold]] = np.array([r["n"], r["s"], r["q"]], float)
+    filled = _filled(df)
+    moments = _coordinate_moments(filled, fold)
     found = None
     for f in range(folds):
-        rest = np.array([sum((v for g, v in sums[i].items() if g != f), np.zeros(3)) for i in sorted(sums)]).reshape(-1, 3)
-        n = np.maximum(rest[:, 0], 1)
-        mean = rest[:, 1] / n
-        spread = np.sqrt(np.maximum(rest[:, 2] / n - mean**2, 0)) + 1e-6
-        means, spreads = (F.array(*(F.lit(float(v)) for v in a)) for a in (mean, spread))
-        scaled = F.zip_with(F.zip_with("x", means, lambda x, m: x - m), spreads, lambda d, s: F.least(F.greatest(d / s, F.lit(-bound)), F.lit(bound)))
-        rows = filled.withColumn("x", scaled)
-        one = borrow(rows.filter((F.col(fold) == f) & queries), rows.filter(F.col(fold) != f), k, value, weighting, metric).withColumn(fold, F.lit(f))
+        rows = _scaled(filled, *_merged([v for g, v in moments.items() if g != f]), bound)
+        one = borrow(rows.filter((F.col(fold) == f) & queries), rows.filter(F.col(fold) != f), k, value, weighting, metric, search).withColumn(fold, F.lit(f))
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def neighbour_blend(train: DataFrame, sub: DataFrame, fold: str, folds: int, k: int, p: str, y: str, weighting: str = "uniform", bound: float = 3.0, eps: float = 1e-12) -> DataFrame:
+    """id, fold (null for ``sub``), p, borrowed, alpha and blend of all rows of both tables (id, x, ``p``; ``train`` also fold and ``y``).
+
+    A training row borrows from the other folds, standardised by them, and its weight comes from them; a row of ``sub``
+    borrows from all training rows, standardised by these, with the weight that all of them give.
+    """
+    own = leak_free_borrow(train, fold, folds, F.lit(True), k, p, weighting, bound=bound, search=all_rows).select(F.col("query").alias("id"), "borrowed")
+    a, b = _filled(train), _filled(sub)
+    every = _merged(list(_coordinate_moments(a, fold).values()))
+    other = borrow(_scaled(b, *every, bound), _scaled(a, *every, bound), k, p, weighting, search=all_rows).select(F.col("query").alias("id"), "borrowed")
+    rows = train.select("id", fold, p, y).join(own, "id", "left").unionByName(sub.select("id", p).join(other, "id", "left"), allowMissingColumns=True)
+    rows = rows.withColumns({"borrowed": F.coalesce("borrowed", F.col(p)), "__one": F.lit(1)})
+    blended = blend_out_of_fold(rows, fold, "__one", p, "borrowed", y)
+    return blended.select("id", fold, p, "borrowed", "alpha", clip(F.col("blend"), eps, 1 - eps).alias("blend"))
+
+
 def fused(df: DataFrame, fold: str, label: str, tree: str | tuple, y: str, name: str = "fused") -> DataFrame:
     """``df`` with a tree of pairwise out-of-fold blends: a node is a column or a pair of nodes."""
 
@@ -208,6 +260,62 @@ def fused(df: DataFrame, fold: str, label: str, tree: str | tuple, y: str, name:
     return out.select(*df.columns, F.col(top).alias(name))
 
 
+def platt_by(df: DataFrame, by: str, p: str, y: str, penalty: float = 1e-6, eps: float = 1e-12, rounds: int = 30) -> DataFrame:
+    """by, a, b of Platt's fit sigmoid(a * logit(p) + b) for each group, from the rows that have ``y``.
+
+    Newton's method for all groups at once: a step is one aggregate of five sums for each group.
+    """
+    rows = df.filter(F.col(y).isNotNull()).select(F.col(by).alias("__g"), logit(clip(F.col(p), eps, 1 - eps)).alias("__z"), F.col(y).cast("double").alias("__y"))
+    rows, spark = written(rows), df.sparkSession
+    schema = f"__k {dict(df.dtypes)[by]}, a double, b double"
+    fits = {r["__g"]: np.zeros(2) for r in rows.select("__g").distinct().collect()}  # a row for each label
+    for _ in range(rounds):
+        table = spark.createDataFrame([(g, *map(float, w)) for g, w in fits.items()], schema)
+        q = sigmoid(F.col("a") * F.col("__z") + F.col("b"))
+        d, h, z = F.col("__y") - F.col("q"), F.col("q") * (1 - F.col("q")), F.col("__z")
+        sums = rows.join(F.broadcast(table), F.col("__g").eqNullSafe(F.col("__k"))).select("__g", "__z", "__y", q.alias("q")).groupBy("__g").agg(
+            *(F.sum(v).alias(n) for n, v in (("da", d * z), ("db", d), ("aa", h * z * z), ("ab", h * z), ("bb", h)))
+        )
+        moved = 0.0
+        for r in sums.collect():
+            w = fits[r["__g"]]
+            step = np.linalg.solve([[r["aa"] + penalty, r["ab"]], [r["ab"], r["bb"] + 1e-12]], [r["da"] - penalty * w[0], r["db"]])
+            # A long step is cut, so that separable labels end in a steep but finite fit.
+            step *= min(1.0, 20.0 / max(np.abs(step).max(), 1e-12))
+            fits[r["__g"]] = w + step
+            moved = max(moved, float(np.abs(step).max()))
+        if moved < 1e-9:
+            break
+    return spark.createDataFrame([(g, *map(float, w)) for g, w in fits.items()], schema).withColumnRenamed("__k", by)
+
+
+def calibrated_by(df: DataFrame, by: str, p: str, y: str, eps: float = 1e-12) -> DataFrame:
+    """``df`` with ``p`` calibrated by its group's fit, for rows with and without ``y``."""
+    fits = platt_by(df, by, p, y, eps=eps).withColumnRenamed(by, "__by")
+    q = sigmoid(F.col("a") * logit(clip(F.col(p), eps, 1 - eps)) + F.col("b"))
+    return df.join(F.broadcast(fits), F.col(by).eqNullSafe(F.col("__by")), "left").withColumn(p, clip(F.coalesce(q, F.col(p)), eps, 1 - eps)).drop("__by", "a", "b")
+
+
+def weighted_by(df: DataFrame, by: str, views: list[str], y: str, name: str = "p", eps: float = 1e-12) -> DataFrame:
+    """``df`` with the mix of the views by each group's shrunk simplex weights, which come from the rows that have ``y``."""
+    known = written(df.filter(F.col(y).isNotNull()).select(by, *views, y))
+    groups = [r[by] for r in known.select(by).distinct().collect()]  # a row for each label
+    rows = [(g, *map(float, simplex_weights(known.filter(F.col(by).eqNullSafe(F.lit(g))), views, y))) for g in groups]
+    table = df.sparkSession.createDataFrame(rows, f"__by {dict(df.dtypes)[by]}, " + ", ".join(f"__w{i} double" for i in range(len(views))))
+    mix = sum((F.coalesce(f"__w{i}", F.lit(1 / len(views))) * F.col(v) for i, v in enumerate(views)), F.lit(0.0))
+    return df.join(F.broadcast(table), F.col(by).eqNullSafe(F.col("__by")), "left").withColumn(name, clip(mix, eps, 1 - eps)).drop("__by", *(f"__w{i}" for i in range(len(views))))
+
+
+def composed(df: DataFrame, fold: str, label: str, tree: str | tuple, context: str, y: str) -> DataFrame:
+    """``df`` with ``p``: a tree of pairwise blends, calibrated for each label, mixed with the context view by simplex weights.
+
+    Rows with a fold and ``y`` are out of fold, rows without are the hold-out split; every weight comes from the former.
+    """
+    blended = written(fused(df, fold, label, tree, y, "__tree"))
+    mixed = weighted_by(calibrated_by(blended, label, "__tree", y), label, ["__tree", context], y)
+    return mixed.drop("__tree")
+
+
 def compared(a: DataFrame, b: DataFrame, keys: list[str], p: str) -> DataFrame:
     """Largest difference of two tables of probabilities, and the bound it sets on the difference of their log-losses."""
     both = a.select(*keys, F.col(p).alias("__a")).join(b.select(*keys, F.col(p).alias("__b")), keys)

@@ -172,6 +172,58 @@ def fusion_tree(spark, sf_dir):
     return shown(Q.fused(_predictions(spark, sf_dir), "fold", "lang", ("m", ("n", "q")), "y").select("doc_id", "fused"))
 
 
+_ROLES = f"""{_PRED_SQL}, r AS (SELECT doc_id, lang, CASE WHEN doc_id % 7 > 0 THEN fold END AS fold, CASE WHEN doc_id % 7 > 0 THEN y END AS y, m, n, q FROM p)"""
+
+
+def _roles(spark, sf_dir):
+    """Every seventh document has neither fold nor label: the hold-out split."""
+    known = F.col("doc_id") % 7 > 0
+    return _predictions(spark, sf_dir).withColumns({"fold": F.when(known, F.col("fold")), "y": F.when(known, F.col("y"))})
+
+
+def _role_blend(out: str, source: str, m: str, n: str) -> str:
+    return f"""{out}_f AS (SELECT DISTINCT lang, fold FROM {source}),
+{out}_v AS (SELECT f.lang, f.fold, var_pop({m} - y) AS vm, var_pop({n} - y) AS vn, covar_pop({m} - y, {n} - y) AS c FROM {out}_f f LEFT JOIN {source} p ON p.lang = f.lang AND p.fold IS NOT NULL AND p.fold IS DISTINCT FROM f.fold GROUP BY ALL),
+{out} AS (SELECT p.*, (1 - a) * {m} + a * {n} AS {out}_p FROM {source} p JOIN (SELECT lang, fold, coalesce(least(greatest((vm - c) / (vm + vn - 2 * c + 1e-12), 0), 1), 0) AS a FROM {out}_v) v ON v.lang = p.lang AND v.fold IS NOT DISTINCT FROM p.fold)"""
+
+
+@query("q_M21_fusion_with_sub", f"WITH {_ROLES}, {_role_blend('b', 'r', 'n', 'q')}, {_role_blend('g', 'b', 'm', 'b_p')} SELECT doc_id, CASE WHEN fold IS NULL THEN 'sub' ELSE 'oof' END AS role, round(g_p, 6) AS fused FROM g")
+def fusion_with_sub(spark, sf_dir):
+    """The tree of blends for rows out of fold, each by the other folds' weights, and for the hold-out split by those of all."""
+    found = Q.fused(_roles(spark, sf_dir), "fold", "lang", ("m", ("n", "q")), "y")
+    return shown(found.select("doc_id", F.when(F.col("fold").isNull(), "sub").otherwise("oof").alias("role"), "fused"))
+
+
+@query("q_M21_M28_composed")
+def composed(spark, sf_dir):
+    """The whole composition: tree of blends, Platt's calibration and simplex weights for each label, both roles."""
+    found = Q.composed(written(_roles(spark, sf_dir)), "fold", "lang", ("m", "q"), "n", "y")
+    return shown(found.select("doc_id", "lang", F.when(F.col("fold").isNull(), "sub").otherwise("oof").alias("role"), "p"))
+
+
+_BLEND_NEAR = """e AS (SELECT vec_id AS id, CASE WHEN vec_id % 5 > 0 THEN vec_id % 3 END AS fold, embedding[1:8] AS x, 0.2 + 0.06 * (vec_id % 11) AS p, CASE WHEN vec_id % 5 > 0 THEN (label % 2) END AS y FROM embeddings),
+u AS (SELECT id, fold, unnest(range(1, len(x) + 1)) AS i, unnest(x)::DOUBLE AS v FROM e),
+f AS (SELECT unnest([0, 1, 2, NULL]) AS f),
+st AS (SELECT f, i, avg(v) AS m, stddev_pop(v) + 0.000001 AS s FROM f JOIN u ON u.fold IS NOT NULL AND u.fold IS DISTINCT FROM f.f GROUP BY ALL),
+z AS (SELECT f, id, fold, list(least(greatest((v - m) / s, -3), 3) ORDER BY u.i) AS z FROM u JOIN st ON st.i = u.i GROUP BY ALL),
+d AS (SELECT q.f AS fold, q.id AS query, k.id AS item, list_sum(list_transform(list_zip(q.z, k.z), lambda t: abs(t[1] - t[2]))) AS distance FROM z q JOIN z k ON q.fold IS NOT DISTINCT FROM q.f AND k.f IS NOT DISTINCT FROM q.f AND k.fold IS NOT NULL AND k.fold IS DISTINCT FROM q.f),
+k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, item) AS rank FROM d QUALIFY rank <= 3),
+n AS (SELECT query AS id, avg(p) AS borrowed FROM k JOIN e ON e.id = item GROUP BY query),
+w AS (SELECT e.*, borrowed FROM e JOIN n USING (id)),
+v AS (SELECT f, var_pop(p - y) AS vm, var_pop(borrowed - y) AS vn, covar_pop(p - y, borrowed - y) AS c FROM f JOIN w ON w.fold IS NOT NULL AND w.fold IS DISTINCT FROM f.f GROUP BY f),
+a AS (SELECT f, least(greatest((vm - c) / (vm + vn - 2 * c + 1e-12), 0), 1) AS alpha FROM v)"""
+
+
+@query("q_M18_neighbour_blend", f"""
+WITH {_BLEND_NEAR} SELECT id, fold::BIGINT AS fold, round(borrowed, 6) AS borrowed, round(alpha, 6) AS alpha, round((1 - alpha) * p + alpha * borrowed, 6) AS blend FROM w JOIN a ON a.f IS NOT DISTINCT FROM w.fold""")
+def neighbour_blend(spark, sf_dir):
+    """Neighbours of every row: of training rows in the other folds, of the hold-out split in all; then the blend of each."""
+    items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("x"), (0.2 + 0.06 * (F.col("vec_id") % 11)).alias("p"), (F.col("label") % 2).alias("y"))
+    items = items.withColumn("fold", (F.col("id") % 3).cast("int"))
+    train, sub = items.filter("id % 5 > 0"), items.filter("id % 5 = 0").drop("fold", "y")
+    return shown(Q.neighbour_blend(train, sub, "fold", 3, 3, "p", "y").drop("p"))
+
+
 @query("q_M5_top_class", """
 WITH t AS (SELECT vec_id, list_position(embedding[1:5], list_max(embedding[1:5])) AS place FROM embeddings) SELECT vec_id, CASE place WHEN 1 THEN 'speech' WHEN 2 THEN 'music' WHEN 3 THEN 'vehicle' WHEN 4 THEN 'inside' WHEN 5 THEN 'outside' END AS top FROM t""")
 def top_class(spark, sf_dir):
