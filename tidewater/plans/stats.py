@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import joins as J, ranks as R, stats as Q
+from tidewater.operators.interactions import Interactions
+from tidewater.sources import contract as C
 from tidewater.sources.scratch import shared_folder, written
 from tidewater.sources.tables import read, read_groups, sensor, write_groups
 
@@ -275,3 +277,80 @@ def contract(spark, sf_dir):
     T.require_unique(p, ["doc_id"])
     T.require_probabilities(p, ["m", "n", "q"])
     return p.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_keys"))
+
+
+_JUDGED = """{r} AS ({raw}), {w}_d AS (SELECT label, feature, round(x - avg(x) OVER (PARTITION BY user_id, label, feature), 9) AS x, round(y - avg(y) OVER (PARTITION BY user_id, label, feature), 9) AS y FROM {l} WHERE x IS NOT NULL AND y IS NOT NULL),
+{w} AS ({inner}), {out} AS (SELECT label, feature, raw, within, n FROM (SELECT label, feature, corr(rx, ry) AS raw, count(*) AS n FROM {r} GROUP BY ALL) JOIN (SELECT label, feature, corr(rx, ry) AS within FROM {w} GROUP BY ALL) USING (label, feature)
+ WHERE raw IS NOT NULL AND abs(coalesce(within, 0)) >= 0.1 * abs(raw))"""
+
+
+def _judged(long: str, out: str) -> str:
+    return _JUDGED.format(l=long, out=out, r=f"{out}_r", w=f"{out}_w", raw=_ranked(f"(SELECT * FROM {long} WHERE x IS NOT NULL AND y IS NOT NULL)", "label, feature"), inner=_ranked(f"{out}_w_d", "label, feature"))
+
+
+_PAIR_FEATURES = ("n", "k_mean", "h_mean", "v_max")
+
+
+@query("q_M11_interaction_builder", f"""
+WITH {SENSOR}, d AS (SELECT user_id, day, (avg(value) > 12)::INT AS y, (count(DISTINCT event_type) > 1)::INT AS mixed, count(*)::DOUBLE AS n, avg(k)::DOUBLE AS k_mean, avg(h)::DOUBLE AS h_mean, CASE WHEN max(h) % 4 > 0 THEN max(value) END AS v_max FROM s GROUP BY ALL),
+t AS (SELECT * FROM d WHERE day <= DATE '2024-01-20'), f AS ({" UNION ALL ".join(f"SELECT user_id, day, '{c}' AS feature, {c} AS x FROM t" for c in _PAIR_FEATURES)}),
+l AS (SELECT f.*, 'y' AS label, y FROM f JOIN t USING (user_id, day) UNION ALL SELECT f.*, 'mixed', mixed FROM f JOIN t USING (user_id, day)), {_judged('l', 'j')},
+v AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY label ORDER BY abs(raw) DESC, feature) <= 3),
+p AS (SELECT feature, row_number() OVER (ORDER BY count(*) DESC, max(abs(raw)) DESC, feature) AS place FROM v GROUP BY feature QUALIFY place <= 3),
+m AS (SELECT feature, quantile_cont(x, 0.5) AS mid FROM f GROUP BY feature), g AS (SELECT user_id, day, feature, coalesce(x, mid) AS x FROM f JOIN m USING (feature)),
+z AS (SELECT user_id, day, feature, place, (x - avg(x) OVER (PARTITION BY feature)) / stddev_pop(x) OVER (PARTITION BY feature) AS z FROM g JOIN p USING (feature)),
+c AS (SELECT a.user_id, a.day, a.feature || '__x__' || b.feature AS feature, round(a.z * b.z, 9) AS x FROM z a JOIN z b ON a.user_id = b.user_id AND a.day = b.day AND a.place < b.place),
+k AS (SELECT c.*, 'y' AS label, y FROM c JOIN t USING (user_id, day) UNION ALL SELECT c.*, 'mixed', mixed FROM c JOIN t USING (user_id, day)), {_judged('k', 'i')}
+SELECT label, feature, round(raw, 6) AS raw, round(within, 6) AS within, n, row_number() OVER (PARTITION BY label ORDER BY abs(raw) DESC, feature) AS rank FROM i QUALIFY rank <= 2""")
+def interaction_builder(spark, sf_dir):
+    """Products of the features with most votes, the best two of each of two labels, from the training days."""
+    days = sensor(spark, sf_dir).groupBy(*KEYS).agg(
+        (F.avg("value") > 12).cast("int").alias("y"), (F.count_distinct("event_type") > 1).cast("int").alias("mixed"), F.count(F.lit(1)).cast("double").alias("n"),
+        F.avg("k").alias("k_mean"), F.avg("h").alias("h_mean"), F.when(F.max("h") % 4 > 0, F.max("value")).alias("v_max"),
+    )
+    train = written(days.filter(F.col("day") <= F.lit("2024-01-20").cast("date")))
+    kept = Interactions(["y", "mixed"], "user_id", first=3, pool=3, best=2, least=0.0, rich=0.1).fit(train, _PAIR_FEATURES)
+    return shown(kept.select("label", "feature", "raw", "within", "n", "rank"))
+
+
+@query("q_M30_contract_report", f"""
+WITH {_PRED_SQL}, o AS (SELECT count(*) AS n, count(DISTINCT o_orderkey) AS keys, count_if(o_orderdate IS NULL OR o_totalprice IS NULL) AS missing, count_if(o_orderstatus NOT IN ('F', 'O') OR o_orderstatus IS NULL) AS status, count_if(NOT (o_totalprice BETWEEN 0 AND 100000) OR o_totalprice IS NULL) AS price FROM orders),
+e AS (SELECT count(*) AS n, count(DISTINCT vec_id) AS keys, count_if(len(embedding) <> 64 OR embedding IS NULL OR list_bool_or(list_transform(embedding, lambda v: v IS NULL OR NOT isfinite(v)))) AS shape FROM embeddings),
+q AS (SELECT count_if(NOT (m > 0 AND m < 1 AND n > 0 AND n < 1 AND q > 0 AND q < 1)) AS bad, count_if(y IS NULL) AS unlabelled FROM p),
+r AS (SELECT 'orders' AS "table", 'columns' AS rule, 0 AS violations UNION ALL SELECT 'orders', 'rows in all', greatest(1 - n, 0) FROM o UNION ALL SELECT 'orders', 'unique o_orderkey', n - keys FROM o UNION ALL SELECT 'orders', 'known o_orderdate, o_totalprice', missing FROM o
+ UNION ALL SELECT 'orders', 'one of o_orderstatus', status FROM o UNION ALL SELECT 'orders', 'between o_totalprice', price FROM o
+ UNION ALL SELECT 'embeddings', 'columns', 0 UNION ALL SELECT 'embeddings', 'unique vec_id', n - keys FROM e UNION ALL SELECT 'embeddings', 'shape embedding', shape FROM e
+ UNION ALL SELECT 'predictions', 'columns', 0 UNION ALL SELECT 'predictions', 'between m, n, q', bad FROM q UNION ALL SELECT 'predictions', 'known y', unlabelled FROM q)
+SELECT "table", rule, violations::BIGINT AS violations, violations = 0 AS ok FROM r""")
+def contract_report(spark, sf_dir):
+    """Contracts of three tables as data, each checked by one aggregate: a row for each rule with its violations."""
+    orders = C.Contract("orders", [C.Rows(1), C.Unique(["o_orderkey"]), C.Known(["o_orderdate", "o_totalprice"]), C.OneOf("o_orderstatus", ["F", "O"]), C.Between(["o_totalprice"], 0, 100_000)], ["o_orderkey", "o_orderdate"])
+    vectors = C.Contract("embeddings", [C.Unique(["vec_id"]), C.Shape("embedding", 64)], ["vec_id", "embedding"])
+    views = C.Contract("predictions", [C.Between(["m", "n", "q"], 0, 1, strict=True), C.Known(["y"])])
+    found = [C.report(spark.read.parquet(f"{sf_dir}/{c.table}.parquet"), c) for c in (orders, vectors)]
+    return found[0].unionByName(found[1]).unionByName(C.report(_predictions(spark, sf_dir), views))
+
+
+#: Ordered rules: the first that holds gives the class.
+_COLUMN_RULES = (
+    ("suffix", "key", "key"), ("suffix", "date", "time"), ("prefix", "l_ship", "shipping"), ("suffix", "price", "money"), ("name", "l_discount", "money"), ("name", "l_tax", "money"), ("suffix", "priority", "rank"), ("suffix", "status", "flag"), ("suffix", "flag", "flag"),
+)
+
+
+@query("q_M27_U3_column_classes", """
+WITH c AS (
+  SELECT 'key' AS class, 3 AS columns, count(l_orderkey) + count(l_partkey) + count(l_suppkey) AS cells FROM lineitem UNION ALL SELECT 'time', 1, count(l_shipdate) FROM lineitem
+  UNION ALL SELECT 'money', 3, count(l_extendedprice) + count(l_discount) + count(l_tax) FROM lineitem UNION ALL SELECT 'flag', 2, count(l_returnflag) + count(l_linestatus) FROM lineitem),
+o AS (SELECT 'key' AS class, 2 AS other UNION ALL SELECT 'time', 1 UNION ALL SELECT 'money', 1 UNION ALL SELECT 'flag', 1)
+SELECT class, columns::BIGINT AS columns, cells::BIGINT AS cells, other::BIGINT AS in_orders FROM c JOIN o USING (class)""")
+def column_classes(spark, sf_dir):
+    """Columns by ordered prefix and suffix rules: for the classes that both tables have, how many columns, and the values in those of one."""
+    from tidewater.sources import catalogue as G
+
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders")}
+    found = written(G.catalogue(spark, tables, _COLUMN_RULES))
+    sizes = found.groupBy("class").pivot("table", list(tables)).count().dropna().filter("class <> 'unclassified'")
+    names = {r["class"]: G.columns_of(found, "lineitem", [r["class"]]) for r in sizes.collect()}
+    chosen = G.projected(tables["lineitem"], found, "lineitem", names)
+    counts = F.array(*(F.struct(F.lit(c).alias("class"), sum((F.count(x) for x in xs), F.lit(0)).alias("cells")) for c, xs in sorted(names.items())))
+    return shown(chosen.agg(counts.alias("s")).select(F.inline("s")).join(sizes, "class").select("class", F.col("lineitem").alias("columns"), "cells", F.col("orders").alias("in_orders")))
