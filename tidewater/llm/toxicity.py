@@ -48,9 +48,14 @@ class Trie:
         self.short: dict[str, str] = {}
         self.root: dict = {}
         self.longest = max(map(len, lexicon), default=0)
-        self.shortest = min(map(len, lexicon), default=0)
+        #: By length, how entries begin and end: one edit leaves the first part of an entry or the last one as it is.
+        self.heads: dict[int, set[str]] = {}
+        self.tails: dict[int, set[str]] = {}
         for word in lexicon:
             if len(word) >= least:
+                cut = (len(word) - 1) // 2
+                self.heads.setdefault(len(word), set()).add(word[:cut])
+                self.tails.setdefault(len(word), set()).add(word[cut + 1 :])
                 node = self.root
                 for c in word:
                     node = node.setdefault(c, {})
@@ -73,10 +78,20 @@ class Trie:
         found: set[str] = set()
         if self.short and len(word) == 4:
             found.update(self.short[f] for f in (word, *self._forms(word)[:4]) if f in self.short)
-        if self.least <= len(word) <= self.longest + self.edits:
+        if self.least <= len(word) <= self.longest + self.edits and self._may(word):
             self._walk(word, 0, self.root, self.edits, found)
         return (max(self.exact[w] for w in found), False) if found else None
 
+    def _may(self, word: str) -> bool:
+        """Whether an entry of a length in reach begins or ends like the word, so that the automaton need run."""
+        if self.edits != 1:
+            return True
+        for size in range(len(word) - 1, len(word) + 2):
+            cut = (size - 1) // 2
+            if size in self.heads and (word[:cut] in self.heads[size] or word[cut + 1 - size :] in self.tails[size]):
+                return True
+        return False
+
     def _walk(self, word: str, at: int, node: dict, left: int, found: set[str]) -> None:
         """Intersection of the word's automaton with the trie: all entries that both accept."""
         while not left and at < len(word):
@@ -88,16 +103,20 @@ class Trie:
             found.add(node[""])
         if at < len(word) and word[at] in node:
             self._walk(word, at + 1, node[word[at]], left, found)
-        if left:
-            if self.swaps and at + 1 < len(word) and word[at + 1] in node and word[at] in node[word[at + 1]]:
-                self._walk(word, at + 2, node[word[at + 1]][word[at]], left - 1, found)
-            if at < len(word):
-                self._walk(word, at + 1, node, left - 1, found)
-            for c, child in node.items():
-                if c:
+        if not left:
+            return
+        # With the last edit, a move is worth a call only if the letter after it goes on.
+        now, after = word[at : at + 1], word[at + 1 : at + 2]
+        if self.swaps and after and after in node and now in node[after]:
+            self._walk(word, at + 2, node[after][now], left - 1, found)
+        if now and (left > 1 or after in node):
+            self._walk(word, at + 1, node, left - 1, found)
+        for c, child in node.items():
+            if c:
+                if left > 1 or now in child:
                     self._walk(word, at, child, left - 1, found)
-                    if at < len(word):
-                        self._walk(word, at + 1, child, left - 1, found)
+                if now and (left > 1 or after in child):
+                    self._walk(word, at + 1, child, left - 1, found)
 
 
 def _found(token: str, trie: Trie) -> list[tuple[int, int, str, tuple[float, bool]]]:
