@@ -357,3 +357,61 @@ def test_platt_of_every_group_equals_newton(spark):
         assert np.allclose(got[g], w, atol=1e-6)
     out = stats.calibrated_by(df, "g", "p", "y").collect()
     assert all(0 < r["p"] < 1 for r in out) and sum(r["y"] is None for r in out) == 1
+
+
+def test_a_contract_finds_planted_violations(spark):
+    from tidewater.sources import contract as C
+
+    rows = [
+        (1, "train", 0.5, [1.0, 0.0], [1, 0], 1), (2, "train", 1.0, [1.0, 2.0], [1, 0], None), (2, "sub", float("nan"), [float("inf"), 0.0], [1, 1], None),
+        (None, "sub", None, [1.0], [1, 2], 3), (None, "odd", -1.0, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, split string, p double, x array<double>, m array<int>, y int")
+    rules = [
+        C.Rows(2, 2, "split = 'train'"), C.Rows(9), C.Unique(["id"]), C.Known(["y"], "split = 'train'"), C.Unknown(["y"], "split = 'sub'"), C.Between(["p"], 0, 1, strict=True),
+        C.OneOf("split", ["train", "sub"]), C.Shape("x", 2), C.Mask("m", "x"),
+    ]
+    got = {r["rule"]: (r["violations"], r["ok"]) for r in C.report(df, C.Contract("t", rules, ["id"])).collect()}
+    want = [0, 4, 2, 1, 1, 4, 1, 3, 3]
+    assert got == {"columns": (0, True)} | {r.name: (n, n == 0) for r, n in zip(rules, want, strict=True)}
+    assert sorted(repr(r["id"]) for r in C.violations(df, rules[7]).collect()) == ["2", "None", "None"]
+    with pytest.raises(ValueError, match="unique id"):
+        C.require(df, C.Contract("t", rules))
+    assert C.report(df, C.Contract("t", rules, ["id", "gone"])).collect()[0]["violations"] == 1
+    nested = spark.createDataFrame([(1, [[1.0, 2.0]]), (2, [[1.0]]), (3, [[None, 1.0]])], "id int, x array<array<double>>")
+    assert C.violations(nested, C.Shape("x", 1, 2)).count() == 2
+
+
+def test_columns_take_the_class_of_the_first_rule(spark):
+    from tidewater.sources import catalogue as G
+
+    a = spark.createDataFrame([], "user int, sleep_hr_mean double, cal_month int, x_missing int, sleep_missing int, odd int")
+    b = spark.createDataFrame([], "sleep_hr_mean double, cal_month int")
+    rules = [("prefix", "sleep_", "night"), ("prefix", "cal_", "shared"), ("suffix", "_missing", "shared"), ("name", "user", "key")]
+    found = G.catalogue(spark, {"a": a, "b": b}, rules)
+    got = {r["column"]: (r["class"], r["rule"]) for r in found.filter("table = 'a'").collect()}
+    assert got == {"user": ("key", "user"), "sleep_hr_mean": ("night", "sleep_"), "cal_month": ("shared", "cal_"), "x_missing": ("shared", "_missing"), "sleep_missing": ("night", "sleep_"), "odd": ("unclassified", None)}
+    assert G.columns_of(found, "a", ["shared", "night"]) == ["sleep_hr_mean", "cal_month", "x_missing", "sleep_missing"]
+    assert G.projected(a, found, "a", ["shared"], ["user"]).columns == ["user", "cal_month", "x_missing"]
+    over = {(r["a"], r["b"]): (r["shared"], r["jaccard"]) for r in G.overlap(found.filter("table = 'a'"), found.filter("table = 'b'")).collect()}
+    assert over == {("night", "night"): (1, 0.5), ("shared", "shared"): (1, 0.5)}
+    with pytest.raises(ValueError):
+        G.rules_table(spark, [("infix", "x", "y")])
+
+
+def test_interactions_are_found_and_applied_to_other_rows(spark):
+    from tidewater.operators.interactions import Interactions
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 0] + 0.5 * x[:, 1] > 0).astype(int)
+    rows = [(i % 5, *(None if i % 50 == j else float(v) for j, v in enumerate(r)), int(k)) for i, (r, k) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "u int, a double, b double, c double, d double, y int")
+    built = Interactions(["y"], "u", pool=2, best=1)
+    kept = built.fit(df, ["a", "b", "c", "d"]).collect()
+    assert sorted(built.pooled) == ["a", "b"] and len(kept) == 1 and kept[0]["raw"] > 0.3
+    name = built.added[0]
+    out = built.transform(spark.createDataFrame([(9, 2.0, None, 1.0, 1.0)], "u int, a double, b double, c double, d double")).first()
+    (ma, aa, sa), (mb, ab, sb) = built.state["a"], built.state["b"]
+    assert np.isclose(out[name], (2.0 - aa) / sa * (mb - ab) / sb)
+    assert Interactions(["y"], "u").fit(df.limit(0), ["a", "b"]).count() == 0
