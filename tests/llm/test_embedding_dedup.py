@@ -55,6 +55,23 @@ def test_families_and_hot_cells_equal_brute_force(spark):
     assert sum(a == b for a, b in zip(got, want)) >= 0.98 * len(want)
 
 
+def test_verified_pairs_with_unlike_sketches_count_once(spark, monkeypatch):
+    from tidewater.llm import embedding_dedup as E
+
+    usual = E.MultiIndex.__init__
+
+    def narrow(self, *args):
+        usual(self, *args)
+        self.bound //= 3
+
+    monkeypatch.setattr(E.MultiIndex, "__init__", narrow)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=16)
+    rows = [(i, (base + rng.normal(size=16) * 0.2).tolist()) for i in range(200)] + [(500 + i, base.tolist()) for i in range(5)]
+    got, want = run(spark, rows, recall=1.0, block=32), brute(rows)
+    assert all(a[1] <= b[1] for a, b in zip(got, want, strict=True)) and sum(n for _, n, _ in got) >= 0.97 * sum(n for _, n, _ in want)
+
+
 def test_recall_of_random_partners(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(1200, 64))

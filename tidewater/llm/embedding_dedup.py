@@ -1,7 +1,7 @@
 """Embedding near-dedup with an inverted multi-index.
 
 Vectors with the same components form a class; one row of each is indexed. The two halves of the vectors have codebooks
-of their own, fitted on a sample of at most about ``sample_rows`` classes, and the product of the codebooks is a grid of
+of their own, fitted on a sample of about ``sample_rows`` classes, or eight for each code if that is more, and the product of the codebooks is a grid of
 cells, about one for four classes. Every class is in the cell of its nearest centroids. As a query it traverses the cells in
 order of the sum of its squared distances to the cells' two centroids (the multi-sequence order) and visits the first T; T is
 calibrated on the whole sample so that for partners made up at exactly the wanted cosine the target recall is reached.
@@ -10,7 +10,8 @@ Vectors don't travel to the cells that they visit. Queries go there with sketche
 row for each row of the grid that they visit, with its cells. What comes back are the queries and members that have any
 partner within the bound of Hamming distances, four deviations above what the wanted cosine gives. Only their vectors are then
 sent, to those cells only, and verified by cosine in double precision, so no link below the threshold is reported; links
-are missed only where neither of the two visits the other's cell, or (three in 100,000) where sketches are too unlike.
+are missed only where neither of the two visits the other's cell, or (three in 100,000) where sketches are too unlike and
+neither has another partner there. A pair that was verified always counts.
 
 A pair is counted once: in the cell of one if only that one is visited, else in the larger cell. Rows of the grid and cells
 are worked on in blocks of bounded members and queries; a cell with thousands of near copies becomes many blocks. Tasks
@@ -96,7 +97,7 @@ class MultiIndex:
         distinct = np.unique(x, axis=0)
         book = distinct[rng.permutation(len(distinct))[:codes]].copy()
         for _ in range(8):
-            nearest = _distances(x, book).argmin(axis=1)
+            nearest = np.concatenate([_distances(x[at : at + 1024], book).argmin(axis=1) for at in range(0, len(x), 1024)])
             sums, counts = np.zeros_like(book), np.bincount(nearest, minlength=len(book))
             np.add.at(sums, nearest, x)
             book[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
@@ -186,6 +187,10 @@ def _plausible(bound: int, pairs: int = 1 << 20):
     return run
 
 
+#: A node and a smaller one of its component, and its links; or, if ``pair`` is 1, two nodes and what each adds to the other's links.
+_FOUND = ["node", "root", "links", "back", "pair"]
+
+
 def _compared(width: int, threshold: float, bound: int):
     """Nodes with their links, and edges to smaller nodes of their components, of one block: members (role 0) among themselves and with the queries (role 1)."""
 
@@ -193,18 +198,27 @@ def _compared(width: int, threshold: float, bound: int):
         m, q = block[block["role"] == 0], block[block["role"] == 1]
         cell = int(block["cell"].iloc[0])
         if m.empty:
-            return pd.DataFrame({"node": [], "root": [], "links": []}).astype("int64")
+            return pd.DataFrame({c: [] for c in _FOUND}).astype("int64")
         x, nodes, w, sizes, sketches = _unit(m["vector"], width), m["node"].to_numpy(), m["w"].to_numpy(), m["size"].to_numpy(), _sketches(m["sketch"])
         visits = np.stack([np.asarray(v) for v in m["visits"]])
         label = dict(zip(nodes.tolist(), nodes.tolist(), strict=True))
         links = dict.fromkeys(label, 0)
         edges: set[tuple[int, int]] = set()
 
-        def near(y: np.ndarray, y_sizes: np.ndarray, y_sketches: np.ndarray) -> np.ndarray:
-            alike = np.zeros((len(y), len(x)), np.int16)
-            for k in range(BITS // 64):
-                alike += np.bitwise_count(y_sketches[:, None, k] ^ sketches[:, k])
-            return (y @ x.T >= threshold) & (y_sizes[:, None] == sizes) & (alike <= bound)
+        pairs: list[tuple[int, int, int, int]] = []
+
+        def near(y: np.ndarray, left: np.ndarray, left_w: np.ndarray, y_sizes: np.ndarray, y_sketches: np.ndarray) -> np.ndarray:
+            """Links of other nodes (rows) with members (columns) whose sketches are alike, so that every cell where the two
+            may meet has both. The few whose sketches are not alike go into ``pairs``, one by one."""
+            hit = (y @ x.T >= threshold) & (y_sizes[:, None] == sizes)
+            rows, cols = np.nonzero(hit)
+            unlike = np.bitwise_count(y_sketches[rows] ^ sketches[cols]).sum(axis=1) > bound
+            rows, cols = rows[unlike], cols[unlike]
+            hit[rows, cols] = False
+            for a, aw, b, bw in zip(left[rows].tolist(), left_w[rows].tolist(), nodes[cols].tolist(), w[cols].tolist(), strict=True):
+                if a != b:
+                    pairs.append((a, b, bw, aw) if a < b else (b, a, aw, bw))
+            return hit
 
         def join(hit: np.ndarray, left: np.ndarray, left_w: np.ndarray) -> None:
             """``hit``: links of other nodes (rows) with members (columns)."""
@@ -233,22 +247,22 @@ def _compared(width: int, threshold: float, bound: int):
         if block["qslice"].iloc[0] == 0:
             for at in range(0, len(m), 512):
                 part = slice(at, at + 512)
-                hit = near(x[part], sizes[part], sketches[part])
+                hit = near(x[part], nodes[part], w[part], sizes[part], sketches[part])
                 join(hit & (np.arange(len(m)) > np.arange(len(m))[part, None]), nodes[part], w[part])
         for at in range(0, len(q), 512):
             part = q[at : at + 512]
             home = part["home"].to_numpy()[:, None]
-            hit = near(_unit(part["vector"], width), part["size"].to_numpy(), _sketches(part["sketch"]))
+            hit = near(_unit(part["vector"], width), part["node"].to_numpy(), part["w"].to_numpy(), part["size"].to_numpy(), _sketches(part["sketch"]))
             back = np.array([(visits == h).any(axis=1) for h in home[:, 0]])
             # Counted here unless the pair is also met, and counted, in the query's own, larger cell.
             join(hit & ((home <= cell) | ~back), part["node"].to_numpy(), part["w"].to_numpy())
-        rows = [(n, n, c) for n, c in links.items() if c] + [(a, b, 0) for a, b in edges if a != b]
-        return pd.DataFrame(rows, columns=["node", "root", "links"]).astype("int64")
+        rows = [(n, n, c, 0, 0) for n, c in links.items() if c] + [(a, b, 0, 0, 0) for a, b in edges if a != b]
+        return pd.DataFrame(rows + [(a, b, c, d, 1) for a, b, c, d in set(pairs)], columns=_FOUND).astype("int64")
 
     return run
 
 
-def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sample_rows: int = 20_000, most_codes: int = 8192, block: int = 1024):
+def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97, sample_rows: int = 20_000, most_codes: int = 1 << 16, block: int = 1024):
     """row, vec_id, n_links, component_id, kept for each row of ``df`` (vec_id, embedding)."""
     rows = written(vectors(df))
     usable = rows.filter("vector is not null")
@@ -258,10 +272,10 @@ def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97,
     if not n:
         return rows.select("row", "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     heads = usable.select(F.col("row").alias("node"), "size", "vector").join(small(classes.select("node", "w"), n), "node")
-    share = min(1.0, sample_rows / n)
+    codes = int(min(most_codes, max(4, 2 ** round(np.log2(max(n / 4, 1)) / 2))))
+    share = min(1.0, max(sample_rows, 8 * codes) / n)
     sample = heads.filter(F.pmod(F.xxhash64("node", F.lit(11)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("node", "vector").toPandas()
     sample = sample.sort_values("node")
-    codes = int(min(most_codes, max(4, 2 ** round(np.log2(max(n / 4, 1)) / 2))))
     index = MultiIndex(_unit(sample["vector"], width), codes, threshold, recall)
     shared = df.sparkSession.sparkContext.broadcast(index)
     columns = len(index.books[1])
@@ -306,7 +320,11 @@ def near_components(df: DataFrame, threshold: float = 0.9, recall: float = 0.97,
     queries = across.select(others.columns).unionByName(others).withColumn("qslice", F.pmod(F.shiftright(key, 20), "qslices").cast("int"))
     queries = queries.withColumn("role", F.lit(1)).withColumn("visits", F.lit(None).cast("array<long>"))
     blocks = members.select(columns).unionByName(queries.select(columns))
-    found = written(per_group(blocks, ["cell", "mslice", "qslice"], _compared(width, threshold, index.bound), "node long, root long, links long"))
+    found = written(per_group(blocks, ["cell", "mslice", "qslice"], _compared(width, threshold, index.bound), ", ".join(f"{c} long" for c in _FOUND)))
+    # Pairs whose sketches are not alike may be seen in two cells.
+    single = found.filter("pair = 1").distinct()
+    both = single.select("node", "root", "links").unionByName(single.select(F.col("root").alias("node"), F.col("node").alias("root"), F.col("back").alias("links")))
+    found = found.filter("pair = 0").select("node", "root", "links").unionByName(both)
 
     linked = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     labels = written(classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node")))
