@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -172,17 +173,24 @@ def all_rows(queries: DataFrame, items: DataFrame, k: int, metric: str = "manhat
     return nearest_of_all(queries, items, k)
 
 
-def subspace_borrow(queries: DataFrame, known: DataFrame, width: int, value: str, k: int = 2, members: int = 50, share: float = 0.8, seed: int = 0) -> DataFrame:
-    """Mean of ``borrow`` over random subsets of the ``width`` features (at least five)."""
+def random_subsets(width: int, members: int = 50, share: float = 0.8, seed: int = 0) -> list[list[int]]:
+    """Sorted random subsets of ``width`` coordinates, a share of them and at least five."""
     rng = np.random.default_rng(seed)
     size = min(width, max(5, int(share * width)))
-    found = None
-    for _ in range(members):
-        chosen = sorted(int(i) for i in rng.choice(width, size, replace=False))
-        cut = lambda df, chosen=chosen: df.withColumn("x", F.array(*(F.get("x", i) for i in chosen)))
-        one = borrow(cut(queries), cut(known), k, value)
-        found = one if found is None else found.unionByName(one)
-    return found.groupBy("query").agg(F.avg("borrowed").alias("borrowed"))
+    return [sorted(int(i) for i in rng.choice(width, size, replace=False)) for _ in range(members)]
+
+
+def _cut(df: DataFrame, subset: list[int] | None) -> DataFrame:
+    return df if subset is None else df.withColumn("x", F.array(*(F.get("x", i) for i in subset)))
+
+
+def _mean_borrowed(parts: Iterable[DataFrame], *keys: str | Column) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.avg("borrowed").alias("borrowed"))
+
+
+def subspace_borrow(queries: DataFrame, known: DataFrame, width: int, value: str, k: int = 2, members: int = 50, share: float = 0.8, seed: int = 0) -> DataFrame:
+    """Mean of ``borrow`` over random subsets of the ``width`` features (at least five)."""
+    return _mean_borrowed([borrow(_cut(queries, s), _cut(known, s), k, value) for s in random_subsets(width, members, share, seed)], "query")
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -230,16 +238,20 @@ def leak_free_borrow(
     return found
 
 
-def neighbour_blend(train: DataFrame, sub: DataFrame, fold: str, folds: int, k: int, p: str, y: str, weighting: str = "uniform", bound: float = 3.0, eps: float = 1e-12) -> DataFrame:
+def neighbour_blend(
+    train: DataFrame, sub: DataFrame, fold: str, folds: int, k: int, p: str, y: str, weighting: str = "uniform", bound: float = 3.0, eps: float = 1e-12, subsets: list[list[int]] | None = None
+) -> DataFrame:
     """id, fold (null for ``sub``), p, borrowed, alpha and blend of all rows of both tables (id, x, ``p``; ``train`` also fold and ``y``).
 
     A training row borrows from the other folds, standardised by them, and its weight comes from them; a row of ``sub``
-    borrows from all training rows, standardised by these, with the weight that all of them give.
+    borrows from all training rows, standardised by these, with the weight that all of them give. With ``subsets`` of the
+    coordinates what is borrowed is the mean over them.
     """
-    own = leak_free_borrow(train, fold, folds, F.lit(True), k, p, weighting, bound=bound, search=all_rows).select(F.col("query").alias("id"), "borrowed")
-    a, b = _filled(train), _filled(sub)
-    every = _merged(list(_coordinate_moments(a, fold).values()))
-    other = borrow(_scaled(b, *every, bound), _scaled(a, *every, bound), k, p, weighting, search=all_rows).select(F.col("query").alias("id"), "borrowed")
+    train, sub, ways = written(_filled(train)), written(_filled(sub)), subsets or [None]
+    own = _mean_borrowed((written(leak_free_borrow(_cut(train, s), fold, folds, F.lit(True), k, p, weighting, bound=bound, search=all_rows)) for s in ways), F.col("query").alias("id"))
+    every = _merged(list(_coordinate_moments(train, fold).values()))
+    a, b = _scaled(train, *every, bound), _scaled(sub, *every, bound)
+    other = _mean_borrowed((written(borrow(_cut(b, s), _cut(a, s), k, p, weighting, search=all_rows)) for s in ways), F.col("query").alias("id"))
     rows = train.select("id", fold, p, y).join(own, "id", "left").unionByName(sub.select("id", p).join(other, "id", "left"), allowMissingColumns=True)
     rows = rows.withColumns({"borrowed": F.coalesce("borrowed", F.col(p)), "__one": F.lit(1)})
     blended = blend_out_of_fold(rows, fold, "__one", p, "borrowed", y)

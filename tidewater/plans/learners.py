@@ -28,12 +28,23 @@ def band_powers(spark, sf_dir):
     return shown(found.select("vec_id", F.log1p("b.lf").alias("lf"), F.log1p("b.hf").alias("hf"), (F.col("b.lf") / (F.col("b.hf") + 1e-9)).alias("ratio")))
 
 
-@query("q_M6_sample_entropy")
+@query("q_M6_sample_entropy", """
+WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings), t AS (SELECT vec_id, 0.2 * stddev_pop(v) AS r FROM s GROUP BY vec_id),
+d AS (SELECT vec_id, b.i - a.i AS lag, a.i, abs(a.v - b.v) <= r AS near FROM s a JOIN s b USING (vec_id) JOIN t USING (vec_id) WHERE a.i < b.i),
+w AS (SELECT vec_id, near, lead(near, 1) OVER o AS near1, lead(near, 2) OVER o AS near2 FROM d WINDOW o AS (PARTITION BY vec_id, lag ORDER BY i)),
+c AS (SELECT vec_id, count_if(near AND near1) AS b, count_if(near AND near1 AND near2) AS a FROM w GROUP BY vec_id)
+SELECT vec_id, round(CASE WHEN a > 0 AND b > 0 THEN -ln(a / b::DOUBLE) END, 6) AS entropy FROM embeddings LEFT JOIN c USING (vec_id)""")
 def sample_entropy(spark, sf_dir):
     return shown(_series(spark, sf_dir).select("vec_id", S.on_series(S.sample_entropy, F.col("x")).alias("entropy")))
 
 
-@query("q_M7_fluctuation_exponent")
+@query("q_M7_fluctuation_exponent", """
+WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v, len(embedding) AS size FROM embeddings),
+w AS (SELECT vec_id, i, size, sum(v - m) OVER (PARTITION BY vec_id ORDER BY i) AS walk FROM s JOIN (SELECT vec_id, avg(v) AS m FROM s GROUP BY vec_id) USING (vec_id)),
+n AS (SELECT unnest([4, 5, 7, 9, 12, 16]) AS n),
+g AS (SELECT vec_id, n, i // n AS part, var_pop(walk) - pow(covar_pop(walk, i), 2) / var_pop(i) AS rest FROM w, n WHERE i < size // n * n GROUP BY ALL),
+f AS (SELECT vec_id, n, avg(sqrt(greatest(rest, 0))) AS f FROM g GROUP BY ALL)
+SELECT vec_id, round(regr_slope(log10(f), log10(n)), 6) AS alpha FROM f GROUP BY vec_id""")
 def fluctuation_exponent(spark, sf_dir):
     return shown(_series(spark, sf_dir).select("vec_id", S.on_series(S.fluctuation_exponent, F.col("x")).alias("alpha")))
 

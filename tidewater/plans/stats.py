@@ -112,7 +112,16 @@ def blend_out_of_fold(spark, sf_dir):
     return shown(Q.blend_out_of_fold(_predictions(spark, sf_dir), "fold", "lang", "m", "n", "y").select("doc_id", "alpha", "blend"))
 
 
-@query("q_A33_simplex_weights")
+@query("q_A33_simplex_weights", f"""
+WITH {_PRED_SQL}, e AS (SELECT m - y AS a, n - y AS b, q - y AS c FROM p),
+s AS (SELECT count(*)::DOUBLE AS n, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(a) AS aa, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc FROM e),
+q AS (SELECT sum(pow(pow(a - ma, 2) + pow(b - mb, 2) + pow(c - mc, 2), 2)) AS q FROM e, s),
+k AS (SELECT s.*, (aa + bb + cc) / 3 AS mu, q - n * (aa * aa + bb * bb + cc * cc + 2 * (ab * ab + ac * ac + bc * bc)) AS spread FROM s, q),
+h AS (SELECT *, least(1, greatest(0, spread / n / n / (pow(aa - mu, 2) + pow(bb - mu, 2) + pow(cc - mu, 2) + 2 * (ab * ab + ac * ac + bc * bc)))) AS h FROM k),
+r AS (SELECT (1 - h) * aa + h * mu AS aa, (1 - h) * bb + h * mu AS bb, (1 - h) * cc + h * mu AS cc, (1 - h) * ab AS ab, (1 - h) * ac AS ac, (1 - h) * bc AS bc FROM h),
+d AS (SELECT aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det, (bb * cc - bc * bc) - (ab * cc - bc * ac) + (ab * bc - bb * ac) AS x, -(ab * cc - ac * bc) + (aa * cc - ac * ac) - (aa * bc - ab * ac) AS y, (ab * bc - ac * bb) - (aa * bc - ac * ab) + (aa * bb - ab * ab) AS z FROM r),
+w AS (SELECT greatest(x / det, 0) AS m, greatest(y / det, 0) AS n, greatest(z / det, 0) AS q FROM d)
+SELECT 'm' AS view, round(m / (m + n + q), 6) AS weight FROM w UNION ALL SELECT 'n', round(n / (m + n + q), 6) FROM w UNION ALL SELECT 'q', round(q / (m + n + q), 6) FROM w""")
 def simplex_weights(spark, sf_dir):
     weights = Q.simplex_weights(_predictions(spark, sf_dir), ["m", "n", "q"], "y")
     return spark.createDataFrame([(v, round(float(w), 6)) for v, w in zip("mnq", weights, strict=True)], "view string, weight double")
@@ -220,10 +229,28 @@ a AS (SELECT f, least(greatest((vm - c) / (vm + vn - 2 * c + 1e-12), 0), 1) AS a
 WITH {_BLEND_NEAR} SELECT id, fold::BIGINT AS fold, round(borrowed, 6) AS borrowed, round(alpha, 6) AS alpha, round((1 - alpha) * p + alpha * borrowed, 6) AS blend FROM w JOIN a ON a.f IS NOT DISTINCT FROM w.fold""")
 def neighbour_blend(spark, sf_dir):
     """Neighbours of every row: of training rows in the other folds, of the hold-out split in all; then the blend of each."""
+    return shown(Q.neighbour_blend(*_blend_tables(spark, sf_dir), "fold", 3, 3, "p", "y").drop("p"))
+
+
+def _blend_tables(spark, sf_dir):
     items = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("x"), (0.2 + 0.06 * (F.col("vec_id") % 11)).alias("p"), (F.col("label") % 2).alias("y"))
     items = items.withColumn("fold", (F.col("id") % 3).cast("int"))
-    train, sub = items.filter("id % 5 > 0"), items.filter("id % 5 = 0").drop("fold", "y")
-    return shown(Q.neighbour_blend(train, sub, "fold", 3, 3, "p", "y").drop("p"))
+    return items.filter("id % 5 > 0"), items.filter("id % 5 = 0").drop("fold", "y")
+
+
+_SUBSETS = Q.random_subsets(8, members=2, seed=0)
+_SUBSPACE_NEAR = _BLEND_NEAR.replace(
+    "d AS (SELECT q.f AS fold,", f"s AS (SELECT unnest({[[i + 1 for i in s] for s in _SUBSETS]}) AS chosen),\nd AS (SELECT chosen, q.f AS fold,"
+).replace("list_zip(q.z, k.z)", "list_zip(list_select(q.z, chosen), list_select(k.z, chosen))").replace("k.fold IS DISTINCT FROM q.f),", "k.fold IS DISTINCT FROM q.f CROSS JOIN s),").replace(
+    "PARTITION BY query ORDER", "PARTITION BY chosen, query ORDER"
+)
+
+
+@query("q_M19_subspace_blend", f"""
+WITH {_SUBSPACE_NEAR} SELECT id, fold::BIGINT AS fold, round(borrowed, 6) AS borrowed, round(alpha, 6) AS alpha, round((1 - alpha) * p + alpha * borrowed, 6) AS blend FROM w JOIN a ON a.f IS NOT DISTINCT FROM w.fold""")
+def subspace_blend(spark, sf_dir):
+    """The same with what is borrowed averaged over random subsets of the coordinates, two here."""
+    return shown(Q.neighbour_blend(*_blend_tables(spark, sf_dir), "fold", 3, 3, "p", "y", subsets=_SUBSETS).drop("p"))
 
 
 @query("q_M5_top_class", """
