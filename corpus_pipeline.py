@@ -23,8 +23,18 @@ from tidewater.llm.mixing import mixed_documents
 from tidewater.llm.pii import redact
 
 
+#: Rows of whole texts that go to Python at once.
+BATCH_ROWS = 1000
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters or surely of another language than stated go."""
+    """Documents without letters or surely of another language than stated go.
+
+    The result is lazy and whole texts pass Python, so batches of Arrow stay at 1,000 rows at most from here on.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
     return of_stated_language(docs)
 
 
