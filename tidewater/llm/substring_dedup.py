@@ -24,7 +24,6 @@ compared by hashes of 64 bits, segments by 112 and their length.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
