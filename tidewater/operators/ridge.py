@@ -35,6 +35,7 @@ class Ridge:
 def gram(rows: DataFrame, features: str, label: str, pivot: np.ndarray) -> np.ndarray:
     """Sum over rows of v v', v = (features - pivot, y, 1), y the label as -1 and 1."""
     width = len(pivot) + 2
+    upper = np.triu_indices(width)
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((width, width))
@@ -42,17 +43,13 @@ def gram(rows: DataFrame, features: str, label: str, pivot: np.ndarray) -> np.nd
             if len(batch):
                 v = np.column_stack([np.stack(batch["x"]) - pivot, batch["y"], np.ones(len(batch))])
                 total += v.T @ v
-        yield pd.DataFrame({"i": np.arange(width), "cells": [r.tobytes() for r in total]})
+        yield pd.DataFrame({"cell": np.arange(len(upper[0])), "v": total[upper]})
 
-    def added(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"i": [key[0]], "cells": [np.sum([np.frombuffer(c) for c in part["cells"]], axis=0).tobytes()]})
-
-    cells = rows.select(F.col(features).alias("x"), (2.0 * F.col(label) - 1).alias("y")).mapInPandas(partial, "i int, cells binary")
-    found = cells.groupBy("i").applyInPandas(added, "i int, cells binary").collect()  # one matrix
-    out = np.zeros((width, width))
-    for r in found:
-        out[r["i"]] = np.frombuffer(r["cells"])
-    return out
+    cells = rows.select(F.col(features).alias("x"), (2.0 * F.col(label) - 1).alias("y")).mapInPandas(partial, "cell int, v double")
+    found = cells.groupBy("cell").agg(F.sum("v").alias("v")).toArrow()  # half a matrix
+    out, at = np.zeros((width, width)), found.column("cell").to_numpy()
+    out[upper[0][at], upper[1][at]] = found.column("v").to_numpy()
+    return np.triu(out) + np.triu(out, 1).T
 
 
 def fit(rows: DataFrame, features: str, label: str, alphas: tuple[float, ...] = ALPHAS) -> Ridge | None:
