@@ -85,6 +85,11 @@ def test_copies_in_another_case_or_context_are_found(spark):
     assert run(spark, docs, items) == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_runs_of_names_and_numbers_of_any_length(spark):
+    docs = [(1, "Thouingerinoran " * 50_000 + "so it goes. " + QUESTION), (2, "1,2:3/" * 50_000 + "4 so it goes. " + QUESTION), (3, "Orre " * 50_000), (4, "7.5," * 50_000 + "1")]
+    assert run(spark, docs, [(1, QUESTION)]) == {(1, 1), (2, 1)}
+
+
 def test_only_native_operators(spark):
     from tidewater.llm.decontaminate import CASELESS, NAMES, windows
 

@@ -37,9 +37,10 @@ LEAST = 0.8
 #: Words of an item that must be covered at least for a share of words to count, and template words in a row that suffice.
 COVERED = 8
 RUN = 13
-NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
+#: Groups are possessive: nothing follows them, so they match the same, and a run of any length needs no stack.
+NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 #: Capitalised words, also the first of a sentence, with single spaces between them.
-NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?:[ ]\p{Lu}\p{Ll}\p{L}*)*"
+NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?:[ ]\p{Lu}\p{Ll}\p{L}*)*+"
 #: Units that follow a number.
 UNITS = "km kg mg cm mm m g l ml s ms h min hours hour minutes minute seconds days day weeks week months month years year miles mile feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees litres liters meters metres grams usd eur"
 UNIT = rf"(?i)(?<=qnumq )\s*(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])|(?<=qnumq )\s*[%$€£°]"
