@@ -40,10 +40,10 @@ RUN = 13
 #: Groups are possessive: nothing follows them, so they match the same, and a run of any length needs no stack.
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*+"
 #: Capitalised words, also the first of a sentence, with single spaces between them.
-NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?:[ ]\p{Lu}\p{Ll}\p{L}*)*+"
-#: Units that follow a number.
+NAME = r"(?=\p{Lu})(?<![\p{L}\p{N}])\p{Lu}\p{Ll}\p{L}*(?:[ ]\p{Lu}\p{Ll}\p{L}*)*+"
+#: Units (the second group) that follow a number.
 UNITS = "km kg mg cm mm m g l ml s ms h min hours hour minutes minute seconds days day weeks week months month years year miles mile feet foot inches inch pounds pound dollars dollar euros euro cents percent degrees litres liters meters metres grams usd eur"
-UNIT = rf"(?i)(?<=qnumq )\s*(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])|(?<=qnumq )\s*[%$€£°]"
+UNIT = rf"(?i)(qnumq )(\s*(?:{'|'.join(UNITS.split())})(?![\p{{L}}\p{{N}}])|\s*[%$€£°])"
 SLOTS = ("qnumq", "qnameq", "qunitq")
 #: What becomes a placeholder: numbers, units and names; numbers and units; nothing.
 NAMES, CASELESS, PLAIN = "names", "caseless", "plain"
@@ -54,50 +54,41 @@ def _without_numbers(text: Column) -> Column:
 
 
 def _without_units(text: Column) -> Column:
-    numbered = _without_numbers(text)
-    return F.when(F.instr(numbered, "qnumq") > 0, F.regexp_replace(numbered, UNIT, " qunitq ")).otherwise(numbered)
+    units = F.regexp_replace(F.regexp_replace(text, NUMBER, " qnumq "), UNIT, "$1 qunitq ")
+    return F.when(text.rlike("[0-9]") | (F.instr(text, "qnumq") > 0), units).otherwise(text)
 
 
 def template_words(text: Column, kind: str = NAMES) -> Column:
     """Array of template words; placeholders are ``qnumq``, ``qnameq`` and ``qunitq``."""
     canonical = text if kind == PLAIN else _without_units(text)
     canonical = F.regexp_replace(canonical, NAME, " qnameq ") if kind == NAMES else canonical
-    words = F.split(F.lower(canonical), r"[^\p{L}\p{N}]+")
-    return F.filter(words, lambda w: w != "")
+    return F.array_remove(F.split(F.lower(canonical), r"[^\p{L}\p{N}]+"), "")
 
 
 def slot_values(text: Column, kind: str = NAMES) -> dict[str, Column]:
     """Values of each placeholder, in order of the text."""
     found = {
         "qnumq": F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)),
-        "qunitq": F.transform(F.regexp_extract_all(_without_numbers(text), F.lit(UNIT), F.lit(0)), lambda u: F.lower(F.btrim(u))),
+        "qunitq": F.transform(F.regexp_extract_all(_without_numbers(text), F.lit(UNIT), F.lit(2)), lambda u: F.lower(F.btrim(u))),
     }
     return found | ({"qnameq": F.regexp_extract_all(_without_units(text), F.lit(NAME), F.lit(0))} if kind == NAMES else {})
 
 
-def _coded(text: Column, kind: str) -> Column:
-    """A number for each template word, whose lowest bit says whether the word is literal."""
-    return F.transform(template_words(text, kind), lambda w: F.xxhash64(w).bitwiseAND(F.lit(-2)).bitwiseOR(F.when(w.isin(*SLOTS), F.lit(0)).otherwise(F.lit(1)).cast("long")))
-
-
-def _hashes(coded: str, size: int) -> Column:
-    """Hash of every window of ``size`` words; null where it has fewer than two literal words (one if it is that short)."""
-    n = F.size(coded) - (size - 1)
-    zipped = F.arrays_zip(*(F.slice(coded, F.lit(k + 1), F.greatest(n, F.lit(0))) for k in range(size)))
-    literal = lambda x: sum((x[str(k)].bitwiseAND(F.lit(1)) for k in range(size)), F.lit(0))
-    checked = F.transform(zipped, lambda x: F.when(literal(x) >= min(2, size), F.xxhash64(x)))
-    slotted = F.exists(coded, lambda w: w.bitwiseAND(F.lit(1)) == 0)
-    return F.when(n <= 0, F.array().cast("array<long>")).when(slotted, checked).otherwise(F.transform(zipped, lambda x: F.xxhash64(x)))
-
-
 def windows(df: DataFrame, key: str, sizes: list[int], kind: str = NAMES) -> DataFrame:
-    """key, size, pos, hash for every window of the texts."""
-    words = df.select(key, _coded(F.coalesce("text", F.lit("")), kind).alias("words"))
-    parts = [words.select(key, F.lit(n).alias("size"), F.posexplode(_hashes("words", n)).alias("pos", "hash")) for n in sizes]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.filter(F.col("hash").isNotNull())
+    """key, size, pos, hash for every window of the texts that has two literal words (one if it is that short).
+
+    Only places are exploded; a window's hash comes from its words' hashes in the compiled projection above.
+    """
+    words = df.select(key, F.transform(template_words(F.coalesce("text", F.lit("")), kind), lambda w: F.xxhash64(w)).alias("words"))
+    slots, out = [F.xxhash64(F.lit(s)) for s in SLOTS], None
+    for n in sizes:
+        last = F.size("words") - n
+        placed = words.select(key, "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("pos"))
+        own = [F.get("words", F.col("pos") + k) for k in range(n)]
+        literal = sum((F.when(w.isin(slots), 0).otherwise(1) for w in own), F.lit(0))
+        part = placed.filter(literal >= min(2, n)).select(key, F.lit(n).alias("size"), "pos", F.xxhash64(*own).alias("hash"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def wanted_windows(items: DataFrame, window: int, kind: str = NAMES) -> tuple[DataFrame, list[int]]:
