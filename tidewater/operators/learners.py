@@ -19,7 +19,7 @@ from tidewater.functions.scalars import clip, logit
 
 from .ranks import column_percentiles
 from .ridge import ALPHAS, fit as fit_ridge
-from .stats import standardised
+from .stats import calibrated_by, standardised
 
 
 @dataclass
@@ -67,8 +67,15 @@ def make(kind: str, s: Settings, n: int, seed: int):
     raise ValueError(f"no learner {kind}")
 
 
-def fit_predict(kind: str, train: DataFrame, rows: DataFrame, features: list[str], label: str, settings: Settings | None = None, seed: int = 42) -> DataFrame:
-    """``rows`` with ``p``. With one class, or nothing, to learn from, ``p`` is the base rate (0.5 for nothing)."""
+def fit_predict(kind: str, train: DataFrame, rows: DataFrame, features: list[str], label: str, settings: Settings | None = None, seed: int = 42, by: str | None = None) -> DataFrame:
+    """``rows`` with ``p``. With one class, or nothing, to learn from, ``p`` is the base rate (0.5 for nothing).
+
+    With ``by``, Platt's fits of all its groups are made together, each from its group's ``p``, the only feature.
+    """
+    if by is not None:
+        if kind != "platt" or features != ["p"]:
+            raise ValueError("only Platt's fit of p goes by groups")
+        return calibrated_by(rows, by, "p", label, train=train)
     s = settings or Settings()
     known = train.filter(F.col(label).isNotNull()).withColumn("__y", F.col(label).cast("double"))
     base = known.agg(F.count(F.lit(1)).alias("n"), F.avg("__y").alias("p")).first()

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewater.functions.scalars import sigmoid
-from tidewater.operators import folds as M, learners as L, signal as S, stats as Q, tensors as X, trees as T, windows as V
+from tidewater.operators import folds as M, learners as L, signal as S, tensors as X, trees as T, windows as V
 from tidewater.operators.windows import hashed_folds
 from tidewater.sources.scratch import written
 from tidewater.sources.tables import read, sensor
@@ -89,24 +89,26 @@ SEEDS = (42, 43, 44, 45, 46)
 def _convolutions(rows, folds: int, seeds: tuple[int, ...], features: int, keys: list[str]):
     """keys, fold, p: mean over seeds of ridge scores of random convolutions, calibrated, by models that saw no row of the fold.
 
-    The calibrations of all models are fitted together at the end.
+    The calibrations of a fold's models are fitted together.
     """
     # Series are few bytes and much work, so they are dealt out however small their files are.
     rows, found = written(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)), None
     for fold in range(folds):
-        rest = rows.filter(F.col("fold") != fold)
+        own, rest, scored = rows.filter(F.col("fold") == fold), rows.filter(F.col("fold") != fold), None
         # The biases are drawn from at most 200 training series.
         sample = [np.asarray(r["x"], float) for r in rest.orderBy(F.xxhash64(*keys)).limit(200).select("x").collect()]
         for seed in seeds if sample else ():
             model = S.RandomConvolutions(sample, features=features, seed=seed)
             made = written(rows.select(*keys, "y", "fold", S.convolved(F.col("x"), model).alias("features")))
-            scored = L.ridge_scores(made.filter(F.col("fold") != fold), made, "features", "y")
-            own = F.col("fold") == fold
-            one = written(scored.select(*keys, "fold", own.alias("own"), F.when(~own, F.col("y")).alias("y"), F.lit(f"{fold}-{seed}").alias("model"), sigmoid(F.col("score")).alias("p")))
-            found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.select(*keys, "fold", F.lit(0.5).alias("p"))
-    return Q.calibrated_by(written(found), "model", "p", "y").filter("own").groupBy(*keys, "fold").agg(F.avg("p").alias("p"))
+            scores = L.ridge_scores(made.filter(F.col("fold") != fold), made, "features", "y")
+            part = written(scores.select(*keys, "y", "fold", F.lit(seed).alias("model"), sigmoid(F.col("score")).alias("p")))
+            scored = part if scored is None else scored.unionByName(part)
+        if scored is None:
+            one = own.select(*keys, "fold", F.lit(0.5).alias("p"))
+        else:
+            one = L.fit_predict("platt", scored.filter(F.col("fold") != fold), scored.filter(F.col("fold") == fold), ["p"], "y", by="model").select(*keys, "fold", "p")
+        found = one if found is None else found.unionByName(one)
+    return found.groupBy(*keys, "fold").agg(F.avg("p").alias("p"))
 
 
 @query("q_M22_convolutions_ridge_platt")
