@@ -121,3 +121,11 @@ def test_many_matches_in_a_long_text(spark):
 def test_only_native_operators(spark):
     plan = find(spark.createDataFrame([(1, "a@b.c", 1, "x")], SCHEMA))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+def test_spelt_addresses_of_any_length(spark):
+    from tidewater.llm.pii import candidates
+
+    text = "me (at) a" + " (dot) b" * 20_000
+    got = candidates(spark.createDataFrame([(1, f"write to {text}, please")], "doc_id long, text string")).first()["candidates"]
+    assert [(c["generator"], c["start"], c["end"]) for c in got] == [("spelt", 9, 9 + len(text))]

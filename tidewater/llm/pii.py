@@ -32,7 +32,7 @@ IP = r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}"
 CARD = r"[0-9](?<![0-9][0-9])(?<![0-9][\x20-][0-9])(?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Generators beyond the base patterns.
-SPELT_EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?{_LABEL}++)+"
+SPELT_EMAIL = rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?: ?(?:[\[(](?:dot|DOT)[\])]|\.) ?{_LABEL}++)++"
 LOCAL_PHONE = r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 ZERO_PHONE = r"(?<![0-9])00[1-9][0-9](?:[ .-]?[0-9]){7,11}(?![0-9])"
 MARKED_CARD = r"(?<![0-9._/])[0-9]{4}([._/])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"
