@@ -1,10 +1,13 @@
 """Cases that fail where rows meet in another order, or where work grows faster than its input."""
 
+import datetime as dt
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.operators import episodes, joins
 
 
 def test_mean_above_a_bound_does_not_depend_on_the_order(spark):
@@ -13,3 +16,55 @@ def test_mean_above_a_bound_does_not_depend_on_the_order(spark):
     rows = spark.createDataFrame(groups, "g int, i int, v double").coalesce(1).sortWithinPartitions("g", "i")
     found = {r["g"]: r["y"] for r in rows.groupBy("g").agg(S.mean_above(F.col("v"), 12).alias("y")).collect()}
     assert found == {**dict.fromkeys(range(6), False), 6: True, 7: None, 8: True, 9: True}
+
+
+def _observations(spark, nights=40, seed=3):
+    """Nights of 0 to 400 observations: on the minute and between, twice at a time, before and after the grid, null values."""
+    rng, rows = np.random.default_rng(seed), []
+    for n in range(nights):
+        base = dt.datetime(2024, 1, 2 + n % 5)
+        for _ in range(1 + int(rng.integers(0, 400) * rng.random() ** 3)):
+            second = int(rng.integers(0, 30 * 60)) * 60 + int(rng.choice([0, 0, 30, 59]))
+            ts = base + dt.timedelta(seconds=second, microseconds=int(rng.choice([0, 0, 1])))
+            rows += [(n // 5, base.date(), ts, None if rng.random() < 0.05 else float(rng.choice([0.5, 1.0, 5.0, 8.0, 9.0, 15.0, 40.0])))] * int(rng.integers(1, 3))
+            if rng.random() < 0.2:
+                rows.append((n // 5, base.date(), ts, 3.0))
+    rows += [(99, dt.date(2024, 1, 9), dt.datetime(2024, 1, 10, 5), 2.0), (98, dt.date(2024, 1, 9), None, 2.0)]
+    return spark.createDataFrame(rows, "u int, day date, ts timestamp_ntz, v double")
+
+
+def _minutes(obs, limit, start, rows):
+    nights = obs.select("u", "day").distinct()
+    return episodes.nights(nights, {"v": (obs, limit)}, ["u", "day"], "day", start, rows)
+
+
+def test_spans_fill_the_minutes_that_a_grid_would(spark):
+    obs = _observations(spark)
+    for limit, start, rows in ((30, 60, 300), (7, 0, 1500)):
+        spans = joins.filled_spans(obs, ["u", "day"], "day", "ts", "v", limit, start, rows).collect()
+        got = {(r["u"], r["day"], m): r["v"] for r in spans for m in range(r["start"], r["stop"]) if r["v"] is not None}
+        want = {(r["u"], r["day"], r["minute"]): r["v"] for r in _minutes(obs, limit, start, rows).collect() if r["v"] is not None}
+        assert got == want and {(r["u"], r["day"]) for r in spans} == {(r["u"], r["day"]) for r in obs.collect()}
+
+
+def test_spans_are_far_fewer_than_minutes(spark):
+    obs = _observations(spark)
+    assert joins.filled_spans(obs, ["u", "day"], "day", "ts", "v", 30, 0, 1500).count() <= obs.select("u", "day", "ts").distinct().count()
+    assert "Generate" not in joins.filled_spans(obs, ["u", "day"], "day", "ts", "v", 30, 0, 1500)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_onsets_of_spans_are_those_of_minutes(spark):
+    obs, v, by = _observations(spark), F.col("v"), ["u", "day"]
+    flags = [v < 10, v > 1, v < 9]
+    got = episodes.onset_of_spans(joins.filled_spans(obs, by, "day", "ts", "v", 20, 60, 900), by, flags).collect()
+    want = episodes.onset(_minutes(obs, 20, 60, 900), by, flags).collect()
+    assert {tuple(r) for r in got} == {tuple(r) for r in want} and sum(r["found"] for r in got) > 5
+
+
+def test_episodes_of_spans_are_those_of_minutes(spark):
+    obs, v, by = _observations(spark), F.col("v"), ["u", "day"]
+    score = episodes.evidence([v < 10, v < 30, v < 6])
+    for rows, nights in ((900, 7), (900, 512), (1, 512), (5, 512)):
+        got = episodes.episodes_of_spans(joins.filled_spans(obs, by, "day", "ts", "v", 40, 60, rows), by, score, rows, 0.7, min(rows, 20), 15, rows - 1, nights).collect()
+        want = episodes.episodes(_minutes(obs, 40, 60, rows).withColumn("s", score), by, "s", 0.7, min(rows, 20), 15, rows - 1).collect()
+        assert {tuple(r) for r in got} == {tuple(r) for r in want} and (got or rows == 1)

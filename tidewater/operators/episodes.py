@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .joins import as_of_steps
@@ -66,6 +70,70 @@ def onset(minutes: DataFrame, by: list[str], flags: list[Column], least_flags: i
     )
 
 
+def onset_of_spans(spans: DataFrame, by: list[str], flags: list[Column], least_flags: int = 3, least_run: int = 5) -> DataFrame:
+    """``onset`` of the minutes that ``joins.filled_spans`` tells of; minutes in no span have no flag."""
+    if least_flags < 1:
+        raise ValueError("minutes without values would agree")
+    agree = sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0))
+    marked = spans.withColumn("__asleep", (agree >= least_flags) & (F.col("stop") > F.col("start")))
+    w = W.partitionBy(*by).orderBy("start")
+    goes_on = F.col("__asleep") & F.coalesce(F.lag("__asleep").over(w) & (F.lag("stop").over(w) == F.col("start")), F.lit(False))
+    marked = marked.withColumn("__new", F.when(goes_on, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    every = marked.groupBy(*by, "__run").agg(F.bool_or("__asleep").alias("__asleep"), F.min("start").alias("start"), (F.max("stop") - F.min("start")).cast("long").alias("length"))
+    own = F.col("__asleep") & (F.col("length") >= least_run)
+    return every.groupBy(*by).agg(
+        F.min(F.when(own, F.col("start"))).alias("onset"), F.count_if(own).alias("runs"), F.max(F.when(own, F.col("length"))).alias("longest"),
+        F.max(own.cast("int")).alias("found"),
+    )
+
+
+def _runs_above(scores: np.ndarray, threshold: float, half: int = 3, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, first and last place of every run of places whose mean with ``half`` neighbours on each side is at or above the threshold."""
+    count, width = scores.shape
+    padded, total = np.pad(scores, ((0, 0), (half, half))), np.zeros_like(scores)
+    for i in range(2 * half + 1):
+        total += padded[:, i : i + width]
+    place = np.arange(width)
+    known = np.minimum(place + half, width - 1) - np.maximum(place - half, 0) + 1
+    above = np.zeros((count, width + 2), np.int8)
+    above[:, 1:-1] = (total / known >= threshold) & (known >= least)
+    change = np.diff(above, axis=1)
+    (row, start), (_, stop) = np.nonzero(change == 1), np.nonzero(change == -1)
+    return row, start, stop - 1
+
+
+def episodes_of_spans(spans: DataFrame, by: list[str], score: Column, rows: int, threshold: float = 0.75, least: int = 30, gap: int = 30, last: int | None = None, nights: int = 512) -> DataFrame:
+    """``episodes`` of the minutes that ``joins.filled_spans`` tells of; minutes in no span score 0.
+
+    One row for each night goes to Python; its minutes exist there only, for ``nights`` nights at once.
+    """
+    if threshold <= 0:
+        raise ValueError("minutes without values would be asleep")
+    scored = spans.filter("stop > start").withColumn("__score", score.cast("double")).filter(F.col("__score") > 0)
+    listed = scored.groupBy(*by).agg(F.collect_list(F.struct("start", "stop", "__score")).alias("__spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, nights):
+                part = batch.slice(at, nights)
+                spans = part.column("__spans")
+                size = spans.value_lengths().to_numpy(zero_copy_only=False)
+                start, stop, value = (spans.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                length = stop - start
+                ends = np.cumsum(length)
+                cells = np.repeat(np.repeat(np.arange(len(size)), size) * rows + start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+                scores = np.zeros((len(size), rows))
+                scores.reshape(-1)[cells] = np.repeat(value, length)
+                night, first, final = _runs_above(scores, threshold)
+                long = final - first + 1 >= least
+                kept = part.select(by).take(pa.array(night[long]))
+                columns = [*kept.columns, *(pa.array(v[long].astype(t)) for v, t in ((first, np.int32), (final, np.int32), (final - first + 1, np.int64)))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*by, "start", "stop", "length"])
+
+    keys = ", ".join(f"`{c}` {t}" for c, t in listed.select(*by).dtypes)
+    return merged(listed.mapInArrow(run, f"{keys}, start int, stop int, length long"), by, least, gap, last)
+
+
 def nights(spine: DataFrame, signals: dict[str, tuple[DataFrame, int]], by: list[str], day: str, start_minute: int, rows: int) -> DataFrame:
     """Minute grid of every night with each signal filled as of the minute within its own limit of steps.
 
