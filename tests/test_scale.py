@@ -4,10 +4,11 @@ import datetime as dt
 from itertools import permutations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
-from tidewater.operators import episodes, joins
+from tidewater.operators import episodes, joins, stats
 
 
 def test_mean_above_a_bound_does_not_depend_on_the_order(spark):
@@ -68,3 +69,38 @@ def test_episodes_of_spans_are_those_of_minutes(spark):
         got = episodes.episodes_of_spans(joins.filled_spans(obs, by, "day", "ts", "v", 40, 60, rows), by, score, rows, 0.7, min(rows, 20), 15, rows - 1, nights).collect()
         want = episodes.episodes(_minutes(obs, 40, 60, rows).withColumn("s", score), by, "s", 0.7, min(rows, 20), 15, rows - 1).collect()
         assert {tuple(r) for r in got} == {tuple(r) for r in want} and (got or rows == 1)
+
+
+def _vectors(spark, n=300, seed=5):
+    """Rounded vectors, so many distances tie, some far from the origin; one id without a vector."""
+    x = np.random.default_rng(seed).integers(0, 4, (n, 12)) / 4 + np.where(np.arange(n) % 5 == 0, 1000.0, 0.0)[:, None]
+    rows = [(i, [float(v) for v in r], i % 7) for i, r in enumerate(x)] + [(n, None, 3)]
+    return x, spark.createDataFrame(rows, "id long, x array<float>, v int")
+
+
+def test_stated_neighbours_equal_a_loop_where_distances_tie(spark):
+    x, items = _vectors(spark)
+    for metric, far in (("manhattan", lambda d: np.abs(d).sum(axis=1)), ("euclidean", lambda d: np.sqrt((d * d).sum(axis=1)))):
+        found = {(r["query"], r["rank"]): (r["item"], r["distance"]) for r in joins.nearest(items.filter("id % 3 = 0"), items, 4, metric, block=40).collect()}
+        want = {}
+        for q in range(0, len(x), 3):
+            d = far(x - x[q])
+            best = [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:4]
+            want |= {(q, r + 1): (i, d[i]) for r, i in enumerate(best)}
+        assert found == want
+
+
+def test_subspaces_are_searched_together(spark):
+    x, items = _vectors(spark)
+    out = stats.subspace_borrow(items.filter("id % 10 = 0"), items, 12, "v", members=9)
+    want = {}
+    for q in range(0, len(x), 10):
+        means = []
+        for s in stats.random_subsets(12, 9):
+            d = np.abs(x[:, s] - x[q, s]).sum(axis=1)
+            means.append(np.mean([i % 7 for i in [i for i in np.lexsort((np.arange(len(x)), d)) if i != q][:2]]))
+        want[q] = np.mean(means)
+    assert {r["query"]: r["borrowed"] for r in out.collect()} == pytest.approx(want)
+    # One search, not one for each member.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert joins.nearest(items.limit(0), items, 2).count() == 0 == joins.nearest(items.limit(3), items.limit(0), 2).count()
