@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
-from tidewater.operators import episodes, joins, stats
+from tidewater.operators import episodes, joins, ridge, signal, stats
 
 
 def test_mean_above_a_bound_does_not_depend_on_the_order(spark):
@@ -104,3 +104,40 @@ def test_subspaces_are_searched_together(spark):
     # One search, not one for each member.
     assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
     assert joins.nearest(items.limit(0), items, 2).count() == 0 == joins.nearest(items.limit(3), items.limit(0), 2).count()
+
+
+def test_features_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(8)
+    for shape in ((64,), (2, 40)):
+        model = signal.RandomConvolutions([rng.normal(size=shape) for _ in range(6)], features=168, seed=1)
+        series = [rng.normal(size=(*shape[:-1], n)) for n in (shape[-1], 30, shape[-1], 9)]
+        found, wide = model.many(series, block=1), [np.atleast_2d(s) for s in series]
+        assert (found == model.many(series)).all()
+        for row, x in zip(found, wide, strict=True):
+            at = 0
+            for d, k, chosen, biases, padded in model.plan:
+                c = model._convolved(x[chosen].sum(axis=0), d, k)
+                c = c if padded or len(c) <= 8 * d else c[4 * d : -4 * d]
+                assert (row[at : at + len(biases)] == (c[:, None] > biases).mean(axis=0)).all()
+                at += len(biases)
+
+
+def test_ridges_fitted_together_are_those_fitted_alone(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(120, 4)) + 50
+    rows = spark.createDataFrame([(v.tolist(), int(v[0] + v[1] > 100) if i % 9 else None, i % 3) for i, v in enumerate(x)], "x array<double>, y int, fold int")
+    together = ridge.fit_together(rows, [ridge.Model(f, np.stack, x[0]) for f in (0, 1, 2, 7)], "x", "fold", "y")
+    for f, found in zip((0, 1, 2, 7), together, strict=True):
+        alone = ridge.fit(rows.filter(F.col("fold") != f), "x", "y")
+        assert found.alpha == alone.alpha and np.allclose(found.weights, alone.weights) and np.isclose(found.base, alone.base)
+    assert ridge.fit_together(rows.filter("fold = 1"), [ridge.Model(1, np.stack, x[0])], "x", "fold", "y") == [None]
+
+
+def test_convolutions_make_one_table_for_all_models(spark, monkeypatch):
+    from tidewater.plans import learners
+
+    tables, plain = [], learners.written
+    monkeypatch.setattr(learners, "written", lambda df: tables.append(df.columns) or plain(df))
+    rows = spark.createDataFrame([(i, [float((i * 7 + j) % 11) for j in range(20)], i % 2, i % 3) for i in range(30)], "id long, x array<double>, y int, fold int")
+    out = learners._convolutions(rows, 3, (1, 2), 84, ["id"])
+    assert len(tables) == 2 and out.count() == 30

@@ -126,18 +126,50 @@ class RandomConvolutions:
                 self.plan.append((d, k, chosen, np.quantile(self._convolved(x, d, k), quantiles), (i + k) % 2 == 0))
 
     @staticmethod
-    def _convolved(x: np.ndarray, d: int, k: int) -> np.ndarray:
-        padded = np.concatenate([np.zeros(4 * d), x, np.zeros(4 * d)])
-        shifted = [padded[j * d : j * d + len(x)] for j in range(9)]
-        return 3 * sum(shifted[j] for j in KERNELS[k]) - sum(shifted)
+    def _shifted(x: np.ndarray, d: int) -> list[np.ndarray]:
+        """The nine shifts by multiples of ``d`` of each series, a row of ``x``, with zeros beyond its ends."""
+        padded = np.concatenate([np.zeros((len(x), 4 * d)), x, np.zeros((len(x), 4 * d))], axis=1)
+        return [padded[:, j * d : j * d + x.shape[1]] for j in range(9)]
+
+    @classmethod
+    def _convolved(cls, x: np.ndarray, d: int, k: int) -> np.ndarray:
+        shifted = cls._shifted(x[None], d)
+        return (3 * sum(shifted[j] for j in KERNELS[k]) - sum(shifted))[0]
+
+    def _block(self, x: np.ndarray) -> np.ndarray:
+        """Features of the series of one length, (series, channel, time)."""
+        out, ready = [], {}
+        for d, k, chosen, biases, padded in self.plan:
+            key = (d, chosen.tobytes())
+            if key not in ready:
+                shifted = self._shifted(x[:, chosen].sum(axis=1), d)
+                ready[key] = shifted, sum(shifted)
+            shifted, total = ready[key]
+            c = 3 * sum(shifted[j] for j in KERNELS[k]) - total
+            c = c if padded or c.shape[1] <= 8 * d else c[:, 4 * d : -4 * d]
+            out += [(c > b).mean(axis=1) for b in biases]
+        return np.column_stack(out)
+
+    def many(self, series: list[np.ndarray], block: int = 128) -> np.ndarray:
+        """A row of features for each series; series of one shape go together."""
+        series = [np.atleast_2d(x) for x in series]
+        shapes: dict[tuple[int, ...], list[int]] = {}
+        for i, x in enumerate(series):
+            shapes.setdefault(x.shape, []).append(i)
+        out = np.empty((len(series), sum(len(p[3]) for p in self.plan)))
+        for places in shapes.values():
+            for at in range(0, len(places), block):
+                some = places[at : at + block]
+                out[some] = self._block(np.stack([series[i] for i in some]))
+        return out
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        out, x = [], np.atleast_2d(x)
-        for d, k, chosen, biases, padded in self.plan:
-            c = self._convolved(x[chosen].sum(axis=0), d, k)
-            c = c if padded or len(c) <= 8 * d else c[4 * d : -4 * d]
-            out.append((c[:, None] > biases).mean(axis=0))
-        return np.concatenate(out)
+        return self.many([x])[0]
+
+
+def series_of(s: pd.Series) -> list[np.ndarray]:
+    """Series as arrays, or arrays of channels."""
+    return [np.stack([_floats(c) for c in v]) if v is not None and len(v) and isinstance(v[0], (list, np.ndarray)) else _floats(v) for v in s]
 
 
 def convolved(x: Column, model: RandomConvolutions) -> Column:
@@ -145,6 +177,6 @@ def convolved(x: Column, model: RandomConvolutions) -> Column:
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def run(s: pd.Series) -> pd.Series:
-        return pd.Series([model(np.stack([_floats(c) for c in v]) if len(v) and isinstance(v[0], (list, np.ndarray)) else _floats(v)) for v in s])
+        return pd.Series(list(model.many(series_of(s))), dtype=object)
 
     return run(x)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import Column, functions as F
 
 from tidewater.functions.scalars import sigmoid
-from tidewater.operators import folds as M, learners as L, signal as S, tensors as X, trees as T, windows as V
+from tidewater.operators import folds as M, learners as L, ridge as R, signal as S, tensors as X, trees as T, windows as V
 from tidewater.operators.windows import hashed_folds
 from tidewater.sources.scratch import written
 from tidewater.sources.tables import read, sensor
@@ -86,27 +87,53 @@ def platt(spark, sf_dir):
 SEEDS = (42, 43, 44, 45, 46)
 
 
+class _Features:
+    """Features of a column of series by random convolutions."""
+
+    def __init__(self, model: S.RandomConvolutions) -> None:
+        self.model = model
+
+    def __call__(self, x: pd.Series) -> np.ndarray:
+        return self.model.many(S.series_of(x))
+
+
+def _scores(spark, models: list[R.Model], fits: list[R.Ridge | None], x: Column) -> Column:
+    """Every model's score of a series, in order."""
+    shared = spark.sparkContext.broadcast([(m.features, f and (f.weights, f.base)) for m, f in zip(models, fits, strict=True)])
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        columns = [features(s) @ fit[0] + fit[1] if fit else np.zeros(len(s)) for features, fit in shared.value]
+        return pd.Series(list(np.column_stack(columns)), dtype=object)
+
+    return run(x)
+
+
 def _convolutions(rows, folds: int, seeds: tuple[int, ...], features: int, keys: list[str]):
     """keys, fold, p: mean over seeds of ridge scores of random convolutions, calibrated, by models that saw no row of the fold.
 
-    The calibrations of a fold's models are fitted together.
+    The models of all folds and seeds are fitted and score together; the calibrations of a fold's models are fitted together.
     """
     # Series are few bytes and much work, so they are dealt out however small their files are.
-    rows, found = written(rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)), None
+    spark, models, found = rows.sparkSession, [], None
+    rows = written(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys))
     for fold in range(folds):
-        own, rest, scored = rows.filter(F.col("fold") == fold), rows.filter(F.col("fold") != fold), None
         # The biases are drawn from at most 200 training series.
-        sample = [np.asarray(r["x"], float) for r in rest.orderBy(F.xxhash64(*keys)).limit(200).select("x").collect()]
+        drawn = rows.filter(F.col("fold") != fold).orderBy(F.xxhash64(*keys)).limit(200).select("x").collect()
+        sample = S.series_of(pd.Series([r["x"] for r in drawn], dtype=object))
         for seed in seeds if sample else ():
-            model = S.RandomConvolutions(sample, features=features, seed=seed)
-            made = written(rows.select(*keys, "y", "fold", S.convolved(F.col("x"), model).alias("features")))
-            scores = L.ridge_scores(made.filter(F.col("fold") != fold), made, "features", "y")
-            part = written(scores.select(*keys, "y", "fold", F.lit(seed).alias("model"), sigmoid(F.col("score")).alias("p")))
-            scored = part if scored is None else scored.unionByName(part)
-        if scored is None:
-            one = own.select(*keys, "fold", F.lit(0.5).alias("p"))
-        else:
+            made = S.RandomConvolutions(sample, features=features, seed=seed)
+            models.append(R.Model(fold, _Features(made), made(sample[0])))
+    if models:
+        fits = R.fit_together(rows, models, "x", "fold", "y")
+        each = rows.select(*keys, "y", "fold", F.posexplode(_scores(spark, models, fits, F.col("x"))).alias("model", "score"))
+        scores = written(each.select(*keys, "y", "fold", "model", F.get(F.array(*(F.lit(m.fold) for m in models)), F.col("model")).alias("of"), sigmoid(F.col("score")).alias("p")))
+    for fold in range(folds):
+        if any(m.fold == fold for m in models):
+            scored = scores.filter(F.col("of") == fold)
             one = L.fit_predict("platt", scored.filter(F.col("fold") != fold), scored.filter(F.col("fold") == fold), ["p"], "y", by="model").select(*keys, "fold", "p")
+        else:
+            one = rows.filter(F.col("fold") == fold).select(*keys, "fold", F.lit(0.5).alias("p"))
         found = one if found is None else found.unionByName(one)
     return found.groupBy(*keys, "fold").agg(F.avg("p").alias("p"))
 
