@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
 from tidewater.operators import episodes, joins, ridge, signal, stats
+from tidewater.plans import registry
 
 
 def test_mean_above_a_bound_does_not_depend_on_the_order(spark):
@@ -141,3 +142,14 @@ def test_convolutions_make_one_table_for_all_models(spark, monkeypatch):
     rows = spark.createDataFrame([(i, [float((i * 7 + j) % 11) for j in range(20)], i % 2, i % 3) for i in range(30)], "id long, x array<double>, y int, fold int")
     out = learners._convolutions(rows, 3, (1, 2), 84, ["id"])
     assert len(tables) == 2 and out.count() == 30
+
+
+@pytest.mark.parametrize("name", ["q_W1_lag", "q_J12_M20_temporal_prior"])
+def test_labels_of_days_whose_mean_is_the_bound(spark, tmp_path, name):
+    # Two days of 12 on average, whose floating sums are 36.00000000000001 and 36.
+    rows = [(i, dt.datetime(2024, 1, 1 + i // 3, i % 3), 1, "view", v, '{"k": 1}') for i, v in enumerate([1.88, 33.67, 0.45, 1.88, 0.45, 33.67, 13.0, 12.0, 12.0])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r["day"]: r for r in registry.queries()[name](spark, str(tmp_path)).collect()}
+    assert [found[f"2024-01-0{d}"]["y"] for d in (1, 2, 3)] == [0, 0, 1]
+    if name == "q_J12_M20_temporal_prior":
+        assert found["2024-01-03"]["prior"] == 0.0 and found["2024-01-01"]["prior"] == round((1 / 9) / (1 / 4 + 1 / 9), 6)
